@@ -16,6 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
 from plumbline.functions.arrow import lists, matrix, unit_rows, with_columns
@@ -216,8 +217,9 @@ def apply_matrix(
                 x = np.zeros((0, w.shape[0]))
             yield with_columns(batch, {name: lists((x if b is None else x - b) @ w)})
 
-    schema = df.schema.add(name, "array<double>") if name not in df.columns else df.schema
-    return df.mapInArrow(project, schema)
+    fields = [f for f in df.schema.fields if f.name != name]
+    out = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    return df.drop(name).mapInArrow(project, out) if name != features else df.mapInArrow(project, df.schema)
 
 
 def whitening_matrix(cov: np.ndarray, gamma: float = 1.0, kappa: float = 1e4) -> np.ndarray:

@@ -82,10 +82,20 @@ def stratified_test_split(
 
 
 def cross_fit_split(df: DataFrame, frac: float = 0.5, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:
-    """Disjoint fit and score parts: int(n*frac) rows are `is_fit`."""
-    ranked = draw_rank(df, sample_id, seed)
-    size = F.floor(F.lit(frac) * F.col("group_n"))
-    return ranked.withColumn("is_fit", F.col("draw_rank") <= size).drop("draw_rank", "group_n")
+    """Disjoint fit and score parts: int(n*frac) rows are `is_fit`.
+
+    The draw key of the last fit row is found once on ids only; the split
+    itself is then a comparison per row, without shuffle, for every later pass.
+    """
+    ranked = draw_rank(df.select(sample_id), sample_id, seed)
+    last = ranked.where(F.col("draw_rank") == F.floor(F.lit(frac) * F.col("group_n"))).select(
+        draw_key(seed, 0, sample_id), F.col(sample_id)
+    ).first()
+    if last is None:
+        return df.withColumn("is_fit", F.lit(False))
+    key = draw_key(seed, 0, sample_id)
+    first = (key < F.lit(last[0])) | ((key == F.lit(last[0])) & (F.col(sample_id) <= F.lit(last[1])))
+    return df.withColumn("is_fit", first)
 
 
 def half_split(

@@ -18,6 +18,7 @@ from plumbline.operators.prefix import percentiles
 from plumbline.operators.sampling import cross_fit_split, stratified_subsample
 from plumbline.operators.scoring import fit_components, score_from_components
 from plumbline.operators.summaries import condition_stats
+from plumbline.session import cut_lineage
 
 GRID = tuple(i / 10 for i in range(11))
 SCORES = ("trust", "realism_z", "faithfulness_z")
@@ -78,7 +79,10 @@ def real_gen_detection(
     runs = resamples if n_real > max_real else 1
     rows = None
     for i in range(runs):
-        pool = stratified_subsample(real, attrs, max_real, seed + i) if n_real > max_real else real
+        pool = real
+        if n_real > max_real:
+            # At most max_real rows, read by several passes.
+            pool = cut_lineage(stratified_subsample(real.select(*attrs, "sample_id", "features"), attrs, max_real, seed + i))
         split = cross_fit_split(pool, frac, seed + i)
         model = fit_components(split.where("is_fit"), attrs, seen=seen)
         scored_gen = score_from_components(gen, model)

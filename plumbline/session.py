@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +87,13 @@ def small_table(spark: SparkSession, rows: list[dict], schema: list[tuple[str, s
         "array<double>": pa.list_(pa.float64()),
     }
     return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([(n, types[t]) for n, t in schema])))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new sub-folder of the shared checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

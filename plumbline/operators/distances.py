@@ -115,17 +115,17 @@ def kid(
     for D up to a few hundred, as the map has D^3 entries.
     """
     keys = list(keys)
-    a = _feature_map_sums(x, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("a"))
-    b = _feature_map_sums(y, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("b"))
+    a = _feature_map_sums(x, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("_va"))
+    b = _feature_map_sums(y, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("_vb"))
     both = a.join(b, [*keys, "chunk"])
     off = F.col("chunk") >= 0
     grouped = both.groupBy(*keys) if keys else both.groupBy()
     sums = grouped.agg(
-        F.sum(F.when(off, V.dot("a", "a"))).alias("_aa"), F.sum(F.when(off, V.dot("b", "b"))).alias("_bb"),
-        F.sum(F.when(off, V.dot("a", "b"))).alias("_ab"),
-        F.max(F.when(~off, F.col("a")[0])).alias("_da"), F.max(F.when(~off, F.col("b")[0])).alias("_db"),
-        F.max(F.when(F.col("chunk") == 0, F.col("a")[0])).alias("n_x"),
-        F.max(F.when(F.col("chunk") == 0, F.col("b")[0])).alias("n_y"),
+        F.sum(F.when(off, V.dot("_va", "_va"))).alias("_aa"), F.sum(F.when(off, V.dot("_vb", "_vb"))).alias("_bb"),
+        F.sum(F.when(off, V.dot("_va", "_vb"))).alias("_ab"),
+        F.max(F.when(~off, F.col("_va")[0])).alias("_da"), F.max(F.when(~off, F.col("_vb")[0])).alias("_db"),
+        F.max(F.when(F.col("chunk") == 0, F.col("_va")[0])).alias("n_x"),
+        F.max(F.when(F.col("chunk") == 0, F.col("_vb")[0])).alias("n_y"),
     )
     n, m = F.col("n_x"), F.col("n_y")
     value = (F.col("_aa") - F.col("_da")) / (n * (n - 1)) + (F.col("_bb") - F.col("_db")) / (m * (m - 1)) - 2.0 * F.col("_ab") / (n * m)

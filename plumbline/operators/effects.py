@@ -55,8 +55,8 @@ def delta_interval(rows: DataFrame, keys: Sequence[str], value: str, reps: int =
     keys = list(keys)
     clean = rows.where(V.finite(value).isNotNull())
     tall = with_reps(clean.select(*keys, "row_id", "side", value), reps)
-    w = poisson_weight(unit_draw(seed, F.col("rep"), F.concat_ws(":", "side", F.col("row_id").cast("string"))))
-    sums = tall.withColumn("_w", w).where(F.col("_w") > 0).groupBy(*keys, "rep").agg(
+    tall = tall.withColumn("_u", unit_draw(seed, F.col("rep"), F.concat_ws(":", "side", F.col("row_id").cast("string"))))
+    sums = tall.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0).groupBy(*keys, "rep").agg(
         *[
             (F.sum(F.when(F.col("side") == s, F.col("_w") * F.col(value))) / F.sum(F.when(F.col("side") == s, F.col("_w")))).alias(s)
             for s in ("trust", "random")

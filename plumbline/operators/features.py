@@ -169,7 +169,8 @@ def bootstrap_stability(
 ) -> DataFrame:
     """How often a column is among the top F values over bootstrap repetitions, with mean and std of F."""
     rows = with_reps(df.select("sample_id", *attrs, *cols), reps)
-    rows = rows.withColumn("_w", poisson_weight(unit_draw(seed, F.col("rep"), "sample_id"))).where(F.col("_w") > 0)
+    rows = rows.withColumn("_u", unit_draw(seed, F.col("rep"), "sample_id"))
+    rows = rows.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0)
     f = anova_f(rows, cols, attrs, ["rep"], "_w")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("f_value"), "feature"))
     return f.withColumn("_p", place).groupBy("feature").agg(

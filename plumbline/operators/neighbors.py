@@ -292,20 +292,29 @@ def kth_distance(neighbors: DataFrame, k: int, name: str) -> DataFrame:
 
 def knn_radius(
     query: DataFrame, ref: DataFrame, k: int, leave_one_out: bool = False,
-    max_ref: int = 10_000, max_query: int = 5_000, seed: int = 42,
+    max_ref: int = 10_000, max_query: int = 5_000, seed: int = 42, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Cosine distance to the k-th neighbour, on the sampled queries and references of the contract."""
-
-    def take(df: DataFrame, n: int, s: int) -> DataFrame:
-        ranked = draw_rank(df.select("sample_id", "features"), "sample_id", s)
-        return ranked.where(F.col("draw_rank") <= n).select("sample_id", "features")
-
-    q = take(query, max_query, seed)
-    r = q if leave_one_out else take(ref, max_ref, seed + 1)
-    if leave_one_out and query.count() <= max_query:
-        r = ref
-    near = knn_join(q, r, k, metric="cosine", exclude_self=leave_one_out)
-    return kth_distance(near, k, "radius")
+    """Cosine distance to the k-th neighbour, on the sampled queries and references of the contract.
+
+    With `keys` (such as a step) every group samples its own queries and all
+    of them share one join.
+    """
+    keys = list(keys)
+
+    def take(df: DataFrame, n: int, s: int, by: list[str]) -> DataFrame:
+        ranked = draw_rank(df.select(*by, "sample_id", "features"), "sample_id", s, by)
+        return ranked.where(F.col("draw_rank") <= n).select(*by, "sample_id", "features")
+
+    q = take(query, max_query, seed, keys)
+    if leave_one_out:
+        r = ref if query.count() <= max_query else q
+        return kth_distance(knn_join(q, r, k, metric="cosine", exclude_self=True), k, "radius")
+    r = take(ref, max_ref, seed + 1, [])
+    if not keys:
+        return kth_distance(knn_join(q, r, k, metric="cosine"), k, "radius")
+    q = q.withColumn("_q", F.concat_ws("#", *[F.col(c).cast("string") for c in keys], F.col("sample_id").cast("string")))
+    near = knn_join(q, r, k, query_id="_q", metric="cosine").where(F.col("rank") == k)
+    return q.select(*keys, "sample_id", "_q").join(near.select(F.col("query_id").alias("_q"), F.col("distance").alias("radius")), "_q").drop("_q")
 
 
 def class_knn(

@@ -275,8 +275,8 @@ def support_bin(n: str, edges: Sequence[int] = SUPPORT_EDGES) -> Column:
 
 
 def stratified_correlation(df: DataFrame, x: str, y: str, support: str, edges: Sequence[int] = SUPPORT_EDGES) -> DataFrame:
-    """Spearman and Kendall per support bin; null with fewer than 3 valid rows."""
-    binned = df.withColumn("support_bin", support_bin(support, edges))
+    """Spearman and Kendall per support bin; null with fewer than 3 valid rows, rows below the first edge left out."""
+    binned = df.withColumn("support_bin", support_bin(support, edges)).where(F.col("support_bin").isNotNull())
     s = spearman(binned, x, y, ["support_bin"])
     return s.join(kendall(binned, x, y, ["support_bin"]).drop("n"), "support_bin", "left")
 

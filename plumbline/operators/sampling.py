@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import draw_key, unit_draw
 
+SLOT_CHUNK = 65_536
+
 
 def draw_rank(
     df: DataFrame,
@@ -30,24 +32,14 @@ def draw_rank(
     inside = Window.partitionBy(*keys, "_b").orderBy("_d", sample_id)
     local = keyed.withColumn("_local", F.row_number().over(inside).cast("long"))
     sizes = keyed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
-    # 256 buckets per group at most: one array per group holds the bucket counts.
-    if keys:
-        per_group = sizes.groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"), F.sum("_c").alias("group_n")
-        )
-        joined = local.join(per_group, keys)
-    else:
-        per_group = sizes.agg(
-            F.map_from_entries(F.collect_list(F.struct("_b", "_c"))).alias("_m"), F.sum("_c").alias("group_n")
-        )
-        joined = local.join(F.broadcast(per_group))
-    own = F.col("_b")
-    before = F.aggregate(
-        F.map_entries("_m"),
-        F.lit(0).cast("long"),
-        lambda acc, e: acc + F.when(e["key"] < own, e["value"]).otherwise(F.lit(0)),
+    # At most 256 rows per group: buckets before this one, and the group's size.
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *keys, "_b", F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("group_n")
     )
-    return joined.withColumn(name, F.col("_local") + before).drop("_d", "_b", "_local", "_m")
+    joined = local.join(offsets, [*keys, "_b"])
+    return joined.withColumn(name, F.col("_local") + F.col("_before")).drop("_d", "_b", "_local", "_before")
 
 
 def with_reps(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
@@ -180,28 +172,24 @@ def matched_draw(
     Returns the drawn ids with a `slot` number.
     """
     attrs, rep_cols = list(attrs), list(rep_cols)
+    cell = [*attrs, *rep_cols]
     rep = F.concat_ws(",", *[F.col(c).cast("string") for c in rep_cols]) if rep_cols else F.lit("0")
     ids = pool.select(*attrs, sample_id)
-    cells = want.select(*attrs, *rep_cols, "n_want").where(F.col("n_want") > 0)
-    wide = ids.join(cells, attrs)
-    ranked = draw_rank(wide, sample_id, seed, [*attrs, *rep_cols], rep=rep)
-    direct = (
-        ranked.where((F.col("draw_rank") <= F.col("n_want")) & ((F.col("group_n") >= F.col("n_want")) | F.lit(replace == "never")))
-        .select(*attrs, *rep_cols, F.col("draw_rank").alias("slot"), sample_id)
-    )
+    cells = want.select(*cell, "n_want").where(F.col("n_want") > 0)
+    ranked = draw_rank(ids.join(cells, attrs), sample_id, seed, cell, rep=rep)
     if replace == "never":
-        return direct
-    # Short pools: slot i takes pool row hash(i) mod n + 1 of the same order.
-    short = ranked.where(F.col("group_n") < F.col("n_want"))
-    sizes = short.where(F.col("draw_rank") == 1).select(*attrs, *rep_cols, "n_want", "group_n")
-    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_want"))))
-    cell = F.concat_ws(",", *[F.col(c).cast("string") for c in attrs])
-    pick = F.floor(unit_draw(seed, rep, F.concat_ws(",", cell, F.col("slot").cast("string"))) * F.col("group_n")) + 1
-    slots = slots.select(*attrs, *rep_cols, "slot", pick.alias("draw_rank"))
-    repeated = slots.join(
-        short.select(*attrs, *rep_cols, "draw_rank", sample_id), [*attrs, *rep_cols, "draw_rank"]
-    ).select(*attrs, *rep_cols, "slot", sample_id)
-    return direct.unionByName(repeated)
+        return ranked.where(F.col("draw_rank") <= F.col("n_want")).select(*cell, F.col("draw_rank").alias("slot"), sample_id)
+    # Slot i takes pool row i of the order, or row hash(i) mod n + 1 where the pool is short.
+    # Slots are made in chunks that are spread first, so a very large cell is no single task.
+    sized = cells.join(ids.groupBy(*attrs).agg(F.count("*").alias("_n")), attrs)
+    chunks = sized.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_want") - 1) / SLOT_CHUNK))))
+    chunks = chunks.repartition(*cell, "_k")
+    first, last = F.col("_k") * SLOT_CHUNK + 1, F.least((F.col("_k") + 1) * SLOT_CHUNK, F.col("n_want"))
+    slots = chunks.withColumn("slot", F.explode(F.sequence(first, last)))
+    name = F.concat_ws(",", F.concat_ws(",", *[F.col(c).cast("string") for c in attrs]), F.col("slot").cast("string"))
+    pick = F.floor(unit_draw(seed, rep, name) * F.col("_n")) + 1
+    slots = slots.select(*cell, "slot", F.when(F.col("_n") >= F.col("n_want"), F.col("slot")).otherwise(pick).alias("draw_rank"))
+    return slots.join(ranked.select(*cell, "draw_rank", sample_id), [*cell, "draw_rank"]).select(*cell, "slot", sample_id)
 
 
 def condition_counts(df: DataFrame, attrs: Sequence[str], name: str = "n_want") -> DataFrame:
@@ -255,30 +243,36 @@ def random_baseline(
     )
 
 
-def random_pairs(df: DataFrame, n_pairs: int, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:
-    """Pairs (i, j) of different rows, drawn independently; an equal j moves to the next row."""
-    spark = df.sparkSession
-    indexed = draw_rank(df.select(sample_id), sample_id, seed, name="_ix")
-    n = df.agg(F.count("*").alias("_n"))
-    pairs = spark.range(n_pairs).join(F.broadcast(n))
+def random_pairs(
+    df: DataFrame, n_pairs: int, seed: int = 42, sample_id: str = "sample_id", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Pairs (i, j) of different rows per group, drawn independently; an equal j moves to the next row."""
+    keys = list(keys)
+    indexed = draw_rank(df.select(*keys, sample_id), sample_id, seed, keys, name="_ix")
+    pairs = df.sparkSession.range(n_pairs)
+    if keys:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+        groups = sizes.agg(F.collect_list(F.struct(*keys, "_n")).alias("_g"))  # one entry per group: a handful of steps
+        pairs = pairs.join(F.broadcast(groups)).withColumn("_e", F.explode("_g")).select("id", "_e.*")
+    else:
+        pairs = pairs.join(F.broadcast(df.agg(F.count("*").alias("_n"))))
     i = F.floor(unit_draw(seed, 1, "id") * F.col("_n"))
     j = F.floor(unit_draw(seed, 2, "id") * F.col("_n"))
     j = F.when(i == j, (j + 1) % F.col("_n")).otherwise(j)
-    pairs = pairs.select(F.col("id").alias("pair"), (i + 1).alias("_i"), (j + 1).alias("_j"))
-    left = indexed.select(F.col("_ix").alias("_i"), F.col(sample_id).alias("left_id"))
-    right = indexed.select(F.col("_ix").alias("_j"), F.col(sample_id).alias("right_id"))
-    return pairs.join(left, "_i").join(right, "_j").select("pair", "left_id", "right_id")
+    pairs = pairs.select(*keys, F.col("id").alias("pair"), (i + 1).alias("_i"), (j + 1).alias("_j"))
+    left = indexed.select(*keys, F.col("_ix").alias("_i"), F.col(sample_id).alias("left_id"))
+    right = indexed.select(*keys, F.col("_ix").alias("_j"), F.col(sample_id).alias("right_id"))
+    return pairs.join(left, [*keys, "_i"]).join(right, [*keys, "_j"]).select(*keys, "pair", "left_id", "right_id")
 
 
 def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count of a uniform number: how often a bootstrap repetition takes the row."""
-    cumulative, term, edges = 0.0, math.exp(-1.0), []
+    """Poisson(1) count of a uniform column: how often a bootstrap repetition takes the row."""
+    cumulative, term, count = 0.0, math.exp(-1.0), F.lit(0).cast("long")
     for k in range(1, 13):
         cumulative += term
-        edges.append(cumulative)
+        count = count + (u >= F.lit(cumulative)).cast("long")
         term /= k
-    steps = F.array(*[F.lit(e) for e in edges])
-    return F.size(F.filter(steps, lambda e: u >= e)).cast("long")
+    return count
 
 
 def bootstrap_means(
@@ -292,8 +286,8 @@ def bootstrap_means(
     """
     keys = list(keys)
     rows = with_reps(df.where(F.col(value).isNotNull()).select(*keys, sample_id, value), reps)
-    weight = poisson_weight(unit_draw(seed, F.col("rep"), sample_id))
-    rows = rows.withColumn("_w", weight).where(F.col("_w") > 0)
+    rows = rows.withColumn("_u", unit_draw(seed, F.col("rep"), sample_id))
+    rows = rows.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0)
     if stat == "mean":
         per_rep = rows.groupBy(*keys, "rep").agg(
             (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m")

@@ -15,6 +15,7 @@ from plumbline.operators.ranking import bin_within
 from plumbline.operators.sampling import (
     condition_counts, draw_rank, matched_draw, matched_real_draw, random_baseline, with_reps,
 )
+from plumbline.session import cut_lineage
 
 PERCENTS = (50, 75, 90, 95)
 
@@ -107,9 +108,10 @@ def per_condition_selection(
     sized = condition_counts(gen, attrs, "n_total").join(condition_counts(real_feats, attrs, "n_real"), attrs)
     sized = sized.where((F.col("n_total") >= min_gen) & (F.col("n_real") >= min_real))
     taken = accept_per_condition(gen, real_scores, attrs, pct, seen, score, min_real).join(sized.select(*attrs), attrs, "left_semi")
+    taken = cut_lineage(taken.select(*keys, "sample_id", "threshold"))
     cells = taken.groupBy(*keys).agg(F.count("*").alias("n_accepted"), F.first("threshold").alias("threshold"))
     cells = cells.join(sized, attrs).where(F.col("n_accepted") >= min_accept)
-    cells = cells.withColumn("k", F.least(F.lit(cap).cast("long"), "n_accepted", "n_real")).where(F.col("k") >= 10)
+    cells = cut_lineage(cells.withColumn("k", F.least(F.lit(cap).cast("long"), "n_accepted", "n_real")).where(F.col("k") >= 10))
     plan = cells.select(*keys, "k")
     pairs = plan.select(*keys)
     y = D.as_draws(real_feats, attrs).join(pairs, attrs)
@@ -160,10 +162,11 @@ def global_selection(
     taken = accept(gen, thresholds(real_scores, score, percents), score)
     enough = taken.groupBy("pct").agg(F.count("*").alias("n_accepted"), F.first("threshold").alias("threshold"))
     enough = enough.where(F.col("n_accepted") >= min_accept)
-    taken = taken.join(F.broadcast(enough.select("pct")), "pct", "left_semi")
+    # Ids only: everything below reads the accepted rows several times.
+    taken = cut_lineage(taken.join(F.broadcast(enough.select("pct")), "pct", "left_semi").select(*attrs, "pct", "sample_id"))
     size = F.least(F.col("n_x"), F.col("n_y"), F.lit(cap))
     want = taken.groupBy(*attrs, "pct").agg(F.count("*").alias("n_want"))
-    pool = D.slots_as_draws(matched_draw(want, real_feats, attrs, seed + 1000, ["pct"]), ["pct"])
+    pool = cut_lineage(D.slots_as_draws(matched_draw(want, real_feats, attrs, seed + 1000, ["pct"]), ["pct"]))
     acc = D.spread(
         D.sampled_kid(D.as_draws(taken, ["pct"]), pool, gen_feats, real_feats, ["pct"], size, n_boot, seed + 1100, "cosine", cap, min_size=10),
         ["pct"],
@@ -171,11 +174,11 @@ def global_selection(
     if baseline == "free":
         wide = with_reps(gen.select(*attrs, "sample_id"), n_rand, "draw").join(F.broadcast(enough))
         ranked = draw_rank(wide, "sample_id", seed + 2000, ["pct", "draw"], F.concat_ws(",", F.col("pct").cast("string"), F.col("draw").cast("string")))
-        rand = ranked.where(F.col("draw_rank") <= F.col("n_accepted")).select(*attrs, "pct", "draw", "sample_id")
+        rand = cut_lineage(ranked.where(F.col("draw_rank") <= F.col("n_accepted")).select(*attrs, "pct", "draw", "sample_id"))
         rwant = rand.groupBy(*attrs, "pct", "draw").agg(F.count("*").alias("n_want"))
-        rpool = D.slots_as_draws(matched_draw(rwant, real_feats, attrs, seed + 3000, ["pct", "draw"]), ["pct", "draw"])
+        rpool = cut_lineage(D.slots_as_draws(matched_draw(rwant, real_feats, attrs, seed + 3000, ["pct", "draw"]), ["pct", "draw"]))
     elif baseline == "same_histogram":
-        rand = matched_draw(with_reps(want, n_rand, "draw"), gen, attrs, seed + 2000, ["pct", "draw"], replace="never")
+        rand = cut_lineage(matched_draw(with_reps(want, n_rand, "draw"), gen, attrs, seed + 2000, ["pct", "draw"], replace="never"))
         rpool = with_reps(pool, n_rand, "draw").select("pct", "draw", "draw_id", "sample_id")
     else:
         raise ValueError(f"unknown baseline {baseline!r}")
@@ -199,9 +202,10 @@ def percentile_mode_panel(
     taken = whole.unionByName(local.select(*cols, F.lit("within_cond").alias("mode")))
     keys = ["pct", "mode"]
     enough = taken.groupBy(*keys).agg(F.count("*").alias("n_accepted")).where(F.col("n_accepted") >= 10)
-    taken = taken.join(F.broadcast(enough.select(*keys)), keys, "left_semi")
+    taken = cut_lineage(taken.join(F.broadcast(enough.select(*keys)), keys, "left_semi"))
+    enough = taken.groupBy(*keys).agg(F.count("*").alias("n_accepted"))
     want = taken.groupBy(*attrs, *keys).agg(F.count("*").alias("n_want"))
-    rand = matched_draw(want, gen, attrs, seed, keys, replace="never")
+    rand = cut_lineage(matched_draw(want, gen, attrs, seed, keys, replace="never"))
     tags = enough.agg(F.collect_list(F.struct(*keys)).alias("_k"))
     pool = D.as_draws(real_feats, []).join(F.broadcast(tags)).withColumn("_t", F.explode("_k")).select("_t.*", "draw_id", "sample_id")
     size = F.least(F.lit(cap), F.col("n_x"), F.col("n_y"))
@@ -212,7 +216,8 @@ def percentile_mode_panel(
     cell = [*attrs, *keys]
     n = taken.groupBy(*cell).agg(F.count("*").alias("n_acc")).join(condition_counts(gen, attrs, "n_gen"), attrs)
     n = n.join(condition_counts(real_feats, attrs, "n_real"), attrs).where((F.col("n_real") >= 10) & (F.col("n_acc") >= 5))
-    plan = n.select(*cell, F.least(F.lit(cap).cast("long"), "n_acc", "n_gen", "n_real").alias("k"))
+    # One row per (condition, percentile, mode).
+    plan = cut_lineage(n.select(*cell, F.least(F.lit(cap).cast("long"), "n_acc", "n_gen", "n_real").alias("k")))
     y = D.as_draws(real_feats, attrs).join(plan.drop("k"), attrs)
     by_cond = None
     for name, rows in (("_a", D.as_draws(taken, cell)), ("_r", D.as_draws(gen, attrs).join(plan.drop("k"), attrs))):
@@ -246,10 +251,11 @@ def kid_by_arm(
     ranked = draw_rank(with_reps(rows.join(F.broadcast(n), "arm"), n_rand, "draw"), "sample_id", seed, ["arm", "draw"], F.col("draw"))
     picks = ranked.where(F.col("draw_rank") <= F.col("n_accepted")).select(*attrs, "arm", "draw", "sample_id")
     both = taken.join(F.broadcast(n.select("arm")), "arm", "left_semi").select(*attrs, "arm", F.lit(-1).alias("draw"), "sample_id").unionByName(picks)
+    both = cut_lineage(both)
     keys = ["arm", "draw"]
     x = with_reps(both, n_boot, "boot")
     cell = [*keys, "boot"]
-    pool = D.slots_as_draws(D.matched_with_fallback(x, real_feats, attrs, 1, seed + 1100, cell), cell)
+    pool = cut_lineage(D.slots_as_draws(D.matched_with_fallback(x, real_feats, attrs, 1, seed + 1100, cell), cell))
     size = F.least(F.col("n_x"), F.col("n_y"), F.lit(cap))
     runs = D.sampled_kid(D.as_draws(x, cell), pool, gen_feats, real_feats, cell, size, 1, seed, "cosine", cap)
     per_draw = runs.groupBy(*keys).agg(F.avg("kid").alias("kid"))
@@ -272,7 +278,7 @@ def decile_report(
     draws, or globally and compared with all real rows.
     """
     attrs = list(attrs)
-    bins = bin_within(gen, attrs if within else [], n_bins, score, at_least_one=within)
+    bins = cut_lineage(bin_within(gen.select(*attrs, "sample_id", score), attrs if within else [], n_bins, score, at_least_one=within))
     facts = bins.groupBy("bin").agg(
         F.count("*").alias("n_samples"), F.min(score).alias("score_min"), F.max(score).alias("score_max"),
         F.count_distinct(*[F.col(a) for a in attrs]).alias("n_conditions"),
@@ -280,7 +286,7 @@ def decile_report(
     pool = None
     if within:
         want = bins.groupBy(*attrs, "bin").agg(F.count("*").alias("n_want"))
-        pool = D.slots_as_draws(matched_draw(want, real_feats, attrs, seed, ["bin"]), ["bin"])
+        pool = cut_lineage(D.slots_as_draws(matched_draw(want, real_feats, attrs, seed, ["bin"]), ["bin"]))
     out = facts.join(D.kid_bootstrap(bins, real_feats, gen_feats, ["bin"], reps, seed, "cosine", pool, cap), "bin", "left")
     if not within or null is None:
         return out

@@ -43,13 +43,15 @@ def energy_aurocs(real: DataFrame, gen: DataFrame, fit: GlobalFit, keys: Sequenc
     return detection_summary(long, "s", "is_gen", [*keys, "variant"])
 
 
-def pairwise_cosine(df: DataFrame, n_pairs: int = 10_000, seed: int = 42) -> DataFrame:
-    """Cosine of randomly drawn row pairs: pair, cosine."""
-    units = df.select("sample_id", V.l2_normalize("features").alias("_u"))
-    pairs = random_pairs(df, n_pairs, seed)
-    left = units.select(F.col("sample_id").alias("left_id"), F.col("_u").alias("_l"))
-    right = units.select(F.col("sample_id").alias("right_id"), F.col("_u").alias("_r"))
-    return pairs.join(left, "left_id").join(right, "right_id").select("pair", V.dot("_l", "_r").alias("cosine"))
+def pairwise_cosine(df: DataFrame, n_pairs: int = 10_000, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """Cosine of randomly drawn row pairs per group: keys, pair, cosine."""
+    keys = list(keys)
+    units = df.select(*keys, "sample_id", V.l2_normalize("features").alias("_u"))
+    pairs = random_pairs(df, n_pairs, seed, keys=keys)
+    left = units.select(*keys, F.col("sample_id").alias("left_id"), F.col("_u").alias("_l"))
+    right = units.select(*keys, F.col("sample_id").alias("right_id"), F.col("_u").alias("_r"))
+    joined = pairs.join(left, [*keys, "left_id"]).join(right, [*keys, "right_id"])
+    return joined.select(*keys, "pair", V.dot("_l", "_r").alias("cosine"))
 
 
 def trajectory_report(
@@ -68,11 +70,6 @@ def trajectory_report(
     auroc = energy_aurocs(real, steps, fit, ["step"])
     out = out.join(auroc.groupBy("step").pivot("variant", ["one_sided", "two_sided_abs", "two_sided_sq"]).agg(F.first("auroc")), "step")
     out = out.join(step_similarity(steps, final).select("step", F.col("mean_cosine").alias("paired_cosine")), "step")
-    per_step = None
-    for r in steps.select("step").distinct().orderBy("step").collect():
-        rows = steps.where(F.col("step") == r[0])
-        pair = pairwise_cosine(rows, n_pairs, seed).agg(F.avg("cosine").alias("pair_cosine"))
-        near = knn_radius(rows, real, k, seed=seed).agg(F.avg("radius").alias("knn_radius"))
-        part = pair.join(F.broadcast(near)).withColumn("step", F.lit(r[0]))
-        per_step = part if per_step is None else per_step.unionByName(part)
-    return out.join(per_step, "step")
+    pair = pairwise_cosine(steps, n_pairs, seed, ["step"]).groupBy("step").agg(F.avg("cosine").alias("pair_cosine"))
+    near = knn_radius(steps, real, k, seed=seed, keys=["step"]).groupBy("step").agg(F.avg("radius").alias("knn_radius"))
+    return out.join(pair, "step").join(near, "step")

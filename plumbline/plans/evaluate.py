@@ -132,6 +132,7 @@ def ranking_table(
 
 def ranking_validity(table: DataFrame, attrs: Sequence[str], metric: str = "delta_kid") -> dict[str, DataFrame]:
     """Do condition scores rank conditions as the distances do?"""
+    table = cut_lineage(table)  # one row per condition, read by every statistic
     corr = R.spearman(table, "trust_mean", metric).join(F.broadcast(R.kendall(table, "trust_mean", metric).drop("n")))
     return {
         "correlation": R.with_p_values(corr).join(F.broadcast(R.pearson_corr(table, "trust_mean", metric).drop("n"))),

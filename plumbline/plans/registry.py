@@ -149,8 +149,8 @@ def kid_sql(src: str, keys: str, a: str, b: str, name: str = "kid") -> str:
         f"sum(k) FILTER (WHERE ps = '{b}' AND qs = '{b}' AND NOT same)) / (max(m) * (max(m) - 1)) - "
         f"2.0 * sum(k) FILTER (WHERE ps = '{a}' AND qs = '{b}') / (max(m) * max(m)) END AS {name} FROM "
         f"(SELECT {pk}, p.side AS ps, q.side AS qs, p.did = q.did AND p.side = q.side AS same, "
-        f"pow(list_dot_product(p.u, q.u) + 1, 3) AS k, m FROM {src} p JOIN {src} q ON {on} "
-        f"JOIN (SELECT {keys}, count(*)::DOUBLE AS m FROM {src} WHERE side = '{a}' GROUP BY {keys}) USING ({keys})) "
+        f"pow(list_dot_product(p.u, q.u) + 1, 3) AS k FROM {src} p JOIN {src} q ON {on}) "
+        f"JOIN (SELECT {keys}, count(*)::DOUBLE AS m FROM {src} WHERE side = '{a}' GROUP BY {keys}) USING ({keys}) "
         f"GROUP BY {keys})"
     )
 

@@ -46,7 +46,7 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(c).alias("feature"), F.col(f"v{i}").alias("variance"),
-                (F.greatest(F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"m{i}") - F.col(f"a{i}")) / F.sqrt(F.col(f"v{i}"))).alias("max_abs_z"),
+                F.try_divide(F.greatest(F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"m{i}") - F.col(f"a{i}")), F.sqrt(F.col(f"v{i}"))).alias("max_abs_z"),
             )
             for i, c in enumerate(cols)
         ]
@@ -89,9 +89,9 @@ def anova_f(df: DataFrame, cols: Sequence[str], factor: Sequence[str], keys: Seq
         F.sum("n").alias("N"), F.count("*").alias("g"), F.sum("s").alias("S"), F.sum("q").alias("Q"),
         F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"),
     )
-    between = (F.col("B") - F.col("S") * F.col("S") / F.col("N")) / (F.col("g") - 1)
-    within = (F.col("Q") - F.col("B")) / (F.col("N") - F.col("g"))
-    return out.where(F.col("g") >= 2).select(*keys, "feature", (between / within).alias("f_value"))
+    between = F.try_divide(F.col("B") - F.col("S") * F.col("S") / F.col("N"), F.col("g") - 1)
+    within = F.try_divide(F.col("Q") - F.col("B"), F.col("N") - F.col("g"))
+    return out.where(F.col("g") >= 2).select(*keys, "feature", F.try_divide(between, within).alias("f_value"))
 
 
 def anova_top_k(df: DataFrame, cols: Sequence[str], attrs: Sequence[str], k: int) -> DataFrame:
@@ -114,9 +114,9 @@ def binned_information(df: DataFrame, cols: Sequence[str], factor: Sequence[str]
     joint = binned.groupBy("feature", "_b", *factor).agg(F.count("*").alias("n"))
     a = joint.groupBy("feature", "_b").agg(F.sum("n").alias("na"))
     b = joint.groupBy("feature", *factor).agg(F.sum("n").alias("nb"))
-    t = joint.groupBy("feature").agg(F.sum("n").alias("N"))
+    t = joint.groupBy("feature").agg(F.sum("n").alias("total"))
     all_ = joint.join(a, ["feature", "_b"]).join(b, ["feature", *factor]).join(t, "feature")
-    term = F.col("n") / F.col("N") * F.log(F.col("n").cast("double") * F.col("N") / (F.col("na").cast("double") * F.col("nb")))
+    term = F.col("n") / F.col("total") * F.log(F.col("n").cast("double") * F.col("total") / (F.col("na").cast("double") * F.col("nb")))
     return all_.groupBy("feature").agg(F.sum(term).alias("information"))
 
 

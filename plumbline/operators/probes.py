@@ -26,6 +26,8 @@ from plumbline.operators.ranking import bin_within, detection_summary, random_sc
 from plumbline.operators.sampling import bootstrap_means, random_baseline, stratified_kfold
 from plumbline.operators.scoring import as_scalar_score, scorer
 
+ROWS_PER_TASK = 20_000
+
 
 @dataclass
 class LinearModel:
@@ -50,22 +52,23 @@ def fit_logistic(
     min_rows: int = 1, balanced: bool = False,
 ) -> LinearModel | None:
     """Multinomial (or binary) logistic model; None with fewer than two classes of `min_rows` rows."""
-    classes = _labels(df, label, min_rows)
+    per_class = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    classes = sorted(k for k, m in per_class.items() if m >= min_rows)
     if len(classes) < 2:
         return None
-    # sorted class list, at most one entry per class
+    n = sum(per_class[k] for k in classes)
     index = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col(label)) - 1
     rows = df.select(index.cast("double").alias("_y"), array_to_vector(F.col(features).cast("array<double>")).alias("_x")).where(F.col("_y") >= 0)
-    counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
-    n = sum(counts.values())
+    # Few rows need few tasks per iteration; a large table keeps its partitions.
+    rows = rows.coalesce(max(1, n // ROWS_PER_TASK))
     model = LogisticRegression(
         featuresCol="_x", labelCol="_y", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, tol=1e-8,
         family="binomial" if len(classes) == 2 else "multinomial",
     )
     if balanced:
         weight = F.lit(0.0)
-        for y, m in counts.items():
-            weight = F.when(F.col("_y") == y, F.lit(n / (len(counts) * m))).otherwise(weight)
+        for y, k in enumerate(classes):
+            weight = F.when(F.col("_y") == y, F.lit(n / (len(classes) * per_class[k]))).otherwise(weight)
         rows = rows.withColumn("_w", weight)
         model = model.setWeightCol("_w")
     fit = model.fit(rows)
@@ -324,7 +327,7 @@ def attribute_probes(train: DataFrame, sets: dict[str, DataFrame], attrs: Sequen
             tp, fp, fn = F.count_if(y & q), F.count_if(~y & q), F.count_if(y & ~q)
             part = z.agg(
                 F.count("*").alias("n"), F.avg((y == q).cast("double")).alias("accuracy"),
-                F.coalesce(2 * tp / (2 * tp + fp + fn), F.lit(0.0)).alias("f1"), F.avg(F.col(attr)).alias("positive_ratio"),
+                F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"), F.avg(F.col(attr)).alias("positive_ratio"),
             ).join(F.broadcast(detection_summary(z, "_s", attr).select("auroc")))
             part = part.select(F.lit(attr).alias("attr"), F.lit(name).alias("set"), "*")
             out = part if out is None else out.unionByName(part)

@@ -131,13 +131,13 @@ def ranking_curve(df: DataFrame, score: str, positive: str, keys: Sequence[str]
 
 def roc_points(df: DataFrame, score: str, positive: str, keys: Sequence[str] = ()) -> DataFrame:
     curve = ranking_curve(df, score, positive, keys)
-    return curve.select(*keys, "threshold", (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return curve.select(*keys, "threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def pr_points(df: DataFrame, score: str, positive: str, keys: Sequence[str] = ()) -> DataFrame:
     curve = ranking_curve(df, score, positive, keys)
     return curve.select(
-        *keys, "threshold", (F.col("tp") / F.col("P")).alias("recall"),
+        *keys, "threshold", F.try_divide("tp", "P").alias("recall"),
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
     )
 
@@ -155,7 +155,7 @@ def detection_summary(df: DataFrame, score: str, positive: str, keys: Sequence[s
     roc = F.col("step_fp") * (tp0 + F.col("step_tp") / 2.0)
     before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
     after = F.col("tp") / (F.col("tp") + F.col("fp"))
-    pr = F.col("step_tp") / F.col("P") * (before + after) / 2.0
+    pr = F.try_divide(F.col("step_tp"), F.col("P")) * (before + after) / 2.0
     grouped = c.groupBy(*keys) if keys else c.groupBy()
     sums = grouped.agg(
         F.first("P").alias("n_pos"), F.first("N").alias("n_neg"), F.sum(roc).alias("_roc"), F.sum(pr).alias("_pr")
@@ -243,12 +243,12 @@ def with_p_values(table: DataFrame, rho: str = "spearman", n: str = "n") -> Data
     t2 = F.col(rho) * F.col(rho) * nu / F.greatest(1 - F.col(rho) * F.col(rho), F.lit(1e-300))
     a = nu - 0.5
     b = 48 * a * a
-    z2 = a * F.log1p(t2 / nu)
+    z2 = a * F.log1p(F.try_divide(t2, nu))
     z = F.sqrt(z2)
     u = z + (z * z2 + 3 * z) / b - (4 * F.pow(z, F.lit(7)) + 33 * F.pow(z, F.lit(5)) + 240 * F.pow(z, F.lit(3)) + 855 * z) / (
         10 * b * (b + 0.8 * F.pow(z, F.lit(4)) + 100)
     )
-    return table.withColumn(f"{rho}_p", normal_two_sided(u))
+    return table.withColumn(f"{rho}_p", F.when(F.col(n) > 2, normal_two_sided(u)))
 
 
 def normal_two_sided(u: Column) -> Column:

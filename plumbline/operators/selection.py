@@ -306,7 +306,7 @@ def weighted_improvement(table: DataFrame) -> DataFrame:
     w = F.col("n_accepted")
     return table.agg(
         F.count("*").alias("n"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") > 0).alias("n_improved"),
-        (F.sum(F.col("improvement_pct") * w) / F.sum(w)).alias("weighted_pct"),
+        F.try_divide(F.sum(F.col("improvement_pct") * w), F.sum(w)).alias("weighted_pct"),
     )
 
 

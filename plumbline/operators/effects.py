@@ -19,7 +19,7 @@ from plumbline.operators.ranking import quantile_bins
 from plumbline.operators.sampling import (
     bootstrap_means, draw_rank, half_split, poisson_weight, random_baseline, unit_draw, with_reps,
 )
-from plumbline.session import BLOCK_ROWS, limit
+from plumbline.session import BLOCK_ROWS, cut_lineage, limit
 
 
 def reference_centroids(rows: DataFrame, real: DataFrame, attrs: Sequence[str]) -> DataFrame:
@@ -329,7 +329,7 @@ def effect_report(
     m = correlation_matrix(d_real, d_gen, attrs, [*tag, *attrs])
     # Rows of the matrix are the effects the same side also has.
     have = d_gen.select(F.col("side").alias("r_side"), F.col("rep").alias("r_rep"), *[F.col(a).alias(f"l_{a}") for a in attrs])
-    m = m.join(have, ["r_side", "r_rep", *[f"l_{a}" for a in attrs]], "left_semi")
+    m = cut_lineage(m.join(have, ["r_side", "r_rep", *[f"l_{a}" for a in attrs]], "left_semi"))
     per = matrix_summary(m, attrs, ["r_side", "r_rep"])
     return per.groupBy(F.col("r_side").alias("side")).agg(
         F.count("*").alias("n_draws"),
@@ -370,6 +370,7 @@ def prototype_matrix(
 def prototype_report(matrix: DataFrame, attrs: Sequence[str]) -> DataFrame:
     """Per bin: top-1 accuracy of matching the right real condition, and specificity."""
     attrs = list(attrs)
+    matrix = cut_lineage(matrix)  # one row per pair of conditions, read three times
     left = ["l_bin", *[f"l_{a}" for a in attrs]]
     best = matrix.groupBy(*left).agg(F.max_by(F.struct(*[f"r_{a}" for a in attrs]), "corr").alias("_b"))
     hit = F.lit(True)

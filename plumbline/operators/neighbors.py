@@ -44,11 +44,12 @@ class Pivots:
 
 
 def choose_pivots(ref: DataFrame, seed: int = 7) -> Pivots:
-    """About sqrt(n) reference rows in draw order, at most the configured number: a bounded collect."""
-    most = limit(ref.sparkSession, MAX_PIVOTS)
+    """One reference row per block's worth of rows, in draw order, at most the configured number."""
+    spark = ref.sparkSession
+    most = limit(spark, MAX_PIVOTS)
     rows = ref.select("v", V.draw_key(seed, 0, "id").alias("d")).orderBy("d").limit(most).collect()
     n = len(rows) if len(rows) < most else ref.count()
-    want = max(1, min(most, int(np.sqrt(n))))
+    want = max(1, min(most, -(-n // limit(spark, BLOCK_ROWS))))
     return Pivots(np.asarray([r["v"] for r in rows[:want]], dtype=np.float64))
 
 
@@ -147,6 +148,8 @@ def joined_blocks(q: DataFrame, r: DataFrame, need: int, ranged: bool = False) -
     """
     spark = q.sparkSession
     pivots = choose_pivots(r)
+    if len(pivots.points) == 1:
+        return one_block(q, r)
     qc, rc = assign_cells(q, pivots), assign_cells(r, pivots)
 
     # Bounded summaries: per pivot cell a count, a radius and `need` distances.
@@ -193,6 +196,15 @@ def joined_blocks(q: DataFrame, r: DataFrame, need: int, ranged: bool = False) -
     return q_side.join(r_side, ["rblock", "salt"]).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
 
 
+def one_block(q: DataFrame, r: DataFrame) -> DataFrame:
+    """A reference of at most one block, sent to every query block; nothing to prune."""
+    rows = limit(q.sparkSession, BLOCK_ROWS)
+    total = q.agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("_nb"))
+    q_pack = _packed(q.join(F.broadcast(total)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb"))), ["_b"], "q")
+    r_pack = _packed(r.withColumn("_b", F.lit(0)), ["_b"], "r").drop("_b")
+    return q_pack.join(F.broadcast(r_pack)).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
+
+
 def _block_arrays(batch: pa.RecordBatch, i: int):
     qids, rids = batch.column(0)[i].values, batch.column(3)[i].values
     x = batch.column(1)[i].values.to_numpy().reshape(len(qids), -1)
@@ -317,57 +329,66 @@ def knn_radius(
     return q.select(*keys, "sample_id", "_q").join(near.select(F.col("query_id").alias("_q"), F.col("distance").alias("radius")), "_q").drop("_q")
 
 
-def class_knn(
-    query: DataFrame, ref: DataFrame, attr: str, k: int = 5, value_col: str | None = None
-) -> DataFrame:
+def class_knn(query: DataFrame, ref: DataFrame, attr: str, k: int = 5) -> DataFrame:
     """Cosine distance to the k_eff-th neighbour among reference rows with the query's attribute value.
 
     k_eff = min(k, max(n-1, 1)). A value absent from the reference falls back
     to the whole pool.
     """
-    value_col = value_col or attr
-    sizes = ref.groupBy(F.col(attr).alias("_v")).agg(F.count("*").alias("_n"))
-    q = query.withColumn("_v", F.col(value_col)).join(sizes, "_v", "left")
-    known, unknown = q.where(F.col("_n").isNotNull()), q.where(F.col("_n").isNull())
-    inside = _class_join(known, ref, attr, k)
+    return attribute_neighbors(query, ref, [attr], k).select("sample_id", "distance")
+
+
+def attribute_neighbors(query: DataFrame, ref: DataFrame, attrs: Sequence[str], k: int) -> DataFrame:
+    """class_knn of several attributes in one join: sample_id, attr, distance."""
+    kind = query.schema["sample_id"].dataType
+
+    def long(df: DataFrame) -> DataFrame:
+        cells = F.array(*[F.concat_ws("=", F.lit(a), F.col(a).cast("string")) for a in attrs])
+        return df.select("sample_id", V.l2_normalize("features").alias("v"), F.explode(cells).alias("_v"))
+
+    q, r = long(query), long(ref)
+    sizes = ref.groupBy(*attrs).agg(F.count("*").alias("_c")).select(
+        "_c", F.explode(F.array(*[F.concat_ws("=", F.lit(a), F.col(a).cast("string")) for a in attrs])).alias("_v")
+    ).groupBy("_v").agg(F.sum("_c").alias("_n"))
+    q = q.withColumn("id", F.concat_ws("#", F.substring_index("_v", "=", 1), F.col("sample_id").cast("string")))
+    near = _class_join(q, r.withColumnRenamed("sample_id", "id"), sizes, k)
     k_eff = F.least(F.lit(k).cast("long"), F.greatest(F.col("_n") - 1, F.lit(1).cast("long")))
-    sized = inside.join(known.select(F.col("sample_id").alias("query_id"), k_eff.alias("_k")), "query_id")
-    near = sized.where(F.col("rank") == F.col("_k")).select(F.col("query_id").alias("sample_id"), "distance")
-    if unknown.isEmpty():
-        return near
-    rest = knn_join(unknown, ref, k, metric="cosine")
-    return near.unionByName(rest.where(F.col("rank") == k).select(F.col("query_id").alias("sample_id"), "distance"))
+    slim = q.select("id", "_v").join(sizes.select("_v", k_eff.alias("_k")), "_v", "left")
+    inside = near.join(slim.where(F.col("_k").isNotNull()), near["query_id"] == slim["id"])
+    found = inside.where(F.col("rank") == F.col("_k")).select("query_id", "distance")
+    unknown = q.join(sizes.select("_v"), "_v", "left_anti")
+    if not unknown.isEmpty():
+        rest = knn_join(unknown.select("id", F.col("v").alias("features")), ref, k, query_id="id", metric="cosine")
+        found = found.unionByName(rest.where(F.col("rank") == k).select("query_id", "distance"))
+    return found.select(
+        F.expr("substring(query_id, instr(query_id, '#') + 1)").cast(kind).alias("sample_id"),
+        F.substring_index("query_id", "#", 1).alias("attr"), "distance",
+    )
 
 
-def _class_join(known: DataFrame, ref: DataFrame, attr: str, k: int) -> DataFrame:
-    """Nearest neighbours inside equal attribute values, blocks keyed by (value, block)."""
-    spark = ref.sparkSession
-    rows = limit(spark, BLOCK_ROWS)
-    sizes = ref.groupBy(F.col(attr).alias("_v")).agg(F.ceil(F.count("*") / rows).cast("int").alias("_rb"))
-    q_sizes = known.groupBy("_v").agg(F.ceil(F.count("*") / rows).cast("int").alias("_qb"))
-    plan = sizes.join(q_sizes, "_v").withColumn("_salts", F.ceil(F.col("_qb") / SALT_BLOCKS).cast("int"))
-    r = ref.select(F.col(attr).alias("_v"), F.col("sample_id").alias("id"), V.l2_normalize("features").alias("v"), F.lit(0.0).alias("aux"))
-    r = r.join(plan, "_v").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_rb")).cast("int"))
-    r_pack = _packed(r, ["_v", "_b", "_salts"], "r")
-    r_side = r_pack.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    q = known.select("_v", F.col("sample_id").alias("id"), V.l2_normalize("features").alias("v"), F.lit(0.0).alias("aux"))
-    q = q.join(plan, "_v").withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_qb")).cast("int"))
+def _class_join(q: DataFrame, r: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """Nearest neighbours inside equal classes `_v`; classes are cut in bounded blocks, however large."""
+    rows = limit(r.sparkSession, BLOCK_ROWS)
+    r_blocks = sizes.select("_v", F.ceil(F.col("_n") / rows).cast("int").alias("_rb"))
+    q_blocks = q.groupBy("_v").agg(F.ceil(F.count("*") / rows).cast("int").alias("_qb"))
+    plan = r_blocks.join(q_blocks, "_v").withColumn("_salts", F.ceil(F.col("_qb") / SALT_BLOCKS).cast("int"))
+    r = r.select("_v", "id", "v", F.lit(0.0).alias("aux")).join(plan, "_v")
+    r = r.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_rb")).cast("int"))
+    r_side = _packed(r, ["_v", "_b", "_salts"], "r").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    q = q.select("_v", "id", "v", F.lit(0.0).alias("aux")).join(plan, "_v")
+    q = q.withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_qb")).cast("int"))
     q_side = (
         _packed(q, ["_v", "_q", "_rb", "_salts"], "q")
         .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
         .withColumn("salt", F.pmod(F.col("_q"), F.col("_salts")))
     )
-    pairs = q_side.join(r_side, ["_v", "_b", "salt"]).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
+    pairs = q_side.join(r_side.drop("_salts"), ["_v", "_b", "salt"]).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
     return nearest_in_blocks(pairs, k, True, False)
 
 
 def knn_per_attribute(real: DataFrame, gen: DataFrame, attrs: Sequence[str], k: int = 5) -> DataFrame:
     """Sum over attributes of the class-restricted k-th neighbour distance."""
-    parts = None
-    for attr in attrs:
-        part = class_knn(gen, real, attr, k)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("sample_id").agg(F.sum("distance").alias("knn_score"))
+    return attribute_neighbors(gen, real, attrs, k).groupBy("sample_id").agg(F.sum("distance").alias("knn_score"))
 
 
 @scorer("knn_per_attr")

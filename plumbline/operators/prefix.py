@@ -16,12 +16,20 @@ from pyspark.sql import functions as F
 from plumbline.session import WINDOW_ROWS, cut_lineage, limit
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group: one map-side combined count."""
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every group stays below the window limit.
+
+    A plan whose estimated size is below 8 bytes per allowed row needs no
+    look; else one map-side combined count decides.
+    """
+    most = limit(df.sparkSession, WINDOW_ROWS)
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= 8 * most:
+        return True
     if not keys:
-        return df.count()
+        return df.count() <= most
     row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+    return int(row[0] or 0) <= most
 
 
 def running_sums(
@@ -32,7 +40,7 @@ def running_sums(
 ) -> DataFrame:
     """Add inclusive running sums within each key group, in `order` (a total order)."""
     keys = list(keys)
-    if largest_group(df, keys) <= limit(df.sparkSession, WINDOW_ROWS):
+    if groups_fit(df, keys):
         window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order)
         window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(col).over(window) for name, col in sums.items()})
@@ -88,7 +96,7 @@ def percentiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
     )
-    if largest_group(counts, keys) <= limit(df.sparkSession, WINDOW_ROWS):
+    if groups_fit(counts, keys):
         grouped = counts.groupBy(*keys) if keys else counts.groupBy()
         array = F.array(*[F.lit(float(p)) for p in probs])
         return grouped.agg(F.percentile("_v", array, F.col("_n")).alias(name), F.sum("_n").alias("n"))

@@ -21,7 +21,7 @@ from plumbline.functions import vectors as V
 from plumbline.functions.arrow import lists, matrix, unit_rows, with_columns
 from plumbline.operators import moments as M
 from plumbline.operators.conditions import filter_seen
-from plumbline.session import BROADCAST_BYTES, limit
+from plumbline.session import BROADCAST_BYTES, limit, small_table
 
 EPS = 1e-12
 
@@ -402,20 +402,27 @@ def fit_mixture(
     Components below `min_samples` rows are left out; without any, the global
     Gaussian is the only component.
     """
-    rows = filter_seen(real, seen, component)
-    units = rows.select(*component, V.l2_normalize(features).alias("_u"))
-    means = M.centroids(units, component, "_u")
-    kept = means.where(F.col("n") >= min_samples)
-    d = len(units.select("_u").first()[0])
-    n_kept = kept.count()
-    if n_kept == 0:
+    rows = filter_seen(real, seen, component).select(F.xxhash64(*component).alias("_c"), features)
+    d = len(rows.select(features).first()[0])
+    most = max(1, limit(real.sparkSession, BROADCAST_BYTES) // (8 * d))
+    classes = _class_means(rows, ["_c"], features, most)
+    if classes is None:
+        raise ValueError("too many mixture components for one broadcast; use a coarser component key")
+    kept = [c for c in classes["_c"] if c[1] >= min_samples]
+    if not kept:
         fit = fit_global(real, features)
         mus, p = fit.mu[None, :], fit.precision
     else:
-        if n_kept * d * 8 > limit(real.sparkSession, BROADCAST_BYTES):
-            raise ValueError("too many mixture components for one broadcast; use a coarser component key")
-        p = pooled_precision(units, means, component, min_samples)
-        mus = np.asarray([r[0] for r in kept.orderBy(*component).select("mu").collect()])
+        if len(kept) < len(classes["_c"]):
+            keys = small_table(real.sparkSession, [{"_c": v} for v, _, _ in kept], [("_c", "long")])
+            rows = rows.join(F.broadcast(keys), "_c", "left_semi")
+        mus = np.stack([m for _, _, m in kept])
+        moments = M.collect_moments(rows, features, normalize=True)
+        p = np.eye(d) / (M.REGULARIZATION + 1e-3)
+        if moments.n > d:
+            cov = (moments.gram - sum(n * np.outer(m, m) for _, n, m in kept)) / moments.n
+            fourth = _fourth_moments(rows, ["_c"], features, moments.mean, {"_c": kept}, min_samples)["_c"]
+            p = M.precision(M.shrink(cov, M.lw_shrinkage(cov, fourth, moments.n)))
     mean, std = calibrate(add_min_energy(real.select(features), mus, p, features), "energy")
     return MixtureFit(mus, p, mean, std)
 

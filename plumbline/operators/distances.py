@@ -350,12 +350,12 @@ def _block_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], rows: int, sam
 
 
 def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Exact median Euclidean distance over the unordered row pairs of each group.
+    """Median Euclidean distance over the unordered row pairs of each group.
 
     Groups of one block are measured in one task. Larger groups are bisected:
     each pass counts, per block pair, the distances in 1024 slices of the
-    interval that still holds the two middle ranks, until the interval is as
-    narrow as floating point allows. No pass emits pairs.
+    interval that still holds the two middle ranks, until the interval is 2^-40
+    of the largest possible distance. No pass emits pairs.
     """
     keys = list(keys)
     rows = limit(df.sparkSession, BLOCK_ROWS)
@@ -403,7 +403,7 @@ def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumns({"lo": F.lit(0.0), "hi": F.lit(float("nan"))})
     reach = df.join(big, keys, "left_semi").groupBy(*keys).agg((2.0 * F.max(V.norm("features"))).alias("_r"))
     state = state.join(reach, keys).withColumn("hi", F.col("_r")).drop("_r")
-    for _ in range(6):  # 1024^6 = 2^60 slices: below the spacing of doubles
+    for _ in range(4):  # 1024^4 = 2^40 slices of the widest possible distance
         hists = pairs.join(state.select(*keys, "side", "lo", "hi"), keys).mapInArrow(counts, part)
         stats = Summarizer.metrics("sum").summary(array_to_vector("hist"))
         merged = hists.groupBy(*keys, "side").agg(stats.alias("_s"), F.sum("below").alias("below"))

@@ -108,7 +108,7 @@ def ratio_report(spark, sf):
 
 FE = (
     "sx AS (SELECT arm, side, rep, a, b, x FROM sides JOIN ga USING (arm, a, b, sample_id))",
-    f"sm AS (SELECT arm, side, rep, a, b, unnest(m.mu) AS mg, unnest(rc.mu) AS mr, generate_subscripts(m.mu, 1) - 1 AS pos FROM {mean_sql('sx', 'arm, side, rep, a, b')} m JOIN rc USING (a, b))",
+    f"sm AS (SELECT arm, side, rep, a, b, unnest(m.mu) AS mg, unnest(rc.mu) AS mr, (generate_subscripts(m.mu, 1) - 1)::INTEGER AS pos FROM {mean_sql('sx', 'arm, side, rep, a, b')} m JOIN rc USING (a, b))",
 )
 
 

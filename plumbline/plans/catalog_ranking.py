@@ -84,7 +84,7 @@ def logsumexp_argmax(spark, sf):
 # ---- aggregates ----------------------------------------------------------------------------------
 
 
-@query("centroids", sql(f"SELECT a, b, n, unnest(mu) AS m, generate_subscripts(mu, 1) - 1 AS pos FROM {mean_sql('r', 'a, b')}", ["a", "b", "n", "pos"], ["m"], BASE))
+@query("centroids", sql(f"SELECT a, b, n, unnest(mu) AS m, (generate_subscripts(mu, 1) - 1)::INTEGER AS pos FROM {mean_sql('r', 'a, b')}", ["a", "b", "n", "pos"], ["m"], BASE))
 def centroids(spark, sf):
     c = M.centroids(real_gen(spark, sf)[0], AB)
     return c.select(*AB, "n", F.posexplode("mu").alias("pos", "m"))

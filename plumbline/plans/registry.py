@@ -40,7 +40,7 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
 
 def sql(body: str, cols: Sequence[str] = (), doubles: Sequence[str] = (), ctes: Sequence[str] = (), recursive: bool = False) -> str:
     """SELECT cols and rounded doubles FROM body, with common table expressions in front."""
-    picked = [*cols, *[f"round({d}, {PLACES}) + 0.0 AS {d}" for d in doubles]]
+    picked = [*cols, *[f"round(CAST({d} AS DOUBLE), {PLACES}) + 0.0 AS {d}" for d in doubles]]
     head = f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else ""
     return f"{head}SELECT {', '.join(picked)} FROM ({body}) AS q"
 
@@ -88,7 +88,7 @@ def unit(df: DataFrame) -> DataFrame:
 # ---- SQL pieces ----------------------------------------------------------------------------------
 
 V_SQL = (
-    "v AS (SELECT vec_id AS sample_id, vec_id % 2 AS is_gen, label, label % 2 AS a, label // 2 AS b, "
+    "v AS (SELECT vec_id AS sample_id, (vec_id % 2)::INTEGER AS is_gen, label, label % 2 AS a, label // 2 AS b, "
     "embedding::DOUBLE[] AS x FROM embeddings)"
 )
 W_SQL = "w AS (SELECT *, list_transform(x, lambda e: e / (sqrt(list_dot_product(x, x)) + 1e-12)) AS u FROM v)"

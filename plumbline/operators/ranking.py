@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import draw_key, finite
-from plumbline.operators.prefix import average_ranks, percentiles, rank_rows, running_sums
+from plumbline.operators.prefix import average_ranks, groups_fit, percentiles, rank_rows, running_sums
 
 
 def _sized(df: DataFrame, keys: Sequence[str], score: str, sample_id: str, ascending: bool = True) -> DataFrame:
     """Add `_rn` (position by score, ties by id) and `_n` (group size)."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    ranked = rank_rows(df, [order, F.col(sample_id)], keys, "_rn")
+    slim = df.select(*dict.fromkeys([*keys, score, sample_id]))
+    if len(slim.columns) < len(df.columns) and not groups_fit(df, keys):
+        # Large groups are range-partitioned and written: only ids and scores, not vectors.
+        places = rank_rows(slim, [order, F.col(sample_id)], keys, "_rn").select(sample_id, "_rn")
+        ranked = df.join(places, sample_id)
+    else:
+        ranked = rank_rows(df, [order, F.col(sample_id)], keys, "_rn")
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
     return ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes))
 

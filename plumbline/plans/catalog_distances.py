@@ -312,24 +312,6 @@ def decile_report_with_z(spark, sf):
     return SE.decile_report(gs, gen, real, AB, n_bins=4, reps=4, null=D.kid_null(real, AB, 12))
 
 
-@query("decile_report_global")
-def decile_report_global(spark, sf):
-    _, gs, real, gen = _scored(spark, sf)
-    return SE.decile_report(gs, gen, real, AB, n_bins=4, within=False, reps=4)
-
-
-@query("global_selection")
-def global_selection(spark, sf):
-    rs, gs, real, gen = _scored(spark, sf)
-    return SE.global_selection(gs, rs, gen, real, AB, n_boot=4, n_rand=4)
-
-
-@query("global_selection_same_histogram")
-def global_selection_same_histogram(spark, sf):
-    rs, gs, real, gen = _scored(spark, sf)
-    return SE.global_selection(gs, rs, gen, real, AB, baseline="same_histogram", n_boot=4, n_rand=4)
-
-
 @query("per_condition_selection")
 def per_condition_selection(spark, sf):
     rs, gs, real, gen = _scored(spark, sf)

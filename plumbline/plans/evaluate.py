@@ -118,11 +118,11 @@ def metric_correlations(scored: DataFrame, real: DataFrame, gen: DataFrame) -> D
 
 def ranking_table(
     scored: DataFrame, real: DataFrame, gen: DataFrame, attrs: Sequence[str], seen: DataFrame | None = None,
-    reps: int = 10, null_reps: int = 100, seed: int = 42,
+    reps: int = 10, null_reps: int = 100, seed: int = 42, null: DataFrame | None = None,
 ) -> DataFrame:
     """Full condition table: arm, weight, score means, distances and z, best first."""
     stats = condition_stats(scored, attrs, ["trust", "faithfulness_z"], ["realism_z"])
-    null = D.kid_null(real, attrs, null_reps, seed)
+    null = D.kid_null(real, attrs, null_reps, seed) if null is None else null
     table = stats.join(D.delta_kid(real, gen, attrs, reps, seed, null=null), list(attrs), "left")
     if seen is not None:
         table = tag_arm(table, seen.select(*attrs).distinct().withColumn("arm", F.lit("seen")), attrs)
@@ -148,25 +148,28 @@ def evaluate(
 ) -> dict[str, DataFrame]:
     """All report tables of one configuration; write them with sources.tables.write_result."""
     attrs = list(attrs)
-    real_scored, gen_scored = score_tables(real, gen, attrs, seen)
-    calib = filter_seen(real_scored, seen, attrs)
     slim = [*attrs, "sample_id", *SCORES]
-    table = ranking_table(gen_scored, real, gen, attrs, seen, reps, null_reps, seed)
+    # Scores without vectors are written once: every table below reads them.
+    real_slim, gen_slim = (cut_lineage(t.select(*slim)) for t in score_tables(real, gen, attrs, seen))
+    calib = filter_seen(real_slim, seen, attrs)
+    gen_scored = gen_slim.join(gen.select("sample_id", "features"), "sample_id")
+    null = cut_lineage(D.kid_null(real, attrs, null_reps, seed))
+    table = ranking_table(gen_slim, real, gen, attrs, seen, reps, null_reps, seed, null)
     cuts = S.thresholds(calib, "trust")
     out = {
-        "scores": gen_scored.select(*slim),
+        "scores": gen_slim,
         "condition_ranking": table,
         "alpha_precision": alpha_precision(real, gen),
         "beta_recall": beta_recall(real, gen, GRID),
         "real_gen_detection": real_gen_detection(real, gen, attrs, seen, seed=seed),
         "metric_correlations": metric_correlations(gen_scored, real, gen),
-        "deciles": S.decile_report(gen_scored.select(*slim), gen, real, attrs, n_bins=n_bins, reps=reps, null=D.kid_null(real, attrs, null_reps, seed)),
-        "acceptance": S.acceptance_summary(gen_scored.select(*slim), cuts),
-        "global_selection": S.global_selection(gen_scored.select(*slim), calib.select(*slim), gen, real, attrs, n_boot=reps, n_rand=reps),
-        "condition_selection": S.per_condition_selection(gen_scored.select(*slim), calib.select(*slim), gen, real, attrs, seen=seen, reps=reps),
+        "deciles": S.decile_report(gen_slim, gen, real, attrs, n_bins=n_bins, reps=reps, null=null),
+        "acceptance": S.acceptance_summary(gen_slim, cuts),
+        "global_selection": S.global_selection(gen_slim, calib, gen, real, attrs, n_boot=reps, n_rand=reps),
+        "condition_selection": S.per_condition_selection(gen_slim, calib, gen, real, attrs, seen=seen, reps=reps),
     }
     if seen is not None:
-        out["seen_unseen_detection"] = seen_unseen_detection(gen_scored, attrs, seen)
-        out["failure_detection"] = failure_detection(gen_scored, attrs, seen)
+        out["seen_unseen_detection"] = seen_unseen_detection(gen_slim, attrs, seen)
+        out["failure_detection"] = failure_detection(gen_slim, attrs, seen)
     out.update({f"validity_{k}": v for k, v in ranking_validity(table, attrs).items()})
     return out

@@ -331,6 +331,14 @@ def test_binning_loses_no_rows(spark, blobs):
     assert ranking.bin_within(df, ["a"], 7).count() == 600
 
 
+def test_bins_of_large_groups_equal_window_bins(spark, blobs, limits):
+    x, a, _ = blobs
+    df = frame(spark, x, a=a).withColumn("score", F.round(F.col("features")[0], 1))
+    want = {(r["sample_id"], r["bin"]) for r in ranking.bin_within(df, ["a"], 7).collect()}
+    limits(WINDOW_ROWS, 3)
+    assert {(r["sample_id"], r["bin"]) for r in ranking.bin_within(df, ["a"], 7).collect()} == want
+
+
 def test_random_scores_are_flat_over_bins(spark, blobs):
     x, a, _ = blobs
     df = ranking.random_scores(frame(spark, x, a=a))
@@ -478,3 +486,19 @@ def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 2.0])], "x array<double>, y array<double>")
     r = df.select(V.norm("x"), V.dot("x", "y"), V.cosine("x", "y"), V.logsumexp("x"), V.l1_distance("x", "y"), V.pearson("x", "x")).first()
     assert list(r) == pytest.approx([5, 8, 0.8, np.log(np.exp(3) + np.exp(4)), 5, 1])
+
+
+def test_evaluate_gives_all_tables(spark):
+    from plumbline.plans.evaluate import evaluate
+
+    rng = np.random.default_rng(11)
+    a, b = np.arange(300) % 2, (np.arange(300) // 2) % 2
+    base = np.c_[4.0 * a, 4.0 * b, np.ones(300), np.zeros(300)]
+    real = frame(spark, base + 0.4 * rng.normal(size=(300, 4)), a=a, b=b)
+    gen = frame(spark, base + 0.5 * rng.normal(size=(300, 4)), a=a, b=b)
+    seen = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "a int, b int")
+    out = evaluate(real, gen, ["a", "b"], seen, n_bins=3, reps=2, null_reps=10)
+    assert {"scores", "condition_ranking", "deciles", "acceptance", "global_selection", "seen_unseen_detection"} <= set(out)
+    assert out["scores"].count() == 300 and out["condition_ranking"].count() == 4
+    assert out["deciles"].count() == 3 and out["acceptance"].count() == 4
+    assert [r["arm"] for r in out["condition_ranking"].orderBy("a", "b").collect()] == ["seen", "seen", "seen", "unseen"]

@@ -13,7 +13,8 @@ TABLES = (
     "benchmark", "labels", "conversations",
 )
 # Slow classifier and panel queries without SQL: their parts are tested in test_operators.
-SLOW = {"signal_within", "bin_downstream_spread", "cross_validate", "percentile_mode_panel", "global_selection_same_histogram"}
+SLOW = {"signal_within", "bin_downstream_spread", "cross_validate", "percentile_mode_panel"}
+TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,7 @@ def test_matches_sql(spark, duck, name):
     rel = duck.execute(SQL[name])
     want_names = [d[0] for d in rel.description]
     assert sorted(got.columns) == sorted(want_names)
+    assert {c: t for c, t in got.dtypes} == {d[0]: TYPES[str(d[1])] for d in rel.description}
     got_rows, want = rows(got.columns, got.collect()), rows(want_names, rel.fetchall())
     assert len(got_rows) == len(want)
     for g, w in zip(got_rows, want):

@@ -19,7 +19,7 @@ HEADLINE = (
     "centroids", "bin_within", "quantile_bins", "detection_summary", "spearman", "make_splits", "stratified_subsample",
     "dedupe_vectors", "anova_top_k", "feature_deltas", "prototype_report", "acceptance_monitor",
 )
-RUNS = 3
+RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
 
 def main() -> None:

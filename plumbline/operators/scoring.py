@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
-from plumbline.functions.arrow import lists, matrix, unit_rows, with_columns
+from plumbline.functions.arrow import matrix, unit_rows, with_columns
 from plumbline.operators import moments as M
 from plumbline.operators.conditions import filter_seen
 from plumbline.session import BROADCAST_BYTES, limit, small_table

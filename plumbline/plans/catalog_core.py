@@ -82,11 +82,10 @@ def shrunk_precision(spark, sf):
     units = unit(real).withColumnRenamed("features", "_u")
     for attr in ("a", "b"):
         means = M.centroids(units, [attr], "_u")
-        p = M.pooled_precision if hasattr(M, "pooled_precision") else S.pooled_precision
         rows = units.join(means.select(attr, "mu"), attr)
         resid = rows.select(V.sub("_u", "mu").alias("features"))
         lw = M.ledoit_wolf(resid)
-        parts[attr] = (lw["n"], lw["shrinkage"], p(units, means, [attr], 2))
+        parts[attr] = (lw["n"], lw["shrinkage"], S.pooled_precision(units, means, [attr], 2))
     for scope, (n, alpha, prec) in parts.items():
         out.append({"scope": scope, "n": int(n), "shrinkage": float(alpha), "trace": float(prec.trace()), "total": float(prec.sum())})
     return small_table(spark, out, [("scope", "string"), ("n", "long"), ("shrinkage", "double"), ("trace", "double"), ("total", "double")])

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import vectors as V
 from plumbline.operators import distances as D
 from plumbline.operators import neighbors as N
-from plumbline.operators import ranking as R
 from plumbline.operators import scoring as S
 from plumbline.operators import selection as SE
 from plumbline.operators import trajectory as TR
 from plumbline.plans import evaluate as E
 from plumbline.plans.catalog_conditions import matched_sql, steps_of
 from plumbline.plans.registry import (
-    BASE, SCORE, draw, fit_ctes, kid_sql, mean_sql, quad, query, real_gen, sql, unit, vectors, with_centre_score,
+    BASE, SCORE, draw, fit_ctes, kid_sql, mean_sql, quad, query, real_gen, sql, vectors, with_centre_score,
 )
 
 AB = ["a", "b"]

@@ -18,10 +18,11 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as X
+from plumbline.llm.counts import at_most
 
 N = 5
 LOW, HIGH = 4, 5  # similarity 0.8 as a fraction
@@ -120,11 +121,7 @@ def survey(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def frequent_shingles(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingle codes, ascending, with their counts: all above the count that leaves at most `most`."""
     counted = surveyed.where("code is not null").groupBy("code").agg(F.sum("df").alias("df"))
-    histogram = counted.groupBy(F.least("df", F.lit(4096)).alias("df")).count().toPandas().sort_values("df", ascending=False)
-    fits = histogram[histogram["count"].cumsum() <= most]
-    if not len(fits):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    got = counted.where(F.col("df") >= int(fits["df"].min())).toPandas()
+    got = at_most(counted, most, "df").toPandas()
     code = got["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(code)
     return code[order], got["df"].to_numpy(np.int64)[order]

@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class. A class of n shingles has a prefix of n - ceil(0.8 n) + 1 shingles, first
 those rare in the corpus; two classes above the threshold share a prefix shingle. Classes with equal prefix and size are
 one group, and group pairs that share a prefix shingle and fit in size are candidates, expanded to classes and verified on
-their whole sets.
+their whole sets. Classes enter only if a somewhat longer prefix shows more shared shingles (see `asked`): most classes
+share a few by chance, and their sets need not be moved.
 
 Only connectivity is asked for, so candidates come in two rounds. First each group meets one leading group per prefix
 shingle and size band, and each class the leader of its own group: as many pairs as entries. Verified links give provisional
@@ -76,12 +77,22 @@ def spread(bound: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.repeat(bound[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rows) else np.zeros(0, np.int64)
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-LOW * n // HIGH) + 1
+def overlap(n: int) -> int:
+    """Least overlap of n shingles with any set that is similar enough."""
+    return -(-LOW * n // HIGH)
+
+
+def asked(n: int) -> int:
+    """How many shared shingles a long prefix of n shingles has to show: similar sets share so many in both prefixes.
+
+    The first k shared shingles stand among the first n - overlap(n) + k of a set, and the partner may be as small as the
+    overlap.
+    """
+    return 1 + n // 10
 
 
 class Prefixes:
-    """Prefixes of the distinct sets of some texts, rare shingles first."""
+    """Long prefixes of the distinct sets of some texts, rare shingles first."""
 
     def __init__(self, column: pa.ChunkedArray, frequent: np.ndarray, counts: np.ndarray):
         self.codes, self.bound = shingle_sets(column)
@@ -93,7 +104,8 @@ class Prefixes:
         self.prefix = []
         for i in self.rows:
             a, b = self.bound[i], self.bound[i + 1]
-            p, codes, own = prefix_length(int(b - a)), self.codes[a:b], weight[a:b]
+            n, codes, own = int(b - a), self.codes[a:b], weight[a:b]
+            p = n - overlap(n) + asked(n)
             self.prefix.append(codes[np.lexsort((codes, own))[:p]] if own.any() else codes[:p])
 
 
@@ -137,15 +149,17 @@ def candidates(parts: X.Chunks, text: str, frequent: object) -> DataFrame:
     def pick(table: pa.Table, reply: pa.Table) -> pa.Table:
         p = Prefixes(table.column(text), *frequent.value)
         keep = np.sort(X.unpacked(reply, "keys", np.uint64)[0])
-        code, n = np.unique(np.concatenate(p.prefix), return_counts=True) if p.prefix else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = np.union1d(keep, code[n > 1])
+        code, df = np.unique(np.concatenate(p.prefix), return_counts=True) if p.prefix else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        keep = np.union1d(keep, code[df > 1])
         rows = []
         for i, prefix in zip(p.rows, p.prefix):
-            shared = prefix[X.member(prefix, keep)]
-            if len(shared):
-                a, b = p.bound[i], p.bound[i + 1]
-                group = names(np.append(prefix, np.uint64(b - a)), np.array([0, len(prefix) + 1]))[0]
-                rows.append((p.name[i], int(b - a), group, shared.view(np.int64), p.codes[a:b].tobytes()))
+            a, b = p.bound[i], p.bound[i + 1]
+            n, also = int(b - a), X.member(prefix, keep)
+            prefix, seen = prefix[: n - overlap(n) + 1], int(also.sum())
+            shared = prefix[also[: len(prefix)]]
+            if len(shared) and seen >= asked(overlap(n)):
+                group = names(np.append(prefix, np.uint64(n)), np.array([0, len(prefix) + 1]))[0]
+                rows.append((p.name[i], n, group, shared.view(np.int64), p.codes[a:b].tobytes()))
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"name": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "grp": pa.array(cols[2], pa.binary()),
                          "codes": pa.array(cols[3], pa.list_(pa.int64())), "members": pa.array(cols[4], pa.binary())})

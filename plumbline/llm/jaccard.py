@@ -6,10 +6,11 @@ one group, and group pairs that share a prefix shingle and fit in size are candi
 their whole sets. Classes enter only if a somewhat longer prefix shows more shared shingles (see `asked`): most classes
 share a few by chance, and their sets need not be moved.
 
-Only connectivity is asked for, so candidates come in two rounds. First each group meets one leading group per prefix
-shingle and size band, and each class the leader of its own group: as many pairs as entries. Verified links give provisional
-components. Then only pairs of classes in different components are formed and verified, so a group of thousands of near
-copies is joined by thousands of pairs, not millions, and no link that could connect two components is left out.
+Only connectivity is asked for, so candidates come in rounds. In the first few each group meets a few others that share
+prefix shingles, and each class the leader of its own group: a few pairs per class. Verified links give provisional
+components. At the end all pairs of classes that are still in different components are formed and verified, so a group of
+thousands of near copies is joined by thousands of pairs, not millions, and no link that could connect two components is
+left out.
 """
 
 from __future__ import annotations
@@ -19,15 +20,14 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as X
-from plumbline.llm.counts import at_most
 
 N = 5
 LOW, HIGH = 4, 5  # similarity 0.8 as a fraction
-FREQUENT = 200_000  # frequent shingles broadcast to order prefixes; the order decides speed, not the result
+TURNS, PARTNERS = 2, 3  # cheap rounds before all pairs of different components are formed, and pairs per class in each
 NO_ID = 1 << 62  # classes without any id are numbered from here
 
 
@@ -91,81 +91,101 @@ def asked(n: int) -> int:
     return 1 + n // 10
 
 
-class Prefixes:
-    """Long prefixes of the distinct sets of some texts, rare shingles first."""
+class Sets:
+    """Distinct non-empty sets of some texts."""
 
-    def __init__(self, column: pa.ChunkedArray, frequent: np.ndarray, counts: np.ndarray):
+    def __init__(self, column: pa.ChunkedArray):
         self.codes, self.bound = shingle_sets(column)
         self.name = names(self.codes, self.bound)
         self.rows = [i for i in first_of(self.name).tolist() if self.bound[i + 1] > self.bound[i]]
-        weight = np.zeros(len(self.codes), np.int64)
-        known = X.member(self.codes, frequent)
-        weight[known] = counts[np.searchsorted(frequent, self.codes[known])]
-        self.prefix = []
-        for i in self.rows:
-            a, b = self.bound[i], self.bound[i + 1]
-            n, codes, own = int(b - a), self.codes[a:b], weight[a:b]
-            p = n - overlap(n) + asked(n)
-            self.prefix.append(codes[np.lexsort((codes, own))[:p]] if own.any() else codes[:p])
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct codes, and in how many of the sets each is."""
+        return np.unique(self.codes[spread(self.bound, np.array(self.rows, np.int64))], return_counts=True)
 
-def survey(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """One pass: (id, n, name) per row of docs, and (code, df) of shingles that several texts of a slice have."""
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def survey(docs: DataFrame) -> DataFrame:
+    """(id, n, name) per row of docs(id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in X.slices(batch, text):
-                codes, bound = shingle_sets(part.column(text))
-                name = names(codes, bound)
-                code, df = np.unique(codes[spread(bound, first_of(name))], return_counts=True)
-                code, df = code[df > 1], df[df > 1]
-                n, m, id_type = part.num_rows, len(code), part.column(id_col).type
-                ids = pa.concat_arrays([part.column(id_col), pa.nulls(m, id_type)])
-                sizes = pa.array(np.concatenate([np.diff(bound), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)
-                codes_ = pa.array(np.concatenate([np.zeros(n, np.int64), code.view(np.int64)]), mask=np.arange(n + m) < n)
-                dfs = pa.array(np.concatenate([np.zeros(n, np.int64), df.astype(np.int64)]))
-                yield pa.RecordBatch.from_arrays([ids, sizes, pa.array([*name, *[None] * m], pa.binary()), codes_, dfs], names=["id", "n", "name", "code", "df"])
-
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n bigint, name binary, code bigint, df bigint")
-
-
-def frequent_shingles(surveyed: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingle codes, ascending, with their counts: all above the count that leaves at most `most`."""
-    counted = surveyed.where("code is not null").groupBy("code").agg(F.sum("df").alias("df"))
-    got = at_most(counted, most, "df").toPandas()
-    code = got["code"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(code)
-    return code[order], got["df"].to_numpy(np.int64)[order]
-
-
-def candidates(parts: X.Chunks, text: str, frequent: object) -> DataFrame:
-    """(name, n, grp, codes, members): classes with a prefix shingle that another class has too."""
+            for part in X.slices(batch, "text"):
+                codes, bound = shingle_sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bound)), pa.array(names(codes, bound), pa.binary())], names=["id", "n", "name"])
+
+    return docs.mapInArrow(run, "id bigint, n bigint, name binary")
 
-    def keys_of(table: pa.Table) -> np.ndarray:
-        found = Prefixes(table.column(text), *frequent.value).prefix
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+def frequencies(parts: X.Chunks) -> DataFrame:
+    """(chunk, bucket, codes, counts): the shingles of a chunk that other chunks have too, and in how many chunks they are.
+
+    A chunk sends each shingle once, in 32 bits beside its bucket. Two shingles that fall together only look more frequent,
+    alike for everyone; the order of prefixes stays one order.
+    """
+    buckets = parts.buckets
+
+    def send(table: pa.Table) -> pa.Table:
+        code, _ = Sets(table.column("text")).distinct()
+        out = X.packed(table.column("__chunk")[0].as_py(), code, buckets)
+        keys, n = X.unpacked(out, "keys", np.uint64)
+        ends = np.cumsum(n)
+        short = [np.unique(keys[b - k : b].astype(np.uint32)).tobytes() for b, k in zip(ends, n)]
+        return out.set_column(2, "keys", pa.array(short, pa.binary()))
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, n = X.unpacked(table, "keys", np.uint32)
+        row = np.repeat(np.arange(table.num_rows), n)
+        order = np.argsort(keys, kind="stable")
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(keys)))
+        count = np.empty(len(keys), np.uint32)
+        count[order] = np.repeat(size, size)
+        found = count > 1
+        keys, count, row = keys[found], count[found], row[found]
+        cut = np.searchsorted(row, np.arange(table.num_rows + 1))
+        return pa.table({
+            "chunk": table.column("chunk"), "bucket": table.column("bucket"),
+            "codes": pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+            "counts": pa.array([count[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    sent = parts.rows.groupBy("__chunk").applyInArrow(send, X.PACKED)
+    return sent.groupBy("bucket").applyInArrow(meet, "chunk int, bucket int, codes binary, counts binary")
+
+
+def candidates(parts: X.Chunks) -> DataFrame:
+    """(name, n, grp, codes, members): classes with a prefix shingle that another class has too."""
+    buckets = parts.buckets
 
     def pick(table: pa.Table, reply: pa.Table) -> pa.Table:
-        p = Prefixes(table.column(text), *frequent.value)
-        keep = np.sort(X.unpacked(reply, "keys", np.uint64)[0])
-        code, df = np.unique(np.concatenate(p.prefix), return_counts=True) if p.prefix else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        keep = np.union1d(keep, code[df > 1])
+        s = Sets(table.column("text"))
+        code, here = s.distinct()
+        short, n = X.unpacked(reply, "codes", np.uint32)
+        count, _ = X.unpacked(reply, "counts", np.uint32)
+        spot = np.repeat(reply.column("bucket").to_numpy().astype(np.uint64), n) << np.uint64(32) | short.astype(np.uint64)
+        order = np.argsort(spot)
+        spot, count = spot[order], count[order]
+        own = (code >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | code & np.uint64(0xFFFFFFFF)
+        known = X.member(own, spot)
+        weight = np.ones(len(code), np.int64)
+        weight[known] = count[np.searchsorted(spot, own[known])]
+        met = known | (here > 1)
         rows = []
-        for i, prefix in zip(p.rows, p.prefix):
-            a, b = p.bound[i], p.bound[i + 1]
-            n, also = int(b - a), X.member(prefix, keep)
-            prefix, seen = prefix[: n - overlap(n) + 1], int(also.sum())
+        for i in s.rows:
+            a, b = s.bound[i], s.bound[i + 1]
+            at, n = np.searchsorted(code, s.codes[a:b]), int(b - a)
+            order = np.argsort(weight[at], kind="stable")[: n - overlap(n) + asked(n)]
+            prefix, also = s.codes[a:b][order], met[at[order]]
+            seen, prefix = int(also.sum()), prefix[: n - overlap(n) + 1]
             shared = prefix[also[: len(prefix)]]
             if len(shared) and seen >= asked(overlap(n)):
                 group = names(np.append(prefix, np.uint64(n)), np.array([0, len(prefix) + 1]))[0]
-                rows.append((p.name[i], n, group, shared.view(np.int64), p.codes[a:b].tobytes()))
+                rows.append((s.name[i], n, group, shared.view(np.int64), s.codes[a:b].tobytes()))
         cols = list(zip(*rows)) if rows else [[]] * 5
         return pa.table({"name": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "grp": pa.array(cols[2], pa.binary()),
                          "codes": pa.array(cols[3], pa.list_(pa.int64())), "members": pa.array(cols[4], pa.binary())})
 
-    reply = X.shared_keys(parts, keys_of)
-    return parts.rows.groupBy("__chunk").cogroup(reply.groupBy("chunk")).applyInArrow(
+    return parts.rows.groupBy("__chunk").cogroup(frequencies(parts).groupBy("chunk")).applyInArrow(
         pick, "name binary, n bigint, grp binary, codes array<bigint>, members binary")
 
 
@@ -208,6 +228,31 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def fits(x: str, y: str) -> Column:
+    """Sizes within the threshold of each other."""
+    return F.least(x, y) * HIGH >= F.greatest(x, y) * LOW
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def stars(entries: DataFrame, tied: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each leading class up to PARTNERS classes of other components that stand for one of its shingles.
+
+    Per shingle and size band one class stands for all, another one each turn; the partners that stand for most of a
+    class's shingles are taken.
+    """
+    own = entries.join(tied.withColumnRenamed("node", "lead"), "lead").select("code", "band", "lead", "n", "root")
+    head = F.min_by(F.struct("lead", "n", "root"), F.xxhash64("lead", F.lit(turn)))
+    heads = own.groupBy("code", "band").agg(head.alias("head"))
+    near = heads.select("code", F.explode(F.array([F.col("band") + k for k in range(-2, 3)])).alias("band"), "head")
+    met = own.join(near, ["code", "band"]).where(fits("n", "head.n") & (F.col("root") != F.col("head.root")))
+    votes = met.groupBy(F.col("lead").alias("a"), F.col("head.lead").alias("b")).count()
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "b"))), 1, PARTNERS)
+    return votes.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) per row of `docs`: the smallest id that its links reach, itself included.
 
@@ -216,14 +261,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Rows with an equal id count as one document; a row without id links like any other, and its component_id is null if
     its component holds no id. Repeated rows get equal results; other columns are not carried. Ids are whole numbers.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
-    surveyed = X.written(survey(docs, "id", "text"), "survey")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(surveyed))
-    rows = surveyed.where("code is null").select("id", "n", "name")
+    rows = X.written(survey(docs), "survey")
     first = F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod(F.xxhash64("name"), F.lit(1 << 60)))
     classes = rows.where("n > 0").groupBy("name").agg(first.alias("class"))
-    found = candidates(X.chunks(docs, "id", "text"), "text", frequent).dropDuplicates(["name"])
+    found = candidates(X.chunks(docs, "id", "text")).dropDuplicates(["name"])
     sets = X.written(found.join(classes, "name").drop("name"), "sets")
     slim = sets.select("class", "n", "grp")
 
@@ -231,27 +273,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     band = F.floor(F.ln("n") / (log(HIGH / LOW) / 2)).cast("int")
     entries = X.written(
         sets.select("grp", "n", F.explode("codes").alias("code")).distinct().join(leader, ["grp", "n"]).withColumn("band", band), "entries")
-    heads = entries.groupBy("code", "band").agg(F.min(F.struct("n", "lead")).alias("head"))
-    near = heads.select("code", F.explode(F.array([F.col("band") + k for k in range(-2, 3)])).alias("band"), "head")
-    fits = lambda x, y: F.least(x, y) * HIGH >= F.greatest(x, y) * LOW
-    star = entries.join(near, ["code", "band"]).where(fits(F.col("n"), F.col("head.n"))).select(F.col("lead").alias("a"), F.col("head.lead").alias("b"))
     inside = slim.join(leader, ["grp", "n"]).select(F.col("class").alias("a"), F.col("lead").alias("b"))
-    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    linked = X.written(verify(ordered(star.unionByName(inside)), sets), "linked")
-
-    tied = components(linked)
-    placed = X.written(slim.join(tied, slim["class"] == tied["node"], "left").select("class", "n", "grp", F.coalesce("root", "class").alias("root")), "placed")
+    tied = slim.select(F.col("class").alias("node"), F.col("class").alias("root")).distinct()
+    for turn in range(TURNS):
+        links = verify(ordered(stars(entries, tied, turn).unionByName(inside) if turn == 0 else stars(entries, tied, turn)), sets)
+        known = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        merged = components(known.unionByName(links))
+        tied = X.written(slim.select(F.col("class").alias("node")).distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "tied")
+    placed = X.written(slim.join(tied, slim["class"] == tied["node"]).select("class", "n", "grp", "root"), "placed")
     groups = placed.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     spots = entries.select("code", "grp", "n").join(groups, ["grp", "n"])
     mixed = spots.groupBy("code").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("code")
     left = spots.join(mixed, "code")
     x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "low", "high")]) for s in "xy")
-    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & fits(F.col("x_n"), F.col("y_n")) & ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low"))))
-    met = met.select("x_grp", "x_n", "y_grp", "y_n").distinct()
+    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & fits("x_n", "y_n") & ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low"))))
+    # a pair cannot overlap in more than the shingles its prefixes share and what the prefix that ends first leaves of its set
+    rest_of = lambda n: F.ceil(F.col(n) * LOW / HIGH) - 1
+    needed = F.ceil((F.col("x_n") + F.col("y_n")) * LOW / (LOW + HIGH)) - F.greatest(rest_of("x_n"), rest_of("y_n"))
+    met = met.groupBy("x_grp", "x_n", "y_grp", "y_n").count().where(F.col("count") >= needed).drop("count")
     member = lambda s: placed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "class", "root")])
     rest = met.join(member("x"), ["x_grp", "x_n"]).join(member("y"), ["y_grp", "y_n"]).where("x_root <> y_root")
     more = verify(ordered(rest.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))), sets)
-    known = tied.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = tied.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known.unionByName(more))
     named = classes.join(roots, classes["class"] == roots["node"], "left").select("name", F.coalesce("root", "class").alias("root"))
     whole = rows.join(named, "name", "left")

@@ -16,7 +16,7 @@ from plumbline.llm import counts as C
 from plumbline.llm import text as X
 
 LONGEST = 5
-MOST_ENTRIES = 200_000  # words kept, and n-grams kept per length: bounds the model that is broadcast
+MOST_ENTRIES = 100_000  # words kept, and n-grams kept per length: bounds the model that is broadcast
 UNKNOWN = "und"
 LETTERS = X.byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = shared.value
         langs = len(model.langs)
         for batch in batches:
-            for part in X.slices(batch, text, 4 * X.CHUNK_BYTES):
+            for part in X.slices(batch, text):
                 column = C.lowered(part.column(text))
                 letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
                 w = X.words(column, LETTERS)

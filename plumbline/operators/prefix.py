@@ -113,7 +113,10 @@ def percentiles(
     # `wanted` has one row per group and probability; each keeps at most two value rows.
     covers = (F.col("_lo") < F.col("_upto")) & (F.col("_lo") >= F.col("_upto") - F.col("_n"))
     covers_hi = (F.col("_hi") < F.col("_upto")) & (F.col("_hi") >= F.col("_upto") - F.col("_n"))
-    both = upto.join(wanted, keys, "inner") if keys else upto.join(F.broadcast(wanted))
+    # Null is a key like any other, as it is in the grouping above.
+    named = wanted.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = [upto[k].eqNullSafe(named[f"_key{i}"]) for i, k in enumerate(keys)]
+    both = upto.join(named, same, "inner") if keys else upto.join(F.broadcast(wanted))
     hits = both.where(covers | covers_hi).groupBy(*keys, "_i").agg(
         F.max(F.when(covers, F.col("_v"))).alias("_a"),
         F.max(F.when(covers_hi, F.col("_v"))).alias("_b"),

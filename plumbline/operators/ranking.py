@@ -9,21 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import draw_key, finite
-from plumbline.operators.prefix import average_ranks, groups_fit, percentiles, rank_rows, running_sums
+from plumbline.operators.prefix import average_ranks, percentiles, rank_rows, running_sums
 
 
 def _sized(df: DataFrame, keys: Sequence[str], score: str, sample_id: str, ascending: bool = True) -> DataFrame:
     """Add `_rn` (position by score, ties by id) and `_n` (group size)."""
     order = F.col(score).asc() if ascending else F.col(score).desc()
-    slim = df.select(*dict.fromkeys([*keys, score, sample_id]))
-    if len(slim.columns) < len(df.columns) and not groups_fit(df, keys):
-        # Large groups are range-partitioned and written: only ids and scores, not vectors.
-        places = rank_rows(slim, [order, F.col(sample_id)], keys, "_rn").select(sample_id, "_rn")
-        ranked = df.join(places, sample_id)
-    else:
-        ranked = rank_rows(df, [order, F.col(sample_id)], keys, "_rn")
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else df.agg(F.count("*").alias("_n"))
-    return ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes))
+    # Whole rows are ranked: a join back by id would multiply rows whose id repeats.
+    ranked = rank_rows(df, [order, F.col(sample_id)], keys, "_rn")
+    if not keys:
+        return ranked.join(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    sizes = df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
+    same = [ranked[k].eqNullSafe(sizes[f"_key{i}"]) for i, k in enumerate(keys)]
+    return ranked.join(sizes, same).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def bin_within(
@@ -324,7 +322,7 @@ def monotonicity(df: DataFrame, bin_col: str, value: str, keys: Sequence[str] =
 def median_split_contrast(
     df: DataFrame, group: Sequence[str], score: str, covariates: Sequence[str], min_rows: int = 20, min_half: int = 5
 ) -> DataFrame:
-    """Per covariate: median over groups of (high-half mean - low-half mean) and of the rank correlation with the score."""
+    """Per covariate: median over groups of (low-half mean - high-half mean) and of the rank correlation with the score."""
     group = list(group)
     kept = df.where(finite(score).isNotNull())
     mid = percentiles(kept, score, [0.5], group, "_m").select(*group, F.col("_m")[0].alias("_mid"), F.col("n").alias("_n"))
@@ -334,7 +332,7 @@ def median_split_contrast(
     low = F.col(score) <= F.col("_mid")
     delta = long.groupBy(*group, "covariate").agg(
         F.count_if(low).alias("_nl"), F.count_if(~low).alias("_nh"),
-        (F.avg(F.when(~low, F.col("value"))) - F.avg(F.when(low, F.col("value")))).alias("delta"),
+        (F.avg(F.when(low, F.col("value"))) - F.avg(F.when(~low, F.col("value")))).alias("delta"),
     ).where((F.col("_nl") >= min_half) & (F.col("_nh") >= min_half))
     rho = spearman(long, score, "value", [*group, "covariate"]).drop("n")
     joined = delta.join(rho, [*group, "covariate"])

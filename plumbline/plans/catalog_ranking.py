@@ -256,7 +256,7 @@ def corner_selection(spark, sf):
 
 
 @query("median_split_contrast", sql("SELECT covariate, count(*)::BIGINT AS n_groups, median(delta) AS median_delta, median(rho) AS median_rho FROM "
-    "(SELECT user_id, covariate, avg(value) FILTER (WHERE score > mid) - avg(value) FILTER (WHERE score <= mid) AS delta, count(*) FILTER (WHERE score <= mid) AS nl, count(*) FILTER (WHERE score > mid) AS nh, corr(rx, ry) AS rho FROM "
+    "(SELECT user_id, covariate, avg(value) FILTER (WHERE score <= mid) - avg(value) FILTER (WHERE score > mid) AS delta, count(*) FILTER (WHERE score <= mid) AS nl, count(*) FILTER (WHERE score > mid) AS nh, corr(rx, ry) AS rho FROM "
     "(SELECT *, rank() OVER (PARTITION BY user_id, covariate ORDER BY score) + (count(*) OVER (PARTITION BY user_id, covariate, score) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY user_id, covariate ORDER BY value) + (count(*) OVER (PARTITION BY user_id, covariate, value) - 1) / 2.0 AS ry FROM lg) GROUP BY 1, 2) WHERE nl >= 5 AND nh >= 5 GROUP BY 1", ["covariate", "n_groups"], ["median_delta", "median_rho"],
     [EV, "md AS (SELECT user_id, quantile_cont(score, 0.5) AS mid FROM ev GROUP BY 1 HAVING count(*) >= 20)",
      "lg AS (SELECT user_id, score, mid, 'hour' AS covariate, hour(ts)::DOUBLE AS value FROM ev JOIN events ON sample_id = event_id JOIN md USING (user_id) UNION ALL SELECT user_id, score, mid, 'day', day(ts)::DOUBLE FROM ev JOIN events ON sample_id = event_id JOIN md USING (user_id))"]).replace("JOIN md USING (user_id)", "JOIN md ON md.user_id = ev.user_id").replace("SELECT user_id, score, mid, '", "SELECT ev.user_id, score, mid, '"))

@@ -288,9 +288,9 @@ def test_ridge_r2_from_moments(spark):
 def test_enclosing_ball_of_two_points_is_the_midpoint():
     p = np.array([[2.0, 0.3], [0.3, 1.0]])
     rows = np.array([[0.0, 0.0], [2.0, 1.0]])
-    centre, radius = bounds.enclosing_center(rows, p)
+    centre, radius = bounds.smallest_ball(rows, p)
     assert np.allclose(centre, rows.mean(0), atol=1e-6)
-    assert radius == pytest.approx(bounds.metric_norm((rows[1] - rows[0])[None], p)[0] / 2)
+    assert radius == pytest.approx(bounds.lengths((rows[1] - rows[0])[None], p)[0] / 2)
 
 
 def test_bound_certifies_signs(spark, blobs):
@@ -502,3 +502,28 @@ def test_evaluate_gives_all_tables(spark):
     assert out["scores"].count() == 300 and out["condition_ranking"].count() == 4
     assert out["deciles"].count() == 3 and out["acceptance"].count() == 4
     assert [r["arm"] for r in out["condition_ranking"].orderBy("a", "b").collect()] == ["seen", "seen", "seen", "unseen"]
+
+
+def test_percentiles_keep_the_null_key_at_any_limit(spark, limits):
+    df = spark.createDataFrame([(k, float(i)) for k in ("a", None) for i in range(30)], "k string, v double")
+    small = sorted(map(repr, prefix.percentiles(df, "v", [0.1, 0.5], ["k"]).collect()))
+    limits(WINDOW_ROWS, 10)
+    assert sorted(map(repr, prefix.percentiles(df, "v", [0.1, 0.5], ["k"]).collect())) == small and len(small) == 2
+
+
+def test_bins_keep_an_id_in_two_groups_once_at_any_limit(spark, limits):
+    df = spark.createDataFrame([(m, i, float(i * 7 % 100), "x") for m in ("p", None) for i in range(100)], "m string, sample_id bigint, score double, more string")
+    small = sorted(map(repr, ranking.bin_within(df, ["m"], 4).collect()))
+    limits(WINDOW_ROWS, 10)
+    assert sorted(map(repr, ranking.bin_within(df, ["m"], 4).collect())) == small and len(small) == 200
+
+
+def test_smallest_ball_against_random_centres():
+    rng = np.random.default_rng(4)
+    for n, d in ((1, 3), (2, 2), (6, 3), (40, 5)):
+        points, half = rng.normal(size=(n, d)), rng.normal(size=(d, d))
+        metric = half @ half.T + np.eye(d)
+        centre, radius = bounds.smallest_ball(points, metric)
+        assert bounds.lengths(points - centre, metric).max() == pytest.approx(radius, rel=1e-6, abs=1e-9)
+        for scale in (1e-3, 1e-2, 0.1):
+            assert all(bounds.lengths(points - centre - scale * rng.normal(size=d), metric).max() >= radius - 1e-7 for _ in range(50))

@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one class. A class of n shingles has a prefix of n - ceil(0.8 n) + 1 shingles, first
 those rare in the corpus; two classes above the threshold share a prefix shingle. Classes with equal prefix and size are
-one group, and group pairs that share a prefix shingle and fit in size are candidates, expanded to classes and verified on
-their whole sets. Classes enter only if a somewhat longer prefix shows more shared shingles (see `asked`): most classes
+one group, and group pairs that share a prefix shingle early enough in both are candidates, expanded to classes and verified
+on their whole sets. Classes enter only if a somewhat longer prefix shows more shared shingles (see `asked`): most classes
 share a few by chance, and their sets need not be moved.
 
 Only connectivity is asked for, so candidates come in rounds. In the first few each group meets a few others that share
@@ -154,7 +154,7 @@ def frequencies(parts: X.Chunks) -> DataFrame:
 
 
 def candidates(parts: X.Chunks) -> DataFrame:
-    """(name, n, grp, codes, members): classes with a prefix shingle that another class has too."""
+    """(name, n, grp, codes, places, members): classes with a prefix shingle that another class has too, and its places in the prefix."""
     buckets = parts.buckets
 
     def pick(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -177,16 +177,18 @@ def candidates(parts: X.Chunks) -> DataFrame:
             order = np.argsort(weight[at], kind="stable")[: n - overlap(n) + asked(n)]
             prefix, also = s.codes[a:b][order], met[at[order]]
             seen, prefix = int(also.sum()), prefix[: n - overlap(n) + 1]
-            shared = prefix[also[: len(prefix)]]
+            places = np.flatnonzero(also[: len(prefix)])
+            shared = prefix[places]
             if len(shared) and seen >= asked(overlap(n)):
                 group = names(np.append(prefix, np.uint64(n)), np.array([0, len(prefix) + 1]))[0]
-                rows.append((s.name[i], n, group, shared.view(np.int64), s.codes[a:b].tobytes()))
-        cols = list(zip(*rows)) if rows else [[]] * 5
+                rows.append((s.name[i], n, group, shared.view(np.int64), places, s.codes[a:b].tobytes()))
+        cols = list(zip(*rows)) if rows else [[]] * 6
         return pa.table({"name": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "grp": pa.array(cols[2], pa.binary()),
-                         "codes": pa.array(cols[3], pa.list_(pa.int64())), "members": pa.array(cols[4], pa.binary())})
+                         "codes": pa.array(cols[3], pa.list_(pa.int64())), "places": pa.array(cols[4], pa.list_(pa.int32())),
+                         "members": pa.array(cols[5], pa.binary())})
 
     return parts.rows.groupBy("__chunk").cogroup(frequencies(parts).groupBy("chunk")).applyInArrow(
-        pick, "name binary, n bigint, grp binary, codes array<bigint>, members binary")
+        pick, "name binary, n bigint, grp binary, codes array<bigint>, places array<int>, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -233,6 +235,11 @@ def fits(x: str, y: str) -> Column:
     return F.least(x, y) * HIGH >= F.greatest(x, y) * LOW
 
 
+def both(x: str, y: str) -> Column:
+    """Least overlap of two similar sets of these sizes."""
+    return F.ceil((F.col(x) + F.col(y)) * LOW / (LOW + HIGH))
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -272,7 +279,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     leader = slim.groupBy("grp", "n").agg(F.min("class").alias("lead"))
     band = F.floor(F.ln("n") / (log(HIGH / LOW) / 2)).cast("int")
     entries = X.written(
-        sets.select("grp", "n", F.explode("codes").alias("code")).distinct().join(leader, ["grp", "n"]).withColumn("band", band), "entries")
+        sets.select("grp", "n", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("places").alias("place")))).distinct()
+        .join(leader, ["grp", "n"]).withColumn("band", band), "entries")
     inside = slim.join(leader, ["grp", "n"]).select(F.col("class").alias("a"), F.col("lead").alias("b"))
     tied = slim.select(F.col("class").alias("node"), F.col("class").alias("root")).distinct()
     for turn in range(TURNS):
@@ -282,15 +290,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         tied = X.written(slim.select(F.col("class").alias("node")).distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "tied")
     placed = X.written(slim.join(tied, slim["class"] == tied["node"]).select("class", "n", "grp", "root"), "placed")
     groups = placed.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    spots = entries.select("code", "grp", "n").join(groups, ["grp", "n"])
+    spots = entries.select("code", "place", "grp", "n").join(groups, ["grp", "n"])
     mixed = spots.groupBy("code").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("code")
     left = spots.join(mixed, "code")
-    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "low", "high")]) for s in "xy")
-    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & fits("x_n", "y_n") & ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low"))))
+    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("place", "grp", "n", "low", "high")]) for s in "xy")
+    # after the first shingle that two similar sets share, both still have room for the rest of their overlap
+    room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= both("x_n", "y_n")
+    apart = ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low")))
+    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & room & apart).select("x_grp", "x_n", "y_grp", "y_n").distinct()
     # a pair cannot overlap in more than the shingles its prefixes share and what the prefix that ends first leaves of its set
     rest_of = lambda n: F.ceil(F.col(n) * LOW / HIGH) - 1
-    needed = F.ceil((F.col("x_n") + F.col("y_n")) * LOW / (LOW + HIGH)) - F.greatest(rest_of("x_n"), rest_of("y_n"))
-    met = met.groupBy("x_grp", "x_n", "y_grp", "y_n").count().where(F.col("count") >= needed).drop("count")
+    needed = both("x_n", "y_n") - F.greatest(rest_of("x_n"), rest_of("y_n"))
+    prefix = sets.groupBy("grp", "n").agg(F.first("codes").alias("codes"))  # equal in all classes of a group
+    of = lambda s: prefix.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "codes")])
+    met = met.join(of("x"), ["x_grp", "x_n"]).join(of("y"), ["y_grp", "y_n"]).where(F.size(F.array_intersect("x_codes", "y_codes")) >= needed).drop("x_codes", "y_codes")
     member = lambda s: placed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "class", "root")])
     rest = met.join(member("x"), ["x_grp", "x_n"]).join(member("y"), ["y_grp", "y_n"]).where("x_root <> y_root")
     more = verify(ordered(rest.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))), sets)

@@ -28,6 +28,7 @@ from plumbline.llm import text as X
 N = 5
 LOW, HIGH = 4, 5  # similarity 0.8 as a fraction
 TURNS, PARTNERS = 2, 3  # cheap rounds before all pairs of different components are formed, and pairs per class in each
+BEFORE = 2  # preceding shingles an entry carries, so that a pair which met on one of them does not meet again
 NO_ID = 1 << 62  # classes without any id are numbered from here
 
 
@@ -290,18 +291,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         tied = X.written(slim.select(F.col("class").alias("node")).distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "tied")
     placed = X.written(slim.join(tied, slim["class"] == tied["node"]).select("class", "n", "grp", "root"), "placed")
     groups = placed.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    spots = entries.select("code", "place", "grp", "n").join(groups, ["grp", "n"])
+    prefix = X.written(sets.groupBy("grp", "n").agg(F.first("codes").alias("codes"), F.first("places").alias("places")), "prefix")  # equal in all classes of a group
+    before = F.transform("codes", lambda _, i: F.slice("codes", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))))
+    spots = prefix.select("grp", "n", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("places").alias("place"), before.alias("before")))).join(groups, ["grp", "n"])
     mixed = spots.groupBy("code").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("code")
     left = spots.join(mixed, "code")
-    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("place", "grp", "n", "low", "high")]) for s in "xy")
+    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("place", "before", "grp", "n", "low", "high")]) for s in "xy")
     # after the first shingle that two similar sets share, both still have room for the rest of their overlap
     room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= both("x_n", "y_n")
     apart = ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low")))
-    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & room & apart).select("x_grp", "x_n", "y_grp", "y_n").distinct()
+    # a pair that shares a shingle just before this one has met there: both places are earlier and leave more room
+    again = F.arrays_overlap("x_before", "y_before")
+    met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & room & apart & ~again).select("x_grp", "x_n", "y_grp", "y_n").distinct()
     # a pair cannot overlap in more than the shingles its prefixes share and what the prefix that ends first leaves of its set
     rest_of = lambda n: F.ceil(F.col(n) * LOW / HIGH) - 1
     needed = both("x_n", "y_n") - F.greatest(rest_of("x_n"), rest_of("y_n"))
-    prefix = sets.groupBy("grp", "n").agg(F.first("codes").alias("codes"))  # equal in all classes of a group
     of = lambda s: prefix.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "codes")])
     met = met.join(of("x"), ["x_grp", "x_n"]).join(of("y"), ["y_grp", "y_n"]).where(F.size(F.array_intersect("x_codes", "y_codes")) >= needed).drop("x_codes", "y_codes")
     member = lambda s: placed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "class", "root")])

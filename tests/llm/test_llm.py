@@ -121,14 +121,27 @@ def components_of(rows):
     return sorted(((i is None, i or 0, len(sets[x]), ids.get(find(x))) for x, (i, _, _) in enumerate(rows)), key=repr)
 
 
-def test_jaccard_components(spark, odd, empty):
+def near_copies():
+    """ODD and near copies around the threshold."""
     r = random.Random(9)
     rows = list(ODD)
-    for k in range(40):  # near copies around the threshold
+    for k in range(40):
         w = BASE.split()
         for _ in range(r.randint(0, 6)):
             w[r.randrange(len(w))] = f"new{r.randint(0, 9)}"
         rows.append((100 + k, " ".join(w), "en"))
+    return rows
+
+
+def test_last_jaccard_round_finds_every_link_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    rows = near_copies()
+    got = jaccard.jaccard_components(spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], DOCS)).collect()
+    assert sorted(((x.id is None, x.id or 0, x.n_shingles, x.component_id) for x in got), key=repr) == components_of(rows)
+
+
+def test_jaccard_components(spark, odd, empty):
+    rows = near_copies()
     df = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], DOCS)
     got = jaccard.jaccard_components(df).collect()
     assert sorted(((x.id is None, x.id or 0, x.n_shingles, x.component_id) for x in got), key=repr) == components_of(rows)

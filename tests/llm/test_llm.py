@@ -279,6 +279,32 @@ def test_masked_lm_scores_are_the_networks(spark, odd, empty):
     assert masked_lm.score(empty, *masked_lm.fit(empty, rounds=1)).count() == 0
 
 
+def test_masked_lm_trains_on_every_document(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text")
+    trained = []
+    monkeypatch.setattr(masked_lm, "trained_round", lambda sample, text, words, p, k: trained.append(sorted(r.text for r in sample.collect())) or p)
+    masked_lm.fit(docs, rounds=2)
+    assert trained == [sorted(r.text for r in docs.collect())] * 2
+    monkeypatch.undo()
+    few = docs.where("pmod(xxhash64(text), 16) <> 0").limit(3)
+    assert np.abs(masked_lm.flat(masked_lm.fit(few, rounds=1)[1]) - masked_lm.flat(masked_lm.initial())).max() > 0.01
+
+
+def test_masked_lm_step_adds_up_the_gradients_of_repeated_words():
+    rng = np.random.default_rng(1)
+    ids, around = rng.integers(0, 9, 50), rng.integers(0, 9, (50, 2 * masked_lm.SIDE))
+    p = masked_lm.initial()
+    slow, square = {k: v.astype(np.float64) for k, v in p.items()}, {k: np.full_like(v, 1e-6) for k, v in p.items()}
+    masked_lm.step(ids, around, p, square)
+    for row, d in ((0, 0), (3, 5), (8, 23)):
+        grad = 0.0
+        for move in (1e-4, -1e-4):
+            slow["inside"][row, d] += move
+            grad -= masked_lm.log_probability(ids, around, slow).mean() / (2 * move)
+            slow["inside"][row, d] -= move
+        assert square["inside"][row, d] - 1e-6 == pytest.approx(grad**2, rel=1e-2)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -92,6 +92,22 @@ def at_most(counted: DataFrame, most: int, count: str = "n") -> DataFrame:
     return counted.where(F.col(count) >= int(fits["least"].min())) if len(fits) else counted.where("false")
 
 
+def most_frequent(counted: DataFrame, most: int) -> pd.DataFrame:
+    """The `most` rows (code, n) of the highest counts in order; of equal counts those of the least codes.
+
+    The driver sees the distinct counts (they grow with the root of all words), 65,536 ranges of codes, and what is kept.
+    """
+    sizes = counted.groupBy("n").agg(F.count("*").alias("rows")).toPandas().sort_values("n", ascending=False)
+    upto = sizes["rows"].cumsum()
+    if len(sizes) and upto.iloc[-1] > most:
+        last = int(sizes["n"][upto >= most].iloc[0])
+        head = F.shiftright("code", 48)
+        heads = counted.where(F.col("n") == last).groupBy(head.alias("head")).agg(F.count("*").alias("rows")).toPandas().sort_values("head")
+        left = most - int(sizes["rows"][sizes["n"] > last].sum())
+        counted = counted.where((F.col("n") > last) | (F.col("n") == last) & (head <= int(heads["head"][heads["rows"].cumsum() >= left].iloc[0])))
+    return counted.toPandas().sort_values(["n", "code"], ascending=[False, True]).head(most)
+
+
 def lowered(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     import pyarrow.compute as pc
 

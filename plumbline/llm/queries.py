@@ -99,7 +99,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, *masked_lm.fit(docs)).drop("text")
+    words, p = masked_lm.fit(docs)
+    return masked_lm.score(docs, words, p, spellings=masked_lm.spelling(docs, words)).drop("text")
 
 
 @query

@@ -305,6 +305,37 @@ def test_masked_lm_step_adds_up_the_gradients_of_repeated_words():
         assert square["inside"][row, d] - 1e-6 == pytest.approx(grad**2, rel=1e-2)
 
 
+def test_masked_lm_vocabulary_grows_and_keeps_ties(spark):
+    n = masked_lm.TYPES * (masked_lm.VOCABULARY + 100)
+    many = spark.range(n).selectExpr("concat('w', id) as text").union(spark.sql("select 'w7 w7' as text"))
+    got = masked_lm.vocabulary(many)
+    assert got.size == masked_lm.VOCABULARY + 100 and sorted(got.number.tolist()) == list(range(1, got.size))
+    code = np.sort(X.words(pa.array([f"w{i}" for i in range(n) if i != 7]), X.ALNUM_LOWER).code.view(np.int64))[: got.size - 2]
+    assert (got.numbers(code.view(np.uint64)) == np.arange(2, got.size)).all()
+    assert got.numbers(X.words(pa.array(["w7", "other"]), X.ALNUM_LOWER).code).tolist() == [1, 0]
+    p = masked_lm.initial(size=got.size)
+    again = masked_lm.unflat(masked_lm.flat(p), got.size)
+    assert len(p["class_w"]) ** 2 >= got.size > 64**2 and all((again[k] == p[k]).all() for k in p)
+    rows = masked_lm.score(many.limit(5), got, p).collect()
+    assert all(np.isfinite(r.sum_logprob) for r in rows)
+
+
+def test_masked_lm_spells_words_outside_the_vocabulary(spark, empty):
+    docs = spark.createDataFrame([("Ab abé ab",), ("ab x1 ab",), (None,), ("",)], "text string")
+    words_, p = masked_lm.Vocabulary(X.Lookup(X.words(pa.array(["ab"]), X.ALNUM_LOWER).code), np.array([1])), masked_lm.initial()
+    table = masked_lm.spelling(docs, words_)
+    assert np.exp(table.astype(np.float64)).reshape(-1, masked_lm.SYMBOLS).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    plain = [r.sum_logprob for r in masked_lm.score(docs, words_, p).collect()]
+    got = [r.sum_logprob for r in masked_lm.score(docs, words_, p, spellings=table).collect()]
+    cube, seen = table.reshape([masked_lm.SYMBOLS] * 3), []
+    for word in ("abé", "x1"):
+        s = [0, 0, *masked_lm.SYMBOL[list(word.encode())].tolist(), 0]
+        seen.append(sum(float(cube[s[i], s[i + 1], s[i + 2]]) for i in range(len(s) - 2)))
+    assert plain[0] == pytest.approx(plain[1]) and got[2:] == plain[2:] == [0, 0]
+    assert got[:2] == pytest.approx([plain[0] + seen[0], plain[1] + seen[1]], rel=1e-5) and seen[0] != seen[1]
+    assert np.isfinite(masked_lm.spelling(empty, words_)).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

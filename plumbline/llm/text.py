@@ -182,6 +182,19 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, size: int = CHUNK_BYTE
         at = to
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores after it until no column is called so; Spark does not tell upper from lower case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def fields_of(df: DataFrame, names: list[str]) -> str:
+    """Some columns of `df` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (df.schema[c] for c in names))
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """Bytes of text in all rows; one number, for the numbers of chunks and buckets."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0])

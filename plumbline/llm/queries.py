@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontamination, fill_middle, jaccard, language, masked_lm, quality, recompression, sharding, simhash
+from plumbline.llm import bpe, chat, decontamination, fill_middle, jaccard, language, licenses, masked_lm, quality, recompression, sharding, simhash
 from plumbline.llm.text import written
 from plumbline.session import ship_package
 
@@ -109,6 +109,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, labels = F.filter("licenses", lambda x: x.exact), lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda x: x.label))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(F.transform(base, lambda x: x.first)).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x.first)).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("licenses")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda x: x.score)), F.lit(0.0)).alias("score"))
+
+
 @query
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))

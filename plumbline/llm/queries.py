@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontamination, fill_middle, jaccard, language, licenses, masked_lm, quality, recompression, sharding, simhash
+from plumbline.llm import alignment, bpe, chat, decontamination, fill_middle, jaccard, language, licenses, masked_lm, quality, recompression, sharding, simhash
 from plumbline.llm.text import written
 from plumbline.session import ship_package
 
@@ -119,6 +119,15 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.array_max(F.transform("licenses", lambda x: x.score)), F.lit(0.0)).alias("score"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a = alignment.read_byte_level(public_tokenizers.path("byte_bpe_50k.json"))
+    b = alignment.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b).docs
+
+
 @query
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -6,8 +6,9 @@ elementary pieces, each piece lies in one token of either side and is one link,
 often an id pair is linked is counted over distinct texts, weighted by their copies; the measures of a text are then
 joined to all documents that hold it.
 
-Token ids are kept as a table between the passes (2 bytes an id for vocabularies of up to 65,536), as tokenising costs far
-more than aligning ids, which numpy does for all texts of a slice at once.
+Inside a task a text falls in pieces at spaces no token crosses, and pieces met before are not tokenised again. Token ids
+are kept as a table between the passes (2 bytes an id for vocabularies of up to 65,536), which numpy aligns
+again, all texts of a slice at once.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import text as X
 
 SLICE_BYTES = 1 << 20  # text tokenised at a time
-BLOCK_CHARS = 1 << 20  # longer texts are tokenised in blocks
+KNOWN, KNOWN_CHARS = 200_000, 48  # aligned pieces a worker remembers, and their longest
 HELD_PAIRS = 1 << 21  # pairs a task gathers before it hands them over
 BLOCK_PAIRS = 1 << 21  # pair counts that are broadcast at a time, 17 bytes each
-SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")
+SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")  # a single space between letters or digits
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -78,7 +79,7 @@ _loaded: dict[bytes, object] = {}
 
 
 class Tokenizer:
-    """Ids of texts that start with a space; built once per Python worker."""
+    """Ids of texts that start with a space."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.kind, self.entries = vocabulary.kind, vocabulary.entries
@@ -98,39 +99,73 @@ class Tokenizer:
             # no piece goes on over a space after other letters, so merges do not cross such a space
             self.splits = not any(b" " in x.lstrip(b" ") for x in vocabulary.entries)
 
-    @staticmethod
-    def of(vocabulary: Vocabulary) -> Tokenizer:
-        key = hashlib.sha256(vocabulary.content).digest()
-        if key not in _loaded:
-            _loaded[key] = Tokenizer(vocabulary)
-        return _loaded[key]
-
-    def __call__(self, spaced: list[str], block: int = BLOCK_CHARS) -> list[np.ndarray]:
-        parts, owner = [], []
-        for i, x in enumerate(spaced):
-            own = blocks(x, block) if self.splits else [x]
-            parts += own
-            owner += [i] * len(own)
+    def __call__(self, spaced: list[str]) -> list[list[int]]:
         if self.kind == "byte-level":
-            ids = [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-        else:
-            ids = self.model.encode([x[1:] for x in parts], num_threads=1)
-        out: list[list[int]] = [[] for _ in spaced]
-        for i, x in zip(owner, ids):
-            out[i] = out[i] + x if out[i] else x
-        return [np.array(x, np.int64) for x in out]
+            return [e.ids for e in self.model.encode_batch_fast(spaced, add_special_tokens=False)]
+        return self.model.encode([x[1:] for x in spaced], num_threads=1)
+
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.entries.__getitem__, ids)) == raw
+
 
-    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
-        return b"".join(map(self.entries.__getitem__, ids.tolist())) == raw
+Record = tuple[bytes, bytes, str]  # packed ids of both sides, and the groups
 
 
-def blocks(text: str, size: int) -> list[str]:
-    """`text` cut before single spaces between ASCII letters or digits, where no token of either kind goes across."""
-    out, at = [], 0
-    while len(text) - at > size and (found := SAFE.search(text, at + size)):
-        out.append(text[at : found.start()])
-        at = found.start()
-    return [*out, text[at:]] if at else [text]
+class Aligner:
+    """Aligned texts by their pieces: no token of either side crosses a single space between ASCII letters or digits, so a
+    text falls in pieces that are tokenised and aligned by themselves, and repeated ones are remembered."""
+
+    def __init__(self, a: Vocabulary, b: Vocabulary):
+        self.one, self.two = Tokenizer(a), Tokenizer(b)
+        self.length_a, self.length_b, self.shown = a.lengths(), b.lengths(), decimals(max(len(a.entries), len(b.entries)))
+        self.pack_a, self.pack_b = packing(len(a.entries)), packing(len(b.entries))
+        self.splits = self.one.splits and self.two.splits
+        self.known: dict[str, Record | None] = {}
+
+    @staticmethod
+    def of(a: Vocabulary, b: Vocabulary) -> Aligner:
+        """The one of this worker process."""
+        key = hashlib.sha256(a.content).digest() + hashlib.sha256(b.content).digest()
+        if key not in _loaded:
+            _loaded[key] = Aligner(a, b)
+        return _loaded[key]
+
+    def fresh(self, pieces: list[str]) -> list[Record | None]:
+        """Tokenise and align whole pieces; None where the tokens do not spell space + piece."""
+        spaced = [" " + x for x in pieces]
+        of_a, of_b = self.one(spaced), self.two(spaced)
+        good = [i for i, x in enumerate(spaced) if self.one.spells(of_a[i], raw := x.encode()) and self.two.spells(of_b[i], raw)]
+        out: list[Record | None] = [None] * len(pieces)
+        if good:
+            n_a, n_b = np.array([len(of_a[i]) for i in good]), np.array([len(of_b[i]) for i in good])
+            ids_a, ids_b = (np.array([x for i in good for x in of[i]], np.int64) for of in (of_a, of_b))
+            said = group_strings(ids_a, ids_b, n_a, n_b, align(ids_a, ids_b, n_a, self.length_a, self.length_b), self.shown)
+            raw_a, raw_b = ids_a.astype(self.pack_a), ids_b.astype(self.pack_b)
+            at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
+            for k, i in enumerate(good):
+                out[i] = (raw_a[at_a[k] - n_a[k] : at_a[k]].tobytes(), raw_b[at_b[k] - n_b[k] : at_b[k]].tobytes(), said[k].decode())
+        return out
+
+    def __call__(self, texts: list[str]) -> list[Record | None]:
+        if not self.splits:
+            return self.fresh(texts)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        cut = [SAFE.split(x) for x in texts]
+        new = list({p for pieces in cut for p in pieces if p not in self.known})
+        self.known.update(zip(new, self.fresh(new)))
+        find, out = self.known.__getitem__, []
+        for text, pieces in zip(texts, cut):
+            found = list(map(find, pieces))
+            if None in found:  # a piece is not spelled; the text as a whole decides
+                out.append(self.fresh([text])[0])
+            else:
+                ids_a, ids_b, said = zip(*found)
+                out.append((b"".join(ids_a), b"".join(ids_b), ";".join(said)))
+        for p in new:
+            if len(p) > KNOWN_CHARS:
+                del self.known[p]
+        return out
 
 
 class Aligned(NamedTuple):
@@ -148,11 +183,17 @@ class Aligned(NamedTuple):
 def align(ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, length_a: np.ndarray, length_b: np.ndarray) -> Aligned:
     """Align the tokens of several texts laid one after the other; both sides hold the same bytes of each text."""
     ends_a, ends_b = np.cumsum(length_a[ids_a]), np.cumsum(length_b[ids_b])
-    cut = np.union1d(ends_a, ends_b)
-    at_a, at_b = np.searchsorted(ends_a, cut), np.searchsorted(ends_b, cut)
+    ends = np.zeros(ends_a[-1] + 1 if len(ends_a) else 1, np.uint8)
+    ends[ends_a] = 1
+    ends[ends_b] += 2
+    cut = np.flatnonzero(ends)
+    kind = ends[cut]
+    by_a, by_b = kind & 1, kind >> 1
     bound = np.concatenate([[0], ends_a])[np.cumsum(n_a)]
-    common = cut[(ends_a[at_a] == cut) & (ends_b[at_b] == cut)]
-    return Aligned(ids_a[at_a], ids_b[at_b], np.searchsorted(bound, cut), common, ends_a, ends_b, bound)
+    upto = np.searchsorted(cut, bound, side="right")
+    text = np.repeat(np.arange(len(bound)), np.diff(upto, prepend=0))
+    at = lambda own: np.cumsum(own, dtype=np.int64) - own
+    return Aligned(ids_a[at(by_a)], ids_b[at(by_b)], text, cut[kind == 3], ends_a, ends_b, bound)
 
 
 def decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,42 +228,34 @@ def packing(entries: int) -> type:
     return np.uint16 if entries <= 1 << 16 else np.uint32
 
 
-def tokenised(texts: DataFrame, a: Vocabulary, b: Vocabulary, block: int = BLOCK_CHARS, groups: bool = False) -> DataFrame:
+def tokenised(texts: DataFrame, a: Vocabulary, b: Vocabulary, groups: bool = False) -> DataFrame:
     """texts(key, copies, text) as (key, copies, n_a, n_b, n_groups, n_links, groups_sha256, ids_a, ids_b[, groups]).
 
     Texts whose tokens do not spell space + text on both sides are left out.
     """
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((a, b))
-    digits = max(len(a.entries), len(b.entries))
-    pack_a, pack_b = packing(len(a.entries)), packing(len(b.entries))
+    shared = texts.sparkSession.sparkContext.broadcast((a, b))
+    size_a, size_b = (np.dtype(packing(len(v.entries))).itemsize for v in (a, b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = (Tokenizer.of(v) for v in shared.value)
-        length_a, length_b = (v.lengths() for v in shared.value)
-        shown = decimals(digits)
+        aligner = Aligner.of(*shared.value)
         for batch in batches:
             for part in X.slices(batch, "text", SLICE_BYTES):
-                spaced = [" " + x for x in part.column("text").to_pylist()]
-                of_a, of_b = one(spaced, block), two(spaced, block)
-                good = [i for i, x in enumerate(spaced) if one.spells(of_a[i], raw := x.encode()) and two.spells(of_b[i], raw)]
+                found = aligner(part.column("text").to_pylist())
+                good = [i for i, x in enumerate(found) if x is not None]
                 if not good:
                     continue
-                of_a, of_b = [of_a[i] for i in good], [of_b[i] for i in good]
-                n_a, n_b = np.array([len(x) for x in of_a]), np.array([len(x) for x in of_b])
-                ids_a, ids_b = np.concatenate(of_a), np.concatenate(of_b)
-                found = align(ids_a, ids_b, n_a, length_a, length_b)
-                said = group_strings(ids_a, ids_b, n_a, n_b, found, shown)
+                ids_a, ids_b, said = zip(*(found[i] for i in good))
                 rows = part.take(pa.array(good))
+                n_a, n_b = np.array([len(x) // size_a for x in ids_a]), np.array([len(x) // size_b for x in ids_b])
+                n_groups = np.array([x.count("|") for x in said])
                 cols = {
-                    "key": rows.column("key"), "copies": rows.column("copies"), "n_a": pa.array(n_a), "n_b": pa.array(n_b),
-                    "n_groups": pa.array(np.bincount(np.searchsorted(found.bound, found.common), minlength=len(good))),
-                    "n_links": pa.array(np.bincount(found.text, minlength=len(good))),
-                    "groups_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in said]),
-                    "ids_a": pa.array([x.astype(pack_a).tobytes() for x in of_a], pa.binary()), "ids_b": pa.array([x.astype(pack_b).tobytes() for x in of_b], pa.binary()),
+                    "key": rows.column("key"), "copies": rows.column("copies"), "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups),
+                    "n_links": pa.array(n_a + n_b - n_groups),  # each end of a token closes one link, a common end closes one for both
+                    "groups_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in said]),
+                    "ids_a": pa.array(ids_a, pa.binary()), "ids_b": pa.array(ids_b, pa.binary()),
                 }
                 if groups:
-                    cols["groups"] = pa.array([x.decode() for x in said])
+                    cols["groups"] = pa.array(said)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     more = ", groups string" if groups else ""
@@ -237,12 +270,15 @@ def slices_of_ids(batches: Iterator[pa.RecordBatch], pack_a: type, pack_b: type,
             yield part, align(*ids, part.column("n_a").to_numpy(), length_a, length_b)
 
 
-def added(pair: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights added up over equal pairs."""
-    order = np.argsort(pair)
-    pair, weight = pair[order], weight[order]
+def added(pair: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, or ones, added up over equal pairs."""
+    if weight is None:
+        pair = np.sort(pair)
+    else:
+        order = np.argsort(pair)
+        pair, weight = pair[order], weight[order]
     at = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
-    return pair[at], np.add.reduceat(weight, at) if len(at) else weight
+    return pair[at], np.diff(at, append=len(pair)) if weight is None else np.add.reduceat(weight, at) if len(at) else weight
 
 
 def pair_counts(ids: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
@@ -254,8 +290,10 @@ def pair_counts(ids: DataFrame, a: Vocabulary, b: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for part, found in slices_of_ids(batches, pack_a, pack_b, *shared.value):
-            own = added(found.a << 32 | found.b, part.column("copies").to_numpy()[found.text])
-            pairs, counts = added(np.concatenate([pairs, own[0]]), np.concatenate([counts, own[1]]))
+            pair, copies = found.a << 32 | found.b, part.column("copies").to_numpy()
+            again = copies[found.text] > 1
+            own, more = added(pair[~again]), added(pair[again], copies[found.text[again]])
+            pairs, counts = added(np.concatenate([pairs, own[0], more[0]]), np.concatenate([counts, own[1], more[1]]))
             if len(pairs) >= HELD_PAIRS:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], names=["pair", "n"])
                 pairs, counts = pairs[:0], counts[:0]
@@ -280,17 +318,14 @@ def measured(ids: DataFrame, pairs: DataFrame, a: Vocabulary, b: Vocabulary, blo
 
     def one_pass(block: object) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, n, best = block.value
+            known, n, best = block.value  # ordered by the mixed pairs
+            places = X.Lookup(known)
             for part, found in slices_of_ids(batches, pack_a, pack_b, *lengths.value):
-                pair = found.a << 32 | found.b
-                at = np.searchsorted(known, pair)
-                at[at == len(known)] = 0
-                hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
-                text, at, rows = found.text[hit], at[hit], part.num_rows
-                total = np.zeros(rows, np.int64)
-                np.add.at(total, text, n[at])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(np.bincount(text[best[at]], minlength=rows)), pa.array(total)], names=["key", "n_best", "count_sum"])
+                at = places.find(X.mix(found.a << 32 | found.b))
+                hit = at >= 0
+                start = np.searchsorted(found.text, np.arange(part.num_rows))  # every row has tokens
+                sums = [np.add.reduceat(np.where(hit, x[at], 0), start) for x in (best, n)] if len(at) else [np.zeros(0, np.int64)] * 2
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(x.astype(np.int64)) for x in sums)], names=["key", "n_best", "count_sum"])
 
         return slim.mapInArrow(run, "key binary, n_best bigint, count_sum bigint")
 
@@ -298,9 +333,10 @@ def measured(ids: DataFrame, pairs: DataFrame, a: Vocabulary, b: Vocabulary, blo
     out = None
     for k in range(count):
         own = (pairs.where(F.expr(f"pmod(xxhash64(pair), {count}) = {k}")) if count > 1 else pairs).toArrow()
-        order = np.argsort(own.column("pair").to_numpy())
-        table = tuple(own.column(c).to_numpy()[order] for c in ("pair", "n", "best"))
-        own = one_pass(spark.sparkContext.broadcast(table))
+        mixed = X.mix(own.column("pair").to_numpy())
+        order = np.argsort(mixed)
+        n, best = (np.append(own.column(c).to_numpy()[order].astype(np.int64), 0) for c in ("n", "best"))
+        own = one_pass(spark.sparkContext.broadcast((mixed[order], n, best)))
         out = own if out is None else out.unionByName(own)
     return out if count == 1 else out.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
@@ -316,7 +352,7 @@ class Alignment(NamedTuple):
     pairs: DataFrame
 
 
-def align_tokenizers(docs: DataFrame, a: Vocabulary, b: Vocabulary, text: str = "text", block_chars: int = BLOCK_CHARS, block_pairs: int = BLOCK_PAIRS,
+def align_tokenizers(docs: DataFrame, a: Vocabulary, b: Vocabulary, text: str = "text", block_pairs: int = BLOCK_PAIRS,
                      groups: bool = False) -> Alignment:
     """Align the tokens of two tokenizers over all texts.
 
@@ -333,7 +369,7 @@ def align_tokenizers(docs: DataFrame, a: Vocabulary, b: Vocabulary, text: str =
     digest = F.unhex(F.sha2(F.col(text), 256))
     texts = docs.where(F.octet_length(F.col(text)) > 0).groupBy(F.col(text).alias("text")).agg(F.count("*").alias("copies"))
     texts = texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "copies", "text")
-    ids = X.written(tokenised(texts, a, b, block_chars, groups), "token-ids", compression="zstd")
+    ids = X.written(tokenised(texts, a, b, groups), "token-ids", compression="zstd")
     pairs = X.written(pair_counts(ids, a, b), "pair-counts")
     sums = measured(ids, pairs, a, b, block_pairs)
     own = ids.select("key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, "key").withColumnRenamed("key", key)

@@ -63,12 +63,13 @@ def by_pairs(rows, a, b):
     return sorted(out), counts
 
 
-@pytest.mark.parametrize("chars, pairs", [(A.BLOCK_CHARS, A.BLOCK_PAIRS), (16, 100)])
-def test_as_by_pairs(spark, vocabularies, chars, pairs):
+@pytest.mark.parametrize("known, pairs", [(A.KNOWN, A.BLOCK_PAIRS), (3, 100)])
+def test_as_by_pairs(spark, vocabularies, monkeypatch, known, pairs):
+    monkeypatch.setattr(A, "KNOWN", known)
     rows = [(i, t) for i, t in enumerate(texts())] + [(2, "one word"), (2, "one word"), (90, "word " * 100 + "end")]
     want, counts = by_pairs(rows, *vocabularies)
     docs = spark.createDataFrame([(i, t, "k", "old") for i, t in rows], "doc_id bigint, text string, key string, n_best string").repartition(4)
-    got = A.align_tokenizers(docs, *vocabularies, block_chars=chars, block_pairs=pairs, groups=True)
+    got = A.align_tokenizers(docs, *vocabularies, block_pairs=pairs, groups=True)
     found = sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in got.docs.collect())
     assert found == want
     assert {r.key for r in got.docs.collect()} == {"k"}
@@ -83,8 +84,8 @@ def test_empty_tables(spark, vocabularies):
     assert tuple(row) == (1, 0, 0, 0, 0, 0, 0, "")
 
 
-def test_blocks_are_cut_at_spaces_only():
-    text = " one two  three 4 five'six seven" * 30
-    for size in (1, 5, 50, 5000):
-        cut = A.blocks(text, size)
-        assert "".join(cut) == text and all(x[0] == " " and x[1] != " " for x in cut[1:])
+def test_pieces_as_whole_texts(vocabularies):
+    aligner = A.Aligner(*vocabularies)
+    said = [t for t in texts() if t] + [" one two  three 4 five'six seven" * 300, "x y é z ▁ w " * 50]
+    assert aligner.splits and aligner(said) == aligner.fresh(said) == aligner(said)
+    assert all(len(p) <= A.KNOWN_CHARS for p in aligner.known) and len(aligner.known) > 50

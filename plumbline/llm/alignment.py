@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 from plumbline.llm import text as X
 
 SLICE_BYTES = 1 << 20  # text tokenised at a time
-KNOWN, KNOWN_CHARS = 200_000, 48  # aligned pieces a worker remembers, and their longest
+KNOWN, KNOWN_CHARS = 250_000, 48  # aligned pieces a worker remembers, and their longest
+LINE_CHARS = 1 << 15  # pieces that are new are tokenised side by side in lines of about this length
 HELD_PAIRS = 1 << 21  # pairs a task gathers before it hands them over
 BLOCK_PAIRS = 1 << 21  # pair counts that are broadcast at a time, 17 bytes each
-SAFE = re.compile(r"(?<=[0-9A-Za-z]) (?=[0-9A-Za-z])")  # a single space between letters or digits
+# Letters, digits and signs that no normal form changes; a single space between two of them starts a token on either side.
+STEADY = "[!-~À-ÖØ-öø-ÿ]"
+SAFE = re.compile(f"(?<={STEADY}) (?={STEADY})")
+ENDS_STEADY = re.compile(f"{STEADY}(.*{STEADY})?", re.DOTALL)
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -112,8 +117,8 @@ Record = tuple[bytes, bytes, str]  # packed ids of both sides, and the groups
 
 
 class Aligner:
-    """Aligned texts by their pieces: no token of either side crosses a single space between ASCII letters or digits, so a
-    text falls in pieces that are tokenised and aligned by themselves, and repeated ones are remembered."""
+    """Aligned texts by their pieces: no token of either side crosses a single space between steady letters, so a text
+    falls in pieces that are tokenised and aligned by themselves, and repeated ones are remembered."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary):
         self.one, self.two = Tokenizer(a), Tokenizer(b)
@@ -130,20 +135,42 @@ class Aligner:
             _loaded[key] = Aligner(a, b)
         return _loaded[key]
 
-    def fresh(self, pieces: list[str]) -> list[Record | None]:
+    def fresh(self, pieces: list[str], side_by_side: bool = True) -> list[Record | None]:
         """Tokenise and align whole pieces; None where the tokens do not spell space + piece."""
-        spaced = [" " + x for x in pieces]
-        of_a, of_b = self.one(spaced), self.two(spaced)
-        good = [i for i, x in enumerate(spaced) if self.one.spells(of_a[i], raw := x.encode()) and self.two.spells(of_b[i], raw)]
         out: list[Record | None] = [None] * len(pieces)
-        if good:
-            n_a, n_b = np.array([len(of_a[i]) for i in good]), np.array([len(of_b[i]) for i in good])
-            ids_a, ids_b = (np.array([x for i in good for x in of[i]], np.int64) for of in (of_a, of_b))
+        lines, size, alone = [], LINE_CHARS, []
+        for i, x in enumerate(pieces):
+            if not (side_by_side and ENDS_STEADY.fullmatch(x)):
+                alone.append([i])
+            elif size >= LINE_CHARS:
+                lines.append([i])
+                size = len(x)
+            else:
+                lines[-1].append(i)
+                size += len(x) + 1
+        lines += alone
+        spaced = [" " + " ".join([pieces[i] for i in line]) for line in lines]
+        of_a, of_b = self.one(spaced), self.two(spaced)
+        good = [k for k, x in enumerate(spaced) if self.one.spells(of_a[k], raw := x.encode()) and self.two.spells(of_b[k], raw)]
+        place = [i for k in good for i in lines[k]]
+        if place:
+            ids_a, ids_b = (np.fromiter(chain.from_iterable(of[k] for k in good), np.int64) for of in (of_a, of_b))
+            bound = np.cumsum([len(pieces[i].encode()) + 1 for i in place])
+            ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+            at_a, at_b = np.searchsorted(ends_a, bound) + 1, np.searchsorted(ends_b, bound) + 1
+            if side_by_side and not (np.array_equal(ends_a[at_a - 1], bound) and np.array_equal(ends_b[at_b - 1], bound)):
+                return self.fresh(pieces, side_by_side=False)
+            n_a, n_b = np.diff(at_a, prepend=0), np.diff(at_b, prepend=0)
             said = group_strings(ids_a, ids_b, n_a, n_b, align(ids_a, ids_b, n_a, self.length_a, self.length_b), self.shown)
-            raw_a, raw_b = ids_a.astype(self.pack_a), ids_b.astype(self.pack_b)
-            at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
-            for k, i in enumerate(good):
-                out[i] = (raw_a[at_a[k] - n_a[k] : at_a[k]].tobytes(), raw_b[at_b[k] - n_b[k] : at_b[k]].tobytes(), said[k].decode())
+            raw_a, raw_b = ids_a.astype(self.pack_a).tobytes(), ids_b.astype(self.pack_b).tobytes()
+            step_a, step_b = np.dtype(self.pack_a).itemsize, np.dtype(self.pack_b).itemsize
+            cuts = zip(place, said, ((at_a - n_a) * step_a).tolist(), (at_a * step_a).tolist(), ((at_b - n_b) * step_b).tolist(), (at_b * step_b).tolist())
+            for i, x, low_a, high_a, low_b, high_b in cuts:
+                out[i] = (raw_a[low_a:high_a], raw_b[low_b:high_b], x.decode())
+        again = [i for k in sorted(set(range(len(lines))) - set(good)) if len(lines[k]) > 1 for i in lines[k]]
+        if again:
+            for i, x in zip(again, self.fresh([pieces[i] for i in again], side_by_side=False)):
+                out[i] = x
         return out
 
     def __call__(self, texts: list[str]) -> list[Record | None]:

@@ -1,254 +1,20 @@
-"""Exact nearest-neighbour joins on packed vector blocks, with pivot pruning.
-
-Reference rows are assigned to the nearest of a bounded set of pivots. Per
-pivot cell the radius and the k nearest distances to the pivot bound how far a
-query cell must look (triangle inequality), so only cell pairs that can hold a
-neighbour are joined. Cells are cut into blocks of bounded size, however large
-they are; a task multiplies one query block with one reference block and emits
-k rows per query, never the pairs.
-"""
+"""Nearest neighbours: exact joins (see pivot_join), the scores built on them, an index with probes, graphs and votes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
-from plumbline.functions.arrow import matrix, with_columns
+from plumbline.operators import cell_index
 from plumbline.operators.moments import centroids, whiten
+from plumbline.operators.pivot_join import least_within, nearest
 from plumbline.operators.prefix import percentiles
 from plumbline.operators.sampling import draw_rank
 from plumbline.operators.scoring import as_scalar_score, scorer
-from plumbline.session import BLOCK_ROWS, MAX_PIVOTS, limit, small_table
-
-SALT_BLOCKS = 64  # query blocks one task may meet per reference block
-
-
-@dataclass
-class Pivots:
-    points: np.ndarray
-
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gap = (x**2).sum(1)[:, None] - 2.0 * x @ self.points.T + (self.points**2).sum(1)[None, :]
-        cell = gap.argmin(axis=1)
-        return cell, np.linalg.norm(x - self.points[cell], axis=1)
-
-
-def choose_pivots(ref: DataFrame, seed: int = 7) -> Pivots:
-    """One reference row per block's worth of rows, in draw order, at most the configured number."""
-    spark = ref.sparkSession
-    most = limit(spark, MAX_PIVOTS)
-    rows = ref.select("v", V.draw_key(seed, 0, "id").alias("d")).orderBy("d").limit(most).collect()
-    n = len(rows) if len(rows) < most else ref.count()
-    want = max(1, min(most, -(-n // limit(spark, BLOCK_ROWS))))
-    return Pivots(np.asarray([r["v"] for r in rows[:want]], dtype=np.float64))
-
-
-def assign_cells(df: DataFrame, pivots: Pivots) -> DataFrame:
-    """Rows (id, v, aux) with their pivot cell and the distance to the pivot; one narrow pass."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cell, dist = shared.value.nearest(matrix(batch.column(1)))
-            else:
-                cell, dist = np.zeros(0, np.int64), np.zeros(0)
-            yield with_columns(batch, {"cell": pa.array(cell.astype(np.int32)), "pd": dist})
-
-    fields = [*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("pd", T.DoubleType())]
-    return df.mapInArrow(run, T.StructType(fields))
-
-
-def cell_summary(cells: DataFrame, need: int) -> dict[int, tuple]:
-    """Per cell (cell, rows, radius, largest aux, `need` smallest pivot distances)."""
-
-    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.select(["cell", "pd", "aux"]).to_pandas() for b in batches if b.num_rows]
-        if not parts:
-            return
-        frame = pd.concat(parts)
-        for cell, group in frame.groupby("cell"):
-            low = np.sort(group["pd"].to_numpy())[:need]
-            yield pa.RecordBatch.from_pylist(
-                [{"cell": int(cell), "n": len(group), "radius": group["pd"].max(), "aux": group["aux"].max(), "low": low.tolist()}],
-                pa.schema([("cell", pa.int32()), ("n", pa.int64()), ("radius", pa.float64()), ("aux", pa.float64()), ("low", pa.list_(pa.float64()))]),
-            )
-
-    partial = cells.select("cell", "pd", "aux").mapInArrow(
-        summarize, "cell int, n long, radius double, aux double, low array<double>"
-    )
-    lowest = F.slice(F.sort_array(F.flatten(F.collect_list("low"))), 1, max(need, 1))
-    rows = partial.groupBy("cell").agg(F.sum("n"), F.max("radius"), F.max("aux"), lowest).collect()
-    return {r[0]: tuple(r) for r in rows}
-
-
-def _packed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    """One row per block: its ids, flat vectors and the numbers carried along."""
-    return df.groupBy(*keys).agg(
-        F.collect_list("id").alias(f"{prefix}ids"),
-        F.flatten(F.collect_list("v")).alias(f"{prefix}flat"),
-        F.collect_list("aux").alias(f"{prefix}aux"),
-    )
-
-
-def pack_blocks(cells: DataFrame, sizes: dict[int, int], rows: int, prefix: str) -> DataFrame:
-    """Rows of each cell in ceil(n/rows) hash blocks."""
-    counts = small_table(  # one row per pivot cell: bounded by the pivot limit
-        cells.sparkSession, [{"cell": int(c), "_nb": -(-n // rows)} for c, n in sizes.items()],
-        [("cell", "int"), ("_nb", "long")],
-    )
-    blocked = cells.join(F.broadcast(counts), "cell")
-    number = F.pmod(F.xxhash64(F.col("id")), F.col("_nb"))
-    blocked = blocked.withColumn(f"{prefix}block", F.concat_ws(":", F.col("cell").cast("string"), number.cast("string")))
-    return _packed(blocked, ["cell", f"{prefix}block"], prefix)
-
-
-def reachable_cells(
-    pivots: Pivots, query_radius: dict[int, float], ref_radius: dict[int, float],
-    nearest: dict[int, list[float]] | None, need: int, query_range: dict[int, float] | None,
-) -> dict[int, list[int]]:
-    """Reference cells each query cell must look at, from bounds between pivots only.
-
-    For k neighbours the bound is the k-th smallest certain distance; for a
-    range query it is the cell's largest range.
-    """
-    points = pivots.points
-    ref_cells = np.asarray(sorted(ref_radius))
-    reach = np.asarray([ref_radius[c] for c in ref_cells])
-    out: dict[int, list[int]] = {}
-    for qc, radius in query_radius.items():
-        between = np.linalg.norm(points[ref_cells] - points[qc], axis=1)
-        if query_range is not None:
-            worst = query_range[qc]
-        else:
-            certain = np.sort(
-                np.concatenate([radius + between[i] + np.asarray(nearest[c]) for i, c in enumerate(ref_cells)])
-            )
-            worst = certain[need - 1] if len(certain) >= need else np.inf
-        out[qc] = ref_cells[between - radius - reach <= worst + 1e-9].tolist()
-    return out
-
-
-def joined_blocks(q: DataFrame, r: DataFrame, need: int, ranged: bool = False) -> DataFrame:
-    """Pairs of query and reference blocks that can hold neighbours.
-
-    Both sides have (id, v, aux). With `ranged`, aux of a query is its range
-    and only cells within it are joined; else cells that may hold one of the
-    `need` nearest rows.
-    """
-    spark = q.sparkSession
-    pivots = choose_pivots(r)
-    if len(pivots.points) == 1:
-        return one_block(q, r)
-    qc, rc = assign_cells(q, pivots), assign_cells(r, pivots)
-
-    # Bounded summaries: per pivot cell a count, a radius and `need` distances.
-    q_stats, r_stats = cell_summary(qc, 0), cell_summary(rc, 0 if ranged else need)
-    near = None if ranged else {c: x[4] for c, x in r_stats.items()}
-    looks = reachable_cells(
-        pivots, {c: x[2] for c, x in q_stats.items()}, {c: x[2] for c, x in r_stats.items()}, near, need,
-        {c: x[3] for c, x in q_stats.items()} if ranged else None,
-    )
-
-    rows = limit(spark, BLOCK_ROWS)
-    q_blocks = {c: -(-x[1] // rows) for c, x in q_stats.items()}
-    r_blocks = {c: -(-x[1] // rows) for c, x in r_stats.items()}
-    load: dict[int, int] = {}
-    for c, targets in looks.items():
-        for t in targets:
-            load[t] = load.get(t, 0) + q_blocks[c]
-    salts = {t: -(-n // SALT_BLOCKS) for t, n in load.items()}
-    # At most pivots^2 rows, so also bounded by the pivot limit.
-    plan = small_table(
-        spark,
-        [{"cell": int(c), "t": int(t), "nb": r_blocks[t], "salts": salts[t]} for c, ts in looks.items() for t in ts],
-        [("cell", "int"), ("t", "int"), ("nb", "int"), ("salts", "int")],
-    )
-    salt_table = small_table(
-        spark, [{"cell": int(t), "salts": n} for t, n in salts.items()], [("cell", "int"), ("salts", "int")]
-    )
-    q_pack = pack_blocks(qc, {c: x[1] for c, x in q_stats.items()}, rows, "q")
-    r_pack = pack_blocks(rc, {c: x[1] for c, x in r_stats.items()}, rows, "r")
-    r_side = (
-        r_pack.join(F.broadcast(salt_table), "cell")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("cell", "salts")
-    )
-    q_side = (
-        q_pack.join(F.broadcast(plan), "cell")
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            F.concat_ws(":", F.col("t").cast("string"), F.col("_b").cast("string")).alias("rblock"),
-            F.pmod(F.xxhash64("qblock"), F.col("salts")).cast("int").alias("salt"),
-            "qids", "qflat", "qaux",
-        )
-    )
-    return q_side.join(r_side, ["rblock", "salt"]).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
-
-
-def one_block(q: DataFrame, r: DataFrame) -> DataFrame:
-    """A reference of at most one block, sent to every query block; nothing to prune."""
-    rows = limit(q.sparkSession, BLOCK_ROWS)
-    total = q.agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("_nb"))
-    q_pack = _packed(q.join(F.broadcast(total)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_nb"))), ["_b"], "q")
-    r_pack = _packed(r.withColumn("_b", F.lit(0)), ["_b"], "r").drop("_b")
-    return q_pack.join(F.broadcast(r_pack)).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
-
-
-def _block_arrays(batch: pa.RecordBatch, i: int):
-    qids, rids = batch.column(0)[i].values, batch.column(3)[i].values
-    x = batch.column(1)[i].values.to_numpy().reshape(len(qids), -1)
-    y = batch.column(4)[i].values.to_numpy().reshape(len(rids), -1)
-    return qids, x, rids, y
-
-
-def nearest_in_blocks(pairs: DataFrame, k: int, unit: bool, exclude_self: bool) -> DataFrame:
-    """k best references per query from joined blocks: query_id, ref_id, distance, rank."""
-    id_q, id_r = pairs.schema["qids"].dataType.elementType, pairs.schema["rids"].dataType.elementType
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qids, x, rids, y = _block_arrays(batch, i)
-                qv, rv = qids.to_numpy(zero_copy_only=False), rids.to_numpy(zero_copy_only=False)
-                order = np.argsort(rv, kind="stable")  # ties: smaller id first
-                y, rv = y[order], rv[order]
-                rough = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ y.T + (y**2).sum(1)[None, :], 0.0)
-                if exclude_self:
-                    rough = np.where(qv[:, None] == rv[None, :], np.inf, rough)
-                # The expanded form rounds differently from the plain one: keep all
-                # rows within rounding of the k-th, then measure those exactly.
-                kk = min(k, len(rv))
-                kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-                a, b = np.nonzero((rough <= kth[:, None] + 1e-9) & np.isfinite(rough))
-                exact = 1.0 - np.einsum("nd,nd->n", x[a], y[b]) if unit else np.linalg.norm(x[a] - y[b], axis=1)
-                frame = pd.DataFrame({"a": a, "b": b, "d": exact}).sort_values(["a", "d", "b"], kind="stable")
-                frame = frame[frame.groupby("a").cumcount() < k]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(qv[frame["a"]], batch.schema.field(0).type.value_type),
-                        pa.array(rv[frame["b"]], batch.schema.field(3).type.value_type),
-                        pa.array(frame["d"].to_numpy()),
-                    ],
-                    names=["query_id", "ref_id", "distance"],
-                )
-
-    schema = T.StructType(
-        [T.StructField("query_id", id_q), T.StructField("ref_id", id_r), T.StructField("distance", T.DoubleType())]
-    )
-    # k rows per (query, block): the window's group limit cuts them before the shuffle.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))
-    return pairs.mapInArrow(best, schema).withColumn("rank", place).where(F.col("rank") <= k)
+from plumbline.session import small_table
 
 
 def knn_join(
@@ -264,37 +30,14 @@ def knn_join(
         raise ValueError(f"unknown metric {metric!r}")
     unit = metric == "cosine"
     shape = (lambda c: V.l2_normalize(c)) if unit else F.col
-    q = query.select(F.col(query_id).alias("id"), shape(features).alias("v"), F.lit(0.0).alias("aux"))
-    r = ref.select(F.col(ref_id).alias("id"), shape(features).alias("v"), F.lit(0.0).alias("aux"))
-    return nearest_in_blocks(joined_blocks(q, r, k + 1 if exclude_self else k), k, unit, exclude_self)
+    side = lambda df, i: df.select(F.col(i).alias("id"), shape(features).alias("v"))
+    return nearest(side(query, query_id), side(ref, ref_id), k, unit, exclude_self)
 
 
 def smallest_in_range(query: DataFrame, ref: DataFrame, radius: str, value: str) -> DataFrame:
     """Per query row the smallest `value` of reference rows within its own `radius` (queries without any are absent)."""
-    q = query.select(F.col("sample_id").alias("id"), F.col("features").alias("v"), F.col(radius).alias("aux"))
-    r = ref.select(
-        F.col("sample_id").alias("id"), F.col("features").alias("v"), F.col(value).cast("double").alias("aux")
-    )
-    pairs = joined_blocks(q, r, 1, ranged=True)
-    schema = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField(value, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                qids, x, _, y = _block_arrays(batch, i)
-                reach = batch.column(2)[i].values.to_numpy()
-                carried = batch.column(5)[i].values.to_numpy()
-                rough = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ y.T + (y**2).sum(1)[None, :], 0.0)
-                a, b = np.nonzero(rough <= (reach**2)[:, None] + 1e-9)
-                inside = np.linalg.norm(x[a] - y[b], axis=1) <= reach[a]
-                low = np.full(len(x), np.inf)
-                np.minimum.at(low, a[inside], carried[b[inside]])
-                hit = np.isfinite(low)
-                yield pa.RecordBatch.from_arrays(
-                    [qids.take(pa.array(np.nonzero(hit)[0])), pa.array(low[hit])], names=["query_id", value]
-                )
-
-    return pairs.mapInArrow(run, schema).groupBy("query_id").agg(F.min(value).alias(value))
+    side = lambda df, *more: df.select(F.col("sample_id").alias("id"), F.col("features").alias("v"), *more)
+    return least_within(side(query, F.col(radius).alias("bound")), side(ref, F.col(value).cast("double").alias("aux")), value)
 
 
 def kth_distance(neighbors: DataFrame, k: int, name: str) -> DataFrame:
@@ -304,26 +47,24 @@ def kth_distance(neighbors: DataFrame, k: int, name: str) -> DataFrame:
 
 def knn_radius(
     query: DataFrame, ref: DataFrame, k: int, leave_one_out: bool = False,
-    max_ref: int = 10_000, max_query: int = 5_000, seed: int = 42, keys: Sequence[str] = (),
+    max_ref: int | None = None, max_query: int | None = None, seed: int = 42, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Cosine distance to the k-th neighbour, on the sampled queries and references of the contract.
+    """Cosine distance of every query row to its k-th neighbour among all reference rows.
 
-    With `keys` (such as a step) every group samples its own queries and all
-    of them share one join.
+    `max_query` and `max_ref` draw that many queries (per group of `keys`, such as a step) and references first;
+    without them nothing is drawn. `leave_one_out` leaves the row of the same id out. All groups share one join.
     """
     keys = list(keys)
 
-    def take(df: DataFrame, n: int, s: int, by: list[str]) -> DataFrame:
-        ranked = draw_rank(df.select(*by, "sample_id", "features"), "sample_id", s, by)
-        return ranked.where(F.col("draw_rank") <= n).select(*by, "sample_id", "features")
+    def take(df: DataFrame, n: int | None, s: int, by: list[str]) -> DataFrame:
+        df = df.select(*by, "sample_id", "features")
+        return df if n is None else draw_rank(df, "sample_id", s, by).where(F.col("draw_rank") <= n).drop("draw_rank")
 
-    q = take(query, max_query, seed, keys)
-    if leave_one_out:
-        r = ref if query.count() <= max_query else q
-        return kth_distance(knn_join(q, r, k, metric="cosine", exclude_self=True), k, "radius")
-    r = take(ref, max_ref, seed + 1, [])
+    q, r = take(query, max_query, seed, keys), take(ref, max_ref, seed + 1, [])
     if not keys:
-        return kth_distance(knn_join(q, r, k, metric="cosine"), k, "radius")
+        return kth_distance(knn_join(q, r, k, metric="cosine", exclude_self=leave_one_out), k, "radius")
+    if leave_one_out:
+        raise ValueError("rows are left out by their id, which groups may share")
     q = q.withColumn("_q", F.concat_ws("#", *[F.col(c).cast("string") for c in keys], F.col("sample_id").cast("string")))
     near = knn_join(q, r, k, query_id="_q", metric="cosine").where(F.col("rank") == k)
     return q.select(*keys, "sample_id", "_q").join(near.select(F.col("query_id").alias("_q"), F.col("distance").alias("radius")), "_q").drop("_q")
@@ -351,7 +92,7 @@ def attribute_neighbors(query: DataFrame, ref: DataFrame, attrs: Sequence[str],
         "_c", F.explode(F.array(*[F.concat_ws("=", F.lit(a), F.col(a).cast("string")) for a in attrs])).alias("_v")
     ).groupBy("_v").agg(F.sum("_c").alias("_n"))
     q = q.withColumn("id", F.concat_ws("#", F.substring_index("_v", "=", 1), F.col("sample_id").cast("string")))
-    near = _class_join(q, r.withColumnRenamed("sample_id", "id"), sizes, k)
+    near = nearest(q.select(F.col("_v").alias("grp"), "id", "v"), r.select(F.col("_v").alias("grp"), F.col("sample_id").alias("id"), "v"), k, True, False)
     k_eff = F.least(F.lit(k).cast("long"), F.greatest(F.col("_n") - 1, F.lit(1).cast("long")))
     slim = q.select("id", "_v").join(sizes.select("_v", k_eff.alias("_k")), "_v", "left")
     inside = near.join(slim.where(F.col("_k").isNotNull()), near["query_id"] == slim["id"])
@@ -366,26 +107,6 @@ def attribute_neighbors(query: DataFrame, ref: DataFrame, attrs: Sequence[str],
     )
 
 
-def _class_join(q: DataFrame, r: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """Nearest neighbours inside equal classes `_v`; classes are cut in bounded blocks, however large."""
-    rows = limit(r.sparkSession, BLOCK_ROWS)
-    r_blocks = sizes.select("_v", F.ceil(F.col("_n") / rows).cast("int").alias("_rb"))
-    q_blocks = q.groupBy("_v").agg(F.ceil(F.count("*") / rows).cast("int").alias("_qb"))
-    plan = r_blocks.join(q_blocks, "_v").withColumn("_salts", F.ceil(F.col("_qb") / SALT_BLOCKS).cast("int"))
-    r = r.select("_v", "id", "v", F.lit(0.0).alias("aux")).join(plan, "_v")
-    r = r.withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_rb")).cast("int"))
-    r_side = _packed(r, ["_v", "_b", "_salts"], "r").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    q = q.select("_v", "id", "v", F.lit(0.0).alias("aux")).join(plan, "_v")
-    q = q.withColumn("_q", F.pmod(F.xxhash64("id"), F.col("_qb")).cast("int"))
-    q_side = (
-        _packed(q, ["_v", "_q", "_rb", "_salts"], "q")
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_rb") - 1)))
-        .withColumn("salt", F.pmod(F.col("_q"), F.col("_salts")))
-    )
-    pairs = q_side.join(r_side.drop("_salts"), ["_v", "_b", "salt"]).select("qids", "qflat", "qaux", "rids", "rflat", "raux")
-    return nearest_in_blocks(pairs, k, True, False)
-
-
 def knn_per_attribute(real: DataFrame, gen: DataFrame, attrs: Sequence[str], k: int = 5) -> DataFrame:
     """Sum over attributes of the class-restricted k-th neighbour distance."""
     return attribute_neighbors(gen, real, attrs, k).groupBy("sample_id").agg(F.sum("distance").alias("knn_score"))
@@ -447,21 +168,16 @@ def neighbor_graph(df: DataFrame, k: int, features: str = "features", gamma: flo
     return near.withColumn("distance", F.col("distance") * F.col("distance"))
 
 
-def approx_knn(
-    query: DataFrame, ref: DataFrame, k: int, threshold: float, bucket_length: float = 0.5, tables: int = 8, seed: int = 1
-) -> DataFrame:
-    """Approximate k nearest rows within `threshold` by random-projection hashing."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="_vec", outputCol="_hash", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    q = query.select("sample_id", array_to_vector("features").alias("_vec"))
-    r = ref.select("sample_id", array_to_vector("features").alias("_vec"))
-    model = lsh.fit(r)
-    pairs = model.approxSimilarityJoin(q, r, threshold, "distance").select(
-        F.col("datasetA.sample_id").alias("query_id"), F.col("datasetB.sample_id").alias("ref_id"), "distance"
-    )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))
-    return pairs.withColumn("rank", place).where(F.col("rank") <= k)
+def approx_knn(query: DataFrame, ref: DataFrame, k: int, share: float = 0.95, every: int = 20) -> DataFrame:
+    """About the k nearest reference rows from an inverted-cell index: query_id, ref_id, distance, rank.
+
+    Probes are set so that, for the queries whose id's hash is divisible by `every`, at least `share` of their exact
+    neighbours lie in the cells looked into.
+    """
+    index = cell_index.build_index(ref)
+    asked = query.where(F.pmod(F.xxhash64(F.col("sample_id").cast("string")), F.lit(every)) == 0)
+    probes = cell_index.probes_for(index, asked, knn_join(asked, ref, k), share)
+    return cell_index.search(index, query, k, probes)
 
 
 def neighbor_vote(neighbors: DataFrame, labels: DataFrame, label: str, k: int) -> DataFrame:

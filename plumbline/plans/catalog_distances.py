@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import cell_index
 from plumbline.operators import distances as D
 from plumbline.operators import neighbors as N
 from plumbline.operators import scoring as S
@@ -44,12 +45,10 @@ def knn_self_cosine(spark, sf):
     return N.knn_join(real, real, 5, metric="cosine", exclude_self=True)
 
 
-@query("knn_radius", sql(f"SELECT query_id AS sample_id, distance AS radius FROM {nn_sql('qs', 'rs', 5, 'u', COS)} WHERE rank = 5", ["sample_id"], ["radius"],
-    [*BASE, f"qs AS (SELECT * FROM g QUALIFY row_number() OVER (ORDER BY {draw(42)}, sample_id) <= 150)", f"rs AS (SELECT * FROM r QUALIFY row_number() OVER (ORDER BY {draw(43)}, sample_id) <= 200)"]))
+@query("knn_radius", sql(f"SELECT query_id AS sample_id, distance AS radius FROM {nn_sql('g', 'r', 5, 'u', COS)} WHERE rank = 5", ["sample_id"], ["radius"], BASE))
 def knn_radius(spark, sf):
-    """The measure samples its queries and references; both caps are part of it."""
     real, gen = real_gen(spark, sf)
-    return N.knn_radius(gen, real, 5, max_ref=200, max_query=150)
+    return N.knn_radius(gen, real, 5)
 
 
 @query("knn_radius_leave_one_out", sql(f"SELECT query_id AS sample_id, distance AS radius FROM {nn_sql('r', 'r', 5, 'u', COS, True)} WHERE rank = 5", ["sample_id"], ["radius"], BASE))
@@ -87,7 +86,18 @@ def neighbor_graph(spark, sf):
 @query("approximate_knn")
 def approximate_knn(spark, sf):
     real, gen = real_gen(spark, sf)
-    return N.approx_knn(gen, real, 5, 1.6)
+    return N.approx_knn(gen, real, 5)
+
+
+@query("index_recall")
+def index_recall(spark, sf):
+    """Recall of the index for the queries whose id is divisible by 20, against the exact join with all references."""
+    rows = vectors(spark, sf).select("sample_id", "features")
+    index = cell_index.build_index(rows)
+    asked = rows.where("sample_id % 20 = 0")
+    exact = N.knn_join(asked, rows, 10)
+    probes = cell_index.probes_for(index, rows.where("sample_id % 20 = 10"), N.knn_join(rows.where("sample_id % 20 = 10"), rows, 10), 0.97)
+    return cell_index.recall(cell_index.search(index, asked, 10, probes), exact).withColumn("probes", F.lit(probes)).withColumn("cells", F.lit(len(index.codes.centres)))
 
 
 BETA = [i / 10 for i in range(11)]

@@ -19,8 +19,9 @@ WINDOW_ROWS = ("plumbline.window.maxRows", 2_000_000)
 BROADCAST_BYTES = ("plumbline.broadcast.maxBytes", 64 << 20)
 # Rows per packed block in block-wise vector joins.
 BLOCK_ROWS = ("plumbline.block.rows", 2048)
-# Pivots used to prune exact nearest-neighbour joins.
-MAX_PIVOTS = ("plumbline.knn.maxPivots", 512)
+# Leaf pivots of exact nearest-neighbour joins: their number, and the bytes they may take on the driver and in a broadcast.
+MAX_PIVOTS = ("plumbline.knn.maxPivots", 16_384)
+PIVOT_BYTES = ("plumbline.knn.pivotBytes", 32 << 20)
 # Distinct groups that may carry their own D x D statistics in one task.
 GRAM_GROUPS = ("plumbline.gram.maxGroups", 64)
 

@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 from plumbline.functions import vectors as V
 from plumbline.functions.arrow import matrix, with_columns
 from plumbline.operators import moments as M
+from plumbline.operators.grouped_logistic import fit_groups, predict_groups, tested_on_all
 from plumbline.operators.neighbors import knn_join, neighbor_vote
+from plumbline.operators.pivot_join import written
 from plumbline.operators.ranking import bin_within, detection_summary, random_scores
 from plumbline.operators.sampling import bootstrap_means, random_baseline, stratified_kfold
 from plumbline.operators.scoring import as_scalar_score, scorer
@@ -189,44 +191,35 @@ def probe_scorer(real: DataFrame, gen: DataFrame, attrs: Sequence[str], **option
     return as_scalar_score(linear_probe_energy(real, gen, attrs, **options), "probe_energy")
 
 
-def train_test(
-    train: DataFrame, test: DataFrame, label: str, pipeline: str = "l2", min_rows: int = 2, max_iter: int = 200
-) -> DataFrame | None:
-    """Fit on train classes of at least `min_rows` rows, report macro, micro and class coverage on test."""
-    if pipeline == "standardize":
-        # Statistics come from the rows the classifier sees.
-        kept = train.groupBy(label).count().where(F.col("count") >= min_rows).select(label)
-        train, test = standardize_vectors(train.join(kept, label, "left_semi"), train, test)
-    elif pipeline == "l2":
-        train, test = (t.withColumn("features", V.l2_normalize("features")) for t in (train, test))
-    elif pipeline != "none":
-        raise ValueError(f"unknown pipeline {pipeline!r}")
-    model = fit_logistic(train, label, max_iter=max_iter, min_rows=min_rows)
-    if model is None:
-        return None
-    known = F.col(label).isin(model.classes)
-    coverage = test.select(label).distinct().agg(F.avg(known.cast("double")).alias("coverage"))
-    out = accuracy_report(predict(test, model), label).join(F.broadcast(coverage))
-    return out.withColumn("n_train_classes", F.lit(len(model.classes)))
-
-
 def bin_downstream(
     gen: DataFrame, test: DataFrame, attrs: Sequence[str], label: str, rankings: Sequence[str] = ("trust",),
-    n_bins: int = 10, random_seeds: int = 1, pipeline: str = "l2", max_iter: int = 200,
+    n_bins: int = 10, random_seeds: int = 1, pipeline: str = "l2", max_iter: int = 200, min_rows: int = 2,
 ) -> DataFrame:
-    """Per ranking and within-condition score bin: train on the bin, test on the real rows."""
-    jobs = [(r, gen, r, 0) for r in rankings]
-    jobs += [("random", random_scores(gen, 1000 + s), "random_score", s) for s in range(random_seeds)]
-    out = None
-    for name, rows, score, seed in jobs:
-        bins = bin_within(rows, attrs, n_bins, score).select("bin", label, "features").persist()
-        for b in range(n_bins):
-            part = train_test(bins.where(F.col("bin") == b), test, label, pipeline, max_iter=max_iter)
-            if part is None:
-                continue
-            part = part.select(F.lit(name).alias("ranking"), F.lit(b).alias("bin"), F.lit(seed).alias("seed"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Per ranking, seed and within-condition score bin: train on the bin's classes of `min_rows` rows, test on the real rows.
+
+    Macro and micro accuracy, rows, share of the test classes that were trained, and trained classes. All models are fitted
+    in one pass and tested in one pass over the test rows, whatever the number of bins, rankings and seeds. `test` should be
+    rows that calibrated nothing, such as the held-out part of `stratified_test_split`.
+    """
+    if pipeline not in ("l2", "standardize", "none"):
+        raise ValueError(f"unknown pipeline {pipeline!r}")
+    if pipeline == "l2":
+        gen, test = (t.withColumn("features", V.l2_normalize("features")) for t in (gen, test))
+    keys = list(dict.fromkeys([*attrs, label]))
+    jobs = [(r, gen.select("sample_id", *keys, "features", F.col(r).alias("_s")), 0) for r in rankings]
+    jobs += [("random", random_scores(gen, 1000 + s).select("sample_id", *keys, "features", F.col("random_score").alias("_s")), s) for s in range(random_seeds)]
+    rows = None
+    for name, scored, seed in jobs:
+        part = bin_within(scored, attrs, n_bins, "_s").select(F.concat_ws("|", F.lit(name), F.lit(str(seed)), F.col("bin").cast("string")).alias("_model"), label, "features")
+        rows = part if rows is None else rows.unionByName(part)
+    models = written(fit_groups(rows, label, grp="_model", max_iter=max_iter, min_rows=min_rows, standardize=pipeline == "standardize"), "models")
+    cells = tested_on_all(test, models, label)
+    report = cells.groupBy("grp").agg(
+        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("micro"), F.avg(F.col("hits") / F.col("n")).alias("macro"), F.avg(F.col("known").cast("double")).alias("coverage"))
+    trained = models.select("grp", F.size("classes").alias("n_train_classes"))
+    part = lambda i: F.element_at(F.split("grp", "[|]"), i)
+    return report.join(trained, "grp").select(
+        part(1).alias("ranking"), part(3).cast("int").alias("bin"), part(2).cast("int").alias("seed"), "n", "micro", "macro", "coverage", "n_train_classes")
 
 
 def bin_summary(results: DataFrame, metric: str = "micro") -> DataFrame:
@@ -334,41 +327,60 @@ def attribute_probes(train: DataFrame, sets: dict[str, DataFrame], attrs: Sequen
     return out
 
 
+def out_of_fold(split: DataFrame, label: str, by: Sequence[str], pipeline: str, max_iter: int) -> DataFrame:
+    """Rows of split(*by, fold, sample_id, label, features) predicted by a model trained on the other folds of their group."""
+    name = lambda fold: F.concat_ws("|", *[F.col(c).cast("string") for c in by], fold.cast("string"))
+    if pipeline == "l2":
+        split = split.withColumn("features", V.l2_normalize("features"))
+    last = split.groupBy(*by).agg(F.max("fold").alias("_last"))
+    others = split.join(last, list(by)) if by else split.join(F.broadcast(last))
+    others = others.withColumn("_f", F.explode(F.sequence(F.lit(0), "_last"))).where(F.col("_f") != F.col("fold"))
+    train = others.select(name(F.col("_f")).alias("_model"), label, "features")
+    models = written(fit_groups(train, label, grp="_model", max_iter=max_iter, standardize=pipeline == "standardize"), "models")
+    return predict_groups(split.withColumn("_model", name(F.col("fold"))), models, label, grp="_model").drop("features", "_model")
+
+
+def fold_report(rows: DataFrame, label: str, by: Sequence[str], top: Sequence[int]) -> DataFrame:
+    """Mean and population std of macro and micro accuracy over folds, and top-k accuracy, per group."""
+    by = list(by)
+    per = accuracy_report(rows, label, [*by, "fold"])
+    out = (per.groupBy(*by) if by else per.groupBy()).agg(
+        F.avg("macro").alias("macro_mean"), F.stddev_pop("macro").alias("macro_std"), F.avg("micro").alias("micro_mean"),
+        F.stddev_pop("micro").alias("micro_std"), F.sum("n").alias("n"), F.count("*").alias("n_folds"),
+    )
+    hits = (rows.groupBy(*by) if by else rows.groupBy()).agg(*[F.avg((F.col("true_rank") <= k).cast("double")).alias(f"top{k}") for k in top])
+    return out.join(hits, by) if by else out.join(F.broadcast(hits))
+
+
 def cross_validate(
     df: DataFrame, label: str, folds: int = 5, min_rows: int = 5, seed: int = 0, pipeline: str = "standardize",
     max_iter: int = 100, top: Sequence[int] = (1, 5),
 ) -> DataFrame | None:
-    """Stratified out-of-fold accuracy: mean and population std of macro and micro over folds, and top-k."""
-    split = stratified_kfold(df, label, folds, min_rows, seed).select("sample_id", label, "features", "fold").persist()
-    n_folds = split.agg(F.max("fold")).first()[0]
-    if n_folds is None or n_folds < 1 or len(_labels(split, label)) < 2:
+    """Stratified out-of-fold accuracy: mean and population std of macro and micro over folds, and top-k.
+
+    None with fewer than two folds or two classes of `min_rows` rows.
+    """
+    split = written(stratified_kfold(df, label, folds, min_rows, seed).select("sample_id", label, "features", "fold"), "folds")
+    n_folds, classes = split.agg(F.max("fold"), F.countDistinct(label)).first()
+    if not n_folds or classes < 2:
         return None
-    rows = None
-    for f in range(n_folds + 1):
-        train, test = split.where(F.col("fold") != f), split.where(F.col("fold") == f)
-        if pipeline == "standardize":
-            train, test = standardize_vectors(train, train, test)
-        part = predict(test, fit_logistic(train, label, max_iter=max_iter), label=label).drop("features")
-        rows = part if rows is None else rows.unionByName(part)
-    per = accuracy_report(rows, label, ["fold"])
-    out = per.agg(
-        F.avg("macro").alias("macro_mean"), F.stddev_pop("macro").alias("macro_std"), F.avg("micro").alias("micro_mean"),
-        F.stddev_pop("micro").alias("micro_std"), F.sum("n").alias("n"), F.count("*").alias("n_folds"),
-    )
-    hits = rows.agg(*[F.avg((F.col("true_rank") <= k).cast("double")).alias(f"top{k}") for k in top])
-    return out.join(F.broadcast(hits))
+    return fold_report(out_of_fold(split, label, [], pipeline, max_iter), label, [], top)
 
 
 def signal_within(
-    tables: dict[str, DataFrame], within: str, label: str, folds: int = 5, max_iter: int = 100
+    tables: dict[str, DataFrame], within: str, label: str, folds: int = 5, max_iter: int = 100, min_rows: int = 5, seed: int = 0,
+    pipeline: str = "standardize", top: Sequence[int] = (1, 5),
 ) -> DataFrame:
-    """cross_validate of the label inside each value of another attribute, for several row sets."""
-    out = None
+    """cross_validate of the label inside each value of another attribute, for several row sets.
+
+    Values and sets are groups of one table, so the number of jobs does not grow with them. Values with fewer than two
+    folds or classes are left out.
+    """
+    rows = None
     for name, df in tables.items():
-        for value in _labels(df, within):
-            part = cross_validate(df.where(F.col(within) == value), label, folds, max_iter=max_iter)
-            if part is None:
-                continue
-            part = part.select(F.lit(name).alias("rows"), F.lit(value).alias(within), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+        part = df.where(F.col(within).isNotNull() & F.col(label).isNotNull()).select(F.lit(name).alias("rows"), within, label, "sample_id", "features")
+        rows = part if rows is None else rows.unionByName(part)
+    by = ["rows", within]
+    split = written(stratified_kfold(rows, label, folds, min_rows, seed, within=by), "folds")
+    enough = split.groupBy(*by).agg(F.max("fold").alias("_f"), F.countDistinct(label).alias("_c")).where("_f >= 1 and _c >= 2").select(*by)
+    return fold_report(out_of_fold(split.join(enough, by, "left_semi"), label, by, pipeline, max_iter), label, by, top)

@@ -101,17 +101,18 @@ def half_split(
 
 
 def stratified_kfold(
-    df: DataFrame, label: str, folds: int = 5, min_count: int = 2, seed: int = 42, sample_id: str = "sample_id"
+    df: DataFrame, label: str, folds: int = 5, min_count: int = 2, seed: int = 42, sample_id: str = "sample_id", within: Sequence[str] = (),
 ) -> DataFrame:
     """Fold number per row, even within each class; classes below `min_count` rows are dropped.
 
-    The number of folds is min(folds, smallest class kept).
+    The number of folds is min(folds, smallest class kept); with `within` each of its values is split by itself.
     """
-    kept = draw_rank(df, sample_id, seed, [label]).where(F.col("group_n") >= min_count)
-    smallest = kept.agg(F.min("group_n").alias("_s"))
+    within = list(within)
+    kept = draw_rank(df, sample_id, seed, [*within, label]).where(F.col("group_n") >= min_count)
+    smallest = (kept.groupBy(*within) if within else kept).agg(F.min("group_n").alias("_s"))
     width = F.least(F.lit(folds).cast("long"), F.col("_s"))
     return (
-        kept.join(F.broadcast(smallest))
+        (kept.join(smallest, within) if within else kept.join(F.broadcast(smallest)))
         .withColumn("fold", ((F.col("draw_rank") - 1) % width).cast("int"))
         .drop("draw_rank", "group_n", "_s")
     )

@@ -2,18 +2,21 @@
 
 Fitting needs one Gram pass, one mean pass per attribute and one light pass
 for the shrinkage. Scoring is map-only: every task multiplies its batches with
-the broadcast means and precision. Means are sent in blocks of bounded size,
-so an attribute with very many values adds passes, not memory.
+the broadcast means and precision. Means of an attribute with more values than
+one broadcast may hold stay a table: energies are squared distances after the
+precision's root is applied, so the smallest ones per row are a nearest-mean
+join, which sends a row only to means that can be among them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +24,7 @@ from plumbline.functions import vectors as V
 from plumbline.functions.arrow import matrix, unit_rows, with_columns
 from plumbline.operators import moments as M
 from plumbline.operators.conditions import filter_seen
+from plumbline.operators.pivot_join import nearest, written
 from plumbline.session import BROADCAST_BYTES, limit, small_table
 
 EPS = 1e-12
@@ -47,15 +51,18 @@ class ValueBlock:
 
 @dataclass
 class AttributeFit:
+    """Means in blocks, or as `table` (value, mu) of an attribute with very many values."""
+
     attr: str
     precision: np.ndarray | None
     blocks: list[ValueBlock]
     mean: float = 0.0
     std: float = 1.0
+    table: DataFrame | None = None
 
     @property
     def n_values(self) -> int:
-        return sum(len(b.values) for b in self.blocks)
+        return self.table.count() if self.table is not None else sum(len(b.values) for b in self.blocks)
 
 
 @dataclass
@@ -128,9 +135,11 @@ def fit_attribute(
     shrunk precision instead.
     """
     units = real.where(F.col(attr).isNotNull()).select(attr, V.l2_normalize(features).alias("_u"))
-    means = M.centroids(units, [attr], "_u")
+    means = written(M.centroids(units, [attr], "_u"), "means")
     d = len(units.select("_u").first()[0])
     budget = limit(real.sparkSession, BROADCAST_BYTES)
+    if shared_cov and means.count() * 8 * d > budget:
+        return AttributeFit(attr, pooled_precision(units, means, [attr], min_samples, reg), [], table=means.select(F.col(attr).alias("value"), "mu"))
     blocks = _value_blocks(means, attr, d, budget)
     n_values = sum(len(b.values) for b in blocks)
     if shared_cov and n_values >= 2:
@@ -203,6 +212,8 @@ def add_margin(df: DataFrame, fit: AttributeFit, features: str = "features", nam
     Each block of means is one narrow pass that carries the running true and
     smallest other energies.
     """
+    if fit.table is not None:
+        return _margin_by_join(df, fit, features, name)
     attr = fit.attr
     fields = [*df.schema.fields, T.StructField("_true", T.DoubleType()), T.StructField("_other", T.DoubleType())]
     out = df.withColumns({"_true": F.lit(None).cast("double"), "_other": F.lit(None).cast("double")})
@@ -239,6 +250,31 @@ def add_margin(df: DataFrame, fit: AttributeFit, features: str = "features", nam
     return out.withColumn(name, F.col("_true") - F.col("_other")).drop("_true", "_other")
 
 
+def _rooted(df: DataFrame, vector: Column | str, precision: np.ndarray, name: str) -> DataFrame:
+    """Vectors times the precision's root: squared distances between them are energies."""
+    return M.apply_matrix(df.withColumn(name, vector if isinstance(vector, Column) else F.col(vector)), np.linalg.cholesky(precision), None, name, name)
+
+
+def _nearest_means(df: DataFrame, means: DataFrame, precision: np.ndarray, features: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered rows with their rooted vectors (`_row`, `_x`), rooted means (value, `_m`), and the k nearest means per row.
+
+    The rows are written once, so that their numbers stay.
+    """
+    rows = written(_rooted(df, V.l2_normalize(features), precision, "_x").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    centres = _rooted(means.select("value", "mu"), "mu", precision, "_m").select("value", "_m")
+    near = nearest(rows.where(F.col(features).isNotNull()).select(F.col("_row").alias("id"), F.col("_x").alias("v")), centres.select(F.col("value").alias("id"), F.col("_m").alias("v")), k, False, False)
+    return rows, centres, near
+
+
+def _margin_by_join(df: DataFrame, fit: AttributeFit, features: str, name: str) -> DataFrame:
+    """add_margin without means on the driver or in a broadcast: of a row's two nearest means one is not its own."""
+    rows, centres, near = _nearest_means(df, fit.table.where("value is not null"), fit.precision, features, 2)
+    own = rows.select("_row", "_x", F.col(fit.attr).alias("value")).join(centres, "value").select("_row", "value", V.l2_distance("_x", "_m").alias("_true"))
+    other = near.withColumnRenamed("query_id", "_row").join(own, "_row").where(F.col("ref_id") != F.col("value")).groupBy("_row").agg(F.first("_true").alias("_true"), F.min("distance").alias("_other"))
+    margin = other.select("_row", (F.col("_true") * F.col("_true") - F.col("_other") * F.col("_other")).alias(name))
+    return rows.join(margin, "_row", "left").select(*df.columns, name)
+
+
 def calibrate(df: DataFrame, value: str) -> tuple[float, float]:
     """Mean and sample std of a column; (0, 1) without rows, std 1 with a single row."""
     row = df.where(F.col(value).isNotNull()).agg(F.count("*"), F.avg(value), F.stddev_samp(value)).first()
@@ -379,18 +415,24 @@ def model_table(df: DataFrame, model: Model) -> DataFrame:
     """The fitted means and calibration as rows (scope, value, mean, std, mu) to be stored."""
     spark = df.sparkSession
     rows = [("global", None, model.overall.mean, model.overall.std, model.overall.mu.tolist())]
+    more = []
     for attr, fit in model.attributes.items():
+        if fit.table is not None:
+            more.append(fit.table.select(F.lit(attr).alias("scope"), F.col("value").cast("string").alias("value"), F.lit(fit.mean).alias("mean"), F.lit(fit.std).alias("std"), "mu"))
         for block in fit.blocks:
             rows += [(attr, str(v), fit.mean, fit.std, m.tolist()) for v, m in zip(block.values, block.mus)]
-    return spark.createDataFrame(rows, "scope string, value string, mean double, std double, mu array<double>")
+    return reduce(DataFrame.unionByName, more, spark.createDataFrame(rows, "scope string, value string, mean double, std double, mu array<double>"))
 
 
 @dataclass
 class MixtureFit:
-    mus: np.ndarray
+    """Component means in one array, or as `table` (value, mu) of very many."""
+
+    mus: np.ndarray | None
     precision: np.ndarray
     mean: float
     std: float
+    table: DataFrame | None = None
 
 
 def fit_mixture(
@@ -407,7 +449,7 @@ def fit_mixture(
     most = max(1, limit(real.sparkSession, BROADCAST_BYTES) // (8 * d))
     classes = _class_means(rows, ["_c"], features, most)
     if classes is None:
-        raise ValueError("too many mixture components for one broadcast; use a coarser component key")
+        return _many_components(real, rows, features, min_samples)
     kept = [c for c in classes["_c"] if c[1] >= min_samples]
     if not kept:
         fit = fit_global(real, features)
@@ -427,8 +469,31 @@ def fit_mixture(
     return MixtureFit(mus, p, mean, std)
 
 
+def _many_components(real: DataFrame, rows: DataFrame, features: str, min_samples: int) -> MixtureFit:
+    """fit_mixture of rows(_c, features) whose components' means exceed one broadcast."""
+    units = rows.select("_c", V.l2_normalize(features).alias("_u"))
+    means = written(M.centroids(units, ["_c"], "_u"), "means")
+    kept = means.where(F.col("n") >= min_samples).select(F.col("_c").alias("value"), "mu")
+    if kept.isEmpty():
+        fit = fit_global(real, features)
+        mean, std = calibrate(add_min_energy(real.select(features), fit.mu[None, :], fit.precision, features), "energy")
+        return MixtureFit(fit.mu[None, :], fit.precision, mean, std)
+    fit = MixtureFit(None, pooled_precision(units, means, ["_c"], min_samples), 0.0, 1.0, kept)
+    fit.mean, fit.std = calibrate(_component_energy(real.select(features), fit, features, "energy"), "energy")
+    return fit
+
+
+def _component_energy(df: DataFrame, fit: MixtureFit, features: str, name: str) -> DataFrame:
+    """Smallest energy over the components."""
+    if fit.table is None:
+        return add_min_energy(df, fit.mus, fit.precision, features, name)
+    rows, _, near = _nearest_means(df, fit.table, fit.precision, features, 1)
+    least = near.select(F.col("query_id").alias("_row"), (F.col("distance") * F.col("distance")).alias(name))
+    return rows.join(least, "_row", "left").select(*df.columns, name)
+
+
 def mixture_realism(df: DataFrame, fit: MixtureFit, features: str = "features", two_sided: bool = True) -> DataFrame:
-    out = add_min_energy(df, fit.mus, fit.precision, features, "_e")
+    out = _component_energy(df, fit, features, "_e")
     z = (F.col("_e") - F.lit(fit.mean)) / F.lit(fit.std + EPS)
     return out.withColumn("mixture_z", z * z if two_sided else z).drop("_e")
 

@@ -11,6 +11,7 @@ from plumbline.operators import moments as M
 from plumbline.operators import probes as P
 from plumbline.operators import selection as SE
 from plumbline.operators.conditions import class_map
+from plumbline.operators.sampling import stratified_test_split
 from plumbline.operators.scoring import fit_components
 from plumbline.operators.summaries import long_columns
 from plumbline.plans.catalog_conditions import matched_sql
@@ -18,7 +19,7 @@ from plumbline.plans.registry import (
     BASE, SCORE, V_SQL, mean_sql, poisson_sql, query, real_gen, sql, table, unit_draw_sql,
     vectors, with_centre_score,
 )
-from plumbline.session import small_table, work_folder
+from plumbline.session import cut_lineage, small_table, work_folder
 from plumbline.streaming.gate import acceptance_monitor, score_stream
 
 AB = ["a", "b"]
@@ -298,20 +299,33 @@ def k_sweep(spark, sf):
 ITER = 40
 
 
+def _held_out(spark, sf):
+    """Real rows kept for tests (30 % of each condition), and generated rows scored by the others."""
+    split = stratified_test_split(real_gen(spark, sf)[0], AB)
+    fit, test = split.where("not is_test").drop("is_test"), split.where("is_test").drop("is_test")
+    return test, with_centre_score(fit, real_gen(spark, sf)[1])
+
+
 @query("bin_downstream")
 def bin_downstream(spark, sf):
-    real, gen = _scored(spark, sf)
-    r = P.bin_downstream(gen, real, AB, "a", ["trust"], 2, 1, max_iter=ITER)
+    """The condition is learned from each score bin and read out on real rows that calibrated nothing."""
+    test, gen = _held_out(spark, sf)
+    r = P.bin_downstream(gen, test, AB, "label", ["trust", "realism_z", "faithfulness_z"], 5, 2)
     return r.select("ranking", "bin", "seed", "n", "micro", "macro", "coverage", "n_train_classes")
 
 
 @query("bin_downstream_spread")
 def bin_downstream_spread(spark, sf):
-    real, gen = _scored(spark, sf)
-    r = P.bin_downstream(gen, real, AB, "a", ["trust"], 2, 1, max_iter=ITER)
-    spread = P.bin_spread(P.bin_summary(r), 2)
-    cfg = r.select(F.lit("all").alias("config"), "ranking", "bin", F.lit("micro").alias("metric"), F.col("micro").alias("value"))
-    return spread.join(F.broadcast(FS.selection_spread(cfg, 2).select("random_level", F.col("spread").alias("score_spread"))))
+    """First-minus-last bin per ranking, and the spread between three preparations of the vectors."""
+    test, gen = _held_out(spark, sf)
+    runs = None
+    for config in ("l2", "standardize", "none"):
+        r = P.bin_downstream(gen, test, AB, "label", ["trust"], 3, 2, config).withColumn("config", F.lit(config))
+        runs = r if runs is None else runs.unionByName(r)
+    runs = cut_lineage(runs)
+    spread = P.bin_spread(P.bin_summary(runs), 3)
+    cfg = runs.groupBy("config", "ranking", "bin").agg(F.avg("micro").alias("value")).withColumn("metric", F.lit("micro"))
+    return spread.join(F.broadcast(FS.selection_spread(cfg, 3).select("random_level", F.col("spread").alias("score_spread"))))
 
 
 @query("gen_to_real")

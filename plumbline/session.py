@@ -22,6 +22,8 @@ BLOCK_ROWS = ("plumbline.block.rows", 2048)
 # Leaf pivots of exact nearest-neighbour joins: their number, and the bytes they may take on the driver and in a broadcast.
 MAX_PIVOTS = ("plumbline.knn.maxPivots", 16_384)
 PIVOT_BYTES = ("plumbline.knn.pivotBytes", 32 << 20)
+# Bytes of vectors of one group that a task may hold to fit its model by itself.
+FIT_BYTES = ("plumbline.fit.maxBytes", 64 << 20)
 # Distinct groups that may carry their own D x D statistics in one task.
 GRAM_GROUPS = ("plumbline.gram.maxGroups", 64)
 

@@ -12,8 +12,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
 )
-# Slow classifier and panel queries without SQL: their parts are tested in test_operators.
-SLOW = {"signal_within", "bin_downstream_spread", "cross_validate", "percentile_mode_panel"}
+# A slow panel query without SQL: its parts are tested in test_operators.
+SLOW = {"percentile_mode_panel"}
 TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}
 
 

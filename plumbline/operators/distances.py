@@ -26,9 +26,16 @@ from plumbline.operators.conditions import nearest_condition
 from plumbline.operators.prefix import average_ranks
 from plumbline.operators.ranking import spearman
 from plumbline.operators.sampling import condition_counts, draw_rank, matched_draw, stratified_kfold, with_reps
-from plumbline.session import BLOCK_ROWS, cut_lineage, limit, small_table
+from plumbline.operators.pivot_join import written
+from plumbline.session import BLOCK_ROWS, WINDOW_ROWS, cut_lineage, limit, small_table
 
-KID_CAP = 500
+PAIR_ROWS = 4096  # rows of a sample whose pairs one task adds up; larger samples go through the feature map
+MAP_BYTES = 64 << 20  # of one group's third-order sums in a task; wider vectors are cut in index blocks
+
+
+def at_most(cap: int | None, *sizes: Column) -> Column:
+    """The least of some sizes, and of a cap that the caller may give."""
+    return F.least(*sizes, *([] if cap is None else [F.lit(cap)]))
 
 
 def kid_mode(normalize: str, feature_type: str) -> str:
@@ -53,21 +60,36 @@ def cubic_mmd(x: np.ndarray, y: np.ndarray, mode: str = "cosine") -> float:
 
 
 def _feature_map_sums(df: DataFrame, keys: Sequence[str], mode: str, features: str) -> DataFrame:
-    """Per group the summed feature map of the cubic kernel, in chunks, and the summed diagonal (chunk -1)."""
+    """Per group the summed feature map of the cubic kernel, in chunks, and the summed diagonal (chunk -1).
+
+    The third-order part is cut by its first index in blocks of bounded size. With more than one block every row goes to
+    each, and rows of one block are brought together before they are summed.
+    """
     keys = list(keys)
-    slim = df.select(*keys, F.col(features).alias("_x"))
+    spark = df.sparkSession
+    width = df.select(F.size(features)).first()
+    width = width[0] if width else 1
+    blocks = max(1, min(width, -(-8 * width**3 // MAP_BYTES)))
+    slim = df.select(*keys, F.col(features).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    if blocks > 1:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        slim = slim.repartition(max(parts, blocks), "_b", F.pmod(F.xxhash64("_x"), F.lit(max(1, parts // blocks))))
     key_schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in slim.schema if f.name in keys)
+    bounds = np.linspace(0, width, blocks + 1).astype(int).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, tuple[float, np.ndarray]] = {}
         types: list[pa.DataType] = []
 
         def flush():
-            for key, (diag, flat) in sums.items():
+            for (*key, block), (diag, flat) in sums.items():
                 parts = [flat[i : i + M.CHUNK] for i in range(0, len(flat), M.CHUNK)]
-                arrays = [pa.array([v] * (len(parts) + 1), types[j]) for j, v in enumerate(key)]
-                arrays.append(pa.array([-1, *range(len(parts))], pa.int32()))
-                arrays.append(pa.array([[diag], *[p.tolist() for p in parts]], pa.list_(pa.float64())))
+                numbers = [block << 20 | i for i in range(len(parts))]
+                if block == 0:
+                    parts, numbers = [np.array([diag]), *parts], [-1, *numbers]
+                arrays = [pa.array([v] * len(parts), types[j]) for j, v in enumerate(key)]
+                arrays.append(pa.array(numbers, pa.int32()))
+                arrays.append(pa.array([p.tolist() for p in parts], pa.list_(pa.float64())))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "chunk", "vals"])
 
         for batch in batches:
@@ -76,21 +98,20 @@ def _feature_map_sums(df: DataFrame, keys: Sequence[str], mode: str, features: s
             types = [batch.schema.field(k).type for k in keys]
             x = matrix(batch.column(batch.schema.get_field_index("_x")))
             x = unit_rows(x) if mode == "cosine" else x / np.sqrt(x.shape[1])
-            groups = (
-                batch.select(keys).to_pandas().groupby(keys, sort=False, dropna=False).indices if keys else {(): np.arange(len(x))}
-            )
+            groups = batch.select([*keys, "_b"]).to_pandas().groupby([*keys, "_b"], sort=False, dropna=False).indices
             for key, index in groups.items():
                 key = key if isinstance(key, tuple) else (key,)
                 key = tuple(k.item() if hasattr(k, "item") else k for k in key)
+                low, high = bounds[key[-1]], bounds[key[-1] + 1]
                 part = x[index]
-                third = np.zeros((part.shape[1], part.shape[1] ** 2))
+                third = np.zeros((high - low, part.shape[1] ** 2))
                 for i in range(0, len(part), 512):
                     p = part[i : i + 512]
-                    third += p.T @ (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
-                flat = np.concatenate(
-                    [[len(part)], np.sqrt(3.0) * part.sum(0), np.sqrt(3.0) * (part.T @ part).ravel(), third.ravel()]
-                )
-                diag = float((((part**2).sum(1) + 1.0) ** 3).sum())
+                    third += p[:, low:high].T @ (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)
+                flat, diag = third.ravel(), 0.0
+                if low == 0:
+                    flat = np.concatenate([[len(part)], np.sqrt(3.0) * part.sum(0), np.sqrt(3.0) * (part.T @ part).ravel(), flat])
+                    diag = float((((part**2).sum(1) + 1.0) ** 3).sum())
                 old = sums.get(key)
                 sums[key] = (diag, flat) if old is None else (old[0] + diag, old[1] + flat)
             if sum(f.nbytes for _, f in sums.values()) > 256 << 20:
@@ -111,12 +132,17 @@ def kid(
     """Cubic-kernel unbiased MMD^2 of whole groups without any cap or pair.
 
     sum_ij (x_i.y_j + 1)^3 is the inner product of the two summed feature maps
-    (1, sqrt3 x, sqrt3 x(x)x, x(x)x(x)x), so each side is one aggregate. Meant
-    for D up to a few hundred, as the map has D^3 entries.
+    (1, sqrt3 x, sqrt3 x(x)x, x(x)x(x)x), so each side is one aggregate. The
+    map has D^3 entries; a task holds a block of them.
     """
+    return _kid_from_sums(_feature_map_sums(x, keys, mode, features), _feature_map_sums(y, keys, mode, features), keys)
+
+
+def _kid_from_sums(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, n_x, n_y and kid from both sides' feature-map sums."""
     keys = list(keys)
-    a = _feature_map_sums(x, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("_va"))
-    b = _feature_map_sums(y, keys, mode, features).select(*keys, "chunk", F.col("vals").alias("_vb"))
+    a = a.select(*keys, "chunk", F.col("vals").alias("_va"))
+    b = b.select(*keys, "chunk", F.col("vals").alias("_vb"))
     both = a.join(b, [*keys, "chunk"])
     off = F.col("chunk") >= 0
     grouped = both.groupBy(*keys) if keys else both.groupBy()
@@ -134,12 +160,23 @@ def kid(
     )
 
 
-def kid_of_sides(samples: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]], mode: str = "cosine") -> DataFrame:
-    """Kernel distances between named sides of capped groups: keys, side, features -> keys, one column per pair.
+def kid_of_sides(
+    samples: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]], mode: str = "cosine", most: int = PAIR_ROWS
+) -> DataFrame:
+    """Kernel distances between named sides of equal size: keys, side, features -> keys, one column per pair.
 
-    A side with more rows than its partner is an error of the caller; missing
-    sides give null.
+    `most` is the size of the largest side: small samples are summed pair by pair in a task, larger ones by the feature
+    map. Sides of different size, or missing ones, give null.
     """
+    if most > PAIR_ROWS:
+        keys = list(keys)
+        sums = written(_feature_map_sums(samples, [*keys, "side"], mode, "features"), "feature-maps")
+        side = lambda s: sums.where(F.col("side") == s).drop("side")
+        out = samples.select(*keys).distinct()
+        for name, (a, b) in pairs.items():
+            one = _kid_from_sums(side(a), side(b), keys)
+            out = out.join(one.select(*keys, F.when(F.col("n_x") == F.col("n_y"), F.col("kid")).alias(name)), keys, "left")
+        return out
     keys = list(keys)
     fields = [samples.schema[k] for k in keys]
     schema = T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in pairs]])
@@ -158,18 +195,26 @@ def kid_of_sides(samples: DataFrame, keys: Sequence[str], pairs: dict[str, tuple
     return samples.select(*keys, "side", "features").groupBy(*keys).applyInArrow(run, schema)
 
 
-def capped_order(
-    rows: DataFrame, keys: Sequence[str], reps: int, seed: int, cap: int, draw_id: str = "draw_id"
+def first_drawn(
+    rows: DataFrame, keys: Sequence[str], reps: int, seed: int, most: int, draw_id: str = "draw_id"
 ) -> DataFrame:
-    """First `cap` rows of every (group, repetition) in random order, with their place.
+    """First `most` rows of every (group, repetition) in random order, with their place.
 
-    The literal cap lets Spark cut groups per partition before the shuffle, so
-    a hot group sends at most cap rows per task.
+    As long as a window may hold so many, Spark cuts groups per partition before the shuffle, so a hot group sends at most
+    `most` rows per task; beyond, ranks go through hash-prefix buckets.
     """
     keys = list(keys)
+    if most > limit(rows.sparkSession, WINDOW_ROWS):
+        ranked = draw_rank(with_reps(rows, reps), draw_id, seed, [*keys, "rep"], rep=F.col("rep"), name="place")
+        return ranked.where(F.col("place") <= most).drop("group_n")
     keyed = with_reps(rows, reps).withColumn("_d", V.draw_key(seed, F.col("rep"), draw_id))
     place = F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("_d", draw_id))
-    return keyed.withColumn("place", place).where(F.col("place") <= cap).drop("_d")
+    return keyed.withColumn("place", place).where(F.col("place") <= most).drop("_d")
+
+
+def largest(cells: DataFrame) -> int:
+    """The largest sample size k of any group."""
+    return int(cells.agg(F.coalesce(F.max("k"), F.lit(1))).first()[0])
 
 
 def as_draws(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -192,12 +237,12 @@ def cell_sizes(x_rows: DataFrame, y_rows: DataFrame, keys: Sequence[str], size:
 
 def sampled_kid(
     x_rows: DataFrame, y_rows: DataFrame, x_feats: DataFrame, y_feats: DataFrame, keys: Sequence[str],
-    size: Column | None, reps: int, seed: int = 42, mode: str = "cosine", cap: int = KID_CAP, split_y: bool = False,
+    size: Column | None, reps: int, seed: int = 42, mode: str = "cosine", split_y: bool = False,
     min_size: int = 2, cells: DataFrame | None = None,
 ) -> DataFrame:
     """Kernel distance of `size` random rows per side for every group and repetition.
 
-    `size` is an expression over n_x and n_y, at most `cap`. With `split_y` the
+    `size` is an expression over n_x and n_y. With `split_y` the
     y side gives two disjoint samples A and B: `kid` is A against x and
     `kid_base` A against B. Only ids are ranked; vectors are fetched for drawn
     rows. `cells` (keys, k) gives the sizes directly.
@@ -205,15 +250,15 @@ def sampled_kid(
     keys = list(keys)
     if cells is None:
         cells = cell_sizes(x_rows, y_rows, keys, size, min_size)
-    depth = 2 * cap if split_y else cap
-    x = capped_order(x_rows, keys, reps, seed, cap).join(cells, keys).where(F.col("place") <= F.col("k"))
-    y = capped_order(y_rows, keys, reps, seed + 1, depth).join(cells, keys)
+    most = largest(cells)
+    x = first_drawn(x_rows, keys, reps, seed, most).join(cells, keys).where(F.col("place") <= F.col("k"))
+    y = first_drawn(y_rows, keys, reps, seed + 1, 2 * most if split_y else most).join(cells, keys)
     y = y.where(F.col("place") <= (2 if split_y else 1) * F.col("k"))
     sx = x.select(*keys, "rep", "sample_id", F.lit("x").alias("side")).join(x_feats.select("sample_id", "features"), "sample_id")
     side = F.when(F.col("place") <= F.col("k"), "a").otherwise("b")
     sy = y.select(*keys, "rep", "sample_id", side.alias("side")).join(y_feats.select("sample_id", "features"), "sample_id")
     pairs = {"kid": ("a", "x"), "kid_base": ("a", "b")} if split_y else {"kid": ("a", "x")}
-    return kid_of_sides(sx.unionByName(sy), [*keys, "rep"], pairs, mode)
+    return kid_of_sides(sx.unionByName(sy), [*keys, "rep"], pairs, mode, most)
 
 
 def spread(per_rep: DataFrame, keys: Sequence[str], value: str = "kid") -> DataFrame:
@@ -228,11 +273,11 @@ def spread(per_rep: DataFrame, keys: Sequence[str], value: str = "kid") -> DataF
 
 def kid_bootstrap(
     bins: DataFrame, real: DataFrame, gen: DataFrame, bin_keys: Sequence[str], reps: int = 10, seed: int = 42,
-    mode: str = "cosine", real_rows: DataFrame | None = None, cap: int = KID_CAP,
+    mode: str = "cosine", real_rows: DataFrame | None = None, cap: int | None = None,
 ) -> DataFrame:
     """Per bin the mean and 95% interval of the distance between its rows and real rows.
 
-    The sample size is min(M, N//2, cap), at least 5. `real_rows` may give
+    The sample size is min(M, N//2), at least 5, and `cap` if given. `real_rows` may give
     each bin its own pool of draws; else every bin is compared with all real rows.
     """
     keys = list(bin_keys)
@@ -241,28 +286,29 @@ def kid_bootstrap(
         tags = names.agg(F.collect_list(F.struct(*keys)).alias("_k"))  # one entry per bin
         pool = as_draws(real, []).join(F.broadcast(tags)).withColumn("_b", F.explode("_k"))
         real_rows = pool.select("_b.*", "draw_id", "sample_id")
-    size = F.greatest(F.least(F.col("n_x"), F.floor(F.col("n_y") / 2), F.lit(cap)), F.lit(5))
+    size = F.greatest(at_most(cap, F.col("n_x"), F.floor(F.col("n_y") / 2)), F.lit(5))
     enough = F.when((F.col("n_x") >= size) & (F.col("n_y") >= size), size)
-    runs = sampled_kid(as_draws(bins, keys), real_rows, gen, real, keys, enough, reps, seed, mode, cap)
+    runs = sampled_kid(as_draws(bins, keys), real_rows, gen, real, keys, enough, reps, seed, mode)
     return spread(runs, keys).select(*keys, F.col("mean").alias("mean_kid"), "ci_low", "ci_high")
 
 
 def kid_null(
-    real: DataFrame, keys: Sequence[str], reps: int = 100, seed: int = 42, mode: str = "cosine", cap: int = KID_CAP
+    real: DataFrame, keys: Sequence[str], reps: int = 100, seed: int = 42, mode: str = "cosine", cap: int | None = None
 ) -> DataFrame:
     """Mean and sample std of real-against-real distances per condition of at least 10 rows.
 
-    Both halves hold min(n//2, cap) rows; conditions with fewer than 10 valid
+    Both halves hold n//2 rows, or `cap` if given; conditions with fewer than 10 valid
     repetitions or std below 1e-10 are left out.
     """
     keys = list(keys)
     rows = as_draws(real, keys)
     cells = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= 10)
-    cells = cells.withColumn("k", F.least(F.floor(F.col("n") / 2), F.lit(cap)))
-    drawn = capped_order(rows, keys, reps, seed, 2 * cap).join(cells, keys).where(F.col("place") <= 2 * F.col("k"))
+    cells = cells.withColumn("k", F.least(F.floor(F.col("n") / 2), F.lit(cap)) if cap else F.floor(F.col("n") / 2))
+    most = largest(cells)
+    drawn = first_drawn(rows, keys, reps, seed, 2 * most).join(cells, keys).where(F.col("place") <= 2 * F.col("k"))
     side = F.when(F.col("place") <= F.col("k"), "a").otherwise("b")
     samples = drawn.select(*keys, "rep", "sample_id", side.alias("side")).join(real.select("sample_id", "features"), "sample_id")
-    runs = kid_of_sides(samples, [*keys, "rep"], {"kid": ("a", "b")}, mode)
+    runs = kid_of_sides(samples, [*keys, "rep"], {"kid": ("a", "b")}, mode, most)
     out = runs.where(F.col("kid").isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n_rep"), F.avg("kid").alias("null_mean"), F.stddev_samp("kid").alias("null_std")
     )
@@ -271,17 +317,17 @@ def kid_null(
 
 def delta_kid(
     real: DataFrame, gen: DataFrame, keys: Sequence[str], reps: int = 10, seed: int = 42, mode: str = "cosine",
-    null: DataFrame | None = None, min_real: int = 20, min_gen: int = 5, cap: int = KID_CAP,
+    null: DataFrame | None = None, min_real: int = 20, min_gen: int = 5, cap: int | None = None,
 ) -> DataFrame:
     """Per condition distance to generated rows minus the real-against-real distance, and its z against `null`.
 
     Needs min_real real and min_gen generated rows and a sample size
-    min(n_real//2, n_gen, cap) of at least 5; other conditions have nulls.
+    min(n_real//2, n_gen, and `cap` if given) of at least 5; other conditions have nulls.
     """
     keys = list(keys)
-    k = F.least(F.floor(F.col("n_y") / 2), F.col("n_x"), F.lit(cap))
+    k = at_most(cap, F.floor(F.col("n_y") / 2), F.col("n_x"))
     size = F.when((F.col("n_y") >= min_real) & (F.col("n_x") >= min_gen) & (k >= 5), k)
-    runs = sampled_kid(as_draws(gen, keys), as_draws(real, keys), gen, real, keys, size, reps, seed, mode, cap, True)
+    runs = sampled_kid(as_draws(gen, keys), as_draws(real, keys), gen, real, keys, size, reps, seed, mode, True)
     means = runs.groupBy(*keys).agg(
         F.avg(F.col("kid") - F.col("kid_base")).alias("delta_kid"), F.avg("kid_base").alias("base_kid"),
         F.avg("kid").alias("gen_kid"),
@@ -304,7 +350,7 @@ def delta_kid_by_size(
     y = as_draws(real, keys).withColumn("size", grid)
     half = F.floor(F.col("size") / 2)
     size = F.when((F.col("n_y") >= F.col("size")) & (F.col("n_x") >= half), half)
-    runs = sampled_kid(x, y, gen, real, [*keys, "size"], size, reps, seed, "cosine", max(sizes) // 2, True)
+    runs = sampled_kid(x, y, gen, real, [*keys, "size"], size, reps, seed, "cosine", True)
     return runs.groupBy(*keys, "size").agg(F.avg(F.col("kid") - F.col("kid_base")).alias("delta_kid"))
 
 
@@ -520,63 +566,81 @@ def matched_with_fallback(
     return matched_draw(want, real, attrs, seed, rep_cols)
 
 
-def metric_panel(
-    gen: DataFrame, real: DataFrame, attrs: Sequence[str], reps: int = 10, seed: int = 42, cap: int = KID_CAP
-) -> DataFrame:
-    """Mean gap, covariance gap, Frechet and kernel distance on the same matched draws, per repetition."""
-    matched = slots_as_draws(matched_with_fallback(gen, real, attrs, reps, seed), ["rep"])
-    order = Window.partitionBy("rep").orderBy("_d", "draw_id")
-
-    def first(rows: DataFrame, s: int) -> DataFrame:
-        keyed = rows.withColumn("_d", V.draw_key(s, F.col("rep"), "draw_id"))
-        return keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+PANEL = ("mean_gap", "cov_gap", "frechet", "kid")
 
-    g = first(with_reps(as_draws(gen, []), reps), seed)
-    r = first(matched, seed + 1)
-    sides = g.select("rep", "sample_id", "place", F.lit("g").alias("side")).join(gen.select("sample_id", "features"), "sample_id")
-    sides = sides.unionByName(
-        r.select("rep", "sample_id", "place", F.lit("r").alias("side")).join(real.select("sample_id", "features"), "sample_id")
-    )
 
-    def run(table: pa.Table) -> pa.Table:
-        side, place = table.column("side").to_numpy(), table.column("place").to_numpy()
-        x = matrix(table.column("features"))
-        a, b = (x[side == s][np.argsort(place[side == s])] for s in ("g", "r"))
-        k = min(len(a), len(b))
-        a, b = a[:k], b[:k]
-        ca, cb = np.cov(a.T), np.cov(b.T)
-        return pa.table(
-            {
-                "rep": pa.array([table.column("rep")[0].as_py()], pa.int32()), "k": pa.array([k], pa.int32()),
-                "mean_gap": [float(np.linalg.norm(a.mean(0) - b.mean(0)))], "cov_gap": [float(np.linalg.norm(ca - cb))],
-                "frechet": [frechet(a.mean(0), ca, b.mean(0), cb)], "kid": [cubic_mmd(a, b)],
-            }
-        )
+def metric_panel(
+    gen: DataFrame, real: DataFrame, attrs: Sequence[str], reps: int = 10, seed: int = 42, cap: int | None = None
+) -> DataFrame:
+    """Mean gap, covariance gap, Frechet and kernel distance on the same matched draws, per repetition.
 
-    return sides.groupBy("rep").applyInArrow(
-        run, "rep int, k int, mean_gap double, cov_gap double, frechet double, kid double"
-    )
+    Each repetition compares as many rows per side as the smaller side has (and `cap` if given). Means and covariances
+    come from distributed sums; the driver sees two D x D matrices per repetition.
+    """
+    matched = slots_as_draws(matched_with_fallback(gen, real, attrs, reps, seed), ["rep"])
+    # every generated row is drawn once per repetition, and matched rows carry theirs
+    g_rows, r_rows = with_reps(as_draws(gen, []), reps, "draw"), matched.withColumnRenamed("rep", "draw")
+    cells = cut_lineage(cell_sizes(g_rows, r_rows, ["draw"], at_most(cap, F.col("n_x"), F.col("n_y")), 2))
+    most = largest(cells)
+
+    def drawn(rows: DataFrame, s: int, side: str, feats: DataFrame) -> DataFrame:
+        keyed = rows.withColumnRenamed("draw", "rep")
+        if most > limit(rows.sparkSession, WINDOW_ROWS):
+            ranked = draw_rank(keyed, "draw_id", s, ["rep"], rep=F.col("rep"), name="place")
+        else:
+            order = Window.partitionBy("rep").orderBy(V.draw_key(s, F.col("rep"), "draw_id"), "draw_id")
+            ranked = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        kept = ranked.join(cells.select(F.col("draw").alias("rep"), "k"), "rep").where(F.col("place") <= F.col("k"))
+        return kept.select("rep", "sample_id", F.lit(side).alias("side")).join(feats.select("sample_id", "features"), "sample_id")
+
+    sides = written(drawn(g_rows, seed, "g", gen).unionByName(drawn(r_rows, seed + 1, "r", real)), "panel")
+    moments = {tuple(k): m for k, m in M.collect_group_moments(sides, ["rep", "side"], "features")}
+    rows = []
+    for rep in sorted({rep for rep, _ in moments}):
+        a, b = moments[rep, "g"], moments[rep, "r"]
+        ca, cb = a.cov(1), b.cov(1)
+        rows.append((rep, a.n, float(np.linalg.norm(a.mean - b.mean)), float(np.linalg.norm(ca - cb)), float(frechet(a.mean, ca, b.mean, cb))))
+    figures = gen.sparkSession.createDataFrame(rows, "rep int, k int, mean_gap double, cov_gap double, frechet double")
+    return figures.join(kid_of_sides(sides.drop("sample_id"), ["rep"], {"kid": ("g", "r")}, "cosine", most), "rep")
+
+
+def panel_summary(panel: DataFrame) -> DataFrame:
+    """Mean and sample std of every figure of a panel over its repetitions: metric, mean, std, n_rep."""
+    long = panel.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in PANEL])).alias("e")).select("e.*")
+    return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n_rep"))
+
+
+def accepted_against_random(accepted: DataFrame, random: DataFrame) -> DataFrame:
+    """Per metric the summaries of an accepted and a random panel, and by how much the random one is larger."""
+    a, r = (panel_summary(p).select("metric", F.col("mean").alias(f"{n}_mean"), F.col("std").alias(f"{n}_std")) for n, p in (("accepted", accepted), ("random", random)))
+    return a.join(r, "metric").withColumn("delta", F.col("random_mean") - F.col("accepted_mean")).withColumn(
+        "delta_pct", F.when(F.abs("random_mean") > 1e-12, 100 * F.col("delta") / F.col("random_mean")))
 
 
 def transitivity_check(
-    real: DataFrame, gen_a: DataFrame, gen_b: DataFrame, attrs: Sequence[str], k: int = 500, top: int = 3, seed: int = 42
+    real: DataFrame, gen_a: DataFrame, gen_b: DataFrame, attrs: Sequence[str], k: int | None = None, top: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Distances real/real, real/space A, real/space B and A/B for the first supported conditions."""
+    """Distances real/real, real/space A, real/space B and A/B per supported condition, on min(n_gen, n_real//2) rows a side.
+
+    `k` bounds the rows and asks for conditions that have so many; `top` keeps the first conditions only.
+    """
     attrs = list(attrs)
-    floor = max(10, min(k, KID_CAP))
+    floor = max(10, k or 0)
     n = condition_counts(real, attrs, "n_real").join(condition_counts(gen_a, attrs, "n_gen"), attrs)
-    n = n.where((F.col("n_real") >= 2 * floor) & (F.col("n_gen") >= floor)).orderBy(*attrs).limit(top)
-    size = F.least(F.lit(k), F.col("n_gen"), F.floor(F.col("n_real") / 2), F.lit(KID_CAP))
-    cells = n.withColumn("k", size.cast("long")).where(F.col("k") >= 10)
-    r = capped_order(as_draws(real, attrs), attrs, 1, seed, 2 * KID_CAP).join(cells, attrs).where(F.col("place") <= 2 * F.col("k"))
-    g = capped_order(as_draws(gen_a, attrs), attrs, 1, seed + 1, KID_CAP).join(cells, attrs).where(F.col("place") <= F.col("k"))
+    n = n.where((F.col("n_real") >= 2 * floor) & (F.col("n_gen") >= floor))
+    if top is not None:
+        n = n.orderBy(*attrs).limit(top)
+    cells = cut_lineage(n.withColumn("k", at_most(k, F.col("n_gen"), F.floor(F.col("n_real") / 2)).cast("long")))
+    most = largest(cells)
+    r = first_drawn(as_draws(real, attrs), attrs, 1, seed, 2 * most).join(cells, attrs).where(F.col("place") <= 2 * F.col("k"))
+    g = first_drawn(as_draws(gen_a, attrs), attrs, 1, seed + 1, most).join(cells, attrs).where(F.col("place") <= F.col("k"))
     side = F.when(F.col("place") <= F.col("k"), "a").otherwise("b")
     rows = r.select(*attrs, "sample_id", side.alias("side")).join(real.select("sample_id", "features"), "sample_id")
     for name, feats in (("ga", gen_a), ("gb", gen_b)):
         part = g.select(*attrs, "sample_id", F.lit(name).alias("side")).join(feats.select("sample_id", "features"), "sample_id")
         rows = rows.unionByName(part)
     pairs = {"kid_rr": ("a", "b"), "kid_ra": ("a", "ga"), "kid_rb": ("a", "gb"), "kid_ab": ("ga", "gb")}
-    out = kid_of_sides(rows, attrs, pairs)
+    out = kid_of_sides(rows.drop("sample_id"), attrs, pairs, "cosine", most)
     ratio = F.when(F.abs("kid_ra") > 1e-12, F.col("kid_rb") / F.col("kid_ra"))
     return out.join(cells.select(*attrs, "k", "n_real", "n_gen"), attrs).withColumn("scale_ratio", ratio)
 

@@ -99,7 +99,7 @@ def accept_per_condition(
 def per_condition_selection(
     gen: DataFrame, real_scores: DataFrame, gen_feats: DataFrame, real_feats: DataFrame, attrs: Sequence[str],
     pct: int = 95, seen: DataFrame | None = None, score: str = "trust", reps: int = 10, seed: int = 42,
-    min_gen: int = 20, min_real: int = 20, min_accept: int = 10, cap: int = D.KID_CAP,
+    min_gen: int = 20, min_real: int = 20, min_accept: int = 10, cap: int | None = None,
 ) -> DataFrame:
     """Distance of accepted and of random rows to the condition's real rows, averaged over calibrators."""
     attrs = list(attrs)
@@ -111,7 +111,7 @@ def per_condition_selection(
     taken = cut_lineage(taken.select(*keys, "sample_id", "threshold"))
     cells = taken.groupBy(*keys).agg(F.count("*").alias("n_accepted"), F.first("threshold").alias("threshold"))
     cells = cells.join(sized, attrs).where(F.col("n_accepted") >= min_accept)
-    cells = cut_lineage(cells.withColumn("k", F.least(F.lit(cap).cast("long"), "n_accepted", "n_real")).where(F.col("k") >= 10))
+    cells = cut_lineage(cells.withColumn("k", D.at_most(cap, F.col("n_accepted"), F.col("n_real"))).where(F.col("k") >= 10))
     plan = cells.select(*keys, "k")
     pairs = plan.select(*keys)
     y = D.as_draws(real_feats, attrs).join(pairs, attrs)
@@ -121,7 +121,7 @@ def per_condition_selection(
     }
     out = cells
     for name, (x, s) in runs.items():
-        kid = D.sampled_kid(x, y, gen_feats, real_feats, keys, None, reps, s, "cosine", cap, cells=plan)
+        kid = D.sampled_kid(x, y, gen_feats, real_feats, keys, None, reps, s, "cosine", cells=plan)
         stats = kid.where(F.col("kid").isNotNull()).groupBy(*keys).agg(
             F.avg("kid").alias(f"kid_{name}"), F.stddev_pop("kid").alias(f"kid_{name}_std")
         )
@@ -150,7 +150,7 @@ def improvement(table: DataFrame, acc: str = "kid_acc", rand: str = "kid_rand")
 def global_selection(
     gen: DataFrame, real_scores: DataFrame, gen_feats: DataFrame, real_feats: DataFrame, attrs: Sequence[str],
     percents: Sequence[int] = PERCENTS, score: str = "trust", baseline: str = "free", n_boot: int = 10, n_rand: int = 10,
-    seed: int = 42, min_accept: int = 20, cap: int = D.KID_CAP,
+    seed: int = 42, min_accept: int = 20, cap: int | None = None,
 ) -> DataFrame:
     """Per percentile the distance of accepted rows and of random rows to condition-matched real rows.
 
@@ -164,11 +164,11 @@ def global_selection(
     enough = enough.where(F.col("n_accepted") >= min_accept)
     # Ids only: everything below reads the accepted rows several times.
     taken = cut_lineage(taken.join(F.broadcast(enough.select("pct")), "pct", "left_semi").select(*attrs, "pct", "sample_id"))
-    size = F.least(F.col("n_x"), F.col("n_y"), F.lit(cap))
+    size = D.at_most(cap, F.col("n_x"), F.col("n_y"))
     want = taken.groupBy(*attrs, "pct").agg(F.count("*").alias("n_want"))
     pool = cut_lineage(D.slots_as_draws(matched_draw(want, real_feats, attrs, seed + 1000, ["pct"]), ["pct"]))
     acc = D.spread(
-        D.sampled_kid(D.as_draws(taken, ["pct"]), pool, gen_feats, real_feats, ["pct"], size, n_boot, seed + 1100, "cosine", cap, min_size=10),
+        D.sampled_kid(D.as_draws(taken, ["pct"]), pool, gen_feats, real_feats, ["pct"], size, n_boot, seed + 1100, "cosine", min_size=10),
         ["pct"],
     ).select("pct", F.col("mean").alias("kid_acc"), F.col("std").alias("kid_acc_std"))
     if baseline == "free":
@@ -183,7 +183,7 @@ def global_selection(
     else:
         raise ValueError(f"unknown baseline {baseline!r}")
     runs = D.sampled_kid(
-        D.as_draws(rand, ["pct", "draw"]), rpool, gen_feats, real_feats, ["pct", "draw"], size, 1, seed + 4000, "cosine", cap, min_size=10
+        D.as_draws(rand, ["pct", "draw"]), rpool, gen_feats, real_feats, ["pct", "draw"], size, 1, seed + 4000, "cosine", min_size=10
     )
     random = D.spread(runs, ["pct"]).select("pct", F.col("mean").alias("kid_rand"), F.col("std").alias("kid_rand_std"))
     total = gen.agg(F.count_if(finite(score).isNotNull()).alias("n_total"))
@@ -192,7 +192,7 @@ def global_selection(
 
 def percentile_mode_panel(
     gen: DataFrame, real_scores: DataFrame, gen_feats: DataFrame, real_feats: DataFrame, attrs: Sequence[str],
-    percents: Sequence[int] = PERCENTS, score: str = "trust", reps: int = 5, seed: int = 42, cap: int = D.KID_CAP,
+    percents: Sequence[int] = PERCENTS, score: str = "trust", reps: int = 5, seed: int = 42, cap: int | None = None,
 ) -> DataFrame:
     """Percentile x {global, within_cond} selections: pooled distances and per-condition improvements."""
     attrs = list(attrs)
@@ -208,20 +208,20 @@ def percentile_mode_panel(
     rand = cut_lineage(matched_draw(want, gen, attrs, seed, keys, replace="never"))
     tags = enough.agg(F.collect_list(F.struct(*keys)).alias("_k"))
     pool = D.as_draws(real_feats, []).join(F.broadcast(tags)).withColumn("_t", F.explode("_k")).select("_t.*", "draw_id", "sample_id")
-    size = F.least(F.lit(cap), F.col("n_x"), F.col("n_y"))
+    size = D.at_most(cap, F.col("n_x"), F.col("n_y"))
     out = enough
     for name, rows, s in (("kid_acc", taken, 800), ("kid_rand", rand, 900)):
-        runs = D.sampled_kid(D.as_draws(rows, keys), pool, gen_feats, real_feats, keys, size, reps, seed + s, "cosine", cap)
+        runs = D.sampled_kid(D.as_draws(rows, keys), pool, gen_feats, real_feats, keys, size, reps, seed + s, "cosine")
         out = out.join(D.spread(runs, keys).select(*keys, F.col("mean").alias(name)), keys)
     cell = [*attrs, *keys]
     n = taken.groupBy(*cell).agg(F.count("*").alias("n_acc")).join(condition_counts(gen, attrs, "n_gen"), attrs)
     n = n.join(condition_counts(real_feats, attrs, "n_real"), attrs).where((F.col("n_real") >= 10) & (F.col("n_acc") >= 5))
     # One row per (condition, percentile, mode).
-    plan = cut_lineage(n.select(*cell, F.least(F.lit(cap).cast("long"), "n_acc", "n_gen", "n_real").alias("k")))
+    plan = cut_lineage(n.select(*cell, D.at_most(cap, F.col("n_acc"), F.col("n_gen"), F.col("n_real")).alias("k")))
     y = D.as_draws(real_feats, attrs).join(plan.drop("k"), attrs)
     by_cond = None
     for name, rows in (("_a", D.as_draws(taken, cell)), ("_r", D.as_draws(gen, attrs).join(plan.drop("k"), attrs))):
-        runs = D.sampled_kid(rows, y, gen_feats, real_feats, cell, None, 1, seed + 70, "cosine", cap, min_size=5, cells=plan)
+        runs = D.sampled_kid(rows, y, gen_feats, real_feats, cell, None, 1, seed + 70, "cosine", min_size=5, cells=plan)
         part = runs.select(*cell, F.col("kid").alias(name))
         by_cond = part if by_cond is None else by_cond.join(part, cell)
     gain = (F.col("_r") - F.col("_a")) / F.col("_r") * 100
@@ -237,7 +237,7 @@ def percentile_mode_panel(
 
 def kid_by_arm(
     gen: DataFrame, threshold: Column, gen_feats: DataFrame, real_feats: DataFrame, attrs: Sequence[str],
-    score: str = "trust", n_rand: int = 5, n_boot: int = 10, seed: int = 42, cap: int = D.KID_CAP,
+    score: str = "trust", n_rand: int = 5, n_boot: int = 10, seed: int = 42, cap: int | None = None,
 ) -> DataFrame:
     """Select by score, measure in another space: per arm the distance of accepted and of random rows.
 
@@ -256,8 +256,8 @@ def kid_by_arm(
     x = with_reps(both, n_boot, "boot")
     cell = [*keys, "boot"]
     pool = cut_lineage(D.slots_as_draws(D.matched_with_fallback(x, real_feats, attrs, 1, seed + 1100, cell), cell))
-    size = F.least(F.col("n_x"), F.col("n_y"), F.lit(cap))
-    runs = D.sampled_kid(D.as_draws(x, cell), pool, gen_feats, real_feats, cell, size, 1, seed, "cosine", cap)
+    size = D.at_most(cap, F.col("n_x"), F.col("n_y"))
+    runs = D.sampled_kid(D.as_draws(x, cell), pool, gen_feats, real_feats, cell, size, 1, seed, "cosine")
     per_draw = runs.groupBy(*keys).agg(F.avg("kid").alias("kid"))
     out = per_draw.groupBy("arm").agg(
         F.max(F.when(F.col("draw") == -1, F.col("kid"))).alias("kid_accepted"),
@@ -270,7 +270,7 @@ def kid_by_arm(
 def decile_report(
     gen: DataFrame, gen_feats: DataFrame, real_feats: DataFrame, attrs: Sequence[str], score: str = "trust",
     n_bins: int = 10, within: bool = True, reps: int = 10, seed: int = 42, null: DataFrame | None = None,
-    cap: int = D.KID_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """Per score bin: distance to real rows with interval, mean per-condition z, score range and counts.
 
@@ -290,10 +290,10 @@ def decile_report(
     out = facts.join(D.kid_bootstrap(bins, real_feats, gen_feats, ["bin"], reps, seed, "cosine", pool, cap), "bin", "left")
     if not within or null is None:
         return out
-    size = F.least(F.col("n_x"), F.floor(F.col("n_y") / 2), F.lit(100))
+    size = D.at_most(cap, F.col("n_x"), F.floor(F.col("n_y") / 2))
     cells = [*attrs, "bin"]
     y = D.as_draws(real_feats, attrs).join(bins.select(*cells).distinct(), attrs)
-    runs = D.sampled_kid(D.as_draws(bins, cells), y, gen_feats, real_feats, cells, size, 1, seed, "cosine", 100, min_size=5)
+    runs = D.sampled_kid(D.as_draws(bins, cells), y, gen_feats, real_feats, cells, size, 1, seed, "cosine", min_size=5)
     z = runs.join(null.select(*attrs, "null_mean", "null_std"), attrs)
     z = z.groupBy("bin").agg(
         F.avg((F.col("kid") - F.col("null_mean")) / F.col("null_std")).alias("kid_z"), F.count("kid").alias("n_conditions_with_z")

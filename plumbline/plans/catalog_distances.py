@@ -142,11 +142,11 @@ def sampled(src: str, keys: str, seed: int, reps: int, sid: str = "sample_id") -
 
 DELTA = (
     *BASE,
-    "cl AS (SELECT a, b, nr, ng, least(nr // 2, ng, 500) AS k FROM (SELECT a, b, count(*) AS nr FROM r GROUP BY 1, 2) JOIN (SELECT a, b, count(*) AS ng FROM g GROUP BY 1, 2) USING (a, b) WHERE nr >= 20 AND ng >= 5)",
+    "cl AS (SELECT a, b, nr, ng, least(nr // 2, ng) AS k FROM (SELECT a, b, count(*) AS nr FROM r GROUP BY 1, 2) JOIN (SELECT a, b, count(*) AS ng FROM g GROUP BY 1, 2) USING (a, b) WHERE nr >= 20 AND ng >= 5)",
     f"dsm AS (SELECT a, b, rep, 'x' AS side, did, u FROM {sampled('g', 'a, b', 42, 4)} JOIN cl USING (a, b) WHERE place <= k UNION ALL "
     f"SELECT a, b, rep, CASE WHEN place <= k THEN 'a' ELSE 'b' END, did, u FROM {sampled('r', 'a, b', 43, 4)} JOIN cl USING (a, b) WHERE place <= 2 * k)",
     f"dk AS (SELECT * FROM {kid_sql('dsm', 'a, b, rep', 'a', 'x', 'kid')} JOIN {kid_sql('dsm', 'a, b, rep', 'a', 'b', 'kid_base')} USING (a, b, rep))",
-    "nl0 AS (SELECT a, b, least(count(*) // 2, 500) AS k FROM r GROUP BY 1, 2 HAVING count(*) >= 10)",
+    "nl0 AS (SELECT a, b, (count(*) // 2) AS k FROM r GROUP BY 1, 2 HAVING count(*) >= 10)",
     f"nsm AS (SELECT a, b, rep, CASE WHEN place <= k THEN 'a' ELSE 'b' END AS side, did, u FROM {sampled('r', 'a, b', 42, 12)} JOIN nl0 USING (a, b) WHERE place <= 2 * k)",
     f"nul AS (SELECT a, b, count(*)::BIGINT AS n_rep, avg(kid) AS null_mean, stddev_samp(kid) AS null_std FROM {kid_sql('nsm', 'a, b, rep', 'a', 'b')} GROUP BY 1, 2)",
 )
@@ -197,7 +197,7 @@ def rank_stability(spark, sf):
 
 BOOT = (
     *BASE,
-    "ck AS (SELECT b, greatest(5, least(m, n // 2, 500)) AS k FROM (SELECT b, count(*) AS m FROM g GROUP BY 1), (SELECT count(*) AS n FROM r))",
+    "ck AS (SELECT b, greatest(5, least(m, n // 2)) AS k FROM (SELECT b, count(*) AS m FROM g GROUP BY 1), (SELECT count(*) AS n FROM r))",
     "rb AS (SELECT r.* EXCLUDE (b), k.b FROM r, (SELECT DISTINCT b FROM g) k)",
     f"bs AS (SELECT b, rep, 'x' AS side, did, u FROM {sampled('g', 'b', 42, 5)} JOIN ck USING (b) WHERE place <= k UNION ALL SELECT b, rep, 'a', did, u FROM {sampled('rb', 'b', 43, 5)} JOIN ck USING (b) WHERE place <= k)",
     f"bk AS (SELECT * FROM {kid_sql('bs', 'b, rep', 'a', 'x')})",
@@ -239,6 +239,17 @@ def metric_panel(spark, sf):
     return D.metric_panel(gen, real, AB, 4)
 
 
+@query("panel_against_random")
+def panel_against_random(spark, sf):
+    """The panel of the accepted rows against that of as many random rows per condition."""
+    real, gen = real_gen(spark, sf)
+    scored = with_centre_score(real, gen)
+    cut = SE.thresholds(with_centre_score(real, real), "trust", [50]).first()["threshold"]
+    taken = scored.where(F.col("trust") <= cut)
+    picks = SE.random_baseline(taken, scored, AB, 1).select("sample_id")
+    return D.accepted_against_random(D.metric_panel(taken, real, AB, 4), D.metric_panel(scored.join(picks, "sample_id", "left_semi"), real, AB, 4))
+
+
 @query("matched_with_fallback", sql(f"SELECT * FROM {matched_sql('fw', '(SELECT * FROM r WHERE label < 7)', 'a, b', 'rep', 42)}", ["a", "b", "rep", "slot", "sample_id"], [],
     [*BASE, "nc AS (SELECT * FROM (SELECT DISTINCT a AS ga, b AS gb FROM g), (SELECT DISTINCT a, b FROM r WHERE label < 7) QUALIFY row_number() OVER (PARTITION BY ga, gb ORDER BY (a <> ga)::INTEGER + (b <> gb)::INTEGER, a, b) = 1)",
      "fw AS (SELECT nc.a, nc.b, rep, count(*) AS n_want FROM g JOIN nc ON g.a = ga AND g.b = gb, (SELECT unnest([0, 1])::INTEGER AS rep) GROUP BY 1, 2, 3)"]))
@@ -250,13 +261,13 @@ def matched_with_fallback(spark, sf):
 
 @query("transitivity_check", sql(f"SELECT c.a, c.b, k, n_real, n_gen, kid_rr, kid_ra, kid_rb, kid_ab, kid_rb / kid_ra AS scale_ratio FROM c JOIN {kid_sql('ts', 'a, b', 'a', 'b', 'kid_rr')} USING (a, b) JOIN {kid_sql('ts', 'a, b', 'a', 'ga', 'kid_ra')} USING (a, b) JOIN {kid_sql('ts', 'a, b', 'a', 'gb', 'kid_rb')} USING (a, b) JOIN {kid_sql('ts', 'a, b', 'ga', 'gb', 'kid_ab')} USING (a, b)",
     ["a", "b", "k", "n_real", "n_gen"], ["kid_rr", "kid_ra", "kid_rb", "kid_ab", "scale_ratio"],
-    [*BASE, "c AS (SELECT a, b, n_real, n_gen, least(10, n_gen, n_real // 2, 500)::BIGINT AS k FROM (SELECT a, b, count(*)::BIGINT AS n_real FROM r GROUP BY 1, 2) JOIN (SELECT a, b, count(*)::BIGINT AS n_gen FROM g GROUP BY 1, 2) USING (a, b) WHERE n_real >= 20 AND n_gen >= 10 ORDER BY a, b LIMIT 3)",
+    [*BASE, "c AS (SELECT a, b, n_real, n_gen, least(n_gen, n_real // 2)::BIGINT AS k FROM (SELECT a, b, count(*)::BIGINT AS n_real FROM r GROUP BY 1, 2) JOIN (SELECT a, b, count(*)::BIGINT AS n_gen FROM g GROUP BY 1, 2) USING (a, b) WHERE n_real >= 20 AND n_gen >= 10)",
      f"rsm AS (SELECT a, b, CASE WHEN place <= k THEN 'a' ELSE 'b' END AS side, did, u FROM {sampled('r', 'a, b', 42, 1)} JOIN c USING (a, b) WHERE place <= 2 * k)",
      f"gsm AS (SELECT a, b, did, u FROM {sampled('g', 'a, b', 43, 1)} JOIN c USING (a, b) WHERE place <= k)",
      "ts AS (SELECT * FROM rsm UNION ALL SELECT a, b, 'ga', did, u FROM gsm UNION ALL SELECT a, b, 'gb', did, list_reverse(u) FROM gsm)"]))
 def transitivity_check(spark, sf):
     real, gen = real_gen(spark, sf)
-    return D.transitivity_check(real, gen, gen.withColumn("features", F.reverse("features")), AB, 10)
+    return D.transitivity_check(real, gen, gen.withColumn("features", F.reverse("features")), AB)
 
 
 @query("cross_space_predictability")
@@ -306,7 +317,7 @@ def _scored(spark, sf):
     [*SCORE, "bn AS (SELECT *, least((rk - 1) // greatest(1, c // 4), 3)::INTEGER AS bin FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY trust, sample_id) AS rk, count(*) OVER (PARTITION BY a, b) AS c FROM sg))",
      "wt AS (SELECT a, b, bin, count(*) AS n_want FROM bn GROUP BY 1, 2, 3)",
      f"pool AS (SELECT bin, m.sample_id || '#' || slot AS did, m.sample_id, u FROM {matched_sql('wt', 'sr', 'a, b', 'bin', 42)} m JOIN sr ON sr.sample_id = m.sample_id)",
-     "ck AS (SELECT bin, greatest(5, least(nx, ny // 2, 500)) AS k FROM (SELECT bin, count(*) AS nx FROM bn GROUP BY 1) JOIN (SELECT bin, count(*) AS ny FROM pool GROUP BY 1) USING (bin))",
+     "ck AS (SELECT bin, greatest(5, least(nx, ny // 2)) AS k FROM (SELECT bin, count(*) AS nx FROM bn GROUP BY 1) JOIN (SELECT bin, count(*) AS ny FROM pool GROUP BY 1) USING (bin))",
      f"bsm AS (SELECT bin, rep, 'x' AS side, did::VARCHAR AS did, u FROM {sampled('bn', 'bin', 42, 4)} JOIN ck USING (bin) WHERE place <= k UNION ALL SELECT bin, rep, 'a', did, u FROM {sampled('pool', 'bin', 43, 4, 'did')} JOIN ck USING (bin) WHERE place <= k)",
      f"bkk AS (SELECT * FROM {kid_sql('bsm', 'bin, rep', 'a', 'x')})"]))
 def decile_report(spark, sf):

@@ -325,7 +325,7 @@ def bin_downstream_spread(spark, sf):
     runs = cut_lineage(runs)
     spread = P.bin_spread(P.bin_summary(runs), 3)
     cfg = runs.groupBy("config", "ranking", "bin").agg(F.avg("micro").alias("value")).withColumn("metric", F.lit("micro"))
-    return spread.join(F.broadcast(FS.selection_spread(cfg, 3).select("random_level", F.col("spread").alias("score_spread"))))
+    return spread.join(F.broadcast(FS.selection_spread(cfg, 3).select("config", "random_level", F.col("spread").alias("score_spread"))))
 
 
 @query("gen_to_real")

@@ -36,7 +36,7 @@ def kid_ctes(name: str, x: str, y: str, keys: str, cells: str, seed: int, reps:
             *SCORE,
             "bn AS (SELECT *, least((rk - 1) // (c // 4), 3)::INTEGER AS bin FROM (SELECT *, row_number() OVER (ORDER BY trust, sample_id) AS rk, count(*) OVER () AS c FROM sg))",
             "rbin AS (SELECT r.*, bin FROM r, (SELECT DISTINCT bin FROM bn))",
-            "ck AS (SELECT bin, greatest(5, least(nx, ny // 2, 500)) AS k FROM (SELECT bin, count(*) AS nx FROM bn GROUP BY 1), (SELECT count(*) AS ny FROM r))",
+            "ck AS (SELECT bin, greatest(5, least(nx, ny // 2)) AS k FROM (SELECT bin, count(*) AS nx FROM bn GROUP BY 1), (SELECT count(*) AS ny FROM r))",
             *kid_ctes("bkk", "bn", "rbin", "bin", "ck", 42, 4, "sample_id"),
         ],
     ),
@@ -47,7 +47,7 @@ def decile_report_global(spark, sf):
 
 
 def cell_sql(x: str, y: str, keys: str) -> str:
-    n = "least(nx, ny, 500)"
+    n = "least(nx, ny)"
     return (
         f"(SELECT {keys}, {n} AS k FROM (SELECT {keys}, count(*) AS nx FROM {x} GROUP BY {keys}) "
         f"JOIN (SELECT {keys}, count(*) AS ny FROM {y} GROUP BY {keys}) USING ({keys}) WHERE {n} >= 10)"

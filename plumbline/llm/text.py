@@ -6,6 +6,7 @@ over the bytes, codes of word sequences from the same polynomial over the codes.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -20,6 +21,7 @@ from plumbline.session import work_folder
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SEGMENT = 1 << 20
+LONG_WORD = 256  # bytes; longer words have their code from a cryptographic hash, as sums modulo 2^64 collide for some
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 WHITE = bytes([9, 10, 11, 12, 13, 32])
@@ -115,7 +117,10 @@ def words(column: pa.Array | pa.ChunkedArray, table: np.ndarray) -> Words:
         np.cumsum(table[data[a:b]] * up[: b - a], out=sums[1:])
         code[at:to] = (sums[end[at:to] - a] - sums[start[at:to] - a]) * down[start[at:to] - a]
         at = to
-    return Words(data, mix(code), start, end, np.searchsorted(start, off))
+    code = mix(code)
+    for i in np.flatnonzero(end - start >= LONG_WORD).tolist():
+        code[i] = int.from_bytes(hashlib.blake2b(table[data[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return Words(data, code, start, end, np.searchsorted(start, off))
 
 
 def sequences(code: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import islice
@@ -14,9 +16,11 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm import text as X
 
-CACHED = 300_000  # pieces a worker remembers
+CACHED = 700_000  # pieces a worker process remembers
 CACHED_CHARS = 48
 BLOCK_CHARS = 1 << 20  # longer texts are cut into pieces lazily
+LONG = 4096  # bytes from which on a piece is held in flat arrays
+BLOCK_IDS = 1 << 20  # ids decoded at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -25,46 +29,88 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class Waiting:
+    """Places of a long piece that wait for one rank: those of the start in a flat array, later ones in a heap."""
+
+    __slots__ = ("start", "at", "later")
+
+    def __init__(self, start: array):
+        self.start, self.at, self.later = start, 0, []
+
+    def pop(self) -> int:
+        if self.at < len(self.start) and not (self.later and self.later[0] < self.start[self.at]):
+            self.at += 1
+            return self.start[self.at - 1]
+        return heappop(self.later)
+
+    def __len__(self) -> int:
+        return len(self.start) - self.at + len(self.later)
+
+
 class RankQueue:
-    """Positions waiting per merge rank; the lowest rank is found by find-first-set on three bitmap levels of 64 bits."""
+    """Places waiting per merge rank; the lowest rank is found by find-first-set on two bitmap levels of 256 bits and more."""
 
     def __init__(self, ranks: int):
-        self.low, self.mid, self.top = [0] * (ranks // 64 + 1), [0] * (ranks // 4096 + 1), 0
-        self.bucket: dict[int, list[int]] = {}
+        self.low, self.top = [0] * (ranks // 256 + 1), 0
+        self.bucket: dict[int, list[int] | Waiting] = {}
 
     def push(self, rank: int, place: int) -> None:
         waiting = self.bucket.get(rank)
-        if waiting is not None:
-            heappush(waiting, place)
-            return
-        self.bucket[rank] = [place]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
+        if waiting is None:
+            self.bucket[rank] = [place]
+            self.low[rank >> 8] |= 1 << (rank & 255)
+            self.top |= 1 << (rank >> 8)
+        else:
+            heappush(waiting if waiting.__class__ is list else waiting.later, place)
+
+    def fill(self, ranks: np.ndarray) -> None:
+        """All places of a long piece at once; negative ranks do not wait."""
+        order = np.argsort(ranks, kind="stable").astype(np.int32)
+        own, first = np.unique(ranks[order], return_index=True)
+        for rank, a, b in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+            if rank >= 0:
+                self.bucket[rank] = Waiting(array("i", order[a:b].tobytes()))
+                self.low[rank >> 8] |= 1 << (rank & 255)
+                self.top |= 1 << (rank >> 8)
 
     def pop(self) -> tuple[int, int]:
         """Lowest rank and its leftmost place."""
-        a = (self.top & -self.top).bit_length() - 1
-        b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
+        top = self.top
+        a = (top & -top).bit_length() - 1
+        bits = self.low[a]
+        first = bits & -bits
+        rank = a << 8 | first.bit_length() - 1
         waiting = self.bucket[rank]
-        place = heappop(waiting)
+        place = heappop(waiting) if waiting.__class__ is list else waiting.pop()
         if not waiting:
             del self.bucket[rank]
-            self.low[b] ^= 1 << (rank & 63)
-            if not self.low[b]:
-                self.mid[a] ^= 1 << (b & 63)
-                if not self.mid[a]:
-                    self.top ^= 1 << a
+            self.low[a] = bits = bits ^ first
+            if not bits:
+                self.top = top & (top - 1)
         return rank, place
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
 class Encoder(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers; as a dict it is its own bounded memory."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks, self.queue = ranks, RankQueue(max(ranks.values(), default=0) + 1)
+        self.pairs = [-1] * (1 << 16)  # rank of every two bytes
+        for raw, rank in ranks.items():
+            if len(raw) == 2:
+                self.pairs[raw[0] << 8 | raw[1]] = rank
+
+    @staticmethod
+    def of(key: bytes, ranks: dict[bytes, int]) -> Encoder:
+        """The one of this worker process for a vocabulary, with what it remembers from earlier tasks."""
+        if key not in _encoders:
+            _encoders.clear()
+            _encoders[key] = Encoder(ranks)
+        return _encoders[key]
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -78,16 +124,23 @@ class Encoder(dict):
 
     def merged(self, raw: bytes) -> bytes:
         """Merge neighbours, lowest rank first and leftmost among equals, until no pair has a rank."""
-        n, rank_of, queue = len(raw), self.ranks.get, self.queue
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        for i in range(n - 1):
-            rank = rank_of(raw[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+        n, rank_of, queue, pairs = len(raw), self.ranks.get, self.queue, self.pairs
+        if n >= LONG:
+            data = np.frombuffer(raw, np.uint8).astype(np.int32)
+            found = np.append(np.array(pairs, np.int32)[data[:-1] << 8 | data[1:]], np.int32(-1))
+            queue.fill(found)
+            pair = array("i", found.tobytes())
+            after, before = (array("i", np.arange(s, n + s, dtype=np.int32).tobytes()) for s in (1, -1))
+        else:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            pair = [pairs[a << 8 | b] for a, b in zip(raw, raw[1:])]
+            pair.append(-1)
+            for i, rank in enumerate(pair):
+                if rank >= 0:
+                    queue.push(rank, i)
+        push, pop = queue.push, queue.pop
         while queue.top:
-            rank, i = queue.pop()
+            rank, i = pop()
             if pair[i] != rank:
                 continue  # stale: a neighbour was merged meanwhile
             j = after[i]
@@ -95,23 +148,25 @@ class Encoder(dict):
             after[i], pair[j] = k, -1
             if k < n:
                 before[k] = i
-                new = rank_of(raw[i : after[k]])
+                new = rank_of(raw[i : after[k]], -1)
+                pair[i] = new
+                if new >= 0:
+                    push(new, i)
             else:
-                new = None
-            pair[i] = -1 if new is None else new
-            if new is not None:
-                queue.push(new, i)
+                pair[i] = -1
             h = before[i]
             if h >= 0:
-                new = rank_of(raw[h:k])
-                pair[h] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, h)
-        out, i = [], 0
+                new = rank_of(raw[h:k], -1)
+                pair[h] = new
+                if new >= 0:
+                    push(new, h)
+        out, i = array("I"), 0
+        ranks = self.ranks
         while i < n:
-            out.append(self.ranks[raw[i : after[i]]])
-            i = after[i]
-        return struct.pack(f"<{len(out)}I", *out)
+            k = after[i]
+            out.append(ranks[raw[i:k]])
+            i = k
+        return out.tobytes()
 
 
 def encode_text(text: str, encoder: Encoder, pattern: object) -> bytes:
@@ -132,13 +187,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_te
     `ids` of docs is replaced.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    with open(path, "rb") as f:
+        key = hashlib.sha256(f.read()).digest()
     names = [c for c in docs.columns if c != "ids" and (keep_text or c != text)]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encoder, compiled = Encoder(ranks.value), regex.compile(pattern)
+        encoder, compiled = Encoder.of(key, ranks.value), regex.compile(pattern)
         for batch in batches:
             for part in X.slices(batch, text):
                 ids = [encode_text(t or "", encoder, compiled) for t in part.column(text).to_pylist()]
@@ -149,15 +206,33 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_te
 
 def decode(rows: DataFrame, path: str, out: str = "decoded") -> DataFrame:
     """`rows` with the bytes that `ids` stand for; null ids give no bytes, an unknown id is an error. A column `out` is replaced."""
-    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+    known = read_ranks(path)
+    size = np.full(max(known.values(), default=-1) + 1, -1, np.int64)
+    for raw, rank in known.items():
+        size[rank] = len(raw)
+    flat = b"".join(raw for raw, _ in sorted(known.items(), key=lambda x: x[1]))
+    shared = rows.sparkSession.sparkContext.broadcast((np.frombuffer(flat, np.uint8), size))
     names = [c for c in rows.columns if c != out]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    fields = X.fields_of(rows, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {v: k for k, v in ranks.value.items()}
+        letters, size = shared.value
+        first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
         for batch in batches:
             for part in X.slices(batch, "ids"):
-                said = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(said, pa.binary())], names=[*names, out])
+                raw, off = X.bytes_of(part.column("ids").cast(pa.large_binary()))
+                ids = np.frombuffer(raw.tobytes(), "<u4").astype(np.int64)
+                if len(ids) and (ids.max() >= len(size) or (size[ids] < 0).any()):
+                    raise ValueError("an id is not in the vocabulary")
+                said = []
+                for a in range(0, len(ids), BLOCK_IDS):
+                    own = ids[a : a + BLOCK_IDS]
+                    n = size[own]
+                    end = np.cumsum(n)
+                    said.append(letters[np.repeat(first[own] - (end - n), n) + np.arange(end[-1])].tobytes())
+                bound = np.concatenate([[0], np.cumsum(size[ids])])[off // 4]
+                data = b"".join(said)
+                texts = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bound.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), texts.cast(pa.binary())], names=[*names, out])
 
     return rows.mapInArrow(run, f"{fields}, {out} binary")

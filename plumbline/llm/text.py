@@ -155,7 +155,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray):
         self.keys, bits = keys, max(1, min(22, len(keys).bit_length()))
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.longest = int(np.diff(self.first).max(initial=0))
 
     def find(self, values: np.ndarray) -> np.ndarray:

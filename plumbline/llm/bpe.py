@@ -9,6 +9,7 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import islice
+from threading import Timer
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm import text as X
 
-CACHED = 350_000  # pieces a worker process remembers, the half used last at least
+CACHED = 500_000  # pieces a worker process remembers, the half used last at least
 CACHED_CHARS = 48
 BLOCK_CHARS = 1 << 20  # longer texts are cut into pieces lazily
+IDLE_S = 2.0  # after which a worker process without a task gives its pieces' memory back
 LONG = 4096  # bytes from which on a piece is held in flat arrays
 BLOCK_IDS = 1 << 20  # ids decoded at a time
 
@@ -91,6 +93,7 @@ class RankQueue:
 
 
 _encoders: dict[bytes, Encoder] = {}
+_release: list[Timer] = []  # the timer that waits for the next task
 
 
 class Encoder(dict):
@@ -108,11 +111,21 @@ class Encoder(dict):
     @staticmethod
     def of(key: bytes, ranks: dict[bytes, int]) -> Encoder:
         """The one of this worker process for a vocabulary, with what it remembers from earlier tasks."""
+        while _release:
+            _release.pop().cancel()
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = Encoder(ranks)
         return _encoders[key]
 
+    @staticmethod
+    def rest() -> None:
+        """The task is over: unless another one comes soon, forget everything."""
+        timer = Timer(IDLE_S, _encoders.clear)
+        timer.daemon = True
+        timer.start()
+        _release.append(timer)
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.pop(piece, None)
         if ids is None:
@@ -200,10 +213,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_te
         import regex
 
         encoder, compiled = Encoder.of(key, ranks.value), regex.compile(pattern)
-        for batch in batches:
-            for part in X.slices(batch, text):
-                ids = [encode_text(t or "", encoder, compiled) for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
+        try:
+            for batch in batches:
+                for part in X.slices(batch, text):
+                    ids = [encode_text(t or "", encoder, compiled) for t in part.column(text).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
+        finally:
+            Encoder.rest()
 
     return docs.mapInArrow(run, f"{fields}{', ' if fields else ''}ids binary")
 

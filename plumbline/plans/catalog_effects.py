@@ -266,10 +266,10 @@ def criteria_comparison(spark, sf):
 
 @query("aligned_ranking")
 def aligned_ranking(spark, sf):
-    """First half of the vector holds the label signal; columns are entries of the second half."""
+    """First half of the vector holds the label signal; columns are all entries of the second half."""
     v = vectors(spark, sf)
     a = v.select("sample_id", "b", F.slice("features", 1, 32).alias("features"))
-    cols = [f"c{i}" for i in range(8)]
+    cols = [f"c{i}" for i in range(32)]
     b = v.select("sample_id", *[F.col("features")[32 + i].alias(c) for i, c in enumerate(cols)])
     return FS.aligned_ranking(a, b, cols, "b", max_iter=30)
 
@@ -282,16 +282,16 @@ def bootstrap_stability(spark, sf):
 
 @query("k_sweep", sql("SELECT n_columns, k, avg(hit) AS accuracy FROM hits GROUP BY 1, 2", ["n_columns", "k"], ["accuracy"], [
     V_SQL,
-    "cf AS (SELECT pos, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS f FROM (SELECT pos, a, b, count(*)::DOUBLE AS n, sum(e) AS s, sum(e * e) AS q FROM (SELECT a, b, unnest(x[1:8]) AS e, generate_subscripts(x[1:8], 1) AS pos FROM v) GROUP BY 1, 2, 3) GROUP BY 1)",
+    "cf AS (SELECT pos, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))) AS f FROM (SELECT pos, a, b, count(*)::DOUBLE AS n, sum(e) AS s, sum(e * e) AS q FROM (SELECT a, b, unnest(x) AS e, generate_subscripts(x, 1) AS pos FROM v) GROUP BY 1, 2, 3) GROUP BY 1)",
     "od AS (SELECT list(pos ORDER BY f DESC, pos) AS o FROM cf)",
-    "vx AS (SELECT sample_id, label, n_columns, list_transform(o[1:n_columns], lambda i: x[i]) AS y FROM v, od, (SELECT unnest([2, 4])::INTEGER AS n_columns))",
+    "vx AS (SELECT sample_id, label, n_columns, list_transform(o[1:n_columns], lambda i: x[i]) AS y FROM v, od, (SELECT unnest([4, 16])::INTEGER AS n_columns))",
     "nb AS (SELECT * FROM (SELECT p.n_columns, p.sample_id, p.label AS own, q.label AS other, row_number() OVER (PARTITION BY p.n_columns, p.sample_id ORDER BY list_distance(p.y, q.y), q.sample_id) AS rk FROM vx p JOIN vx q ON p.n_columns = q.n_columns AND p.sample_id <> q.sample_id) AS t WHERE t.rk <= 5)",
     "hits AS (SELECT n_columns, k, sample_id, (other = own)::INTEGER AS hit FROM (SELECT n_columns, k, sample_id, own, other, count(*) AS c FROM nb, (SELECT unnest([1, 5])::INTEGER AS k) WHERE rk <= k GROUP BY 1, 2, 3, 4, 5) QUALIFY row_number() OVER (PARTITION BY n_columns, k, sample_id ORDER BY c DESC, other) = 1)"]))
 def k_sweep(spark, sf):
-    cols = [f"c{i}" for i in range(8)]
+    cols = [f"c{i}" for i in range(64)]
     v = vectors(spark, sf)
     wide = v.select("sample_id", "label", *AB, *[F.col("features")[i].alias(c) for i, c in enumerate(cols)])
-    return FS.k_sweep(wide, cols, AB, "label", [2, 4], (1, 5))
+    return FS.k_sweep(wide, cols, AB, "label", [4, 16], (1, 5))
 
 
 # ---- classifiers ---------------------------------------------------------------------------------

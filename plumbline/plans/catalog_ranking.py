@@ -122,10 +122,12 @@ def cosine_to_mean(spark, sf):
     return SU.quantile_summary(SU.cosine_to_mean(vectors(spark, sf), ["is_gen"]), "cos_to_mean", ["is_gen"])
 
 
-@query("norm_summary", sql("SELECT label, count(*)::BIGINT AS n, quantile_cont(l, 0.5) AS median, avg(l) AS mean, stddev_pop(l) AS std FROM (SELECT label, sqrt(list_dot_product(y, y)) AS l FROM (SELECT label, x[1:16] AS y FROM v)) GROUP BY 1", ["label", "n"], ["median", "mean", "std"], [V_SQL]))
+@query("norm_summary", sql("SELECT label, count(*)::BIGINT AS n, quantile_cont(l, 0.5) AS median, avg(l) AS mean, stddev_pop(l) AS std FROM (SELECT label, list_distance(x, mu) AS l FROM v, mv) GROUP BY 1", ["label", "n"], ["median", "mean", "std"], [V_SQL, f"mv AS (SELECT mu FROM {mean_sql('v')})"]))
 def norm_summary(spark, sf):
-    """Lengths of the first 16 entries, as the full vectors all have length one."""
-    return SU.norm_summary(vectors(spark, sf).withColumn("features", F.slice("features", 1, 16)), ["label"])
+    """Lengths of the vectors less their mean, as the vectors themselves all have length one."""
+    v = vectors(spark, sf)
+    centred = v.join(F.broadcast(M.centroids(v, []).select("mu"))).withColumn("features", F.zip_with("features", "mu", lambda x, m: x - m))
+    return SU.norm_summary(centred.drop("mu"), ["label"])
 
 
 @query("most_populous", sql("SELECT c_mktsegment, c_nationkey, count(*)::BIGINT AS n FROM customer GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 1", ["c_mktsegment", "c_nationkey", "n"]))

@@ -67,20 +67,18 @@ def failure_detection(scored: DataFrame, attrs: Sequence[str], seen: DataFrame)
 
 
 def real_gen_detection(
-    real: DataFrame, gen: DataFrame, attrs: Sequence[str], seen: DataFrame | None = None, max_real: int = 10_000,
-    resamples: int = 3, frac: float = 0.5, seed: int = 42,
+    real: DataFrame, gen: DataFrame, attrs: Sequence[str], seen: DataFrame | None = None, max_real: int | None = None,
+    resamples: int = 1, frac: float = 0.5, seed: int = 42,
 ) -> DataFrame:
     """Cross-fitted separability of real and generated rows: fit on one half of real, score the other half and gen.
 
-    Repeats over resamples only when real is larger than `max_real`; with
-    `seen`, generated rows are split into seen and unseen.
+    Every resample halves all real rows anew, or a stratified draw of `max_real` of them if the caller gives that number;
+    with `seen`, generated rows are split into seen and unseen.
     """
-    n_real = real.count()
-    runs = resamples if n_real > max_real else 1
     rows = None
-    for i in range(runs):
+    for i in range(resamples):
         pool = real
-        if n_real > max_real:
+        if max_real is not None:
             # At most max_real rows, read by several passes.
             pool = cut_lineage(stratified_subsample(real.select(*attrs, "sample_id", "features"), attrs, max_real, seed + i))
         split = cross_fit_split(pool, frac, seed + i)

@@ -84,12 +84,46 @@ def summed(keys: dict[str, np.ndarray], count: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out | {"n": np.add.reduceat(count[order], at) if len(at) else np.zeros(0, np.int64)})
 
 
-def at_most(counted: DataFrame, most: int, count: str = "n") -> DataFrame:
-    """Rows of the highest positive counts, all above the count that leaves at most `most` rows; counts are cut at steps of 1.6 %."""
-    histogram = counted.groupBy(F.floor(F.ln(count) * 64).alias("c")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).toPandas()
-    histogram = histogram.sort_values("c", ascending=False)
-    fits = histogram[histogram["rows"].cumsum() <= most]
-    return counted.where(F.col(count) >= int(fits["least"].min())) if len(fits) else counted.where("false")
+def fair_shares(sizes: list[int], budget: int) -> list[int]:
+    """Entries each group may keep: all of the small ones, equal shares of what is left for the others."""
+    share, left = [0] * len(sizes), budget
+    for done, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        share[i] = min(sizes[i], left // (len(sizes) - done))
+        left -= share[i]
+    return share
+
+
+def most_per_group(counted: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Rows (keys, code, n) of the highest counts, at most `budget` in all and in fair shares per group; all, if they fit.
+
+    Of equal counts at a group's cut those of the least codes stay, up to one of 4096 ranges of codes; nothing else decides,
+    so a large group takes nothing away from a small one. The driver sees the groups' distinct counts.
+    """
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("rows")).toPandas()
+    if sizes["rows"].sum() <= budget:
+        return counted
+    sizes["share"] = fair_shares(sizes["rows"].tolist(), budget)
+    over = {tuple(r[k] for k in keys): r["share"] for r in sizes.to_dict("records") if r["share"] < r["rows"]}
+    steps = counted.groupBy(*keys, "n").agg(F.count("*").alias("rows")).toPandas().sort_values("n", ascending=False)
+    cuts = []
+    for key, own in steps.groupby(keys):
+        if key in over:
+            upto = own["rows"].cumsum()
+            at = int((upto <= over[key]).sum())  # steps that fit whole; the next one is cut by code
+            cuts.append((*(k.item() if hasattr(k, "item") else k for k in key), int(own["n"].iloc[at]), over[key] - int(upto.iloc[at - 1] if at else 0)))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (counted.schema[k] for k in keys))
+    spark = counted.sparkSession
+    edges = spark.createDataFrame(cuts, f"{types}, __last bigint, __left bigint")
+    head = F.shiftright("code", 52)
+    ties = counted.join(F.broadcast(edges), keys).where(F.col("n") == F.col("__last")).groupBy(*keys, head.alias("head")).count().toPandas().sort_values("head")
+    limits = []
+    for *key, last, left in cuts:
+        own = ties[(ties[keys] == key).all(axis=1)]
+        fits = own["head"][own["count"].cumsum() <= left]
+        limits.append((*key, last, int(fits.iloc[-1]) if len(fits) else -(1 << 12)))
+    limits = spark.createDataFrame(limits, f"{types}, __last bigint, __head bigint")
+    kept = counted.join(F.broadcast(limits), keys, "left")
+    return kept.where("__last is null or n > __last or n = __last and shiftright(code, 52) <= __head").select(*counted.columns)
 
 
 def most_frequent(counted: DataFrame, most: int) -> pd.DataFrame:

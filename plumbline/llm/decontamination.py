@@ -75,10 +75,7 @@ def spans(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
 
 
-FOUND = "__spans array<bigint>, __items array<string>, n_words bigint"
-
-
-def _scan(docs: DataFrame, text: str, index: object) -> DataFrame:
+def _scan(docs: DataFrame, text: str, index: object, spans_name: str, items_name: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +84,9 @@ def _scan(docs: DataFrame, text: str, index: object) -> DataFrame:
                 w, hit, items = hits(part.column(text), index.value)
                 cols = [*part.columns, pa.array([spans(hit[a:b]) for a, b in zip(w.first[:-1], w.first[1:])], pa.list_(pa.int64())),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(w.count())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "__spans", "__items", "n_words"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, spans_name, items_name, "n_words"])
 
-    return docs.mapInArrow(run, f"{fields}, {FOUND}")
+    return docs.mapInArrow(run, f"{fields}, `{spans_name}` array<bigint>, `{items_name}` array<string>, n_words bigint")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -104,7 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     united, so the result is the same and no broadcast grows.
 
     Null or empty text has no words and no hits; items without words have no window; items with a null id still cover
-    words but are not listed; repeated rows get equal results. Columns named like results are replaced.
+    words but are not listed; repeated rows get equal results. Columns named like results are replaced, any others stay.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hit_spans", "item_ids")
@@ -113,27 +110,27 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     pick = lambda b: items.where(F.expr(f"pmod(xxhash64(id, text), {blocks}) = {b}")) if blocks > 1 else items
     shared = [spark.sparkContext.broadcast(index_of(pick(b).toArrow(), n)) for b in range(blocks)]
     if blocks == 1:
-        out = _scan(docs, text, shared[0])
-        return out.withColumnRenamed("__spans", "hit_spans").withColumnRenamed("__items", "item_ids")
+        return _scan(docs, text, shared[0], "hit_spans", "item_ids").select(*docs.columns, "hit_spans", "item_ids", "n_words")
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    key_name, spans_name, items_name, pairs_name = (X.free_name(x, docs.columns) for x in ("__key", "__spans", "__items", "__p"))
     slim = docs.select(key.alias("__key"), F.col(text).alias("text"))
     found = None
     for index in shared:
-        one = _scan(slim, "text", index).where("size(__spans) > 0").select("__key", "__spans", "__items", "n_words")
+        one = _scan(slim, "text", index, "__spans", "__items").where("size(__spans) > 0").select("__key", "__spans", "__items")
         found = one if found is None else found.unionByName(one)
-    found = found.groupBy("__key").agg(
-        F.flatten(F.collect_set("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("item_ids"))
-    counted = _scan(docs, text, spark.sparkContext.broadcast(Index({}, b"", np.zeros(1, np.int64), []))).drop("__spans", "__items")
-    joined = counted.withColumn("__key", key).join(found, "__key", "left").drop("__key")
-    pairs = F.expr("transform(sequence(0, size(__spans) div 2 - 1), i -> named_struct('a', __spans[2 * i], 'b', __spans[2 * i + 1]))")
+    found = found.groupBy(F.col("__key").alias(key_name)).agg(
+        F.flatten(F.collect_set("__spans")).alias(spans_name), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("item_ids"))
+    counted = _scan(docs, text, spark.sparkContext.broadcast(Index({}, b"", np.zeros(1, np.int64), [])), spans_name, items_name).drop(spans_name, items_name)
+    joined = counted.withColumn(key_name, key).join(found, key_name, "left").drop(key_name)
+    pairs = F.expr(f"transform(sequence(0, size({spans_name}) div 2 - 1), i -> named_struct('a', {spans_name}[2 * i], 'b', {spans_name}[2 * i + 1]))")
     merged = F.expr(
-        "aggregate(array_sort(__p), cast(array() as array<bigint>), (acc, x) -> if(size(acc) > 0 and x.a <= acc[size(acc) - 1], "
+        f"aggregate(array_sort({pairs_name}), cast(array() as array<bigint>), (acc, x) -> if(size(acc) > 0 and x.a <= acc[size(acc) - 1], "
         "concat(slice(acc, 1, size(acc) - 1), array(greatest(x.b, acc[size(acc) - 1]))), concat(acc, array(x.a, x.b))))")
-    none = F.col("__spans").isNull()
+    none = F.col(spans_name).isNull()
     return (
-        joined.withColumn("__p", F.when(none, F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")).otherwise(pairs))
+        joined.withColumn(pairs_name, F.when(none, F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")).otherwise(pairs))
         .withColumn("hit_spans", merged).withColumn("item_ids", F.coalesce("item_ids", F.expr("cast(array() as array<string>)")))
-        .drop("__spans", "__p").select(*docs.columns, "hit_spans", "item_ids", "n_words")
+        .select(*docs.columns, "hit_spans", "item_ids", "n_words")
     )
 
 

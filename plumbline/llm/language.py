@@ -16,7 +16,7 @@ from plumbline.llm import counts as C
 from plumbline.llm import text as X
 
 LONGEST = 5
-MOST_ENTRIES = 100_000  # words kept, and n-grams kept per length: bounds the model that is broadcast
+MOST_BYTES = 32 << 20  # of the model that is broadcast; an entry takes 8 bytes and 4 per language
 UNKNOWN = "und"
 LETTERS = X.byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
@@ -59,28 +59,36 @@ def count_table(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
     return rows.mapInArrow(run, "lang string, length int, code bigint, n bigint").groupBy("lang", "length", "code").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST_ENTRIES) -> Model:
-    """Count all rows with a language; keep per order the most frequent entries, as many as the bound allows.
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+    """Count all rows with a language; keep every entry if they fit `most_bytes`, else the most frequent of each language.
 
-    Rows without language or words teach nothing; without any row the model knows no language.
+    The bound is shared fairly between the languages and the lengths: a language or a length with few entries keeps them all,
+    however large the others are. Rows without language or words teach nothing; without any row no language is known.
     """
     counted = X.written(count_table(docs, lang, text), "language")
     totals = counted.groupBy("lang", "length").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
     langs = sorted(set(totals["lang"]))
-    place = {x: i for i, x in enumerate(langs)}
+    budget = most_bytes // (8 + 4 * max(1, len(langs)))
+    kept = C.most_per_group(counted, ["lang", "length"], budget)
+    if kept is not counted:  # an entry that one language keeps has its counts of all languages
+        kept = counted.join(kept.select("length", "code").distinct(), ["length", "code"], "left_semi")
+    place = F.array_position(F.array(F.lit(""), *[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 2
+    if "" in langs:
+        place = F.when(F.col("lang") == "", F.lit(langs.index(""))).otherwise(place)
+    got = kept.select("length", "code", place.alias("who"), "n").toArrow()
+    length, code, who, n = (got.column(c).to_numpy() for c in ("length", "code", "who", "n"))
     known, weight = [], []
-    for length in range(LONGEST + 1):
-        own = counted.where(F.col("length") == length)
-        sums = C.at_most(own.groupBy("code").agg(F.sum("n").alias("total")), most, "total")
-        got = own.join(sums.select("code"), "code", "left_semi").select("lang", "code", "n").toPandas()
-        code, back = np.unique(got["code"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        table = np.full((len(code), len(langs)), 0.1)
-        np.add.at(table, (back, got["lang"].map(place).to_numpy(int)), got["n"].to_numpy(float))
+    for order in range(LONGEST + 1):
+        own = np.flatnonzero(length == order)
         size, types = np.ones(len(langs)), np.ones(len(langs))
-        for r in totals[totals["length"] == length].itertuples():
-            size[place[r.lang]], types[place[r.lang]] = r.n, r.types
-        known.append(X.Lookup(code))
-        weight.append(np.log(table / (size + 0.1 * types)))
+        for r in totals[totals["length"] == order].itertuples():
+            size[langs.index(r.lang)], types[langs.index(r.lang)] = r.n, r.types
+        mass = size + 0.1 * types
+        codes, back = np.unique(code[own].view(np.uint64), return_inverse=True)
+        table = np.tile(np.log(0.1 / mass).astype(np.float32), (len(codes), 1))
+        table[back, who[own]] = np.log((n[own] + 0.1) / mass[who[own]])
+        known.append(X.Lookup(codes))
+        weight.append(table)
     return Model(langs, known, weight)
 
 

@@ -101,7 +101,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     and text are at the same place, so neither is earlier; texts under 20 words lose nothing. All columns of `docs` stay;
     columns of it named kept_text, n_words or n_removed are replaced. An empty table gives an empty table.
     """
-    docs = docs.drop("kept_text", "n_words", "n_removed", "__chunk")
+    docs = docs.drop("kept_text", "n_words", "n_removed")
+    for own in [c for c in docs.columns if c.lower() == "__chunk"]:  # the name of the dealt chunk
+        hidden = X.free_name("__chunk_of_input", docs.columns)
+        return remove_repeats(docs.withColumnRenamed(own, hidden), id_col, text).withColumnRenamed(hidden, own)
     parts = X.chunks(docs, id_col, text)
     buckets = parts.buckets
     slim = X.Chunks(parts.rows, buckets)

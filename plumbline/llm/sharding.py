@@ -80,18 +80,20 @@ def assign(docs: DataFrame, tree: Tree, key: str = "doc_id", out: str = "shard")
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str], out: str = "slot") -> DataFrame:
-    """`rows` with a gapless number from 0 inside each shard, in the given order.
+    """`rows` with a gapless number from 0 inside each shard, in the given order; a column `out` is replaced, all others stay.
 
     Rows are dealt by range of (shard, order, row number), so equal keys do not gather; a slot is the number of rows of the
     shard in earlier ranges plus the rank inside the range. No task sorts a shard.
     """
+    rows = rows.drop(out)
+    row, part, before, rank = (X.free_name(c, rows.columns) for c in ("__row", "__range", "__before", "__rank"))
     dealt = X.written(
-        rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(shard, *order, "__row").withColumn("__range", F.spark_partition_id()),
+        rows.withColumn(row, F.monotonically_increasing_id()).repartitionByRange(shard, *order, row).withColumn(part, F.spark_partition_id()),
         "slots")
-    ranges = dealt.groupBy(shard, "__range").agg(F.count("*").alias("__n"))
-    before = ranges.withColumn("__before", F.sum("__n").over(Window.partitionBy(shard).orderBy("__range")) - F.col("__n")).drop("__n")
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy(shard, "__range").orderBy(*order, "__row")))
-    return ranked.join(before, [shard, "__range"]).withColumn(out, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop("__row", "__range", "__before", "__rank")
+    ranges = dealt.groupBy(shard, part).agg(F.count("*").alias(rank))
+    earlier = ranges.withColumn(before, F.sum(rank).over(Window.partitionBy(shard).orderBy(part)) - F.col(rank)).drop(rank)
+    ranked = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(shard, part).orderBy(*order, row)))
+    return ranked.join(earlier, [shard, part]).withColumn(out, (F.col(before) + F.col(rank) - 1).cast("long")).select(*rows.columns, out)
 
 
 def shard_table(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,8 @@ from plumbline.llm import counts as C
 from plumbline.llm import text as X
 
 LONGEST = 5
-MOST_BYTES = 32 << 20  # of the model that is broadcast; an entry takes 8 bytes and 4 per language
+MOST_BYTES = 64 << 20  # of the model that is broadcast; an entry takes 8 bytes and 4 per language
+PRIOR = 1000.0  # counts that each language is given of the mean of all languages, so that a small one has no larger floor
 UNKNOWN = "und"
 LETTERS = X.byte_table(bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
 
@@ -63,10 +64,11 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most_bytes: int
     """Count all rows with a language; keep every entry if they fit `most_bytes`, else the most frequent of each language.
 
     The bound is shared fairly between the languages and the lengths: a language or a length with few entries keeps them all,
-    however large the others are. Rows without language or words teach nothing; without any row no language is known.
+    however large the others are. A frequency is taken with a prior of the mean of all languages, so what a language has never
+    seen speaks for it nowhere, however little it was seen. Rows without language or words teach nothing; without any row no language is known.
     """
     counted = X.written(count_table(docs, lang, text), "language")
-    totals = counted.groupBy("lang", "length").agg(F.sum("n").alias("n"), F.count("*").alias("types")).toPandas()
+    totals = counted.groupBy("lang", "length").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(totals["lang"]))
     budget = most_bytes // (8 + 4 * max(1, len(langs)))
     kept = C.most_per_group(counted, ["lang", "length"], budget)
@@ -80,15 +82,15 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", most_bytes: int
     known, weight = [], []
     for order in range(LONGEST + 1):
         own = np.flatnonzero(length == order)
-        size, types = np.ones(len(langs)), np.ones(len(langs))
+        size = np.zeros(len(langs))
         for r in totals[totals["length"] == order].itertuples():
-            size[langs.index(r.lang)], types[langs.index(r.lang)] = r.n, r.types
-        mass = size + 0.1 * types
+            size[langs.index(r.lang)] = r.n
         codes, back = np.unique(code[own].view(np.uint64), return_inverse=True)
-        table = np.tile(np.log(0.1 / mass).astype(np.float32), (len(codes), 1))
-        table[back, who[own]] = np.log((n[own] + 0.1) / mass[who[own]])
+        table = np.zeros((len(codes), len(langs)))
+        table[back, who[own]] = n[own]
+        mean = (table / np.maximum(size, 1)).mean(axis=1, keepdims=True) if langs else table
         known.append(X.Lookup(codes))
-        weight.append(table)
+        weight.append(np.log((table + PRIOR * mean) / (size + PRIOR)).astype(np.float32))
     return Model(langs, known, weight)
 
 

@@ -139,6 +139,31 @@ def criteria_comparison(df: DataFrame, cols: Sequence[str], attrs: Sequence[str]
     return table
 
 
+def criteria_accuracy(
+    df: DataFrame, cols: Sequence[str], attrs: Sequence[str], label: str, size: int, ks: Sequence[int] = (1, 5, 10)
+) -> DataFrame:
+    """Leave-one-out accuracy in the `size` best columns of every criterion, and in as many principal directions of all.
+
+    criterion, k, accuracy; the criteria are those of `criteria_comparison` and `pca`. `label` numbers the classes from 0.
+    """
+    ranks = criteria_comparison(df, cols, attrs, label)
+    names = [c for c in ranks.columns if c.startswith("rank_")]
+    best = ranks.where(F.least(*names) <= size).select("feature", *names).collect()  # a row per column at most
+    wide = F.array(*[F.col(c).cast("double") for c in cols])
+    spaces = {}
+    for name in names:
+        kept = [r["feature"] for r in sorted(best, key=lambda r: r[name]) if r[name] <= size]
+        spaces[name.removeprefix("rank_")] = df.select("sample_id", label, F.array(*[F.col(c).cast("double") for c in kept]).alias("features"))
+    rows = df.select("sample_id", label, wide.alias("features"))
+    mean, axes, _ = M.principal_axes(rows, size)
+    spaces["pca"] = M.apply_matrix(rows, axes, mean, "features", "_p").select("sample_id", label, F.col("_p").alias("features"))
+    out = None
+    for name, space in spaces.items():
+        part = loo_knn_accuracy(space, label, ks).withColumn("criterion", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("criterion", "k", "accuracy")
+
+
 def aligned_ranking(
     a: DataFrame, b: DataFrame, cols: Sequence[str], label: str, alpha: float = 1.0, max_iter: int = 100
 ) -> DataFrame:

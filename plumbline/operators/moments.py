@@ -243,6 +243,56 @@ def pca_fit(df: DataFrame, k: int, features: str = "features") -> tuple[np.ndarr
     return moments.mean, axes * signs
 
 
+def _block_product(df: DataFrame, mean: np.ndarray, block: np.ndarray, features: str) -> np.ndarray:
+    """Sum over all rows of (x - mean)(x - mean)T block: tasks add up D x b numbers, never D x D."""
+    shared = df.sparkSession.sparkContext.broadcast((mean, block))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, block = shared.value
+        total = np.zeros_like(block)
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0)) - mean
+                total += x.T @ (x @ block)
+        flat = total.ravel()
+        parts = [flat[i : i + CHUNK] for i in range(0, len(flat), CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], names=["chunk", "vals"])
+
+    partials = df.select(features).mapInArrow(add_up, "chunk int, vals array<double>")
+    sums = partials.groupBy("chunk").agg(Summarizer.metrics("sum").summary(array_to_vector("vals")).alias("_s"))
+    rows = sums.select("chunk", vector_to_array("_s.sum").alias("vals")).orderBy("chunk").collect()
+    return np.concatenate([r["vals"] for r in rows]).reshape(block.shape) if rows else np.zeros_like(block)
+
+
+def principal_axes(
+    df: DataFrame, k: int, features: str = "features", extra: int = 8, rounds: int = 100, tol: float = 1e-9, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, top-k axes and their variances by block power iteration: the driver holds D x (k + extra) numbers.
+
+    Every round is one narrow pass and a thin orthogonalisation; it ends once no wanted variance moves by more than `tol` of
+    the largest. Each axis has its largest entry positive. Null vectors are left out; a table with fewer than two rows, or
+    less than k entries in a vector, has no or fewer axes.
+    """
+    rows = df.where(F.col(features).isNotNull()).select(features)
+    if rows.limit(2).count() < 2:
+        return np.zeros(0), np.zeros((0, 0)), np.zeros(0)
+    head = centroids(rows, [], features).first()
+    mean, n = np.array(head["mu"]), head["n"]
+    k = min(k, len(mean))
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(mean), min(len(mean), k + extra))))[0]
+    last = np.full(k, np.inf)
+    for _ in range(rounds):
+        image = _block_product(rows, mean, block, features) / (n - 1)
+        small = block.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, axes = values[::-1][:k], (block @ turn)[:, ::-1][:, :k]
+        if np.abs(values - last).max() <= tol * max(values[0], 1e-300):
+            break
+        last, block = values, np.linalg.qr(image)[0]
+    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+    return mean, axes * signs, values
+
+
 def pca_project(df: DataFrame, fit_on: DataFrame, k: int, features: str = "features") -> DataFrame:
     mean, axes = pca_fit(fit_on, k, features)
     return apply_matrix(df, axes, mean, features, "projected")

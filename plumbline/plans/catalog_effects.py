@@ -264,6 +264,14 @@ def criteria_comparison(spark, sf):
     return FS.criteria_comparison(z, COLS, FLAGS, "y")
 
 
+@query("criteria_accuracy")
+def criteria_accuracy(spark, sf):
+    """All 64 entries: eight best columns of each criterion against eight principal directions."""
+    cols = [f"c{i}" for i in range(64)]
+    wide = vectors(spark, sf).select("sample_id", "label", *AB, *[F.col("features")[i].alias(c) for i, c in enumerate(cols)])
+    return FS.criteria_accuracy(wide, cols, AB, "label", 8, (1, 5))
+
+
 @query("aligned_ranking")
 def aligned_ranking(spark, sf):
     """First half of the vector holds the label signal; columns are all entries of the second half."""

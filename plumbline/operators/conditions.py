@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
+from math import comb, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.prefix import rank_rows
-from plumbline.session import BROADCAST_BYTES, limit
+from plumbline.session import BROADCAST_BYTES, cut_lineage, limit
 
 
 def filter_seen(df: DataFrame, seen: DataFrame | None, attrs: Sequence[str]) -> DataFrame:
@@ -165,6 +168,22 @@ def rarity_weight(
     return df.join(counts, list(attrs)).withColumn("weight", weight)
 
 
+# Keys a condition may take in one round of the nearest-condition join.
+KEYS = 256
+
+
+def agreement_keys(attrs: Sequence[str], choices: Sequence[Sequence[str]]) -> Column:
+    """Per choice of attributes the name of the choice and its values; nulls agree with nulls.
+
+    The choices are one constant, so that the plan does not grow with them.
+    """
+    place = {a: i for i, a in enumerate(attrs)}
+    texts = [F.col(a).cast("string") for a in attrs]
+    values = F.array(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts])
+    chosen = F.from_json(F.lit(json.dumps([[place[a] for a in c] for c in choices])), "array<array<int>>")
+    return F.transform(chosen, lambda c, i: F.md5(F.concat(i, F.lit("|"), F.array_join(F.transform(c, lambda j: F.get(values, j)), "|"))))
+
+
 def nearest_condition(
     wanted: DataFrame, usable: DataFrame, attrs: Sequence[str], ties: bool = False
 ) -> DataFrame:
@@ -172,31 +191,103 @@ def nearest_condition(
 
     Two conditions at distance d agree on len(attrs)-d attributes, so the join
     is an equi-join on agreeing attribute subsets, not a comparison of all
-    pairs. Output: wanted attrs, `near_<attr>`, `hamming`.
+    pairs. More attributes than `KEYS` has subsets for go to
+    `nearest_by_radius`. A null agrees with a null. Output: wanted attrs,
+    `near_<attr>`, `hamming`; no row without usable conditions.
     """
     attrs = list(attrs)
-    left = wanted.select(*attrs).distinct()
+    if 2 ** len(attrs) > KEYS:
+        return nearest_by_radius(wanted, usable, attrs, ties)
+    left = wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w"), *attrs)
     right = usable.select(*attrs).distinct()
-    subsets = [c for size in range(len(attrs), -1, -1) for c in combinations(range(len(attrs)), size)]
+    subsets = [c for size in range(len(attrs), -1, -1) for c in combinations(attrs, size)]
+    distances = F.from_json(F.lit(json.dumps([len(attrs) - len(c) for c in subsets])), "array<int>")
 
-    def keyed(df: DataFrame) -> DataFrame:
-        cells = []
-        for number, subset in enumerate(subsets):
-            text = F.concat_ws("|", F.lit(str(number)), *[F.col(attrs[i]).cast("string") for i in subset])
-            cells.append(F.struct(F.lit(len(attrs) - len(subset)).alias("hamming"), text.alias("cell")))
-        return df.withColumn("_e", F.explode(F.array(*cells))).select(*attrs, "_e.hamming", "_e.cell")
+    def keyed(df: DataFrame, column: Column) -> DataFrame:
+        out = df.select(column, F.posexplode(agreement_keys(attrs, subsets)).alias("_i", "cell"))
+        return out.withColumn("hamming", F.get(distances, "_i")).drop("_i")
 
-    near = F.struct(*[F.col(a).alias(a) for a in attrs])
+    near = F.struct(*attrs).alias("near")
     # One row per agreeing subset on the usable side, so the best distance needs no pairs.
-    cells = keyed(right).groupBy("cell").agg(F.min(near).alias("near"))
-    hits = keyed(left).join(cells, "cell")
-    best = hits.groupBy(*attrs).agg(F.min(F.struct("hamming", "near")).alias("_b"))
+    first = keyed(right, near).groupBy("cell").agg(F.min("near").alias("near"))
+    best = keyed(left, F.col("_w")).join(first, "cell").groupBy("_w").agg(F.min(F.struct("hamming", "near")).alias("_b"))
     if not ties:
-        return best.select(*attrs, *[F.col(f"_b.near.{a}").alias(f"near_{a}") for a in attrs], F.col("_b.hamming").alias("hamming"))
-    distance = best.select(*attrs, F.col("_b.hamming").alias("hamming"))
-    at_best = keyed(left).join(distance, [*attrs, "hamming"])
-    tied = at_best.join(keyed(right).select("cell", near.alias("near")), "cell")
-    return tied.select(*attrs, *[F.col(f"near.{a}").alias(f"near_{a}") for a in attrs], "hamming").distinct()
+        return _near_columns(best.select("_w", "_b.near", "_b.hamming"), attrs)
+    at_best = keyed(left, F.col("_w")).join(best.select("_w", "_b.hamming"), ["_w", "hamming"])
+    return _near_columns(at_best.join(keyed(right, near).drop("hamming"), "cell"), attrs).distinct()
+
+
+def _near_columns(df: DataFrame, attrs: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col("_w")[a].alias(a) for a in attrs], *[F.col("near")[a].alias(f"near_{a}") for a in attrs], "hamming")
+
+
+def radii(n: int) -> list[int]:
+    """Distances up to which the rounds search: by one, then by a half more, then all."""
+    out = [0]
+    while out[-1] < n:
+        out.append(min(n, max(out[-1] + 1, out[-1] * 3 // 2)))
+    return out
+
+
+def agreeing_choices(sizes: Mapping[str, int], radius: int, most: int = KEYS) -> tuple[int, list[tuple[str, ...]]]:
+    """Attribute choices of which two conditions within `radius` agree on at least one, and the number of blocks.
+
+    The attributes are dealt into m blocks; at most `radius` of them differ, so
+    m - radius blocks agree. m is the largest with C(m, radius) <= `most`: more
+    blocks mean longer agreements and fewer chance candidates. Blocks are
+    evened out by the logarithm of the attributes' numbers of values.
+    """
+    if radius >= len(sizes):
+        return len(sizes), [()]
+    m = max([k for k in range(radius + 1, len(sizes) + 1) if comb(k, radius) <= most], default=radius + 1)
+    blocks: list[list[str]] = [[] for _ in range(m)]
+    weight = [0.0] * m
+    for a in sorted(sizes, key=lambda a: (-sizes[a], a)):
+        at = min(range(m), key=lambda i: (weight[i], len(blocks[i]), i))
+        blocks[at].append(a)
+        weight[at] += log(max(sizes[a], 1)) + 1e-3
+    return m, [tuple(a for i in c for a in blocks[i]) for c in combinations(range(m), m - radius)]
+
+
+def nearest_by_radius(wanted: DataFrame, usable: DataFrame, attrs: Sequence[str], ties: bool = False) -> DataFrame:
+    """`nearest_condition` for many attributes: rounds of growing radius over the conditions not yet settled.
+
+    A round joins on the values of agreeing blocks (`agreeing_choices`), so it
+    finds every usable condition within its radius; a condition whose nearest
+    candidate is that near is settled. A round of one-attribute blocks, one
+    farther than the last, needs no pairs for the smallest condition: whatever
+    shares a key has exactly the round's distance. In the other rounds
+    candidates are measured where they are joined, and merged per condition.
+    """
+    attrs = list(attrs)
+    open_ = cut_lineage(wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w")))
+    right = cut_lineage(usable.select(*attrs).distinct())
+    *counts, n_usable = right.agg(*[F.approx_count_distinct(a) for a in attrs], F.count("*")).first()
+    near, done, last = F.struct(*attrs).alias("near"), [], -1
+    distance = sum((~F.col("_w")[a].eqNullSafe(F.col("near")[a])).cast("int") for a in attrs)
+    for radius in radii(len(attrs)):
+        blocks, choices = agreeing_choices(dict(zip(attrs, counts)), radius)
+        cells = F.explode(agreement_keys(attrs, choices)).alias("cell")
+        asked = open_.select("_w", "_w.*").select("_w", cells)
+        known = right.select(near, cells)
+        exact = blocks == len(attrs) and radius == last + 1
+        if exact and not ties:
+            known = known.groupBy("cell").agg(F.min("near").alias("near"))
+        found = asked.join(known, "cell").select("_w", "near", (F.lit(radius) if exact else distance).alias("hamming"))
+        if not ties:
+            found = found.groupBy("_w").agg(F.min(F.struct("hamming", "near")).alias("_b")).select("_w", "_b.near", "_b.hamming")
+            found = cut_lineage(found.where(F.col("hamming") <= radius))
+        else:
+            if not exact:
+                least = found.groupBy("_w").agg(F.min("hamming").alias("hamming"))
+                found = found.join(least, ["_w", "hamming"]).select("_w", "near", "hamming")
+            found = cut_lineage(found.where(F.col("hamming") <= radius).distinct())
+        done.append(found)
+        open_ = cut_lineage(open_.join(found, "_w", "left_anti"))
+        last = radius
+        if n_usable == 0 or open_.isEmpty():
+            break
+    return _near_columns(reduce(DataFrame.unionByName, done), attrs)
 
 
 def table_bytes(df: DataFrame, width: int) -> int:

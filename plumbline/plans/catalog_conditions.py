@@ -385,6 +385,32 @@ def nearest_condition_ties(spark, sf):
     return _near(spark, sf, True)
 
 
+# Forty two-valued attributes: the signs of the first forty entries.
+SIGNS = [f"s{i}" for i in range(40)]
+SIGN_LIST = "list_transform(range(1, 41), lambda i: CASE WHEN x[i] > 0 THEN 1 ELSE 0 END)"
+SIGN_NEAR = [
+    V_SQL, f"lc AS (SELECT DISTINCT {SIGN_LIST} AS p FROM v WHERE is_gen = 1)", f"rc AS (SELECT DISTINCT {SIGN_LIST} AS q FROM v WHERE is_gen = 0)",
+    "hd AS (SELECT p, q, list_sum(list_transform(range(1, 41), lambda i: abs(p[i] - q[i])))::INTEGER AS hamming FROM lc, rc)",
+]
+SIGN_COLS = ["array_to_string(p, '') AS cond", "array_to_string(q, '') AS near", "hamming"]
+
+
+def _near_signs(spark, sf, ties):
+    v = vectors(spark, sf).select("is_gen", *[(F.col("features")[i] > 0).cast("int").alias(a) for i, a in enumerate(SIGNS)])
+    out = C.nearest_condition(v.where("is_gen = 1"), v.where("is_gen = 0"), SIGNS, ties)
+    return out.select(F.concat(*SIGNS).alias("cond"), F.concat(*[f"near_{a}" for a in SIGNS]).alias("near"), "hamming")
+
+
+@query("nearest_condition_many_attributes", sql("SELECT * FROM hd QUALIFY row_number() OVER (PARTITION BY p ORDER BY hamming, q) = 1", SIGN_COLS, [], SIGN_NEAR))
+def nearest_condition_many_attributes(spark, sf):
+    return _near_signs(spark, sf, False)
+
+
+@query("nearest_condition_many_attributes_ties", sql("SELECT * FROM hd QUALIFY rank() OVER (PARTITION BY p ORDER BY hamming) = 1", SIGN_COLS, [], SIGN_NEAR))
+def nearest_condition_many_attributes_ties(spark, sf):
+    return _near_signs(spark, sf, True)
+
+
 @query("random_pairs", sql(f"SELECT p.pair, li.sample_id AS left_id, ri.sample_id AS right_id FROM (SELECT pair, i, CASE WHEN i = j THEN (j + 1) % n ELSE j END AS j FROM (SELECT pair, n, floor({unit_draw_sql(42, '1', 'pair')} * n)::BIGINT AS i, floor({unit_draw_sql(42, '2', 'pair')} * n)::BIGINT AS j FROM (SELECT unnest(range(1000)) AS pair), (SELECT count(*) AS n FROM v))) p "
     "JOIN ix li ON li.k = p.i JOIN ix ri ON ri.k = p.j", ["pair", "left_id", "right_id"], [], [V_SQL, f"ix AS (SELECT sample_id, {rank_sql('', 42)} - 1 AS k FROM v)"]))
 def random_pairs(spark, sf):

@@ -172,16 +172,21 @@ def rarity_weight(
 KEYS = 256
 
 
-def agreement_keys(attrs: Sequence[str], choices: Sequence[Sequence[str]]) -> Column:
-    """Per choice of attributes the name of the choice and its values; nulls agree with nulls.
+def agreement_keys(attrs: Sequence[str], choices: Sequence[Sequence[str]], values: str | None = None) -> Column:
+    """Per choice of attributes the name of the choice and its values (columns, or one array of texts); nulls agree with nulls.
 
     The choices are one constant, so that the plan does not grow with them.
     """
     place = {a: i for i, a in enumerate(attrs)}
-    texts = [F.col(a).cast("string") for a in attrs]
-    values = F.array(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts])
+    texts = F.col(values) if values else F.array(*[F.col(a).cast("string") for a in attrs])
+    plain = F.transform(texts, lambda t: F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")))
     chosen = F.from_json(F.lit(json.dumps([[place[a] for a in c] for c in choices])), "array<array<int>>")
-    return F.transform(chosen, lambda c, i: F.md5(F.concat(i, F.lit("|"), F.array_join(F.transform(c, lambda j: F.get(values, j)), "|"))))
+
+    def keys(v: Column) -> Column:
+        return F.transform(chosen, lambda c, i: F.md5(F.concat(i, F.lit("|"), F.array_join(F.transform(c, lambda j: F.get(v, j)), "|"))))
+
+    # Bound to a variable, the texts are made once a row and not once a key.
+    return F.transform(F.array(plain), keys)[0]
 
 
 def nearest_condition(
@@ -260,34 +265,35 @@ def nearest_by_radius(wanted: DataFrame, usable: DataFrame, attrs: Sequence[str]
     candidates are measured where they are joined, and merged per condition.
     """
     attrs = list(attrs)
-    open_ = cut_lineage(wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w")))
-    right = cut_lineage(usable.select(*attrs).distinct())
+    values = [F.col(a).cast("string") for a in attrs]
+    named = [agreement_keys(attrs, [attrs])[0].alias("_id"), F.array(*values).alias("_v")]
+    asked = cut_lineage(wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w"), *named))
+    right = usable.select(*attrs).distinct().select(F.struct(*attrs).alias("near"), F.array(*values).alias("_n"), *attrs)
+    right = cut_lineage(right)
     *counts, n_usable = right.agg(*[F.approx_count_distinct(a) for a in attrs], F.count("*")).first()
-    near, done, last = F.struct(*attrs).alias("near"), [], -1
-    distance = sum((~F.col("_w")[a].eqNullSafe(F.col("near")[a])).cast("int") for a in attrs)
+    right = right.drop(*attrs)
+    open_, done, last = asked.select("_id", "_v"), [], -1
+    apart = F.size(F.filter(F.zip_with("_v", "_n", lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
     for radius in radii(len(attrs)):
         blocks, choices = agreeing_choices(dict(zip(attrs, counts)), radius)
-        cells = F.explode(agreement_keys(attrs, choices)).alias("cell")
-        asked = open_.select("_w", "_w.*").select("_w", cells)
-        known = right.select(near, cells)
         exact = blocks == len(attrs) and radius == last + 1
+        known = right.select("near", "_n", F.explode(agreement_keys(attrs, choices, "_n")).alias("cell"))
         if exact and not ties:
             known = known.groupBy("cell").agg(F.min("near").alias("near"))
-        found = asked.join(known, "cell").select("_w", "near", (F.lit(radius) if exact else distance).alias("hamming"))
+        found = open_.select("_id", "_v", F.explode(agreement_keys(attrs, choices, "_v")).alias("cell")).join(known, "cell")
+        found = found.select("_id", "near", (F.lit(radius) if exact else apart).alias("hamming")).where(F.col("hamming") <= radius)
         if not ties:
-            found = found.groupBy("_w").agg(F.min(F.struct("hamming", "near")).alias("_b")).select("_w", "_b.near", "_b.hamming")
-            found = cut_lineage(found.where(F.col("hamming") <= radius))
+            found = found.groupBy("_id").agg(F.min(F.struct("hamming", "near")).alias("_b")).select("_id", "_b.near", "_b.hamming")
+        elif not exact:
+            found = found.join(found.groupBy("_id").agg(F.min("hamming").alias("hamming")), ["_id", "hamming"]).distinct()
         else:
-            if not exact:
-                least = found.groupBy("_w").agg(F.min("hamming").alias("hamming"))
-                found = found.join(least, ["_w", "hamming"]).select("_w", "near", "hamming")
-            found = cut_lineage(found.where(F.col("hamming") <= radius).distinct())
-        done.append(found)
-        open_ = cut_lineage(open_.join(found, "_w", "left_anti"))
+            found = found.distinct()
+        done.append(cut_lineage(found.select("_id", "near", "hamming")))
         last = radius
+        open_ = cut_lineage(open_.join(done[-1], "_id", "left_anti"))
         if n_usable == 0 or open_.isEmpty():
             break
-    return _near_columns(reduce(DataFrame.unionByName, done), attrs)
+    return _near_columns(reduce(DataFrame.unionByName, done).join(asked.select("_id", "_w"), "_id"), attrs)
 
 
 def table_bytes(df: DataFrame, width: int) -> int:

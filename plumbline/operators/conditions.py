@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 from math import comb, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +172,11 @@ def rarity_weight(
 
 # Keys a condition may take in one round of the nearest-condition join.
 KEYS = 256
+# Rows of either side that a task compares pair by pair, and left rows of these at a time.
+BLOCK = 4096
+CHUNK = 128
+# What a key or a candidate of the join costs, in pairs compared in a block.
+CANDIDATE = 200
 
 
 def agreement_keys(attrs: Sequence[str], choices: Sequence[Sequence[str]], values: str | None = None) -> Column:
@@ -254,46 +261,122 @@ def agreeing_choices(sizes: Mapping[str, int], radius: int, most: int = KEYS) ->
     return m, [tuple(a for i in c for a in blocks[i]) for c in combinations(range(m), m - radius)]
 
 
+def bit_planes(codes: np.ndarray, bits: int) -> np.ndarray:
+    """(bits, words, rows) of codes(rows, attributes): bit p of 64 attributes' codes in a word."""
+    rows, width = codes.shape
+    out = np.zeros((bits, -(-width // 64), rows), np.uint64)
+    for p in range(bits):
+        for j in range(width):
+            out[p, j // 64] |= ((codes[:, j] >> p) & 1).astype(np.uint64) << np.uint64(j % 64)
+    return out
+
+
+def disagreements(left: pa.ChunkedArray, right: pa.ChunkedArray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Numbers of attributes in which rows of two columns of value lists differ: (first left row, left rows x right rows) per chunk."""
+    flat = pa.chunked_array([c.flatten() for c in (*left.chunks, *right.chunks)]).combine_chunks()
+    coded = flat.dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False).reshape(-1, width)
+    bits = max(1, int(len(coded.dictionary) - 1).bit_length())
+    x, y = bit_planes(codes[: len(left)], bits), bit_planes(codes[len(left):], bits)
+    for at in range(0, len(left), CHUNK):
+        total = 0
+        for w in range(x.shape[1]):
+            differ = x[0, w, at:at + CHUNK, None] ^ y[0, w, None, :]
+            for p in range(1, bits):
+                differ |= x[p, w, at:at + CHUNK, None] ^ y[p, w, None, :]
+            total = total + np.bitwise_count(differ).astype(np.int32)
+        yield at, total
+
+
+def nearest_in_blocks(open_: DataFrame, right: DataFrame, width: int, n_open: int, n_right: int, ties: bool) -> DataFrame:
+    """(_l, _r, hamming) of the nearest rows of right(_r, _n) for each row of open_(_l, _v): all pairs, block against block.
+
+    A task holds `BLOCK` rows of either side, and per row only the nearest of a block (the smallest `_r`, or all tied) leave it.
+    """
+    across, down = -(-n_open // BLOCK), -(-n_right // BLOCK)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ls, rs, ds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        if asked.num_rows and held.num_rows:
+            held = held.sort_by("_r")
+            l, r = asked.column("_l").to_numpy(), held.column("_r").to_numpy()
+            for at, gap in disagreements(asked.column("_v"), held.column("_n"), width):
+                least = gap.min(axis=1)
+                i, j = np.nonzero(gap == least[:, None]) if ties else (np.arange(len(gap)), gap.argmin(axis=1))
+                ls.append(l[at + i])
+                rs.append(r[j])
+                ds.append(least[i])
+        return pa.table({"_l": np.concatenate(ls), "_r": np.concatenate(rs), "hamming": np.concatenate(ds)})
+
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = open_.select("_l", "_v", part("_l", across).alias("x"), each(down).alias("y"))
+    held = right.select("_r", "_n", part("_r", down).alias("y"), each(across).alias("x"))
+    return asked.groupBy("x", "y").cogroup(held.groupBy("x", "y")).applyInArrow(run, "_l bigint, _r bigint, hamming int")
+
+
 def nearest_by_radius(wanted: DataFrame, usable: DataFrame, attrs: Sequence[str], ties: bool = False) -> DataFrame:
     """`nearest_condition` for many attributes: rounds of growing radius over the conditions not yet settled.
 
     A round joins on the values of agreeing blocks (`agreeing_choices`), so it
     finds every usable condition within its radius; a condition whose nearest
     candidate is that near is settled. A round of one-attribute blocks, one
-    farther than the last, needs no pairs for the smallest condition: whatever
-    shares a key has exactly the round's distance. In the other rounds
-    candidates are measured where they are joined, and merged per condition.
+    farther than the last, measures nothing: whatever shares a key has exactly
+    the round's distance. Another round runs only while its keys and candidates
+    cost less than all pairs; the conditions still open then are compared with
+    all usable ones (`nearest_in_blocks`). Rows travel by number (usable ones
+    in the order of their values) and never in a broadcast.
     """
     attrs = list(attrs)
-    values = [F.col(a).cast("string") for a in attrs]
-    named = [agreement_keys(attrs, [attrs])[0].alias("_id"), F.array(*values).alias("_v")]
-    asked = cut_lineage(wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w"), *named))
-    right = usable.select(*attrs).distinct().select(F.struct(*attrs).alias("near"), F.array(*values).alias("_n"), *attrs)
-    right = cut_lineage(right)
-    *counts, n_usable = right.agg(*[F.approx_count_distinct(a) for a in attrs], F.count("*")).first()
-    right = right.drop(*attrs)
-    open_, done, last = asked.select("_id", "_v"), [], -1
+    values = F.array(*[F.col(a).cast("string") for a in attrs])
+    asked = wanted.select(*attrs).distinct().select(F.struct(*attrs).alias("_w"), values.alias("_v"))
+    asked = cut_lineage(asked.withColumn("_l", F.monotonically_increasing_id()))
+    right = usable.select(*attrs).distinct().select(F.struct(*attrs).alias("near"), values.alias("_n"))
+    right = cut_lineage(right.orderBy("near").withColumn("_r", F.monotonically_increasing_id()))
+    *counts, n_usable = right.agg(*[F.approx_count_distinct(F.col("_n")[i]) for i in range(len(attrs))], F.count("*")).first()
+    sizes = dict(zip(attrs, counts))
+    open_, n_open, done, last = asked.select("_l", "_v"), asked.count(), [], -1
     apart = F.size(F.filter(F.zip_with("_v", "_n", lambda x, y: x.eqNullSafe(y)), lambda same: ~same))
     for radius in radii(len(attrs)):
-        blocks, choices = agreeing_choices(dict(zip(attrs, counts)), radius)
+        if not n_open or not n_usable:
+            break
+        blocks, choices = agreeing_choices(sizes, radius)
         exact = blocks == len(attrs) and radius == last + 1
-        known = right.select("near", "_n", F.explode(agreement_keys(attrs, choices, "_n")).alias("cell"))
-        if exact and not ties:
-            known = known.groupBy("cell").agg(F.min("near").alias("near"))
-        found = open_.select("_id", "_v", F.explode(agreement_keys(attrs, choices, "_v")).alias("cell")).join(known, "cell")
-        found = found.select("_id", "near", (F.lit(radius) if exact else apart).alias("hamming")).where(F.col("hamming") <= radius)
-        if not ties:
-            found = found.groupBy("_id").agg(F.min(F.struct("hamming", "near")).alias("_b")).select("_id", "_b.near", "_b.hamming")
-        elif not exact:
-            found = found.join(found.groupBy("_id").agg(F.min("hamming").alias("hamming")), ["_id", "hamming"]).distinct()
+        asking = open_.select("_l", F.explode(agreement_keys(attrs, choices, "_v")).alias("cell"))
+        known = right.select("_r", F.explode(agreement_keys(attrs, choices, "_n")).alias("cell"))
+        if not exact:
+            cost = CANDIDATE * len(choices) * (n_open + n_usable)
+            if cost < n_open * n_usable:  # the candidates are counted before they are formed
+                per = lambda df, n: df.groupBy("cell").agg(F.count("*").cast("double").alias(n))
+                cost += CANDIDATE * (per(asking, "p").join(per(known, "q").hint("merge"), "cell").agg(F.sum(F.col("p") * F.col("q"))).first()[0] or 0)
+            if cost >= n_open * n_usable:
+                done.append(_least(nearest_in_blocks(open_, right.select("_r", "_n"), len(attrs), n_open, n_usable, ties), ties))
+                break
+        elif not ties:
+            known = known.groupBy("cell").agg(F.min("_r").alias("_r"))
+        found = asking.join(known.hint("merge"), "cell").drop("cell")
+        if exact:
+            found = found.withColumn("hamming", F.lit(radius))
         else:
-            found = found.distinct()
-        done.append(cut_lineage(found.select("_id", "near", "hamming")))
+            found = found.distinct().join(open_.hint("merge"), "_l").join(right.select("_r", "_n").hint("merge"), "_r")
+            found = found.select("_l", "_r", apart.alias("hamming")).where(F.col("hamming") <= radius)
+        done.append(_least(found, ties))
         last = radius
-        open_ = cut_lineage(open_.join(done[-1], "_id", "left_anti"))
-        if n_usable == 0 or open_.isEmpty():
-            break
-    return _near_columns(reduce(DataFrame.unionByName, done).join(asked.select("_id", "_w"), "_id"), attrs)
+        open_ = cut_lineage(open_.join(done[-1].select("_l").distinct().hint("merge"), "_l", "left_anti"))
+        n_open = open_.count()
+    none = asked.select("_l", F.lit(0).cast("bigint").alias("_r"), F.lit(0).alias("hamming")).limit(0)
+    found = reduce(DataFrame.unionByName, done, none).join(right.select("_r", "near").hint("merge"), "_r")
+    return _near_columns(found.join(asked.select("_l", "_w").hint("merge"), "_l"), attrs)
+
+
+def _least(found: DataFrame, ties: bool) -> DataFrame:
+    """The nearest rows of (_l, _r, hamming) per `_l`: the smallest `_r`, or all tied."""
+    if ties:
+        found = cut_lineage(found)
+        one = found.join(found.groupBy("_l").agg(F.min("hamming").alias("hamming")).hint("merge"), ["_l", "hamming"]).distinct()
+    else:
+        one = found.groupBy("_l").agg(F.min(F.struct("hamming", "_r")).alias("_b")).select("_l", "_b.hamming", "_b._r")
+    return cut_lineage(one.select("_l", "_r", "hamming"))
 
 
 def table_bytes(df: DataFrame, width: int) -> int:

@@ -61,3 +61,24 @@ def test_conditions_within_the_radius_share_a_choice(n):
             if sum(off) <= radius:
                 differ = {f"c{i}" for i in range(n) if off[i]}
                 assert any(not differ & set(c) for c in choices)
+
+
+@pytest.mark.parametrize("ties", [False, True])
+@pytest.mark.parametrize("candidate", [0, 10**9])
+def test_keyed_rounds_and_blocks_of_pairs_agree(spark, monkeypatch, ties, candidate):
+    monkeypatch.setattr(C, "CANDIDATE", candidate)
+    monkeypatch.setattr(C, "BLOCK", 16)
+    r = np.random.default_rng(2)
+    right = [tuple(None if x == 4 else int(x) for x in row) for row in r.integers(0, 5, size=(50, 70))]
+    left = [tuple(None if x == 4 else int(x) for x in row) for row in r.integers(0, 5, size=(20, 70))] + right[:3]
+    assert ask(spark, left, right, 70, ties) == brute(left, right, ties)
+
+
+def test_far_conditions_are_not_joined_on_keys(spark, monkeypatch):
+    """Random signs are far apart: more candidates share a key than there are pairs."""
+    r = np.random.default_rng(3)
+    left, right = ([tuple(int(x) for x in row) for row in r.integers(0, 2, size=(150, 40))] for _ in range(2))
+    asked = []
+    monkeypatch.setattr(C, "agreement_keys", lambda attrs, choices, *a, keys=C.agreement_keys: (asked.append(len(choices[0])), keys(attrs, choices, *a))[1])
+    assert ask(spark, left, right, 40, False) == brute(left, right, False)
+    assert min(asked) >= 30

@@ -28,6 +28,7 @@ from plumbline.functions.arrow import matrix, with_columns
 from plumbline.session import BLOCK_ROWS, MAX_PIVOTS, PIVOT_BYTES, limit, work_folder
 
 SALT_BLOCKS = 8  # blocks' worth of queries that meet one reference block in a task
+SLICE_CELLS = 1 << 20  # entries of a matrix of distances in a task
 NO_TREE = -1  # leaf of a group that is one cell
 
 
@@ -36,6 +37,17 @@ def gaps(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ points.T + (points**2).sum(1)[None, :], 0.0))
 
 
+def slices(rows: int, width: int) -> Iterator[slice]:
+    """Slices of `rows` rows of which a matrix with `width` columns has at most SLICE_CELLS entries."""
+    step = max(1, SLICE_CELLS // max(width, 1))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
+
+
+def nearest_point(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Number of the nearest point of each row."""
+    return np.concatenate([np.zeros(0, np.int64), *(gaps(x[cut], points).argmin(axis=1) for cut in slices(len(x), len(points)))])
+
+
 @dataclass
 class Tree:
     """Leaf pivots under top pivots; rows, radius per leaf and radius per top cell are known after the reference is placed."""
@@ -51,18 +63,18 @@ class Tree:
         _, first = np.unique(self.points, axis=0, return_index=True)
         self.points = self.points[np.sort(first)]
         top = self.points[: max(1, int(np.ceil(np.sqrt(len(self.points)))))]
-        owner = gaps(self.points, top).argmin(axis=1)
+        owner = nearest_point(self.points, top)
         used = np.unique(owner)
         self.tops, self.kids = top[used], [np.flatnonzero(owner == t) for t in used]
         self.rows, self.radius, self.top_radius = np.zeros(len(self.points), np.int64), np.zeros(len(self.points)), np.full(len(used), -np.inf)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Leaf of each row, and its distances to the leaf's and the top cell's pivot."""
-        top = gaps(x, self.tops).argmin(axis=1)
+        top = nearest_point(x, self.tops)
         leaf = np.empty(len(x), np.int64)
         for t in np.unique(top):
             own = np.flatnonzero(top == t)
-            leaf[own] = self.kids[t][gaps(x[own], self.points[self.kids[t]]).argmin(axis=1)]
+            leaf[own] = self.kids[t][nearest_point(x[own], self.points[self.kids[t]])]
         return leaf, np.linalg.norm(x - self.points[leaf], axis=1), np.linalg.norm(x - self.tops[top], axis=1)
 
     def learn(self, leaf: int, rows: int, radius: float, top_radius: float) -> None:
@@ -124,11 +136,10 @@ def plant(ref: DataFrame) -> Forest:
     table = spark.createDataFrame(pa.table({"grp": pa.array([g for g, _ in wanted], pa.string()), "leaves": [n for _, n in wanted]}))
     drawn = F.row_number().over(Window.partitionBy("grp").orderBy("d", "id"))
     picked = ref.join(F.broadcast(table), "grp").select("grp", "id", "v", "leaves", V.draw_key(7, 0, "id").alias("d"))
-    ends = picked.withColumn("i", drawn).where(F.col("i") <= max(n for _, n in wanted)).where("i <= leaves").select("grp", "v").collect()
-    points: dict[str, list] = {}
-    for r in ends:
-        points.setdefault(r["grp"], []).append(r["v"])
-    return {g: Tree(np.asarray(p, np.float64)) for g, p in points.items()}
+    ends = picked.withColumn("i", drawn).where(F.col("i") <= max(n for _, n in wanted)).where("i <= leaves").select("grp", "i", "v").toArrow().sort_by([("grp", "ascending"), ("i", "ascending")])
+    group = ends.column("grp").to_numpy(zero_copy_only=False)
+    x = matrix(ends.column("v"))
+    return {g: Tree(x[group == g]) for g in dict.fromkeys(group)}
 
 
 def by_group(batch: pa.RecordBatch, forest: Forest) -> Iterator[tuple[Tree, np.ndarray]]:
@@ -169,7 +180,8 @@ def reached(queries: DataFrame, forest: object, need: int) -> DataFrame:
     """Rows with `leaves`: those that can hold a reference row within the row's `bound`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        width = max([len(tree.points) for tree in forest.value.values()], default=1)
+        for batch in (whole.slice(cut.start, cut.stop - cut.start) for whole in batches for cut in slices(whole.num_rows, width)):
             found_rows, found_leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             if batch.num_rows:
                 x, bound = matrix(batch.column("v")), batch.column("bound").to_numpy().copy()
@@ -230,21 +242,33 @@ def best(qv: np.ndarray, x: np.ndarray, rv: np.ndarray, y: np.ndarray, k: int, u
     """(query row, reference row, distance) of the k nearest references per query, nearest first, equal ones by id.
 
     The expanded form rounds differently from the plain one: all rows within rounding of the k-th are measured exactly.
+    Queries are taken in slices, so that memory does not grow with queries times references.
     """
-    rough = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ y.T + (y**2).sum(1)[None, :], 0.0)
-    if exclude_self:
-        rough = np.where(qv[:, None] == rv[None, :], np.inf, rough)
-    kk = min(k, len(rv))
-    kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
-    a, b = np.nonzero((rough <= kth[:, None] + 1e-9 * (1.0 + kth[:, None])) & np.isfinite(rough))
-    exact = 1.0 - np.einsum("nd,nd->n", x[a], y[b]) if unit else np.linalg.norm(x[a] - y[b], axis=1)
     by_id = np.empty(len(rv), np.int64)
     by_id[np.argsort(rv, kind="stable")] = np.arange(len(rv))
-    order = np.lexsort((by_id[b], exact, a))
-    a, b, exact = a[order], b[order], exact[order]
-    first = np.searchsorted(a, np.arange(len(x)))
-    keep = np.arange(len(a)) - first[a] < k
-    return a[keep], b[keep], exact[keep]
+    square, kk = (y**2).sum(1), min(k, len(rv))
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for cut in slices(len(x), len(y)):
+        own = x[cut]
+        rough = own @ y.T
+        rough *= -2.0
+        rough += (own**2).sum(1)[:, None]
+        rough += square[None, :]
+        np.maximum(rough, 0.0, out=rough)
+        if exclude_self:
+            rough[qv[cut, None] == rv[None, :]] = np.inf
+        kth = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+        a, b = np.nonzero((rough <= kth[:, None] + 1e-9 * (1.0 + kth[:, None])) & np.isfinite(rough))
+        exact = np.concatenate([np.zeros(0), *(measured(own[a[c]], y[b[c]], unit) for c in slices(len(a), own.shape[1]))])
+        order = np.lexsort((by_id[b], exact, a))
+        a, b, exact = a[order], b[order], exact[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, np.arange(len(own)))[a] < k
+        parts.append((a[keep] + cut.start, b[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def measured(x: np.ndarray, y: np.ndarray, unit: bool) -> np.ndarray:
+    return 1.0 - np.einsum("nd,nd->n", x, y) if unit else np.linalg.norm(x - y, axis=1)
 
 
 def _sides(q: pa.Table, r: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -324,7 +348,7 @@ def nearest(query: DataFrame, ref: DataFrame, k: int, unit: bool, exclude_self:
         found = pa.StructArray.from_arrays([r.column("id").combine_chunks().take(pa.array(b)) if len(rv) else pa.array([], r.schema.field("id").type), pa.array(d)], ["ref_id", "distance"])
         last = np.full(len(qv), np.inf)
         full = np.diff(ends) == k
-        worst = np.linalg.norm(x[a] - y[b], axis=1) if len(a) else np.zeros(0)
+        worst = np.concatenate([np.zeros(0), *(measured(x[a[c]], y[b[c]], False) for c in slices(len(a), x.shape[1]))])
         last[full] = np.maximum.reduceat(np.append(worst, 0.0), ends[:-1])[full] if len(a) else np.inf
         cols = [q.column(c).combine_chunks() for c in ("grp", "id", "v", "leaf", "block")]
         return pa.table([*cols, pa.array(last), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)], names=["grp", "id", "v", "leaf", "block", "bound", "found"])
@@ -357,10 +381,15 @@ def least_within(query: DataFrame, ref: DataFrame, name: str) -> DataFrame:
         low = np.full(len(qv), np.inf)
         if len(qv) and len(rv):
             reach, carried = q.column("bound").to_numpy(), r.column("aux").to_numpy()
-            rough = np.maximum((x**2).sum(1)[:, None] - 2.0 * x @ y.T + (y**2).sum(1)[None, :], 0.0)
-            a, b = np.nonzero(rough <= (reach**2)[:, None] + 1e-9 * (1.0 + (reach**2)[:, None]))
-            inside = np.linalg.norm(x[a] - y[b], axis=1) <= reach[a]
-            np.minimum.at(low, a[inside], carried[b[inside]])
+            square = (y**2).sum(1)
+            for cut in slices(len(x), len(y)):
+                own, far = x[cut], reach[cut]
+                rough = np.maximum((own**2).sum(1)[:, None] - 2.0 * own @ y.T + square[None, :], 0.0)
+                a, b = np.nonzero(rough <= (far**2)[:, None] + 1e-9 * (1.0 + (far**2)[:, None]))
+                for c in slices(len(a), own.shape[1]):
+                    i, j = a[c], b[c]
+                    inside = measured(own[i], y[j], False) <= far[i]
+                    np.minimum.at(low, cut.start + i[inside], carried[j[inside]])
         hit = np.flatnonzero(np.isfinite(low))
         return pa.table([q.column("id").take(pa.array(hit)), pa.array(low[hit])], names=schema.names)
 

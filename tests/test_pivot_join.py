@@ -1,5 +1,7 @@
 """The pivot-tree joins against brute force: clusters, equal rows, many groups, few pivots; and how far they send queries."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -109,3 +111,29 @@ def test_knn_join_keeps_string_ids_and_ties(spark, limits):
     for i in range(30):
         want = [f"s{j:02d}" for j in range(10 * (i // 10), 10 * (i // 10) + 10) if j != i][:3]
         assert [r.ref_id for r in got[3 * i : 3 * i + 3]] == want
+
+
+def peak(run):
+    """MB that numpy took at most while `run` ran."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("unit, exclude_self", [(False, False), (True, True)])
+def test_a_full_salt_meets_a_block_in_little_memory(unit, exclude_self):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(J.SALT_BLOCKS * 2048, 8)), r.normal(size=(2048, 8))
+    if unit:
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    ids = np.arange(len(x))
+    out = []
+    assert peak(lambda: out.append(J.best(ids, x, ids[: len(y)], y, 3, unit, exclude_self))) < 100
+    a, b, d = out[0]
+    for i in (0, 2047, 2048, len(x) - 1):
+        full = 1.0 - y @ x[i] if unit else np.linalg.norm(y - x[i], axis=1)
+        full[i if exclude_self and i < len(y) else slice(0, 0)] = np.inf
+        assert b[a == i].tolist() == np.argsort(full)[:3].tolist() and np.allclose(d[a == i], np.sort(full)[:3])

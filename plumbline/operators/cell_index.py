@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
 from plumbline.functions.arrow import matrix
-from plumbline.operators.pivot_join import gaps, written
+from plumbline.operators.pivot_join import gaps, nearest_point, slices, written
 
 SAMPLE_BYTES = 32 << 20  # of vectors that centres and codewords are fitted on
 SAMPLE_PER_CELL = 256
@@ -47,7 +47,7 @@ class Codes(NamedTuple):
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = x - self.centres[cell]
-        return np.stack([gaps(rest[:, a:b], w).argmin(axis=1) for w, a, b in zip(self.words, self.cuts, self.cuts[1:])], 1).astype(np.uint8)
+        return np.stack([nearest_point(rest[:, a:b], w) for w, a, b in zip(self.words, self.cuts, self.cuts[1:])], 1).astype(np.uint8)
 
     def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
         """Per part the squared distances of the queries' residuals to all codewords."""
@@ -60,7 +60,7 @@ def moved_centres(x: np.ndarray, wanted: int, rounds: int = ROUNDS) -> np.ndarra
     _, first = np.unique(x, axis=0, return_index=True)
     centres = x[np.sort(first)[:wanted]].copy()
     for _ in range(rounds):
-        own = gaps(x, centres).argmin(axis=1)
+        own = nearest_point(x, centres)
         size = np.bincount(own, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
@@ -77,9 +77,15 @@ class Index(NamedTuple):
     cells: DataFrame
 
 
-def sampled(ref: DataFrame, rows: int, seed: int) -> np.ndarray:
-    drawn = ref.select("v", V.draw_key(seed, 0, "id").alias("d")).orderBy("d").limit(rows)
-    return np.asarray([r["v"] for r in drawn.collect()], np.float64)
+def sampled(ref: DataFrame, rows: int, of: int, seed: int) -> np.ndarray:
+    """The `rows` first of `of` rows by hash. A bound on the hash goes before the order, so that a task sends few more than are wanted."""
+    keyed = ref.select("v", V.draw_key(seed, 0, "id").alias("d"))
+    share = 1.2 * rows / max(of, 1) + 0.001
+    few = keyed.where(F.col("d") < f"{int(share * (1 << 32)):08x}") if share < 1.0 else keyed
+    drawn = few.orderBy("d").limit(rows).select("v").toArrow()
+    if drawn.num_rows < min(rows, of):
+        drawn = keyed.orderBy("d").limit(rows).select("v").toArrow()
+    return matrix(drawn.column("v"))
 
 
 def build_index(ref: DataFrame, cells: int | None = None, parts: int | None = None, ref_id: str = "sample_id", features: str = "features", seed: int = 11) -> Index:
@@ -95,10 +101,10 @@ def build_index(ref: DataFrame, cells: int | None = None, parts: int | None = No
     if not rows:
         none = ref.sparkSession.createDataFrame([], T.StructType([T.StructField("cell", T.IntegerType()), ref.schema["id"], T.StructField("code", T.BinaryType())]))
         return Index(Codes(np.zeros((0, 0)), [], [0]), none, ref, none.select("cell", F.lit(0).alias("blocks")))
-    x = sampled(ref, most, seed)
+    x = sampled(ref, most, rows, seed)
     centres = moved_centres(x, cells)
     cuts = np.linspace(0, width, (parts or -(-width // 4)) + 1).astype(int).tolist()
-    rest = x - centres[gaps(x, centres).argmin(axis=1)]
+    rest = x - centres[nearest_point(x, centres)]
     codes = Codes(centres, [moved_centres(rest[:, a:b], CODEWORDS) for a, b in zip(cuts, cuts[1:])], cuts)
     shared = ref.sparkSession.sparkContext.broadcast(codes)
 
@@ -106,7 +112,7 @@ def build_index(ref: DataFrame, cells: int | None = None, parts: int | None = No
         for batch in batches:
             if batch.num_rows:
                 x = matrix(batch.column("v"))
-                cell = gaps(x, shared.value.centres).argmin(axis=1)
+                cell = nearest_point(x, shared.value.centres)
                 said = shared.value.encode(x, cell)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("id"), pa.array([r.tobytes() for r in said], pa.binary())], names=["cell", "id", "code"])
 
@@ -120,8 +126,9 @@ def asked_cells(query: DataFrame, codes: object, probes: int) -> DataFrame:
     """query(id, v) with the array `cells` of the `probes` nearest ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and len(codes.value.centres):
+        for whole in batches:
+            for cut in slices(whole.num_rows, len(codes.value.centres)) if len(codes.value.centres) else ():
+                batch = whole.slice(cut.start, cut.stop - cut.start)
                 order = codes.value.cell_order(matrix(batch.column("v")))[:, :probes].astype(np.int32)
                 ends = np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(order.ravel()))], names=[*batch.schema.names, "cells"])

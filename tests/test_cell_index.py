@@ -1,5 +1,7 @@
 """The inverted-cell index: all rows are in it, recall against brute force, all probes and many candidates give exact rows."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -60,3 +62,19 @@ def test_empty_reference_and_query(spark, rows):
     assert C.search(C.build_index(frame(spark, rows[:50])), none, 2, 1).count() == 0
     index = C.build_index(frame(spark, rows[:1]))
     assert [tuple(r) for r in C.search(index, frame(spark, rows[:1]), 3, 1).collect()] == [(0, 0, 0.0, 1)]
+
+
+def test_centres_are_moved_in_little_memory():
+    """The driver fits 256 rows a cell; distances of all rows to all centres took 490 MB here."""
+    x = np.random.default_rng(4).normal(size=(65_536, 4))
+    tracemalloc.start()
+    centres = C.moved_centres(x, 256, 1)
+    most = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    assert len(centres) == 256 and most < 100
+
+
+def test_the_sample_is_the_first_rows_by_hash(spark, rows):
+    df = frame(spark, rows[900:]).select(C.F.col("sample_id").alias("id"), C.F.col("features").alias("v"))
+    want = df.orderBy(C.V.draw_key(11, 0, "id")).limit(40).collect()
+    assert np.array_equal(C.sampled(df, 40, 2100, 11), np.asarray([r["v"] for r in want]))

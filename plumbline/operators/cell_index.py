@@ -29,8 +29,9 @@ SAMPLE_PER_CELL = 256
 MOST_CELLS = 4096
 CODEWORDS = 256
 ROUNDS = 8  # of moving centres to the means of their rows
-BLOCK_CODES = 1 << 16  # rows of a cell in one task
+BLOCK_CODES = 1 << 20  # rows of the index in one task
 QUERY_ROWS = 4096  # queries that meet a block in one task
+CELL_ROWS = 1024  # rows of a cell that some queries are held against at a time
 RERANK = 20  # rows measured exactly, times k
 
 
@@ -136,48 +137,77 @@ def asked_cells(query: DataFrame, codes: object, probes: int) -> DataFrame:
     return query.mapInArrow(run, T.StructType([*query.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
 
 
+def add_best(rough: np.ndarray, place: np.ndarray, who: np.ndarray, total: np.ndarray, rows: np.ndarray) -> None:
+    """Put code distances `total` of the queries `who` to `rows` among the best ones so far, in place."""
+    keep = rough.shape[1]
+    values = np.concatenate([rough[who], total], axis=1)
+    which = np.concatenate([place[who], np.broadcast_to(rows, total.shape)], axis=1)
+    first = np.argpartition(values, keep - 1, axis=1)[:, :keep]
+    rough[who], place[who] = np.take_along_axis(values, first, 1), np.take_along_axis(which, first, 1)
+
+
+def best_codes(codes: Codes, x: np.ndarray, asked: np.ndarray, cell: np.ndarray, code: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, row, code distance) of the `keep` best of the rows (cell, code) that lie in the asked cells of each query."""
+    order = np.argsort(cell, kind="stable")
+    cell, code = cell[order], code[order]
+    held, starts = np.unique(cell, return_index=True)
+    rows_of = dict(zip(held.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(cell)])))
+    rough, place = np.full((len(x), keep), np.inf), np.zeros((len(x), keep), np.int64)
+    who, wanted = np.repeat(np.arange(len(x)), asked.shape[1]), asked.ravel()
+    by_cell = np.argsort(wanted, kind="stable")
+    cells, first = np.unique(wanted[by_cell], return_index=True)
+    for c, own in zip(cells.tolist(), np.split(who[by_cell], first[1:])):
+        if c not in rows_of:
+            continue
+        start, end = rows_of[c]
+        for part in slices(len(own), CODEWORDS * len(codes.words)):
+            some = own[part]
+            tables = codes.tables(x[some], c)
+            for at in range(start, end, CELL_ROWS):
+                rows = np.arange(at, min(at + CELL_ROWS, end))
+                total = np.zeros((len(some), len(rows)))
+                for m, table in enumerate(tables):
+                    total += table[:, code[rows, m]]
+                add_best(rough, place, some, total, rows)
+    i, j = np.nonzero(np.isfinite(rough))
+    return i, order[place[i, j]], rough[i, j]
+
+
 def search(index: Index, query: DataFrame, k: int, probes: int, rerank: int = RERANK, query_id: str = "sample_id", features: str = "features") -> DataFrame:
     """(query_id, ref_id, distance, rank): about the k nearest rows of each query, with exact Euclidean distances.
 
     Each query looks into `probes` cells; the `rerank * k` rows with the best codes are measured. Equal distances go to the
     smaller id. Queries with equal ids count as one.
+
+    Codes are far smaller than vectors and candidates: a task gets some queries, which travel once per block of codes, and a
+    block, and only the best of all asked cells in it leave the task, so nothing is sent per probe.
     """
     spark = query.sparkSession
     shared = spark.sparkContext.broadcast(index.codes)
     keep = rerank * k
-    q = query.select(F.col(query_id).alias("id"), F.col(features).alias("v"))
-    asked = written(asked_cells(q, shared, probes), "probes")
-    load = asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("salts"))
-    plan = index.cells.join(load, "cell")
-    rows = index.table.join(plan, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("blocks", "salts")
-    sent = asked.withColumn("cell", F.explode("cells")).drop("cells").join(plan, "cell")
-    sent = sent.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "salts")
+    q = written(query.select(F.col(query_id).alias("id"), F.col(features).alias("v")).dropDuplicates(["id"]), "asked")
+    blocks, salts = (max(1, -(-df.count() // n)) for df, n in ((index.table, BLOCK_CODES), (q, QUERY_ROWS)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = index.table.withColumn("block", part(blocks)).withColumn("salt", each(salts))
+    sent = q.withColumn("salt", part(salts)).withColumn("block", each(blocks))
 
     def best(asking: pa.Table, held: pa.Table) -> pa.Table:
-        n = min(keep, held.num_rows)
-        if not asking.num_rows or not n:
-            return pa.table([asking.column("id").slice(0, 0), held.column("id").slice(0, 0), pa.array([], pa.float64())], names=["query_id", "ref_id", "rough"])
-        parts = len(shared.value.words)
-        code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(-1, parts)
-        tables = shared.value.tables(matrix(asking.column("v")), asking.column("cell")[0].as_py())
-        rough = np.empty((asking.num_rows, n))
-        picked = np.empty((asking.num_rows, n), np.int64)
-        for i in range(asking.num_rows):
-            total = np.zeros(len(code))
-            for m, table in enumerate(tables):
-                total += table[i][code[:, m]]
-            picked[i] = np.argpartition(total, n - 1)[:n]
-            rough[i] = total[picked[i]]
-        who = np.repeat(np.arange(asking.num_rows), n)
-        return pa.table([asking.column("id").take(pa.array(who)), held.column("id").take(pa.array(picked.ravel())), pa.array(rough.ravel())], names=["query_id", "ref_id", "rough"])
+        if asking.num_rows and held.num_rows:
+            code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1)
+            x = matrix(asking.column("v"))
+            asked = np.concatenate([shared.value.cell_order(x[cut])[:, :probes] for cut in slices(len(x), len(shared.value.centres))])
+            i, j, rough = best_codes(shared.value, x, asked, held.column("cell").to_numpy(), code, keep)
+        else:
+            i, j, rough = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table([asking.column("id").take(pa.array(i)), held.column("id").take(pa.array(j)), pa.array(rough)], names=["query_id", "ref_id", "rough"])
 
     kind = T.StructType([T.StructField("query_id", q.schema["id"].dataType), T.StructField("ref_id", index.refs.schema["id"].dataType), T.StructField("rough", T.DoubleType())])
-    key = ["cell", "block", "salt"]
+    key = ["block", "salt"]
     found = sent.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(best, kind)
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "ref_id"))
     near = found.withColumn("i", first).where(F.col("i") <= keep).select("query_id", "ref_id")
-    near = near.join(index.refs.select(F.col("id").alias("ref_id"), F.col("v").alias("rv")), "ref_id").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id"]), "query_id")
+    near = near.join(index.refs.select(F.col("id").alias("ref_id"), F.col("v").alias("rv")), "ref_id").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))
     return near.select("query_id", "ref_id", V.l2_distance("qv", "rv").alias("distance")).withColumn("rank", place).where(F.col("rank") <= k)
 

@@ -78,3 +78,20 @@ def test_the_sample_is_the_first_rows_by_hash(spark, rows):
     df = frame(spark, rows[900:]).select(C.F.col("sample_id").alias("id"), C.F.col("features").alias("v"))
     want = df.orderBy(C.V.draw_key(11, 0, "id")).limit(40).collect()
     assert np.array_equal(C.sampled(df, 40, 2100, 11), np.asarray([r["v"] for r in want]))
+
+
+def test_a_query_leaves_a_block_with_its_best_codes_alone(rows):
+    """However many cells a query looks into, a task hands on `keep` candidates; they are the best of all asked cells."""
+    r = np.random.default_rng(6)
+    x = rows[1000:]
+    centres = C.moved_centres(x, 40)
+    cell = C.nearest_point(x, centres)
+    rest, cuts = x - centres[cell], [0, 4, 8, 12, 16]
+    codes = C.Codes(centres, [C.moved_centres(rest[:, a:b], 64, 1) for a, b in zip(cuts, cuts[1:])], cuts)
+    code, q = codes.encode(x, cell), x[r.integers(0, len(x), 30)] + 0.1
+    asked = codes.cell_order(q)[:, :25]
+    i, j, rough = C.best_codes(codes, q, asked, cell, code, 50)
+    for n in range(30):
+        open_ = np.flatnonzero(np.isin(cell, asked[n]))
+        full = [sum(t[0][c] for t, c in zip(codes.tables(q[n:n + 1], cell[o]), code[o])) for o in open_]
+        assert np.allclose(np.sort(rough[i == n]), np.sort(full)[:50]) and np.isin(j[i == n], open_).all()

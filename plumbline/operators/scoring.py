@@ -138,7 +138,7 @@ def fit_attribute(
     means = written(M.centroids(units, [attr], "_u"), "means")
     d = len(units.select("_u").first()[0])
     budget = limit(real.sparkSession, BROADCAST_BYTES)
-    if shared_cov and means.count() * 8 * d > budget:
+    if shared_cov and means.count() * 8 * d > 2 * budget:  # two blocks at most
         return AttributeFit(attr, pooled_precision(units, means, [attr], min_samples, reg), [], table=means.select(F.col(attr).alias("value"), "mu"))
     blocks = _value_blocks(means, attr, d, budget)
     n_values = sum(len(b.values) for b in blocks)

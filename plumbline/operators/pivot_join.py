@@ -27,8 +27,11 @@ from plumbline.functions import vectors as V
 from plumbline.functions.arrow import matrix, with_columns
 from plumbline.session import BLOCK_ROWS, MAX_PIVOTS, PIVOT_BYTES, limit, work_folder
 
+REGION_BLOCKS = 16  # blocks' worth of neighbouring leaves that a query is sent to at once, as long as their vectors take
+REGION_BYTES = 16 << 20  # at most so many bytes
 SALT_BLOCKS = 8  # blocks' worth of queries that meet one reference block in a task
 SLICE_CELLS = 1 << 20  # entries of a matrix of distances in a task
+SALTS = 32  # tasks that the queries of one region are dealt to at least, if they are so many blocks
 NO_TREE = -1  # leaf of a group that is one cell
 
 
@@ -58,6 +61,7 @@ class Tree:
     rows: np.ndarray = field(init=False)
     radius: np.ndarray = field(init=False)
     top_radius: np.ndarray = field(init=False)
+    region: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         _, first = np.unique(self.points, axis=0, return_index=True)
@@ -82,6 +86,24 @@ class Tree:
         t = next(i for i, kids in enumerate(self.kids) if leaf in kids)
         self.top_radius[t] = max(self.top_radius[t], top_radius)
 
+    def settle(self, block_rows: int) -> list[tuple[int, int, int]]:
+        """Join leaves of the same and of following top cells in regions; (leaf, region, blocks of the region) of all."""
+        most = max(block_rows, min(REGION_BLOCKS * block_rows, REGION_BYTES // (8 * self.points.shape[1])))
+        order = np.concatenate(self.kids)
+        held = self.rows[order]
+        self.region = np.zeros(len(order), np.int64)
+        self.region[order] = (np.cumsum(held) - held) // most
+        blocks = np.ceil(np.bincount(self.region, weights=self.rows) / most).astype(np.int64)
+        return [(int(leaf), int(r), max(1, int(blocks[r]))) for leaf, r in enumerate(self.region)]
+
+    def slack(self, x: np.ndarray) -> np.ndarray:
+        """What rounding may add to the distances of rows to pivots."""
+        return 1e-7 * (1.0 + np.linalg.norm(x, axis=1) + np.abs(self.points).max()) * np.sqrt(x.shape[1])
+
+    def reaching(self, x: np.ndarray, bound: np.ndarray, leaf: int) -> np.ndarray:
+        """Numbers of the rows whose bound reaches into a leaf."""
+        return np.flatnonzero(gaps(x, self.points[leaf:leaf + 1])[:, 0] - self.radius[leaf] <= bound + self.slack(x))
+
     def certain(self, x: np.ndarray, need: int) -> np.ndarray:
         """A distance within which each row surely has `need` reference rows: whole leaves, the nearest far sides first."""
         far = gaps(x, self.points) + self.radius[None, :]
@@ -93,8 +115,7 @@ class Tree:
 
     def within(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that can hold a reference row within a row's bound, ordered by row."""
-        slack = 1e-7 * (1.0 + np.linalg.norm(x, axis=1) + np.abs(self.points).max()) * np.sqrt(x.shape[1])
-        most = bound + slack
+        most = bound + self.slack(x)
         near = gaps(x, self.tops) - self.top_radius[None, :] <= most[:, None]
         rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for t, kids in enumerate(self.kids):
@@ -176,8 +197,8 @@ def grow(spark: SparkSession, forest: Forest, refs: DataFrame) -> DataFrame:
     return stats.select("grp", "leaf", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
 
 
-def reached(queries: DataFrame, forest: object, need: int) -> DataFrame:
-    """Rows with `leaves`: those that can hold a reference row within the row's `bound`."""
+def reached(queries: DataFrame, forest: object, need: int, regions: bool = False) -> DataFrame:
+    """Rows with `leaves`: those that can hold a reference row within the row's `bound`, or their regions; open bounds are set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max([len(tree.points) for tree in forest.value.values()], default=1)
@@ -190,13 +211,15 @@ def reached(queries: DataFrame, forest: object, need: int) -> DataFrame:
                     if len(open_):
                         bound[open_] = tree.certain(x[open_], need)
                     row, leaf = tree.within(x[own], bound[own])
+                    if regions:
+                        row, leaf = np.divmod(np.unique(row * len(tree.points) + tree.region[leaf]), len(tree.points))
                     found_rows.append(own[row])
                     found_leaves.append(leaf)
             row, leaf = np.concatenate(found_rows), np.concatenate(found_leaves)
             order = np.argsort(row, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(leaf[order].astype(np.int32)))
-            yield with_columns(batch, {"leaves": lists})
+            yield with_columns(batch, {"bound": bound, "leaves": lists} if batch.num_rows else {"leaves": lists})
 
     return queries.mapInArrow(run, T.StructType([*queries.schema.fields, T.StructField("leaves", T.ArrayType(T.IntegerType()))]))
 
@@ -204,28 +227,58 @@ def reached(queries: DataFrame, forest: object, need: int) -> DataFrame:
 CELL = ["grp", "leaf", "block", "salt"]
 
 
-def met(queries: DataFrame, refs: DataFrame, cells: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+def in_regions(spark: SparkSession, forest: Forest, refs: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """refs with their region as `leaf` and their leaf as `spot`, and the cells (grp, leaf, blocks) of the regions."""
+    rows = limit(spark, BLOCK_ROWS)
+    own = [(g, *x) for g, tree in forest.items() for x in tree.settle(rows)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*own) if own else [()] * 4, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["grp", "leaf", "region", "blocks"])
+    placing = spark.createDataFrame(table).unionByName(cells.where(F.col("leaf") == NO_TREE).select("grp", "leaf", F.col("leaf").alias("region"), "blocks"))
+    held = refs.join(placing.select("grp", "leaf", "region"), ["grp", "leaf"]).withColumnRenamed("leaf", "spot").withColumnRenamed("region", "leaf")
+    return held, placing.select("grp", F.col("region").alias("leaf"), "blocks").distinct()
+
+
+def by_leaf(q: pa.Table, r: pa.Table, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query rows, reference rows) of each leaf of a region that some queries reach."""
+    if not q.num_rows or not r.num_rows:
+        return
+    tree = forest.get(q.column("grp")[0].as_py())
+    if tree is None:
+        yield np.arange(q.num_rows), np.arange(r.num_rows)
+        return
+    x, bound, spot = matrix(q.column("v")), q.column("bound").to_numpy(), r.column("spot").to_numpy()
+    for leaf in np.unique(spot):
+        asking = tree.reaching(x, bound, leaf)
+        if len(asking):
+            yield asking, np.flatnonzero(spot == leaf)
+
+
+def met(queries: DataFrame, refs: DataFrame, cells: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType, more: tuple[str, ...] = ()) -> DataFrame:
     """`run` on the queries and the reference rows of every cell block; both sides are dealt by (grp, leaf, block, salt).
 
     cells(grp, leaf, blocks, salts). Queries hold `block`, and a salt by their id.
     """
     own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")
-    r = refs.select("grp", "leaf", "id", "v", "aux").join(cells, ["grp", "leaf"]).withColumn("block", own)
+    r = refs.select("grp", "leaf", "id", "v", "aux", *more).join(cells, ["grp", "leaf"]).withColumn("block", own)
     r = r.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("blocks", "salts")
     q = queries.join(cells.select("grp", "leaf", "salts"), ["grp", "leaf"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit("salt")), F.col("salts")).cast("int")).drop("salts")
     return q.groupBy(*CELL).cogroup(r.groupBy(*CELL)).applyInArrow(run, schema)
 
 
-def salted(cells: DataFrame, rows_per_cell: DataFrame, rows: int) -> DataFrame:
+def salted(cells: DataFrame, rows_per_cell: DataFrame, rows: int, blocks: float = SALT_BLOCKS) -> DataFrame:
     """cells with the salts that `n` query rows per cell, each in one of its blocks or in all, need at most."""
-    return cells.join(rows_per_cell, ["grp", "leaf"]).select("grp", "leaf", "blocks", F.ceil(F.col("n") / (rows * SALT_BLOCKS)).cast("int").alias("salts"))
+    return cells.join(rows_per_cell, ["grp", "leaf"]).select("grp", "leaf", "blocks", F.ceil(F.col("n") / (rows * blocks)).cast("int").alias("salts"))
+
 
+def salt_blocks(queries: DataFrame, rows: int) -> float:
+    """Blocks' worth of queries in a salt of a region: SALT_BLOCKS, fewer while queries are too few for SALTS tasks."""
+    return min(float(SALT_BLOCKS), max(1.0, queries.count() / (SALTS * rows)))
 
-def sendings(queries: DataFrame, cells: DataFrame, visited: bool) -> DataFrame:
-    """A row per query, leaf and block it has to be sent to; without the block it has met, if there is one."""
-    sent = queries.withColumnRenamed("leaf", "own").withColumnRenamed("block", "own_block").withColumn("leaf", F.explode("leaves")).drop("leaves")
-    sent = sent.join(cells.select("grp", "leaf", "blocks"), ["grp", "leaf"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return (sent.where("not (leaf = own and block = own_block)") if visited else sent).drop("own", "own_block", "blocks")
+
+def sendings(queries: DataFrame, cells: DataFrame) -> DataFrame:
+    """A row per query and block of the cells it has to be sent to."""
+    sent = queries.withColumn("leaf", F.explode("leaves")).drop("leaves")
+    sent = sent.join(cells.select("grp", "leaf", "blocks"), ["grp", "leaf"])
+    return sent.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
 
 def all_blocks(queries: DataFrame) -> DataFrame:
@@ -337,36 +390,50 @@ def nearest(query: DataFrame, ref: DataFrame, k: int, unit: bool, exclude_self:
     queries = written(placed(query.select("grp", "id", "v"), shared).drop("near", "far"), "queries")
     plan = salted(cells, queries.groupBy("grp", "leaf").agg(F.count("*").alias("n")), rows)
     own = queries.join(cells, ["grp", "leaf"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", F.lit("first")), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
-    id_q, id_r = query.schema["id"].dataType, ref.schema["id"].dataType
-    near = T.ArrayType(T.StructType([T.StructField("ref_id", id_r), T.StructField("distance", T.DoubleType())]))
     vector = query.schema["v"].dataType
 
     def first(q: pa.Table, r: pa.Table) -> pa.Table:
+        """The queries with the distance of the k-th neighbour in one block of their leaf."""
         qv, x, rv, y = _sides(q, r)
-        a, b, d = best(qv, x, rv, y, k, unit, exclude_self) if len(rv) and len(qv) else ([np.zeros(0, np.int64)] * 2 + [np.zeros(0)])
-        ends = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(qv)))])
-        found = pa.StructArray.from_arrays([r.column("id").combine_chunks().take(pa.array(b)) if len(rv) else pa.array([], r.schema.field("id").type), pa.array(d)], ["ref_id", "distance"])
         last = np.full(len(qv), np.inf)
-        full = np.diff(ends) == k
-        worst = np.concatenate([np.zeros(0), *(measured(x[a[c]], y[b[c]], False) for c in slices(len(a), x.shape[1]))])
-        last[full] = np.maximum.reduceat(np.append(worst, 0.0), ends[:-1])[full] if len(a) else np.inf
-        cols = [q.column(c).combine_chunks() for c in ("grp", "id", "v", "leaf", "block")]
-        return pa.table([*cols, pa.array(last), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)], names=["grp", "id", "v", "leaf", "block", "bound", "found"])
-
-    fields = [T.StructField("grp", T.StringType()), T.StructField("id", id_q), T.StructField("v", vector), T.StructField("leaf", T.IntegerType()), T.StructField("block", T.IntegerType())]
-    schema = T.StructType([*fields, T.StructField("bound", T.DoubleType()), T.StructField("found", near)])
+        if len(rv) and len(qv):
+            a, b, _ = best(qv, x, rv, y, k, unit, exclude_self)
+            worst = np.concatenate([np.zeros(0), *(measured(x[a[c]], y[b[c]], False) for c in slices(len(a), x.shape[1]))])
+            most = np.zeros(len(qv))
+            np.maximum.at(most, a, worst)
+            full = np.bincount(a, minlength=len(qv)) == k
+            last[full] = most[full]
+        return pa.table([*(q.column(c) for c in ("grp", "id", "v", "leaf")), pa.array(last)], names=["grp", "id", "v", "leaf", "bound"])
+
+    def rest(q: pa.Table, r: pa.Table) -> pa.Table:
+        """The best of one block of a region, from the leaves in reach."""
+        qv, x, rv, y = _sides(q, r)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, j in by_leaf(q, r, known.value):
+            a, b, d = best(qv[i], x[i], rv[j], y[j], k, unit, exclude_self)
+            found.append((i[a], j[b], d))
+        a, b, d = (np.concatenate(c) for c in zip(*found))
+        by_id = np.empty(len(rv), np.int64)
+        by_id[np.argsort(rv, kind="stable")] = np.arange(len(rv))
+        order = np.lexsort((by_id[b], d, a))
+        a, b, d = a[order], b[order], d[order]
+        keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pa.table([q.column("id").take(pa.array(a[keep])), r.column("id").take(pa.array(b[keep])), pa.array(d[keep])], names=answer.names[:3])
+
+    fields = [T.StructField("grp", T.StringType()), T.StructField("id", query.schema["id"].dataType), T.StructField("v", vector), T.StructField("leaf", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("bound", T.DoubleType())])
 
     # queries whose own leaf holds no reference row have no bound yet
-    bare = own.join(cells, ["grp", "leaf"], "left_anti").where(F.col("leaf") != NO_TREE).select(
-        "grp", "id", "v", "leaf", F.lit(-1).alias("block"), F.lit(float("inf")).alias("bound"), F.array().cast(near).alias("found"))
+    bare = own.join(cells, ["grp", "leaf"], "left_anti").where(F.col("leaf") != NO_TREE).select("grp", "id", "v", "leaf", F.lit(float("inf")).alias("bound"))
     bounded = written(met(own, refs, plan, first, schema).unionByName(bare), "bounds")
+    held, regions = in_regions(spark, forest, refs, cells)
     known = spark.sparkContext.broadcast(forest)  # with what the leaves hold
-    open_ = all_blocks(reached(bounded.drop("found"), known, k + exclude_self))
-    more = salted(cells, counted(open_), rows)
-    others = met(sendings(open_, cells, visited=True), refs, more, pairs, answer).drop("rank")
-    start = bounded.select(F.col("id").alias("query_id"), F.explode("found").alias("x")).select("query_id", "x.ref_id", "x.distance")
+    open_ = all_blocks(reached(bounded, known, k + exclude_self, regions=True))
+    more = salted(regions, counted(open_), rows, salt_blocks(bounded, rows))
+    # a query's own leaf is within its bound, so the regions hold all its neighbours
+    others = met(sendings(open_, regions), held, more, rest, T.StructType(answer.fields[:3]), ("spot",))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))
-    return start.unionByName(others).withColumn("rank", place).where(F.col("rank") <= k)
+    return others.withColumn("rank", place).where(F.col("rank") <= k)
 
 
 def least_within(query: DataFrame, ref: DataFrame, name: str) -> DataFrame:
@@ -377,19 +444,22 @@ def least_within(query: DataFrame, ref: DataFrame, name: str) -> DataFrame:
     schema = T.StructType([T.StructField("query_id", query.schema["id"].dataType), T.StructField(name, T.DoubleType())])
 
     def run(q: pa.Table, r: pa.Table) -> pa.Table:
+        return least(q, r, {})
+
+    def least(q: pa.Table, r: pa.Table, forest: Forest) -> pa.Table:
         qv, x, rv, y = _sides(q, r)
         low = np.full(len(qv), np.inf)
-        if len(qv) and len(rv):
-            reach, carried = q.column("bound").to_numpy(), r.column("aux").to_numpy()
-            square = (y**2).sum(1)
-            for cut in slices(len(x), len(y)):
-                own, far = x[cut], reach[cut]
-                rough = np.maximum((own**2).sum(1)[:, None] - 2.0 * own @ y.T + square[None, :], 0.0)
+        reach, carried = q.column("bound").to_numpy(), r.column("aux").to_numpy()
+        for i, j in by_leaf(q, r, forest) if forest else [(np.arange(len(qv)), np.arange(len(rv)))] if len(qv) and len(rv) else []:
+            z, aux = y[j], carried[j]
+            square = (z**2).sum(1)
+            for cut in slices(len(i), len(j)):
+                own, far = x[i[cut]], reach[i[cut]]
+                rough = np.maximum((own**2).sum(1)[:, None] - 2.0 * own @ z.T + square[None, :], 0.0)
                 a, b = np.nonzero(rough <= (far**2)[:, None] + 1e-9 * (1.0 + (far**2)[:, None]))
                 for c in slices(len(a), own.shape[1]):
-                    i, j = a[c], b[c]
-                    inside = measured(own[i], y[j], False) <= far[i]
-                    np.minimum.at(low, cut.start + i[inside], carried[j[inside]])
+                    inside = measured(own[a[c]], z[b[c]], False) <= far[a[c]]
+                    np.minimum.at(low, i[cut][a[c][inside]], aux[b[c][inside]])
         hit = np.flatnonzero(np.isfinite(low))
         return pa.table([q.column("id").take(pa.array(hit)), pa.array(low[hit])], names=schema.names)
 
@@ -406,8 +476,10 @@ def least_within(query: DataFrame, ref: DataFrame, name: str) -> DataFrame:
     copy = F.row_number().over(Window.partitionBy("grp", "leaf", "v").orderBy("aux", "id"))
     refs = written(refs.withColumn("copy", copy).where("copy = 1").drop("copy"), "references")
     cells = grow(spark, forest, refs)
+    held, regions = in_regions(spark, forest, refs, cells)
     known = spark.sparkContext.broadcast(forest)
-    queries = written(placed(query.select("grp", "id", "v", "bound"), shared).drop("near", "far").withColumn("block", F.lit(-1)), "queries")
-    open_ = all_blocks(reached(queries, known, 1))
-    more = salted(cells, counted(open_), rows)
-    return met(sendings(open_, cells, visited=False), refs, more, run, schema).groupBy("query_id").agg(F.min(name).alias(name))
+    queries = written(placed(query.select("grp", "id", "v", "bound"), shared).drop("near", "far"), "queries")
+    open_ = all_blocks(reached(queries, known, 1, regions=True))
+    more = salted(regions, counted(open_), rows, salt_blocks(queries, rows))
+    found = met(sendings(open_, regions), held, more, lambda q, r: least(q, r, known.value), schema, ("spot",))
+    return found.groupBy("query_id").agg(F.min(name).alias(name))

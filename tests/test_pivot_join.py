@@ -137,3 +137,19 @@ def test_a_full_salt_meets_a_block_in_little_memory(unit, exclude_self):
         full = 1.0 - y @ x[i] if unit else np.linalg.norm(y - x[i], axis=1)
         full[i if exclude_self and i < len(y) else slice(0, 0)] = np.inf
         assert b[a == i].tolist() == np.argsort(full)[:3].tolist() and np.allclose(d[a == i], np.sort(full)[:3])
+
+
+def test_queries_in_reach_of_all_leaves_are_sent_once_per_region(spark, limits):
+    """Without clusters every leaf is in reach; the copies of a query grow with regions of leaves, not with leaves."""
+    limits(BLOCK_ROWS, 50)
+    x = np.random.default_rng(1).normal(size=(2000, 40))
+    ref = rows_of(spark, x, np.zeros(2000, int)).withColumn("aux", F.lit(0.0))
+    forest = J.plant(ref)
+    refs = J.placed(ref, spark.sparkContext.broadcast(forest)).cache()
+    cells = J.grow(spark, forest, refs)
+    held, regions = J.in_regions(spark, forest, refs, cells)
+    queries = refs.select("grp", "id", "v", "leaf", F.lit(50.0).alias("bound"))
+    open_ = J.reached(queries, spark.sparkContext.broadcast(forest), 5, regions=True)
+    sent = J.sendings(open_, regions).count()
+    assert cells.count() > 30 and held.count() == 2000 and sent <= 2000 * 5
+    refs.unpersist()

@@ -483,30 +483,32 @@ def rbf_mmd(
     n_real = real.groupBy(*keys).agg(F.count("*").alias("n_real")).where(F.col("n_real") >= min_real)
     gen = gen.join(n_gen, [*keys, bins], "left_semi").join(n_real, keys, "left_semi")
     real = real.join(n_real, keys, "left_semi")
-    sigma = median_pair_distance(real, keys)
+    sigma = cut_lineage(median_pair_distance(real, keys))  # one row per condition, read by all sums
     by_bin = real.join(n_gen.select(*keys, bins), keys)
-    fields = [gen.schema[k] for k in [*keys, bins]]
-    schema = T.StructType([*fields, T.StructField("s", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index
-            for i in range(batch.num_rows):
-                x = batch.column(at("lflat"))[i].values.to_numpy().reshape(batch.column(at("lm"))[i].as_py(), -1)
-                y = batch.column(at("rflat"))[i].values.to_numpy().reshape(batch.column(at("rm"))[i].as_py(), -1)
-                width = batch.column(at("median_distance"))[i].as_py()
-                value = float(np.exp(-_sq(x, y) / (2.0 * width * width)).sum())
-                yield pa.RecordBatch.from_pydict(
-                    {**{k: [batch.column(at(k))[i].as_py()] for k in [*keys, bins]}, "s": [value]}, schema=arrow
-                )
-
-    def total(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        pairs = _block_pairs(a, b, [*keys, bins], rows, False).join(sigma, keys)
-        return pairs.mapInArrow(sums, schema).groupBy(*keys, bins).agg(F.sum("s").alias(name))
-
-    out = n_gen.join(n_real, keys).join(total(gen, gen, "_gg"), [*keys, bins])
-    out = out.join(total(by_bin, by_bin, "_rr"), [*keys, bins]).join(total(gen, by_bin, "_gr"), [*keys, bins])
+    asked = real.join(n_gen.select(*keys).distinct(), keys, "left_semi")
+
+    def total(a: DataFrame, b: DataFrame, by: Sequence[str], name: str, same: bool = False) -> DataFrame:
+        """Kernel sums per group; of the same rows every block pair is met once, and counts twice off the diagonal."""
+        schema = T.StructType([*[a.schema[k] for k in by], T.StructField("s", T.DoubleType())])
+        arrow = to_arrow_schema(schema)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index
+                for i in range(batch.num_rows):
+                    x = batch.column(at("lflat"))[i].values.to_numpy().reshape(batch.column(at("lm"))[i].as_py(), -1)
+                    y = batch.column(at("rflat"))[i].values.to_numpy().reshape(batch.column(at("rm"))[i].as_py(), -1)
+                    width = batch.column(at("median_distance"))[i].as_py()
+                    twice = same and batch.column(at("lb"))[i].as_py() != batch.column(at("rb"))[i].as_py()
+                    value = float(np.exp(-_sq(x, y) / (2.0 * width * width)).sum()) * (2.0 if twice else 1.0)
+                    yield pa.RecordBatch.from_pydict({**{k: [batch.column(at(k))[i].as_py()] for k in by}, "s": [value]}, schema=arrow)
+
+        pairs = _block_pairs(a, b, by, rows, same).join(sigma, keys)
+        return pairs.mapInArrow(sums, schema).groupBy(*by).agg(F.sum("s").alias(name))
+
+    both = [*keys, bins]
+    out = n_gen.join(n_real, keys).join(total(gen, gen, both, "_gg", True), both)
+    out = out.join(total(asked, asked, keys, "_rr", True), keys).join(total(gen, by_bin, both, "_gr"), both)
     value = F.col("_gg") / F.pow("n_gen", F.lit(2)) + F.col("_rr") / F.pow("n_real", F.lit(2)) - 2.0 * F.col("_gr") / (F.col("n_gen") * F.col("n_real"))
     return out.select(*keys, bins, "n_gen", "n_real", value.alias("mmd2"))
 

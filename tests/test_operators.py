@@ -226,6 +226,23 @@ def test_rbf_and_median_by_blocks(spark, blobs, limits, rows):
         assert got[v] == pytest.approx(k(g, g) + k(x[:60], x[:60]) - 2 * k(g, x[:60]), abs=1e-9)
 
 
+def test_rbf_mmd_meets_real_rows_once_per_condition(spark, blobs, limits, monkeypatch):
+    """Whatever the number of bins, and every unordered pair of blocks of the same rows once."""
+    x, a, _ = blobs
+    limits(BLOCK_ROWS, 20)
+    met, pairs = [], distances._block_pairs
+    monkeypatch.setattr(distances, "_block_pairs", lambda l, r, keys, rows, same: (met.append((list(keys), same)), pairs(l, r, keys, rows, same))[1])
+    zero, five = np.zeros(60, int), np.arange(50) % 5
+    real, gen = frame(spark, x[:60], a=zero), frame(spark, x[60:110], a=zero[:50], bin=five)
+    got = {r["bin"]: r["mmd2"] for r in distances.rbf_mmd(gen, real, ["a"]).collect()}
+    assert sorted(met) == [(["a"], True), (["a"], True), (["a", "bin"], False), (["a", "bin"], True)]
+    gaps = np.linalg.norm(x[:60][:, None] - x[:60][None], axis=2)
+    k = lambda p, q: np.exp(-(np.linalg.norm(p[:, None] - q[None], axis=2) ** 2) / (2 * np.median(gaps[np.triu_indices(60, 1)]) ** 2)).mean()
+    for v in range(5):
+        g = x[60:110][five == v]
+        assert got[v] == pytest.approx(k(g, g) + k(x[:60], x[:60]) - 2 * k(g, x[:60]), abs=1e-9)
+
+
 def test_correlation_matrix_blocks(spark, blobs, limits):
     x, _, _ = blobs
     limits(BLOCK_ROWS, 7)

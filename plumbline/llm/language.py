@@ -39,7 +39,7 @@ def count_table(docs: DataFrame, lang: str = "lang", text: str = "text") -> Data
         for n in range(1, LONGEST + 1):
             at = grams.starts(n)
             word = grams.word[at]
-            found = C.summed({"code": grams.codes(n)[at], "group": group[word]}, count[word])
+            found = C.summed({"code": grams.codes(n)[at], "group": group[word]}, n=count[word])
             parts.append((found["group"].to_numpy(), np.full(len(found), n), found["code"].to_numpy(), found["n"].to_numpy()))
         who, length, codes, total = (np.concatenate(x) for x in zip(*parts))
         names = pa.array(langs, pa.string()).take(pa.array(who)) if len(who) else pa.array([], pa.string())

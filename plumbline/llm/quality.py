@@ -1,12 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of the bytes of words, trained on trusted text.
 
 Counting is distributed; continuation counts, context totals, discounts and the interpolated probabilities of every order
-are joins of n-gram tables sharded by the hash of the n-gram or its context. The finished model is bounded by the rows and
-bytes it is trained on and is never cut, so it is looked up from a broadcast where documents are scored: a shuffled join
-would move every n-gram of every text.
+are joins of n-gram tables sharded by the hash of the n-gram or its context. The finished model holds different n-grams of
+words only and is never cut; it is looked up from a broadcast where documents are scored: a shuffled join would move every
+n-gram of every text.
+
+All trusted documents are counted, in two halves by a hash of the text. Each half has a model of its own in the same tables,
+and every document is scored by the model of the other half, which has seen neither it nor a copy of it.
 
 A document has two perplexities per byte: of its whole text, and of its two least likely words ("peak"). Each is held
-against a quantile, over all trusted documents of its language that were not trained on.
+against a quantile, over all trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from plumbline.llm import counts as C
 from plumbline.llm import text as X
 
 ORDER = 5
-TRAIN_ROWS = 20_000  # trusted documents that the model is fitted on, at most and at most half of all
-TRAIN_BYTES = 64 << 20  # their text, about; a document of more than a thousandth of it is scored but not trained on
+ID_ROWS = 1 << 20  # trusted ids that are broadcast at once; more are taken in turns, each with a pass over the texts
+HALVES = 2  # parts of the trusted documents with a model each
 TEXT_QUANTILE, PEAK_QUANTILE = 0.99, 0.98
 LEAST_ROWS = 50  # a language with fewer trusted documents takes the thresholds of all
 POOLED = ""
@@ -39,21 +42,31 @@ def group_salt(lang: str) -> int:
 
 
 class Model(NamedTuple):
-    """Per order: n-grams with their log probability, contexts with their log back-off weight; keys hold the language."""
+    """Per order: n-grams with their log probability, contexts with their log back-off weight; keys hold the language.
+
+    The values have a row per half that was trained on; what did not occur in it is nan. So do the languages.
+    """
 
-    langs: frozenset[str]
+    langs: list[frozenset[str]]
     grams: list[tuple[X.Lookup, np.ndarray]]
     contexts: list[tuple[X.Lookup, np.ndarray]]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(length, gram, context, suffix, opens, n) of docs(lang, text): byte n-grams of words, under the language and pooled.
+def gram_counts(docs: DataFrame, halves: int) -> DataFrame:
+    """(length, gram, context, suffix, opens, n0, ...) of docs(lang, text, half): byte n-grams of words, under the language and pooled.
 
-    `opens`: the n-gram starts at the beginning of a word, so nothing can precede it.
+    A count per half. `opens`: the n-gram starts at the beginning of a word, so nothing can precede it.
     """
 
+    ns = [f"n{h}" for h in range(halves)]
+
     def handed(types: C.Types, langs: list[str]) -> pa.RecordBatch:
-        group, _, count, spelled = types.merged()
+        group, code, count, spelled = types.merged()
+        group, half = group // halves, group % halves
+        # a word of both halves is cut into its n-grams once
+        _, at, back = np.unique(code ^ X.mix(group.astype(np.uint64)), return_index=True, return_inverse=True)
+        group, spelled = group[at], [spelled[i] for i in at.tolist()]
+        count = [np.bincount(back, weights=count * (half == h), minlength=len(at)).astype(np.int64) for h in range(halves)]
         grams, parts = C.Grams(spelled), []
         salts = np.array([group_salt(x) for x in langs], np.uint64)
         for n in range(1, ORDER + 1):
@@ -68,13 +81,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 zero = np.zeros(len(at), np.uint64)
                 found = C.summed({
                     "gram": key(grams.codes(n)[at]), "context": key(short[at]) if n > 1 else salt, "suffix": key(short[at + 1]) if n > 1 else zero,
-                    "opens": at == grams.first[at]}, count[word])
+                    "opens": at == grams.first[at]}, **{n: c[word] for n, c in zip(ns, count)})
                 found["length"] = n
                 parts.append(found)
         types.reset()
-        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("length", "gram", "context", "suffix", "opens", "n")}
+        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("length", "gram", "context", "suffix", "opens", *ns)}
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols["length"].astype(np.int32)), *(pa.array(cols[c].view(np.int64)) for c in ("gram", "context", "suffix")), pa.array(cols["opens"].astype(bool)), pa.array(cols["n"].astype(np.int64))],
+            [pa.array(cols["length"].astype(np.int32)), *(pa.array(cols[c].view(np.int64)) for c in ("gram", "context", "suffix")), pa.array(cols["opens"].astype(bool)), *(pa.array(cols[n].astype(np.int64)) for n in ns)],
             names=list(cols))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,65 +95,84 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in X.slices(batch, "text"):
                 group = np.array([number.setdefault(x, len(number)) for x in part.column("lang").to_pylist()], np.int64)
-                types.add(X.words(C.lowered(part.column("text")), X.SPACED), group)
+                types.add(X.words(C.lowered(part.column("text")), X.SPACED), group * halves + part.column("half").to_numpy())
                 if types.full:
                     yield handed(types, list(number))
         yield handed(types, list(number))
 
-    schema = "length int, gram bigint, context bigint, suffix bigint, opens boolean, n bigint"
-    rows = docs.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text").mapInArrow(run, schema)
-    return rows.groupBy("length", "gram", "context", "suffix", "opens").agg(F.sum("n").alias("n"))
-
+    schema = "length int, gram bigint, context bigint, suffix bigint, opens boolean" + "".join(f", {n} bigint" for n in ns)
+    rows = docs.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text", "half").mapInArrow(run, schema)
+    return rows.groupBy("length", "gram", "context", "suffix", "opens").agg(*[F.sum(n).alias(n) for n in ns])
+
+
+def discounts(table: DataFrame, halves: int) -> list[tuple[float, float, float]]:
+    """Discounts for counts of one, two and more per half, from the counts of counts."""
+    seen = table.agg(*[F.count_if(F.col(f"a{h}") == k).alias(f"s{h}_{k}") for h in range(halves) for k in range(1, 5)]).first()
+    out = []
+    for h in range(halves):
+        n1, n2, n3, n4 = (seen[f"s{h}_{k}"] for k in range(1, 5))
+        if not n1 or not n2:
+            out.append((0.5, 0.5, 0.5))
+            continue
+        y = n1 / (n1 + 2 * n2)
+        raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0)
+        out.append(tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)))
+    return out
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Discounts for counts of one, two and more, from the counts of counts."""
-    seen = {r["a"]: r["count"] for r in table.where("a <= 4").groupBy("a").count().collect()}
-    n1, n2, n3, n4 = (seen.get(k, 0) for k in range(1, 5))
-    if not n1 or not n2:
-        return 0.5, 0.5, 0.5
-    y = n1 / (n1 + 2 * n2)
-    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0)
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw))
 
+def fit(docs: DataFrame | list[DataFrame], lang: str = "lang", text: str = "text", half: Column | None = None) -> Model:
+    """Train on trusted documents, all n-grams kept: one model, or with `half` (0 or 1) one of each half's documents.
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
-    """Train on trusted documents, all n-grams kept. An empty table gives a model that knows nothing; null texts and languages are allowed."""
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counted = X.written(gram_counts(rows), "grams")
-    langs = frozenset(r["lang"] for r in rows.select("lang").where("lang is not null").distinct().collect())
+    Parts of the documents are counted one after the other. An empty table gives a model that knows nothing; null texts and
+    languages are allowed.
+    """
+    halves = 1 if half is None else HALVES
+    every, seen, counted = range(halves), set(), None
+    for part in docs if isinstance(docs, list) else [docs]:
+        rows = part.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (F.lit(0) if half is None else half).cast("int").alias("half"))
+        one = X.written(gram_counts(rows, halves), "grams")
+        counted = one if counted is None else counted.unionByName(one)
+        seen |= {(r["lang"], r["half"]) for r in rows.where("lang is not null").select("lang", "half").distinct().collect()}
+    if isinstance(docs, list) and len(docs) > 1:
+        counted = X.written(counted.groupBy("length", "gram", "context", "suffix", "opens").agg(*[F.sum(f"n{h}").alias(f"n{h}") for h in every]), "grams")
+    langs = [frozenset(x for x, own in seen if own == h) for h in every]
     lower, grams, contexts = None, [], []
     for n in range(1, ORDER + 1):
         own = counted.where(F.col("length") == n)
         if n < ORDER:  # below the highest order a count is the number of different left neighbours
-            left = counted.where(F.col("length") == n + 1).groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("a"))
-            own = own.join(left, "gram", "left").withColumn("a", F.when(F.col("opens"), F.col("n")).otherwise(F.coalesce("a", F.lit(1))))
+            left = counted.where(F.col("length") == n + 1).groupBy(F.col("suffix").alias("gram")).agg(*[F.count_if(F.col(f"n{h}") > 0).alias(f"l{h}") for h in every])
+            own = own.join(left, "gram", "left")
+            inner = lambda h: F.when(F.col(f"n{h}") > 0, F.greatest(F.coalesce(f"l{h}", F.lit(1)), F.lit(1))).otherwise(F.lit(0))
+            own = own.withColumns({f"a{h}": F.when(F.col("opens"), F.col(f"n{h}")).otherwise(inner(h)) for h in every})
         else:
-            own = own.withColumn("a", F.col("n"))
-        d1, d2, d3 = discounts(own)
-        cut = F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3)
-        total = own.groupBy("context").agg(F.sum("a").alias("all"), F.sum(cut).alias("cut"))
+            own = own.withColumns({f"a{h}": F.col(f"n{h}") for h in every})
+        cuts = []
+        for h, (d1, d2, d3) in enumerate(discounts(own, halves)):
+            a = F.col(f"a{h}")
+            cuts.append(F.when(a == 0, 0.0).when(a == 1, d1).when(a == 2, d2).otherwise(d3))
+        total = own.groupBy("context").agg(*[F.sum(f"a{h}").alias(f"all{h}") for h in every], *[F.sum(cuts[h]).alias(f"cut{h}") for h in every])
         table = own.join(total, "context")
-        below = F.lit(1 / 256.0)
         if lower is not None:
             table = table.join(lower, "suffix", "left")
-            below = F.coalesce("p_below", F.lit(1e-9))
-        table = table.select("gram", ((F.col("a") - cut) / F.col("all") + F.col("cut") / F.col("all") * below).alias("p"))
+        below = lambda h: F.lit(1 / 256.0) if lower is None else F.coalesce(f"p_below{h}", F.lit(1e-9))  # noqa: E731, B023
+        p = lambda h: (F.col(f"a{h}") - cuts[h]) / F.col(f"all{h}") + F.col(f"cut{h}") / F.col(f"all{h}") * below(h)  # noqa: E731, B023
+        table = table.select("gram", *[F.when(F.col(f"a{h}") > 0, p(h)).alias(f"p{h}") for h in every])
         table = X.written(table, "probabilities")
-        lower = table.select(F.col("gram").alias("suffix"), F.col("p").alias("p_below"))
-        grams.append(_lookup(table, "gram", F.ln("p")))
-        contexts.append(_lookup(total, "context", F.ln(F.col("cut") / F.col("all"))))
+        lower = table.select(F.col("gram").alias("suffix"), *[F.col(f"p{h}").alias(f"p_below{h}") for h in every])
+        grams.append(_lookup(table, "gram", [F.ln(f"p{h}") for h in every]))
+        contexts.append(_lookup(total, "context", [F.when(F.col(f"all{h}") > 0, F.ln(F.col(f"cut{h}") / F.col(f"all{h}"))) for h in every]))
     return Model(langs, grams, contexts)
 
 
-def _lookup(table: DataFrame, key: str, value: Column) -> tuple[X.Lookup, np.ndarray]:
-    got = table.select(F.col(key).alias("k"), value.cast("float").alias("v")).toArrow()
-    code, v = got.column("k").to_numpy().view(np.uint64), got.column("v").to_numpy()
+def _lookup(table: DataFrame, key: str, values: list[Column]) -> tuple[X.Lookup, np.ndarray]:
+    got = table.select(F.col(key).alias("k"), *[v.cast("float").alias(f"v{i}") for i, v in enumerate(values)]).toArrow()
+    code = got.column("k").to_numpy().view(np.uint64)
     order = np.argsort(code)
-    return X.Lookup(code[order]), v[order]
+    return X.Lookup(code[order]), np.stack([got.column(f"v{i}").to_numpy()[order] for i in range(len(values))])
 
 
-def surprise(spelled: list[bytes], salt: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Negative log probability of each word with its end, and the bytes predicted."""
+def surprise(spelled: list[bytes], salt: np.ndarray, model: Model, half: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Negative log probability of each word with its end, and the bytes predicted, by the model of a half."""
     grams = C.Grams(spelled)
     at = np.flatnonzero(np.arange(len(grams.data)) != grams.first)
     own, back = salt[grams.word[at]], np.zeros(len(at))
@@ -151,13 +183,16 @@ def surprise(spelled: list[bytes], salt: np.ndarray, model: Model) -> tuple[np.n
         fits = open_[at[open_] - (n - 1) >= grams.first[at[open_]]]
         start = at[fits] - (n - 1)
         found = known.find(X.mix(grams.codes(n)[start] ^ own[fits])) if len(fits) else np.zeros(0, np.int64)
-        hit = fits[found >= 0]
-        result[hit] = back[hit] + value[found[found >= 0]]
-        missed = fits[found < 0]
+        gain = np.where(found >= 0, value[half, found], np.nan) if value.shape[1] else np.full(len(fits), np.nan)
+        held = ~np.isnan(gain)
+        hit = fits[held]
+        result[hit] = back[hit] + gain[held]
+        missed = fits[~held]
         if len(missed):
             ctx = own[missed] if n == 1 else X.mix(grams.codes(n - 1)[at[missed] - (n - 1)] ^ own[missed])
             place = ctx_known.find(ctx)
-            back[missed[place >= 0]] += ctx_value[place[place >= 0]]
+            loss = np.where(place >= 0, ctx_value[half, place], np.nan) if ctx_value.shape[1] else np.zeros(len(place))
+            back[missed] += np.nan_to_num(loss, nan=0.0)
         done = np.zeros(len(at), bool)
         done[hit] = True
         open_ = open_[~done[open_]]
@@ -173,21 +208,29 @@ def perplexities(docs: DataFrame, model: Model | Broadcast, lang: str = "lang",
     """`docs` with word count, and log perplexity per byte of the text and of its two least likely words, called `names`.
 
     A null language, or one that was not trained, is scored by the pooled model. A text without words has null perplexities.
-    A broadcast model may be given, so that it is sent once for several uses.
+    Of a model of two halves the one is asked that has not seen the text. A broadcast model may be given, so that it is sent
+    once for several uses.
     """
     shared = model if isinstance(model, Broadcast) else docs.sparkSession.sparkContext.broadcast(model)
     fields = X.fields_of(docs, docs.columns)
+    mark = X.free_name("__half", docs.columns)
+    docs = docs.withColumn(mark, half_of(F.col(f"`{text}`")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for part in X.slices(batch, text):
                 w = X.words(C.lowered(part.column(text)), X.SPACED)
-                salts = np.array([group_salt(x if x in model.langs else POOLED) for x in part.column(lang).to_pylist()], np.uint64)
+                asked = (part.column(mark).to_numpy() + 1) % HALVES if len(model.langs) == HALVES else np.zeros(part.num_rows, np.int64)
+                part = part.drop_columns([mark])
+                salts = np.array([group_salt(x if x in model.langs[h] else POOLED) for x, h in zip(part.column(lang).to_pylist(), asked.tolist())], np.uint64)
                 row = w.text_of()
-                code, at, back = np.unique(w.code ^ X.mix(salts[row]), return_index=True, return_inverse=True)
+                code, at, back = np.unique(w.code ^ X.mix(salts[row] + asked[row].astype(np.uint64)), return_index=True, return_inverse=True)
                 data = w.data.tobytes()
-                nll, size = surprise([data[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], salts[row[at]], model)
+                nll, size = np.zeros(len(at)), np.zeros(len(at), np.int64)
+                for h in range(len(model.langs)):
+                    own = np.flatnonzero(asked[row[at]] == h)
+                    nll[own], size[own] = surprise([data[a:b] for a, b in zip(w.start[at[own]].tolist(), w.end[at[own]].tolist())], salts[row[at[own]]], model, h)
                 count = w.count()
                 some = np.flatnonzero(count > 0)
                 first = w.first[some]
@@ -208,6 +251,11 @@ def perplexities(docs: DataFrame, model: Model | Broadcast, lang: str = "lang",
     return docs.mapInArrow(run, f"{fields}, `{names[0]}` bigint, `{names[1]}` double, `{names[2]}` double")
 
 
+def half_of(text: Column) -> Column:
+    """0 or 1 by a hash of the text, so that copies are in one half."""
+    return F.pmod(F.xxhash64(text, F.lit("half")), F.lit(HALVES)).cast("int")
+
+
 class Thresholds(NamedTuple):
     """Largest accepted log perplexities per language, `POOLED` for the others."""
 
@@ -241,32 +289,35 @@ class Fitted(NamedTuple):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
-          most_rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, whole: bool = False) -> tuple[Fitted, DataFrame]:
-    """Model and thresholds, and all rows scored once: (id, lang) or, with `whole`, all columns, and the measures.
+          most_rows: int | None = None, most_bytes: int | None = None, whole: bool = False) -> tuple[Fitted, DataFrame]:
+    """Models and thresholds, and all rows scored once: (id, lang) or, with `whole`, all columns, and the measures.
 
-    Trusted are ids labelled quality 1 and toxic 0. The model is fitted on a hash sample of at most `most_rows` of them, at
-    most half, and about `most_bytes` of text, from documents of at most a thousandth of that; thresholds come from all
-    others, or from all trusted ones if there are no others.
+    Trusted are ids labelled quality 1 and toxic 0. Every one of them is counted in the model of its half and scored by the
+    other half's; the thresholds come from all of them. A caller may bound the training, not the scoring: a hash sample of
+    about `most_rows` trusted documents, and about `most_bytes` of text from documents of at most a thousandth of that.
     """
     trusted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("__id")).distinct()
-    total = trusted.count()
-    share = min(0.5, most_rows / total) if total else 0.0
-    below = lambda share: F.pmod(F.xxhash64("__id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20))
     slim = docs.select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    fitting = slim.where(F.octet_length("text") <= most_bytes // 1000)
-    pick = lambda: fitting.join(F.broadcast(trusted.where(below(share))), "__id", "left_semi")  # noqa: E731, bounded by most_rows
-    size = X.text_bytes(pick(), "text")
-    share *= min(1.0, most_bytes / size) if size else 1.0
-    sampled = below(share)
-    model = docs.sparkSession.sparkContext.broadcast(fit(pick()))
+    total, share = trusted.count(), 1.0
+    used, fitting = trusted, slim
+    if most_rows is not None or most_bytes is not None:
+        below = lambda share: trusted.where(F.pmod(F.xxhash64("__id", F.lit("train")), F.lit(1 << 20)) < int(share * (1 << 20)))
+        share = min(1.0, most_rows / total) if most_rows is not None and total else 1.0
+        if most_bytes is not None:
+            fitting = slim.where(F.octet_length("text") <= most_bytes // 1000)
+            size = X.text_bytes(fitting.join(below(share), "__id", "left_semi"), "text")
+            share *= min(1.0, most_bytes / size) if size else 1.0
+        used = below(share)
+    turns = max(1, -(-total // ID_ROWS))
+    own = lambda i: used.where(F.pmod(F.xxhash64("__id", F.lit("turn")), F.lit(turns)) == i)
+    parts = [fitting.join(F.broadcast(own(i)), "__id", "left_semi") for i in range(turns)]  # a join of texts by shuffle would exceed the disk budget
+    model = docs.sparkSession.sparkContext.broadcast(fit(parts, half=half_of(F.col("text"))))
     names = tuple(X.free_name(n, docs.columns) for n in MEASURES)
     rows = docs if whole else docs.select(*dict.fromkeys((id_col, lang, text)))
     scored = perplexities(rows, model, lang, text, names)
     scored = X.written(scored if whole else scored.drop(text), "scored")
     slim = scored.select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(names[1]).alias("__text"), F.col(names[2]).alias("__peak"))
-    marked = slim.join(trusted.withColumn("__sampled", sampled), "__id")
-    others = marked.where("not __sampled")
-    basis = others if others.where("__text is not null").limit(1).count() else marked
+    basis = slim.join(trusted, "__id")
     cuts = Thresholds(quantiles(basis, "__text", TEXT_QUANTILE, "lang"), quantiles(basis, "__peak", PEAK_QUANTILE, "lang"))
     return Fitted(model, cuts, names), scored
 

@@ -17,7 +17,7 @@ from plumbline.operators.moments import centroids
 from plumbline.operators.prefix import percentiles
 from plumbline.operators.ranking import quantile_bins
 from plumbline.operators.sampling import (
-    bootstrap_means, draw_rank, half_split, poisson_weight, random_baseline, unit_draw, with_reps,
+    bootstrap_means, draw_rank, half_split, poisson_reps, random_baseline, with_reps,
 )
 from plumbline.session import BLOCK_ROWS, cut_lineage, limit
 
@@ -54,9 +54,8 @@ def delta_interval(rows: DataFrame, keys: Sequence[str], value: str, reps: int =
     """
     keys = list(keys)
     clean = rows.where(V.finite(value).isNotNull())
-    tall = with_reps(clean.select(*keys, "row_id", "side", value), reps)
-    tall = tall.withColumn("_u", unit_draw(seed, F.col("rep"), F.concat_ws(":", "side", F.col("row_id").cast("string"))))
-    sums = tall.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0).groupBy(*keys, "rep").agg(
+    tall = poisson_reps(clean.select(*keys, "row_id", "side", value), reps, seed, F.concat_ws(":", "side", F.col("row_id").cast("string")))
+    sums = tall.groupBy(*keys, "rep").agg(
         *[
             (F.sum(F.when(F.col("side") == s, F.col("_w") * F.col(value))) / F.sum(F.when(F.col("side") == s, F.col("_w")))).alias(s)
             for s in ("trust", "random")

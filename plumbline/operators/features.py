@@ -15,7 +15,7 @@ from plumbline.operators import moments as M
 from plumbline.operators.neighbors import knn_join, neighbor_vote
 from plumbline.operators.prefix import percentiles
 from plumbline.operators.probes import fit_logistic, standardize_vectors
-from plumbline.operators.sampling import poisson_weight, unit_draw, with_reps
+from plumbline.operators.sampling import poisson_reps
 from plumbline.operators.summaries import long_columns
 from plumbline.session import small_table
 
@@ -193,9 +193,7 @@ def bootstrap_stability(
     df: DataFrame, cols: Sequence[str], attrs: Sequence[str], top: int = 30, reps: int = 50, seed: int = 0
 ) -> DataFrame:
     """How often a column is among the top F values over bootstrap repetitions, with mean and std of F."""
-    rows = with_reps(df.select("sample_id", *attrs, *cols), reps)
-    rows = rows.withColumn("_u", unit_draw(seed, F.col("rep"), "sample_id"))
-    rows = rows.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0)
+    rows = poisson_reps(df.select("sample_id", *attrs, *cols), reps, seed, "sample_id")
     f = anova_f(rows, cols, attrs, ["rep"], "_w")
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("f_value"), "feature"))
     return f.withColumn("_p", place).groupBy("feature").agg(

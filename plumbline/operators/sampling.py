@@ -276,6 +276,16 @@ def poisson_weight(u: Column) -> Column:
     return count
 
 
+def poisson_reps(df: DataFrame, reps: int, seed: int, sample_id: Column | str) -> DataFrame:
+    """Each row once per repetition that takes it, with `rep` and its Poisson(1) weight `_w`.
+
+    The draw is the element of an array, so neither the twelve steps of the count nor the filter repeat its hash.
+    """
+    weight = lambda rep: F.aggregate(F.array(unit_draw(seed, rep, sample_id)), F.lit(0).cast("long"), lambda _, u: poisson_weight(u))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), weight)
+    return df.select("*", F.posexplode(draws).alias("rep", "_w")).where(F.col("_w") > 0)
+
+
 def bootstrap_means(
     df: DataFrame, value: str, keys: Sequence[str] = (), reps: int = 1000, seed: int = 42, stat: str = "mean",
     sample_id: str = "sample_id",
@@ -286,9 +296,7 @@ def bootstrap_means(
     repetition is one grouped aggregate and nothing is collected.
     """
     keys = list(keys)
-    rows = with_reps(df.where(F.col(value).isNotNull()).select(*keys, sample_id, value), reps)
-    rows = rows.withColumn("_u", unit_draw(seed, F.col("rep"), sample_id))
-    rows = rows.withColumn("_w", poisson_weight(F.col("_u"))).where(F.col("_w") > 0)
+    rows = poisson_reps(df.where(F.col(value).isNotNull()).select(*keys, sample_id, value), reps, seed, sample_id)
     if stat == "mean":
         per_rep = rows.groupBy(*keys, "rep").agg(
             (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m")

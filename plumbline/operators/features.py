@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators import moments as M
-from plumbline.operators.neighbors import knn_join, neighbor_vote
+from plumbline.operators.neighbors import knn_join, neighbor_votes
 from plumbline.operators.prefix import percentiles
 from plumbline.operators.probes import fit_logistic, standardize_vectors
 from plumbline.operators.sampling import poisson_reps
@@ -206,12 +206,8 @@ def loo_knn_accuracy(df: DataFrame, label: str, ks: Sequence[int] = (1, 5, 10))
     """Leave-one-out nearest-neighbour accuracy for several k; ties go to the smallest label."""
     near = knn_join(df, df, max(ks), exclude_self=True)
     labels = df.select("sample_id", label)
-    out = None
-    for k in ks:
-        hit = neighbor_vote(near, labels, label, k).join(labels, "sample_id")
-        part = hit.agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy")).withColumn("k", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return out.select("k", "accuracy")
+    votes = neighbor_votes(near, labels, label, ks).join(labels, "sample_id")  # one pass, so the join runs once
+    return votes.groupBy("k").agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"))
 
 
 def k_sweep(df: DataFrame, cols: Sequence[str], attrs: Sequence[str], label: str, sizes: Sequence[int], ks: Sequence[int] = (1, 5, 10)) -> DataFrame:

@@ -182,9 +182,18 @@ def approx_knn(query: DataFrame, ref: DataFrame, k: int, share: float = 0.95, ev
 
 def neighbor_vote(neighbors: DataFrame, labels: DataFrame, label: str, k: int) -> DataFrame:
     """Majority label of the k nearest references; the smallest label on ties."""
-    votes = neighbors.where(F.col("rank") <= k).join(labels.select(F.col("sample_id").alias("ref_id"), label), "ref_id")
-    counts = votes.groupBy("query_id", label).agg(F.count("*").alias("_c"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_c"), label))
-    return counts.withColumn("_r", best).where(F.col("_r") == 1).select(
-        F.col("query_id").alias("sample_id"), F.col(label).alias("predicted")
+    return neighbor_votes(neighbors, labels, label, [k]).drop("k")
+
+
+def neighbor_votes(neighbors: DataFrame, labels: DataFrame, label: str, ks: Sequence[int]) -> DataFrame:
+    """neighbor_vote for several k from one pass over the neighbours: sample_id, k, predicted."""
+    votes = neighbors.where(F.col("rank") <= max(ks)).join(labels.select(F.col("sample_id").alias("ref_id"), label), "ref_id")
+    counts = votes.groupBy("query_id", label).agg(*[F.count_if(F.col("rank") <= k).alias(f"_c{i}") for i, k in enumerate(ks)])
+    # most votes, then the smallest label, a null one first
+    order = [F.struct(F.col(label).isNotNull().alias("known"), F.col(label).alias("value")) for _ in ks]
+    best = counts.groupBy("query_id").agg(*[
+        F.min(F.when(F.col(f"_c{i}") > 0, F.struct((-F.col(f"_c{i}")).alias("votes"), o.alias("label")))).alias(f"_b{i}") for i, o in enumerate(order)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_b{i}").alias("b")) for i, k in enumerate(ks)])).alias("e")
+    return best.select(F.col("query_id").alias("sample_id"), each).where("e.b is not null").select(
+        "sample_id", "e.k", F.col("e.b.label.value").alias("predicted")
     )

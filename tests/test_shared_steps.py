@@ -1,8 +1,8 @@
-"""Steps that are made once: the hash of a bootstrap draw."""
+"""Steps that are made once: the hash of a bootstrap draw, and the neighbours of several votes."""
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import sampling
+from plumbline.operators import neighbors, sampling
 
 
 def test_bootstrap_draws_are_hashed_once(spark):
@@ -11,3 +11,12 @@ def test_bootstrap_draws_are_hashed_once(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
     plain = sampling.with_reps(df, 3).withColumn("_w", sampling.poisson_weight(sampling.unit_draw(7, F.col("rep"), "sample_id"))).where("_w > 0")
     assert sorted(map(tuple, rows.select("sample_id", "rep", "_w").collect())) == sorted(map(tuple, plain.select("sample_id", "rep", "_w").collect()))
+
+
+def test_votes_of_several_k_share_their_neighbours(spark):
+    near = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 11, 1), (2, 10, 2)], "query_id int, ref_id int, rank int")
+    labels = spark.createDataFrame([(10, 5), (11, 3), (12, 3)], "sample_id int, label int")
+    got = neighbors.neighbor_votes(near, labels, "label", [1, 2, 3])
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 5), (1, 2, 3), (1, 3, 3), (2, 1, 3), (2, 2, 3), (2, 3, 3)]
+    one = neighbors.neighbor_vote(near, labels, "label", 2)
+    assert sorted(map(tuple, one.collect())) == [(1, 3), (2, 3)]

@@ -26,7 +26,7 @@ from plumbline.operators.conditions import nearest_condition
 from plumbline.operators.prefix import average_ranks
 from plumbline.operators.ranking import spearman
 from plumbline.operators.sampling import condition_counts, draw_rank, matched_draw, stratified_kfold, with_reps
-from plumbline.operators.pivot_join import written
+from plumbline.operators.pivot_join import slices, written
 from plumbline.session import BLOCK_ROWS, WINDOW_ROWS, cut_lineage, limit, small_table
 
 PAIR_ROWS = 4096  # rows of a sample whose pairs one task adds up; larger samples go through the feature map
@@ -54,9 +54,12 @@ def cubic_mmd(x: np.ndarray, y: np.ndarray, mode: str = "cosine") -> float:
         x, y, s = unit_rows(x), unit_rows(y), 1.0
     else:
         s = 1.0 / x.shape[1]
-    kxx, kyy, kxy = ((a @ b.T * s + 1.0) ** 3 for a, b in ((x, x), (y, y), (x, y)))
-    within = (kxx.sum() - np.trace(kxx) + kyy.sum() - np.trace(kyy)) / (m * (m - 1))
-    return float(within - 2.0 * kxy.sum() / (m * m))
+
+    def total(a: np.ndarray, b: np.ndarray) -> float:
+        return sum(float(((a[cut] @ b.T * s + 1.0) ** 3).sum()) for cut in slices(len(a), len(b)))
+
+    own = sum(float((((a * a).sum(1) * s + 1.0) ** 3).sum()) for a in (x, y))  # the diagonals
+    return float((total(x, x) + total(y, y) - own) / (m * (m - 1)) - 2.0 * total(x, y) / (m * m))
 
 
 def _feature_map_sums(df: DataFrame, keys: Sequence[str], mode: str, features: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Steps that are made once: the hash of a bootstrap draw, and the neighbours of several votes."""
+"""Steps that are made once or in slices: bootstrap draws, votes of several k, pairs of a kernel sample."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from plumbline.operators import neighbors, sampling
+from plumbline.operators import distances, neighbors, sampling
 
 
 def test_bootstrap_draws_are_hashed_once(spark):
@@ -20,3 +23,17 @@ def test_votes_of_several_k_share_their_neighbours(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 1, 5), (1, 2, 3), (1, 3, 3), (2, 1, 3), (2, 2, 3), (2, 3, 3)]
     one = neighbors.neighbor_vote(near, labels, "label", 2)
     assert sorted(map(tuple, one.collect())) == [(1, 3), (2, 3)]
+
+
+def test_pairs_of_a_sample_take_little_memory():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(2, distances.PAIR_ROWS // 2, 16))
+    tracemalloc.start()
+    got = distances.cubic_mmd(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u, v = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, y))
+    kxx, kyy, kxy = ((a @ b.T + 1.0) ** 3 for a, b in ((u, u), (v, v), (u, v)))
+    m = len(x)
+    want = (kxx.sum() - np.trace(kxx) + kyy.sum() - np.trace(kyy)) / (m * (m - 1)) - 2 * kxy.sum() / m**2
+    assert abs(got - want) < 1e-9 and peak < 32 << 20

@@ -30,6 +30,7 @@ from plumbline.operators.pivot_join import slices, written
 from plumbline.session import BLOCK_ROWS, WINDOW_ROWS, cut_lineage, limit, small_table
 
 PAIR_ROWS = 4096  # rows of a sample whose pairs one task adds up; larger samples go through the feature map
+SALT_ROWS = 16_384  # rows of a large sample that share a feature map before it is shuffled
 MAP_BYTES = 64 << 20  # of one group's third-order sums in a task; wider vectors are cut in index blocks
 
 
@@ -173,6 +174,10 @@ def kid_of_sides(
     """
     if most > PAIR_ROWS:
         keys = list(keys)
+        # a group's rows come together in bounded salts: a map of D^3 entries is sent per salt, not per task that met the group
+        salt = F.pmod(F.xxhash64("features"), F.lit(-(-most // SALT_ROWS)))
+        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        samples = samples.repartition(parts, *keys, "side", salt)
         sums = written(_feature_map_sums(samples, [*keys, "side"], mode, "features"), "feature-maps")
         side = lambda s: sums.where(F.col("side") == s).drop("side")
         out = samples.select(*keys).distinct()

@@ -37,3 +37,15 @@ def test_pairs_of_a_sample_take_little_memory():
     m = len(x)
     want = (kxx.sum() - np.trace(kxx) + kyy.sum() - np.trace(kyy)) / (m * (m - 1)) - 2 * kxy.sum() / m**2
     assert abs(got - want) < 1e-9 and peak < 32 << 20
+
+
+def test_large_samples_meet_before_their_maps_are_sent(spark, monkeypatch):
+    seen = []
+    plain = distances._feature_map_sums
+    monkeypatch.setattr(distances, "_feature_map_sums", lambda df, *more: seen.append(df) or plain(df, *more))
+    rows = spark.range(0, 400, 1, 20).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 < 2, "a").otherwise("x").alias("side"), F.array(*[F.xxhash64("id", F.lit(i)) % 100 / 100.0 for i in range(3)]).alias("features"))
+    large = distances.kid_of_sides(rows, ["g"], {"kid": ("a", "x")}, most=distances.PAIR_ROWS + 1).orderBy("g").collect()
+    tasks = seen[0].select("g", "side", F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == 4  # one map per group and side, whatever the number of tasks before
+    small = distances.kid_of_sides(rows, ["g"], {"kid": ("a", "x")}, most=100).orderBy("g").collect()
+    assert [round(r.kid, 9) for r in large] == [round(r.kid, 9) for r in small]

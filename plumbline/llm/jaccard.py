@@ -155,7 +155,12 @@ def frequencies(parts: X.Chunks) -> DataFrame:
 
 
 def candidates(parts: X.Chunks) -> DataFrame:
-    """(name, n, grp, codes, places, members): classes with a prefix shingle that another class has too, and its places in the prefix."""
+    """(name, n, met, usual, grp, codes, members): classes with prefix shingles that other classes have too, in the prefix's order.
+
+    `met` counts the shingles of the whole set that another class has: no overlap is larger, so a class with fewer than any
+    similar set needs is left out. `usual` is the mean log frequency of the set's shingles: of a group of near copies the one
+    with the fewest edits has the highest.
+    """
     buckets = parts.buckets
 
     def pick(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -178,18 +183,17 @@ def candidates(parts: X.Chunks) -> DataFrame:
             order = np.argsort(weight[at], kind="stable")[: n - overlap(n) + asked(n)]
             prefix, also = s.codes[a:b][order], met[at[order]]
             seen, prefix = int(also.sum()), prefix[: n - overlap(n) + 1]
-            places = np.flatnonzero(also[: len(prefix)])
-            shared = prefix[places]
-            if len(shared) and seen >= asked(overlap(n)):
+            shared, common = prefix[also[: len(prefix)]], int(met[at].sum())
+            if len(shared) and seen >= asked(overlap(n)) and common >= overlap(n):
                 group = names(np.append(prefix, np.uint64(n)), np.array([0, len(prefix) + 1]))[0]
-                rows.append((s.name[i], n, group, shared.view(np.int64), places, s.codes[a:b].tobytes()))
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        return pa.table({"name": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "grp": pa.array(cols[2], pa.binary()),
-                         "codes": pa.array(cols[3], pa.list_(pa.int64())), "places": pa.array(cols[4], pa.list_(pa.int32())),
-                         "members": pa.array(cols[5], pa.binary())})
+                rows.append((s.name[i], n, common, float(np.log(weight[at]).mean()), group, shared.view(np.int64), s.codes[a:b].tobytes()))
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        return pa.table({"name": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.int64()), "met": pa.array(cols[2], pa.int64()),
+                         "usual": pa.array(cols[3], pa.float64()), "grp": pa.array(cols[4], pa.binary()),
+                         "codes": pa.array(cols[5], pa.list_(pa.int64())), "members": pa.array(cols[6], pa.binary())})
 
     return parts.rows.groupBy("__chunk").cogroup(frequencies(parts).groupBy("chunk")).applyInArrow(
-        pick, "name binary, n bigint, grp binary, codes array<bigint>, places array<int>, members binary")
+        pick, "name binary, n bigint, met bigint, usual double, grp binary, codes array<bigint>, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,11 +252,12 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def stars(entries: DataFrame, tied: DataFrame, turn: int) -> DataFrame:
     """(a, b): for each leading class up to PARTNERS classes of other components that stand for one of its shingles.
 
-    Per shingle and size band one class stands for all, another one each turn; the partners that stand for most of a
-    class's shingles are taken.
+    Per shingle and size band one class stands for all: in the first turn the most usual one, as most near copies link with
+    the least edited of them, then another one each turn. The partners that stand for most of a class's shingles are taken.
     """
-    own = entries.join(tied.withColumnRenamed("node", "lead"), "lead").select("code", "band", "lead", "n", "root")
-    head = F.min_by(F.struct("lead", "n", "root"), F.xxhash64("lead", F.lit(turn)))
+    own = entries.join(tied.withColumnRenamed("node", "lead"), "lead").select("code", "band", "lead", "n", "usual", "root")
+    rank = F.xxhash64("lead", F.lit(turn)) if turn else F.struct(-F.col("usual"), F.col("lead"))
+    head = F.min_by(F.struct("lead", "n", "root"), rank)
     heads = own.groupBy("code", "band").agg(head.alias("head"))
     near = heads.select("code", F.explode(F.array([F.col("band") + k for k in range(-2, 3)])).alias("band"), "head")
     met = own.join(near, ["code", "band"]).where(fits("n", "head.n") & (F.col("root") != F.col("head.root")))
@@ -277,10 +282,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     sets = X.written(found.join(classes, "name").drop("name"), "sets")
     slim = sets.select("class", "n", "grp")
 
-    leader = slim.groupBy("grp", "n").agg(F.min("class").alias("lead"))
+    leader = sets.groupBy("grp", "n").agg(F.min("class").alias("lead"), F.min_by("usual", "class").alias("usual"))
     band = F.floor(F.ln("n") / (log(HIGH / LOW) / 2)).cast("int")
     entries = X.written(
-        sets.select("grp", "n", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("places").alias("place")))).distinct()
+        sets.select("grp", "n", F.explode("codes").alias("code")).distinct()
         .join(leader, ["grp", "n"]).withColumn("band", band), "entries")
     inside = slim.join(leader, ["grp", "n"]).select(F.col("class").alias("a"), F.col("lead").alias("b"))
     tied = slim.select(F.col("class").alias("node"), F.col("class").alias("root")).distinct()
@@ -291,23 +296,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         tied = X.written(slim.select(F.col("class").alias("node")).distinct().join(merged, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "tied")
     placed = X.written(slim.join(tied, slim["class"] == tied["node"]).select("class", "n", "grp", "root"), "placed")
     groups = placed.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    prefix = X.written(sets.groupBy("grp", "n").agg(F.first("codes").alias("codes"), F.first("places").alias("places")), "prefix")  # equal in all classes of a group
+    prefix = X.written(sets.groupBy("grp", "n").agg(F.first("codes").alias("codes"), F.max("met").alias("met")), "prefix")  # a group's codes are equal in all its classes
     before = F.transform("codes", lambda _, i: F.slice("codes", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))))
-    spots = prefix.select("grp", "n", F.inline(F.arrays_zip(F.col("codes").alias("code"), F.col("places").alias("place"), before.alias("before")))).join(groups, ["grp", "n"])
+    left_over = F.transform("codes", lambda _, i: F.col("met") - i)  # from a shingle on, it included
+    spots = prefix.select("grp", "n", F.inline(F.arrays_zip(F.col("codes").alias("code"), left_over.alias("room"), before.alias("before")))).join(groups, ["grp", "n"])
     mixed = spots.groupBy("code").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("code")
     left = spots.join(mixed, "code")
-    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("place", "before", "grp", "n", "low", "high")]) for s in "xy")
-    # after the first shingle that two similar sets share, both still have room for the rest of their overlap
-    room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")) >= both("x_n", "y_n")
+    x, y = (left.select("code", *[F.col(c).alias(f"{s}_{c}") for c in ("room", "before", "grp", "n", "low", "high")]) for s in "xy")
+    # from the first shingle that two similar sets share, both still have as many that other classes have as they must share
+    room = F.least("x_room", "y_room") >= both("x_n", "y_n")
     apart = ~((F.col("x_low") == F.col("y_high")) & (F.col("x_high") == F.col("y_low")))
     # a pair that shares a shingle just before this one has met there: both places are earlier and leave more room
     again = F.arrays_overlap("x_before", "y_before")
     met = x.join(y, "code").where((F.col("x_grp") <= F.col("y_grp")) & room & apart & ~again).select("x_grp", "x_n", "y_grp", "y_n").distinct()
     # a pair cannot overlap in more than the shingles its prefixes share and what the prefix that ends first leaves of its set
-    rest_of = lambda n: F.ceil(F.col(n) * LOW / HIGH) - 1
-    needed = both("x_n", "y_n") - F.greatest(rest_of("x_n"), rest_of("y_n"))
-    of = lambda s: prefix.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "codes")])
-    met = met.join(of("x"), ["x_grp", "x_n"]).join(of("y"), ["y_grp", "y_n"]).where(F.size(F.array_intersect("x_codes", "y_codes")) >= needed).drop("x_codes", "y_codes")
+    rest_of = lambda s: F.col(f"{s}_met") - F.size(f"{s}_codes")
+    needed = both("x_n", "y_n") - F.greatest(rest_of("x"), rest_of("y"))
+    of = lambda s: prefix.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "met", "codes")])
+    met = met.join(of("x"), ["x_grp", "x_n"]).join(of("y"), ["y_grp", "y_n"]).where(F.size(F.array_intersect("x_codes", "y_codes")) >= needed).select("x_grp", "x_n", "y_grp", "y_n")
     member = lambda s: placed.select(*[F.col(c).alias(f"{s}_{c}") for c in ("grp", "n", "class", "root")])
     rest = met.join(member("x"), ["x_grp", "x_n"]).join(member("y"), ["y_grp", "y_n"]).where("x_root <> y_root")
     more = verify(ordered(rest.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))), sets)

@@ -28,6 +28,7 @@ from plumbline.llm import text as X
 
 ORDER = 5
 ID_ROWS = 1 << 20  # trusted ids that are broadcast at once; more are taken in turns, each with a pass over the texts
+SHARE = 1 << 18  # places of n-grams that a task adds up at once
 HALVES = 2  # parts of the trusted documents with a model each
 TEXT_QUANTILE, PEAK_QUANTILE = 0.99, 0.98
 LEAST_ROWS = 50  # a language with fewer trusted documents takes the thresholds of all
@@ -60,35 +61,35 @@ def gram_counts(docs: DataFrame, halves: int) -> DataFrame:
 
     ns = [f"n{h}" for h in range(halves)]
 
-    def handed(types: C.Types, langs: list[str]) -> pa.RecordBatch:
+    def handed(types: C.Types, langs: list[str]) -> Iterator[pa.RecordBatch]:
         group, code, count, spelled = types.merged()
+        types.reset()
         group, half = group // halves, group % halves
         # a word of both halves is cut into its n-grams once
         _, at, back = np.unique(code ^ X.mix(group.astype(np.uint64)), return_index=True, return_inverse=True)
         group, spelled = group[at], [spelled[i] for i in at.tolist()]
         count = [np.bincount(back, weights=count * (half == h), minlength=len(at)).astype(np.int64) for h in range(halves)]
-        grams, parts = C.Grams(spelled), []
+        grams, long = C.Grams(spelled), None
         salts = np.array([group_salt(x) for x in langs], np.uint64)
+        shares = 1 + len(grams.data) // SHARE  # places are added up in turns, those of an n-gram in one
         for n in range(1, ORDER + 1):
-            at = grams.starts(n)
-            word = grams.word[at]
+            places = grams.starts(n)
             if n == 1:  # the opening mark is given, not predicted
-                at = at[at != grams.first[at]]
+                places = places[places != grams.first[places]]
+            long, short = grams.codes(n), long
+            turn = (long[places] % np.uint64(shares)).astype(np.int32)
+            for i in range(shares):
+                at = places[turn == i]
                 word = grams.word[at]
-            short = grams.codes(n - 1) if n > 1 else None
-            for salt in (salts[group[word]], np.full(len(word), group_salt(POOLED), np.uint64)):
-                key = lambda codes: X.mix(codes ^ salt)  # noqa: B023, E731
-                zero = np.zeros(len(at), np.uint64)
-                found = C.summed({
-                    "gram": key(grams.codes(n)[at]), "context": key(short[at]) if n > 1 else salt, "suffix": key(short[at + 1]) if n > 1 else zero,
-                    "opens": at == grams.first[at]}, **{n: c[word] for n, c in zip(ns, count)})
-                found["length"] = n
-                parts.append(found)
-        types.reset()
-        cols = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("length", "gram", "context", "suffix", "opens", *ns)}
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols["length"].astype(np.int32)), *(pa.array(cols[c].view(np.int64)) for c in ("gram", "context", "suffix")), pa.array(cols["opens"].astype(bool)), *(pa.array(cols[n].astype(np.int64)) for n in ns)],
-            names=list(cols))
+                for salt in (salts[group[word]], np.full(len(word), group_salt(POOLED), np.uint64)):
+                    key = lambda codes: X.mix(codes ^ salt)  # noqa: B023, E731
+                    zero = np.zeros(len(at), np.uint64)
+                    found = C.summed({
+                        "gram": key(long[at]), "context": key(short[at]) if n > 1 else salt, "suffix": key(short[at + 1]) if n > 1 else zero,
+                        "opens": at == grams.first[at]}, **{n: c[word] for n, c in zip(ns, count)})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), n, np.int32)), *(pa.array(found[c].to_numpy().view(np.int64)) for c in ("gram", "context", "suffix")), pa.array(found["opens"].to_numpy().astype(bool)), *(pa.array(found[n].to_numpy().astype(np.int64)) for n in ns)],
+                        names=["length", "gram", "context", "suffix", "opens", *ns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types, number = C.Types(), {}
@@ -97,8 +98,8 @@ def gram_counts(docs: DataFrame, halves: int) -> DataFrame:
                 group = np.array([number.setdefault(x, len(number)) for x in part.column("lang").to_pylist()], np.int64)
                 types.add(X.words(C.lowered(part.column("text")), X.SPACED), group * halves + part.column("half").to_numpy())
                 if types.full:
-                    yield handed(types, list(number))
-        yield handed(types, list(number))
+                    yield from handed(types, list(number))
+        yield from handed(types, list(number))
 
     schema = "length int, gram bigint, context bigint, suffix bigint, opens boolean" + "".join(f", {n} bigint" for n in ns)
     rows = docs.select(F.coalesce("lang", F.lit(POOLED)).alias("lang"), "text", "half").mapInArrow(run, schema)

@@ -29,6 +29,7 @@ N = 5
 LOW, HIGH = 4, 5  # similarity 0.8 as a fraction
 TURNS, PARTNERS = 2, 3  # cheap rounds before all pairs of different components are formed, and pairs per class in each
 BEFORE = 2  # preceding shingles an entry carries, so that a pair which met on one of them does not meet again
+ASKED_IDS = 1 << 20  # classes that are broadcast to pick the sets of some pairs
 NO_ID = 1 << 62  # classes without any id are numbered from here
 
 
@@ -197,7 +198,14 @@ def candidates(parts: X.Chunks) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose sets reach the threshold."""
+    """Pairs (a, b) of classes whose sets reach the threshold.
+
+    The pairs are written, so that while they are of at most ASKED_IDS classes only the sets of these are shuffled.
+    """
+    pairs = X.written(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    if ids.count() <= ASKED_IDS:
+        sets = sets.join(F.broadcast(ids), "class", "left_semi")
     own = lambda side: sets.select(F.col("class").alias(side), F.col("members").alias(f"of_{side}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

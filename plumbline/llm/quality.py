@@ -15,6 +15,7 @@ against a quantile, over all trusted documents of its language.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,9 @@ from plumbline.llm import text as X
 
 ORDER = 5
 ID_ROWS = 1 << 20  # trusted ids that are broadcast at once; more are taken in turns, each with a pass over the texts
+HELD_BYTES = 8 << 20  # of different words that a task holds before it cuts them into n-grams
 SHARE = 1 << 18  # places of n-grams that a task adds up at once
+WORDS = 1 << 14  # different words that a task looks up at once
 HALVES = 2  # parts of the trusted documents with a model each
 TEXT_QUANTILE, PEAK_QUANTILE = 0.99, 0.98
 LEAST_ROWS = 50  # a language with fewer trusted documents takes the thresholds of all
@@ -77,7 +80,9 @@ def gram_counts(docs: DataFrame, halves: int) -> DataFrame:
             if n == 1:  # the opening mark is given, not predicted
                 places = places[places != grams.first[places]]
             long, short = grams.codes(n), long
-            turn = (long[places] % np.uint64(shares)).astype(np.int32)
+            turn = long[places]
+            turn %= np.uint64(shares)
+            turn = turn.astype(np.min_scalar_type(shares))
             for i in range(shares):
                 at = places[turn == i]
                 word = grams.word[at]
@@ -92,7 +97,7 @@ def gram_counts(docs: DataFrame, halves: int) -> DataFrame:
                         names=["length", "gram", "context", "suffix", "opens", *ns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, number = C.Types(), {}
+        types, number = C.Types(HELD_BYTES), {}
         for batch in batches:
             for part in X.slices(batch, "text"):
                 group = np.array([number.setdefault(x, len(number)) for x in part.column("lang").to_pylist()], np.int64)
@@ -230,8 +235,10 @@ def perplexities(docs: DataFrame, model: Model | Broadcast, lang: str = "lang",
                 data = w.data.tobytes()
                 nll, size = np.zeros(len(at)), np.zeros(len(at), np.int64)
                 for h in range(len(model.langs)):
-                    own = np.flatnonzero(asked[row[at]] == h)
-                    nll[own], size[own] = surprise([data[a:b] for a, b in zip(w.start[at[own]].tolist(), w.end[at[own]].tolist())], salts[row[at[own]]], model, h)
+                    of_half = np.flatnonzero(asked[row[at]] == h)
+                    for k in range(0, len(of_half), WORDS):
+                        own = of_half[k : k + WORDS]
+                        nll[own], size[own] = surprise([data[a:b] for a, b in zip(w.start[at[own]].tolist(), w.end[at[own]].tolist())], salts[row[at[own]]], model, h)
                 count = w.count()
                 some = np.flatnonzero(count > 0)
                 first = w.first[some]
@@ -291,11 +298,13 @@ class Fitted(NamedTuple):
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
           most_rows: int | None = None, most_bytes: int | None = None, whole: bool = False) -> tuple[Fitted, DataFrame]:
-    """Models and thresholds, and all rows scored once: (id, lang) or, with `whole`, all columns, and the measures.
+    """Models and thresholds, and all rows scored: (id, lang) or, with `whole`, all columns, and the measures.
 
     Trusted are ids labelled quality 1 and toxic 0. Every one of them is counted in the model of its half and scored by the
     other half's; the thresholds come from all of them. A caller may bound the training, not the scoring: a hash sample of
     about `most_rows` trusted documents, and about `most_bytes` of text from documents of at most a thousandth of that.
+    Scored rows are a table without texts; with `whole` only the trusted ones are, and all rows are scored as they are read,
+    so that no copy of the texts is written.
     """
     trusted = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("__id")).distinct()
     slim = docs.select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -310,15 +319,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             share *= min(1.0, most_bytes / size) if size else 1.0
         used = below(share)
     turns = max(1, -(-total // ID_ROWS))
-    own = lambda i: used.where(F.pmod(F.xxhash64("__id", F.lit("turn")), F.lit(turns)) == i)
-    parts = [fitting.join(F.broadcast(own(i)), "__id", "left_semi") for i in range(turns)]  # a join of texts by shuffle would exceed the disk budget
+    own = lambda ids, i: ids.where(F.pmod(F.xxhash64("__id", F.lit("turn")), F.lit(turns)) == i)
+    of = lambda rows, ids: [rows.join(F.broadcast(own(ids, i)), "__id", "left_semi") for i in range(turns)]  # noqa: E731  # a join of texts by shuffle would exceed the disk budget
+    parts = of(fitting, used)
     model = docs.sparkSession.sparkContext.broadcast(fit(parts, half=half_of(F.col("text"))))
     names = tuple(X.free_name(n, docs.columns) for n in MEASURES)
-    rows = docs if whole else docs.select(*dict.fromkeys((id_col, lang, text)))
-    scored = perplexities(rows, model, lang, text, names)
-    scored = X.written(scored if whole else scored.drop(text), "scored")
-    slim = scored.select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(names[1]).alias("__text"), F.col(names[2]).alias("__peak"))
-    basis = slim.join(trusted, "__id")
+    if whole:
+        scored = perplexities(docs, model, lang, text, names)
+        measured = [X.written(perplexities(part, model).select("lang", "__text", "__peak"), "scored") for part in of(slim, trusted)]
+        basis = reduce(DataFrame.unionByName, measured)
+    else:
+        scored = X.written(perplexities(docs.select(*dict.fromkeys((id_col, lang, text))), model, lang, text, names).drop(text), "scored")
+        slim = scored.select(F.col(id_col).alias("__id"), F.col(lang).alias("lang"), F.col(names[1]).alias("__text"), F.col(names[2]).alias("__peak"))
+        basis = slim.join(trusted, "__id")
     cuts = Thresholds(quantiles(basis, "__text", TEXT_QUANTILE, "lang"), quantiles(basis, "__peak", PEAK_QUANTILE, "lang"))
     return Fitted(model, cuts, names), scored
 
@@ -345,7 +358,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text", **options: object) -> DataFrame:
     """The rows of `docs` that `judge` keeps, with all their columns, whatever these are called.
 
-    Rows are scored once and written with their measures; the kept ones are read from there.
+    Nothing of the rows is written: the trusted ones are scored for the thresholds, then all of them as they are read.
     """
     fitted, scored = train(docs, labels, id_col, text, lang, whole=True, **options)
     return scored.where(accepted(fitted.thresholds, lang, fitted.names)).select(*docs.columns)

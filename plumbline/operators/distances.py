@@ -31,6 +31,8 @@ from plumbline.session import BLOCK_ROWS, WINDOW_ROWS, cut_lineage, limit, small
 
 PAIR_ROWS = 4096  # rows of a sample whose pairs one task adds up; larger samples go through the feature map
 SALT_ROWS = 16_384  # rows of a large sample that share a feature map before it is shuffled
+SIDES = 8  # blocks that the rows of a large group are dealt to for their pairs, as long as one takes
+SIDE_BYTES = 16 << 20  # at most so many bytes
 MAP_BYTES = 64 << 20  # of one group's third-order sums in a task; wider vectors are cut in index blocks
 
 
@@ -387,29 +389,57 @@ def _sq(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], rows: int, same: bool) -> DataFrame:
-    """Pairs of bounded blocks inside each group; `same` keeps each unordered pair of blocks once."""
-    keys = list(keys)
+    """Pairs of bounded blocks inside each group; `same` keeps each unordered pair of blocks once.
 
-    def packed(df: DataFrame, tag: str) -> DataFrame:
-        blocks = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{tag}n"))
+    A group has SIDES blocks, fewer of at least `rows` rows if it is small, more if they would take over SIDE_BYTES; so a row is
+    sent SIDES times at most however large its group is, until SIDES blocks of SIDE_BYTES hold it no more. Blocks of `a` are
+    cut inside keys that `b` lacks, too, and carry their `median_distance`, if it has one: joined to pairs, it would send them.
+    """
+    keys, both = list(keys), [k for k in keys if k in b.columns]
+    width = a.select(F.size("features")).first()
+    most = max(rows, SIDE_BYTES // (8 * max(1, width[0] if width else 1)))
+
+    def packed(df: DataFrame, tag: str, keys: Sequence[str]) -> DataFrame:
+        n = F.count("*")
+        count = F.greatest(F.ceil(n / most), F.least(F.ceil(n / rows), F.lit(SIDES))).cast("int")
+        blocks = df.groupBy(*keys).agg(count.alias(f"{tag}n"))
         number = F.pmod(F.xxhash64("sample_id"), F.col(f"{tag}n")).cast("int")
-        cut = df.select(*keys, "sample_id", "features").join(blocks, keys).withColumn(f"{tag}b", number)
-        return cut.groupBy(*keys, f"{tag}n", f"{tag}b").agg(F.flatten(F.collect_list("features")).alias(f"{tag}flat"), F.count("*").cast("int").alias(f"{tag}m"))
+        more = [c for c in ("median_distance",) if c in df.columns and tag == "l"]
+        cut = df.select(*keys, "sample_id", "features", *more).join(blocks, keys).withColumn(f"{tag}b", number)
+        flat = F.flatten(F.collect_list("features")).alias(f"{tag}flat")
+        return cut.groupBy(*keys, f"{tag}n", f"{tag}b").agg(flat, F.count("*").cast("int").alias(f"{tag}m"), *[F.first(c).alias(c) for c in more])
+
+    left, right = packed(a, "l", keys), packed(b, "r", both)
+    sizes = right.groupBy(*both).agg(F.first("rn").alias("_rn"))
+    first = F.col("lb") if same else F.lit(0)
+    left = left.join(sizes, both).withColumn("rb", F.explode(F.sequence(first, F.col("_rn") - 1)))
+    return left.join(right, [*both, "rb"])
+
+
+def real_pairs(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The block pairs of all groups of more than one block, written once for all passes over them; None without such groups."""
+    rows = limit(df.sparkSession, BLOCK_ROWS)
+    big = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    if big.isEmpty():
+        return None
+    own = df.join(big, list(keys), "left_semi")
+    return written(_block_pairs(own, own, keys, rows, True), "block-pairs", maxRecordsPerFile=1)  # so that tasks share them evenly
+
 
-    left, right = packed(a, "l"), packed(b, "r")
-    sizes = right.groupBy(*keys).agg(F.first("rn").alias("_rn"))
-    left = left.join(sizes, keys).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("_rn") - 1)))
-    pairs = left.join(right, [*keys, "rb"])
-    return pairs.where(F.col("lb") <= F.col("rb")) if same else pairs
+def _sides(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks of a pair."""
+    at = batch.schema.get_field_index
+    return tuple(batch.column(at(f"{s}flat"))[i].values.to_numpy().reshape(batch.column(at(f"{s}m"))[i].as_py(), -1) for s in "lr")
 
 
-def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def median_pair_distance(df: DataFrame, keys: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
     """Median Euclidean distance over the unordered row pairs of each group.
 
     Groups of one block are measured in one task. Larger groups are bisected:
     each pass counts, per block pair, the distances in 1024 slices of the
     interval that still holds the two middle ranks, until the interval is 2^-40
-    of the largest possible distance. No pass emits pairs.
+    of the largest possible distance. No pass emits pairs; all read `pairs`, the
+    groups' written block pairs.
     """
     keys = list(keys)
     rows = limit(df.sparkSession, BLOCK_ROWS)
@@ -429,23 +459,24 @@ def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     big = sizes.where(F.col("_n") > rows)
     if big.isEmpty():
         return direct
-    pairs = _block_pairs(df.join(big, keys, "left_semi"), df.join(big, keys, "left_semi"), keys, rows, True)
-    slices = 1024
+    pairs = real_pairs(df, keys) if pairs is None else pairs
+    marks = 1024
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
             for i in range(batch.num_rows):
-                x = batch.column(at("lflat"))[i].values.to_numpy().reshape(batch.column(at("lm"))[i].as_py(), -1)
-                y = batch.column(at("rflat"))[i].values.to_numpy().reshape(batch.column(at("rm"))[i].as_py(), -1)
-                gap = np.sqrt(_sq(x, y))
+                x, y = _sides(batch, i)
                 diagonal = batch.column(at("lb"))[i].as_py() == batch.column(at("rb"))[i].as_py()
-                gap = gap[np.triu_indices(len(x), 1)] if diagonal else gap.ravel()
                 lo, hi = batch.column(at("lo"))[i].as_py(), batch.column(at("hi"))[i].as_py()
-                inside = gap[(gap >= lo) & (gap <= hi)]
-                hist, _ = np.histogram(inside, bins=slices, range=(lo, hi))
+                hist, below = np.zeros(marks, np.int64), 0
+                for cut in slices(len(x), len(y)):
+                    gap = np.sqrt(_sq(x[cut], y))
+                    gap = gap[np.arange(cut.start, cut.stop)[:, None] < np.arange(len(y))[None, :]] if diagonal else gap.ravel()
+                    hist += np.histogram(gap[(gap >= lo) & (gap <= hi)], bins=marks, range=(lo, hi))[0]
+                    below += int((gap < lo).sum())
                 row = {k: [batch.column(at(k))[i].as_py()] for k in keys}
-                row.update(side=[batch.column(at("side"))[i].as_py()], hist=[hist.astype(float).tolist()], below=[float((gap < lo).sum())])
+                row.update(side=[batch.column(at("side"))[i].as_py()], hist=[hist.astype(float).tolist()], below=[float(below)])
                 yield pa.RecordBatch.from_pydict(row, schema=part_schema)
 
     part = T.StructType([*fields, T.StructField("side", T.IntegerType()), T.StructField("hist", T.ArrayType(T.DoubleType())), T.StructField("below", T.DoubleType())])
@@ -458,7 +489,8 @@ def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     reach = df.join(big, keys, "left_semi").groupBy(*keys).agg((2.0 * F.max(V.norm("features"))).alias("_r"))
     state = state.join(reach, keys).withColumn("hi", F.col("_r")).drop("_r")
     for _ in range(4):  # 1024^4 = 2^40 slices of the widest possible distance
-        hists = pairs.join(state.select(*keys, "side", "lo", "hi"), keys).mapInArrow(counts, part)
+        # as few conditions as have more than a block; without the hint the pairs would be shuffled
+        hists = pairs.join(F.broadcast(state.select(*keys, "side", "lo", "hi")), keys).mapInArrow(counts, part)
         stats = Summarizer.metrics("sum").summary(array_to_vector("hist"))
         merged = hists.groupBy(*keys, "side").agg(stats.alias("_s"), F.sum("below").alias("below"))
         merged = merged.select(*keys, "side", vector_to_array("_s.sum").alias("hist"), "below")
@@ -469,8 +501,8 @@ def median_pair_distance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
                 (s["acc"] + h).alias("acc"), (s["ix"] + F.when(s["acc"] + h <= F.col("rank"), 1).otherwise(0)).alias("ix")
             ),
         )
-        step = (F.col("hi") - F.col("lo")) / slices
-        index = F.least(cum["ix"], F.lit(slices - 1))
+        step = (F.col("hi") - F.col("lo")) / marks
+        index = F.least(cum["ix"], F.lit(marks - 1))
         nxt = joined.select(*keys, "side", "rank", (F.col("lo") + step * index).alias("lo"), (F.col("lo") + step * (index + 1)).alias("hi"))
         state = cut_lineage(nxt)
     middle = state.groupBy(*keys).agg(F.avg((F.col("lo") + F.col("hi")) / 2).alias("median_distance"))
@@ -490,33 +522,38 @@ def rbf_mmd(
     n_gen = gen.groupBy(*keys, bins).agg(F.count("*").alias("n_gen")).where(F.col("n_gen") >= min_gen)
     n_real = real.groupBy(*keys).agg(F.count("*").alias("n_real")).where(F.col("n_real") >= min_real)
     gen = gen.join(n_gen, [*keys, bins], "left_semi").join(n_real, keys, "left_semi")
-    real = real.join(n_real, keys, "left_semi")
-    sigma = cut_lineage(median_pair_distance(real, keys))  # one row per condition, read by all sums
-    by_bin = real.join(n_gen.select(*keys, bins), keys)
-    asked = real.join(n_gen.select(*keys).distinct(), keys, "left_semi")
+    real = real.join(n_real, keys, "left_semi").join(n_gen, keys, "left_semi").select(*keys, "sample_id", "features")
+    pairs = real_pairs(real, keys)
+    sigma = cut_lineage(median_pair_distance(real, keys, pairs))  # one row per condition, read by all sums
 
-    def total(a: DataFrame, b: DataFrame, by: Sequence[str], name: str, same: bool = False) -> DataFrame:
+    def total(pairs: DataFrame, by: Sequence[str], name: str, same: bool = False) -> DataFrame:
         """Kernel sums per group; of the same rows every block pair is met once, and counts twice off the diagonal."""
-        schema = T.StructType([*[a.schema[k] for k in by], T.StructField("s", T.DoubleType())])
+        schema = T.StructType([*[pairs.schema[k] for k in by], T.StructField("s", T.DoubleType())])
         arrow = to_arrow_schema(schema)
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index
                 for i in range(batch.num_rows):
-                    x = batch.column(at("lflat"))[i].values.to_numpy().reshape(batch.column(at("lm"))[i].as_py(), -1)
-                    y = batch.column(at("rflat"))[i].values.to_numpy().reshape(batch.column(at("rm"))[i].as_py(), -1)
+                    x, y = _sides(batch, i)
                     width = batch.column(at("median_distance"))[i].as_py()
                     twice = same and batch.column(at("lb"))[i].as_py() != batch.column(at("rb"))[i].as_py()
-                    value = float(np.exp(-_sq(x, y) / (2.0 * width * width)).sum()) * (2.0 if twice else 1.0)
+                    value = sum(float(np.exp(-_sq(x[cut], y) / (2.0 * width * width)).sum()) for cut in slices(len(x), len(y))) * (2.0 if twice else 1.0)
                     yield pa.RecordBatch.from_pydict({**{k: [batch.column(at(k))[i].as_py()] for k in by}, "s": [value]}, schema=arrow)
 
-        pairs = _block_pairs(a, b, by, rows, same).join(sigma, keys)
         return pairs.mapInArrow(sums, schema).groupBy(*by).agg(F.sum("s").alias(name))
 
     both = [*keys, bins]
-    out = n_gen.join(n_real, keys).join(total(gen, gen, both, "_gg", True), both)
-    out = out.join(total(asked, asked, keys, "_rr", True), keys).join(total(gen, by_bin, both, "_gr"), both)
+    small = real.join(sigma, keys)
+    if pairs is not None:
+        large = pairs.select(*keys).distinct()
+        small = small.join(large, keys, "left_anti")
+    within = total(_block_pairs(small, small, keys, rows, True), keys, "_rr", True)
+    if pairs is not None:
+        within = within.unionByName(total(pairs.join(F.broadcast(sigma.join(large, keys)), keys), keys, "_rr", True))
+    gen = gen.join(sigma, keys)
+    out = n_gen.join(n_real, keys).join(total(_block_pairs(gen, gen, both, rows, True), both, "_gg", True), both)
+    out = out.join(within, keys).join(total(_block_pairs(gen, real, both, rows, False), both, "_gr"), both)
     value = F.col("_gg") / F.pow("n_gen", F.lit(2)) + F.col("_rr") / F.pow("n_real", F.lit(2)) - 2.0 * F.col("_gr") / (F.col("n_gen") * F.col("n_real"))
     return out.select(*keys, bins, "n_gen", "n_real", value.alias("mmd2"))
 

@@ -133,9 +133,9 @@ class Tree:
 Forest = dict[str, Tree]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     folder = work_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

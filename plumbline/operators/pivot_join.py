@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 
 from plumbline.functions import vectors as V
 from plumbline.functions.arrow import matrix, with_columns
-from plumbline.session import BLOCK_ROWS, MAX_PIVOTS, PIVOT_BYTES, limit, work_folder
+from plumbline.session import BLOCK_ROWS, MAX_PIVOTS, PIVOT_BYTES, cut_lineage, limit, work_folder
 
 REGION_BLOCKS = 16  # blocks' worth of neighbouring leaves that a query is sent to at once, as long as their vectors take
 REGION_BYTES = 16 << 20  # at most so many bytes
-SALT_BLOCKS = 8  # blocks' worth of queries that meet one reference block in a task
+SALT_BLOCKS = 8  # blocks' worth of queries that meet one reference block in a task, REGION_BLOCKS if they take REGION_BYTES at most
 SLICE_CELLS = 1 << 20  # entries of a matrix of distances in a task
-SALTS = 32  # tasks that the queries of one region are dealt to at least, if they are so many blocks
+SALTS = 32  # tasks that the queries of all regions are dealt to at least, if they are so many blocks
 NO_TREE = -1  # leaf of a group that is one cell
 
 
@@ -269,9 +269,15 @@ def salted(cells: DataFrame, rows_per_cell: DataFrame, rows: int, blocks: float
     return cells.join(rows_per_cell, ["grp", "leaf"]).select("grp", "leaf", "blocks", F.ceil(F.col("n") / (rows * blocks)).cast("int").alias("salts"))
 
 
-def salt_blocks(queries: DataFrame, rows: int) -> float:
-    """Blocks' worth of queries in a salt of a region: SALT_BLOCKS, fewer while queries are too few for SALTS tasks."""
-    return min(float(SALT_BLOCKS), max(1.0, queries.count() / (SALTS * rows)))
+def salt_blocks(asking: DataFrame, forest: Forest, rows: int) -> float:
+    """Blocks' worth of queries in a salt of a region, fewer while the sendings (grp, leaf, n) are too few for SALTS tasks.
+
+    A region's references are sent once per salt, so salts are as large as regions may be.
+    """
+    sent = int(asking.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    width = max([tree.points.shape[1] for tree in forest.values()], default=1)
+    most = max(SALT_BLOCKS, min(REGION_BLOCKS, REGION_BYTES / (8 * width * rows)))
+    return min(float(most), max(1.0, sent / (SALTS * rows)))
 
 
 def sendings(queries: DataFrame, cells: DataFrame) -> DataFrame:
@@ -429,7 +435,8 @@ def nearest(query: DataFrame, ref: DataFrame, k: int, unit: bool, exclude_self:
     held, regions = in_regions(spark, forest, refs, cells)
     known = spark.sparkContext.broadcast(forest)  # with what the leaves hold
     open_ = all_blocks(reached(bounded, known, k + exclude_self, regions=True))
-    more = salted(regions, counted(open_), rows, salt_blocks(bounded, rows))
+    asking = cut_lineage(counted(open_))  # a row per region
+    more = salted(regions, asking, rows, salt_blocks(asking, forest, rows))
     # a query's own leaf is within its bound, so the regions hold all its neighbours
     others = met(sendings(open_, regions), held, more, rest, T.StructType(answer.fields[:3]), ("spot",))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "ref_id"))
@@ -480,6 +487,7 @@ def least_within(query: DataFrame, ref: DataFrame, name: str) -> DataFrame:
     known = spark.sparkContext.broadcast(forest)
     queries = written(placed(query.select("grp", "id", "v", "bound"), shared).drop("near", "far"), "queries")
     open_ = all_blocks(reached(queries, known, 1, regions=True))
-    more = salted(regions, counted(open_), rows, salt_blocks(queries, rows))
+    asking = cut_lineage(counted(open_))
+    more = salted(regions, asking, rows, salt_blocks(asking, forest, rows))
     found = met(sendings(open_, regions), held, more, lambda q, r: least(q, r, known.value), schema, ("spot",))
     return found.groupBy("query_id").agg(F.min(name).alias(name))

@@ -111,7 +111,8 @@ def metric_correlations(scored: DataFrame, real: DataFrame, gen: DataFrame) -> D
     rows = centre_distance(real, clean).drop("features").join(authenticity(real, gen).select("sample_id", "authentic"), "sample_id")
     pairs = [("realism_z", "centre_dist"), ("faithfulness_z", "centre_dist"), ("trust", "centre_dist"), ("trust", "authentic")]
     cells = F.array(*[F.struct(F.lit(f"{a}_vs_{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    return R.spearman(rows.select(F.explode(cells).alias("e")).select("e.*"), "x", "y", ["pair"], 11)
+    # numbers alone, written once: ranking reads them several times, and each time would join the neighbours anew
+    return R.spearman(cut_lineage(rows.select(F.explode(cells).alias("e")).select("e.*")), "x", "y", ["pair"], 11)
 
 
 def ranking_table(
